@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, quality_rules
-from .common import read_table
+from . import bpe, fingerprints, line_dedup, packing, quality_rules, token_store
+from .common import read_table, scratch_dir
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch_dir(spark, "token-store")
+    token_store.write_store(read_table(spark, sf_dir, "documents"), store, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_digests(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +49,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_token_store": op2_token_store,
+    "op4_packing": op4_packing,
+    "op6_bpe": op6_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op10_fingerprints": op10_fingerprints,
 }
