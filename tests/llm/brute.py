@@ -52,3 +52,37 @@ def edited(rows):
         m = len(t) // 4
         out[i] = t[: len(t) - m] + rows[(k + 1) % len(rows)][1][:m]
     return out
+
+
+def shingles(t, size=5):
+    w = [lower(x) for x in WORD.findall(t or "")]
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+
+
+def linked_groups(rows, size=5, percent=80):
+    """[(id, text)] -> [(id, set size, least id reachable)] by comparing all pairs that share a shingle."""
+    sets = [shingles(t, size) for _, t in rows]
+    above = list(range(len(rows)))
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    at = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(i)
+    seen = set()
+    for held in at.values():
+        for k, i in enumerate(held):
+            for j in held[:k]:
+                if (j, i) not in seen:
+                    seen.add((j, i))
+                    if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                        above[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = root(k)
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
+    return [(i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)]
