@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, packing, quality_rules, token_store
+from . import bpe, fingerprints, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, token_store, toxicity
 from .common import read_table, scratch_dir
 
 
@@ -28,6 +28,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -42,6 +46,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.train(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -50,9 +68,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
-    "op6_bpe": op6_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_fingerprints": op10_fingerprints,
 }
 
@@ -70,5 +92,28 @@ marked AS (SELECT doc_id, pos, l, (k IN (SELECT k FROM frequent)) AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op8_jaccard_join": r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM worded),
+sized AS (SELECT doc_id, len(s) AS n FROM shingled),
+flat AS (SELECT doc_id, unnest(s) AS x FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id
+  JOIN sized p ON p.doc_id = a.doc_id JOIN sized q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n
+  HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sized
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT sized.doc_id, n AS n_shingles, min(other) AS component_id
+FROM sized JOIN reach ON reach.doc_id = sized.doc_id GROUP BY sized.doc_id, n
 """,
 }

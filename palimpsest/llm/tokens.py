@@ -100,11 +100,12 @@ class Encoder:
         return np.concatenate(out).astype(self.dtype), np.concatenate([[0], np.cumsum([len(x) for x in out])])
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of about ``most`` bytes of text."""
+def slices(batch: pa.RecordBatch, text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of about ``most`` bytes of the column ``text`` (its name or place)."""
     if not batch.num_rows:
         return
-    size = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False))
+    at = batch.schema.get_field_index(text) if isinstance(text, str) else text
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most)) + 1
