@@ -156,6 +156,11 @@ def quota_of(tier: Column) -> Column:
     return c.otherwise(F.lit(QUOTAS["free"]).cast("long"))
 
 
+def _left(quota: Column, used: Column) -> Column:
+    """What is left of a quota; null if there is no limit."""
+    return F.when(quota.isNotNull(), F.greatest(quota - used, F.lit(0)))
+
+
 def daily_quota(calls: DataFrame, quota: Column) -> DataFrame:
     """Adds to calls (``call_id``, ``key``, ``at``) ``day`` (UTC), ``used``, ``allowed`` and ``remaining``.
 
@@ -163,13 +168,13 @@ def daily_quota(calls: DataFrame, quota: Column) -> DataFrame:
     """
     d = calls.withColumn("day", F.to_date("at")).withColumn("quota", quota)
     d = d.withColumn("used", F.row_number().over(W.partitionBy("key", "day").orderBy("at", "call_id")))
-    return d.withColumns({"allowed": F.coalesce(F.col("used") <= F.col("quota"), F.lit(True)), "remaining": F.greatest(F.col("quota") - F.col("used"), F.lit(0))})
+    return d.withColumns({"allowed": F.coalesce(F.col("used") <= F.col("quota"), F.lit(True)), "remaining": _left(F.col("quota"), F.col("used"))})
 
 
 def usage(calls: DataFrame, quota: Column) -> DataFrame:
     """By key and day, without ranking the calls: ``used``, ``n_refused``, ``remaining``."""
     d = calls.withColumn("day", F.to_date("at")).withColumn("quota", quota).groupBy("key", "day", "quota").agg(F.count(F.lit(1)).alias("used"))
-    return d.select("key", "day", "used", F.greatest(F.col("used") - F.col("quota"), F.lit(0)).alias("n_refused"), F.greatest(F.col("quota") - F.col("used"), F.lit(0)).alias("remaining"))
+    return d.select("key", "day", "used", F.greatest(F.col("used") - F.col("quota"), F.lit(0)).alias("n_refused"), _left(F.col("quota"), F.col("used")).alias("remaining"))
 
 
 def chat_caps(calls: DataFrame, daily: int = DAILY_CHATS, monthly: int = MONTHLY_CHATS) -> DataFrame:

@@ -219,7 +219,7 @@ WITH u AS (SELECT event_id AS call_id, row_number() OVER (PARTITION BY user_id,
 SELECT call_id, used, used <= 2 AS allowed, greatest(2 - used, 0) AS remaining FROM u""",
     "h8_usage": """
 WITH u AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, count(*) AS used, CASE user_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 5000 WHEN 2 THEN 50000 END AS quota FROM events GROUP BY ALL)
-SELECT key, day, used, CASE WHEN quota IS NULL THEN 0 ELSE greatest(used - quota, 0) END AS n_refused, CASE WHEN quota IS NULL THEN 0 ELSE greatest(quota - used, 0) END AS remaining FROM u""",
+SELECT key, day, used, CASE WHEN quota IS NULL THEN 0 ELSE greatest(used - quota, 0) END AS n_refused, CASE WHEN quota IS NOT NULL THEN greatest(quota - used, 0) END AS remaining FROM u""",
     "h10_chat_caps": """
 WITH r AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) AS m,
  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS d FROM events)
