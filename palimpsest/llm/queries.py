@@ -95,14 +95,14 @@ FROM marked GROUP BY doc_id
 """,
     "op8_jaccard_join": r"""
 WITH RECURSIVE worded AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
-shingled AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
-  FROM worded),
-sized AS (SELECT doc_id, len(s) AS n FROM shingled),
-flat AS (SELECT doc_id, unnest(s) AS x FROM shingled),
+each AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM worded),
+runs AS (
+  SELECT doc_id, m, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS x
+  FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+flat AS (SELECT DISTINCT doc_id, hash(x) AS x FROM runs WHERE i <= m - 5 OR i = 0),
+sized AS (SELECT doc_id, count(x) AS n FROM documents LEFT JOIN flat USING (doc_id) GROUP BY doc_id),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b
   FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id
