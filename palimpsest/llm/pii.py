@@ -118,6 +118,7 @@ LOOK_ALIKES = dict(zip(
     "aeopcyxisjhdlqwABEKMHOPCTXISJYoavpiktuABEZHIKMNOPTYX",
 ))
 DASHES = "‐‑‒–—―−"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = "­​‌‍⁠﻿"
 # Names of digits and of signs.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -127,7 +128,7 @@ TOP_DOMAINS = "com|org|net|edu|gov|info|biz|io|co|dev|app|uk|de|fr|es|eu|us|ca|e
 @cache
 def characters() -> dict[str, str]:
     """ASCII for each look-alike: the fixed ones, decimal digits of all scripts, and compatibility forms."""
-    out = dict(LOOK_ALIKES) | dict.fromkeys(DASHES, "-") | dict.fromkeys(INVISIBLE, "") | {"。": "."}
+    out = dict(LOOK_ALIKES) | dict.fromkeys(DASHES, "-") | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE, "") | {"。": "."}
     for i in (*range(0x00B5, 0xD800), *range(0xE000, 0x1_0000), *range(0x1_D400, 0x1_D800), *range(0x1_F100, 0x1_F200)):
         c = chr(i)
         if c in out or c in "ªº²³¹":
@@ -156,11 +157,11 @@ def _class_of(chars: str) -> str:
 
 _NUMBER = "(?:(?:double |triple )?(?:" + "|".join(DIGITS) + "))"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT = rf"(?:\x20{{0,3}}{_OPEN}\x20{{0,3}}(?:dot|punto|punkt|point|\.)\x20{{0,3}}{_CLOSE}\x20{{0,3}}|\x20{{1,3}}(?:dot|punto|punkt)\x20{{1,3}})"
+_DOT = rf"(?:\x20{{0,3}}{_OPEN}\x20{{0,3}}(?:dot|punto|punkt|point|\.)\x20{{0,3}}{_CLOSE}\x20{{0,3}}|\x20{{1,3}}(?:dot|punto|punkt)\x20{{1,3}}|_(?:dot|punto|punkt)_)"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _DISGUISE = re.compile(
     rf"(?P<at>\x20{{0,3}}{_OPEN}\x20{{0,3}}(?:at|arroba|@)\x20{{0,3}}{_CLOSE}\x20{{0,3}}|(?<=[A-Za-z0-9_])\x20{{1,3}}@\x20{{0,3}}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9_])@\x20{{1,3}}(?=[A-Za-z0-9])"
-    rf"|(?<=[A-Za-z0-9_])\x20{{1,3}}(?:at|arroba)\x20{{1,3}}(?={_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL}))"
+    rf"|(?<=[A-Za-z0-9_])(?:\x20{{1,3}}(?:at|arroba)\x20{{1,3}}|_(?:at|arroba)_)(?={_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL}))"
     rf"|(?P<word>(?<=[A-Za-z0-9_])\x20(?:at|arroba)\x20(?=(?:{_LABEL}\.)+(?:{TOP_DOMAINS})(?![A-Za-z0-9-])))"
     rf"|(?P<dot>(?<=[A-Za-z0-9_]){_DOT}(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\b(?:plus)\x20{{1,3}}(?=[0-9]|{_NUMBER}\b)|{_OPEN}plus{_CLOSE}\x20{{0,3}})"
@@ -199,12 +200,13 @@ def _alike() -> re.Pattern:
 @cache
 def _hints() -> str:
     """What some disguise has, for a quick look at a batch (no look-around)."""
-    rare = "".join(c for c in characters() if c not in DASHES and c not in "­")
+    rare = "".join(c for c in characters() if c not in DASHES + SPACES + "\u00ad")
+    between = "".join(f"\\x{{{ord(c):x}}}" for c in DASHES + SPACES + "\u00ad")
     names = "|".join(DIGITS)
     return (
         "[" + "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in _runs(rare)) + "]"
-        "|[0-9][\\x{2010}-\\x{2015}\\x{2212}\\x{ad}][0-9]"
-        rf"|(?i:{_OPEN} {{0,3}}(at|arroba|@|dot|punto|punkt|point|plus|\.) {{0,3}}{_CLOSE}|\b(dot|punto|punkt)\b| @|@ |\b({names})[ -]{{1,2}}(double |triple )?({names})\b|\b(double|triple) ({names})\b|[0-9][ -]({names})\b|\b({names})[ -][0-9]|\bplus {{1,3}}([0-9]|{names})| (at|arroba) ([a-z0-9-]+\.)+({TOP_DOMAINS})\b|[0-9][oil]+[0-9]|\b[oil]+[0-9]+\b|\b[0-9]+[oil]+\b)"
+        f"|[0-9][{between}][0-9]"
+        rf"|(?i:{_OPEN} {{0,3}}(at|arroba|@|dot|punto|punkt|point|plus|\.) {{0,3}}{_CLOSE}|\b(dot|punto|punkt)\b|_(dot|punto|punkt)_| @|@ |\b({names})[ -]{{1,2}}(double |triple )?({names})\b|\b(double|triple) ({names})\b|[0-9][ -]({names})\b|\b({names})[ -][0-9]|\bplus {{1,3}}([0-9]|{names})| (at|arroba) ([a-z0-9-]+\.)+({TOP_DOMAINS})\b|[0-9][oil]+[0-9]|\b[oil]+[0-9]+\b|\b[0-9]+[oil]+\b)"
     )
 
 

@@ -160,6 +160,11 @@ DISGUISED = {
     "card 4111 1111 11l1 1111": ["4111 1111 11l1 1111"],
     "four" + " one" * 15: ["four" + " one" * 15],
     "a​b@c.de": ["b@c.de", "a​b@c.de"],
+    "jane_AT_mail_DOT_org or": ["jane_AT_mail_DOT_org"],
+    "jane@mail[.]org": ["jane@mail[.]org"],
+    "card 4111\u00a01111–1111\u20091111 ok": ["4111\u00a01111–1111\u20091111"],
+    "at 10[.]0[.]0[.]7": ["10[.]0[.]0[.]7"],
+    "snake_at_case and 5\u00a0000 m": [],
     "look at example.com please": [],
     "meet at noon. One two. He sat at one dot": [],
     "one for all, Café at the dot": [],
