@@ -14,8 +14,9 @@
    for each of the two values, so that its members still hang together.
 5. What the blocks missed is found exactly: two linked classes share a shingle
    among their ``n - need + 1`` rarest.  Of the groups by such a shingle, those
-   whose members already are in one component are done; the others are joined by
-   a tree too, groups over the block size as pairs of blocks.
+   whose members already are in one component are done; of the others, members
+   whose parity bits leave room for a link are joined by a tree too, groups over
+   the block size as pairs of blocks.
 
 A link is decided by whole sets and the exact fraction.  Links are kept as
 what holds components together, never as all pairs of a group.
@@ -201,7 +202,8 @@ def survivors(docs: DataFrame, known: DataFrame, size: int, percent: int) -> Dat
     least = F.greatest(F.lit(1), F.floor((F.ceil(F.col("n") * percent / 100)) * (100 - percent) / 200))
     some = classes.withColumn("k8", _k8(F.col("key"))).join(shared, "k8").where(F.col("shared") >= least).select("key", "rep")
     some = stored(some, "candidates")
-    ids = F.broadcast(some.select("rep")) if some.count() <= BROADCAST_IDS else some.select("rep")
+    small = some.count() <= BROADCAST_IDS
+    ids = F.broadcast(some.select("rep")) if small else some.select("rep")
     few = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,8 @@ def survivors(docs: DataFrame, known: DataFrame, size: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.binary()), pa.array([len(s) for _, s in full], pa.int64()), pa.array([s.tobytes() for _, s in full], pa.binary())], names=["key", "n", "tokens"])
 
     found = few.select("text").mapInArrow(sets, "key binary, n long, tokens binary")
-    return stored(found.join(some.select("key"), "key", "left_semi"), "survivors")
+    keys = F.broadcast(some.select("key")) if small else some.select("key")
+    return stored(found.join(keys, "key", "left_semi"), "survivors")
 
 
 def _k8(key: Column) -> Column:
@@ -329,13 +332,13 @@ def with_shared(sets: DataFrame, percent: int) -> DataFrame:
                 c = c[at]
                 if len(t) >= need(n, percent):
                     rare = t[np.lexsort((t, c))]
-                    rows.append((key, n, n - len(t), rare.tobytes(), hashlib.blake2b(n.to_bytes(8, "little") + t.tobytes(), digest_size=16).digest()))
+                    rows.append((key, n, n - len(t), rare.tobytes(), parity(t), hashlib.blake2b(n.to_bytes(8, "little") + t.tobytes(), digest_size=16).digest()))
             yield _batch(rows, _REDUCED)
 
-    return stored(whole.select("key", "n", "pieces").mapInArrow(reduce, "key binary, n long, own long, rare binary, rkey binary"), "reduced")
+    return stored(whole.select("key", "n", "pieces").mapInArrow(reduce, "key binary, n long, own long, rare binary, bits binary, rkey binary"), "reduced")
 
 
-_REDUCED = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("rare", pa.binary()), ("rkey", pa.binary())])
+_REDUCED = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("rare", pa.binary()), ("bits", pa.binary()), ("rkey", pa.binary())])
 
 
 def block_links(rows: DataFrame, percent: int, with_groups: bool) -> DataFrame:
@@ -403,7 +406,56 @@ def rest_links(reduced: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     dealt = rows.select("w", "rkey", "grp").join(chosen.select("w", F.ceil(F.col("size") / BLOCK).alias("parts")), "w").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("rkey", "grp", F.struct("w", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).alias("block"))
-    return block_links(dealt.join(reduced.select("rkey", "n", "rare"), "rkey"), percent, True)
+    kept = sift(dealt.join(reduced.select("rkey", "n", "own", "bits"), "rkey"), percent)
+    return block_links(kept.join(reduced.select("rkey", "n", "rare"), "rkey"), percent, True)
+
+
+def sift(rows: DataFrame, percent: int) -> DataFrame:
+    """The members of each block that may link with one of another group there, by their parity bits alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+        bits, groups = table.column("bits").to_pylist(), table.column("grp").to_pylist()
+        names = {g: i for i, g in enumerate(set(groups))}
+        return table.select(["block", "rkey", "grp"]).filter(pa.array(may_link(n, own, bits, np.array([names[g] for g in groups]), percent)))
+
+    return rows.select("block", "rkey", "grp", "n", "own", "bits").groupBy("block").applyInArrow(run, rows.select("block", "rkey", "grp").schema)
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """For each slot of a hash, whether an odd number of the shingles fall there; about two slots for each shingle.
+
+    Two sets differ in at least as many shingles as their bits differ in slots.
+    """
+    slots = 1 << int(np.clip(np.ceil(np.log2(2 * max(1, len(tokens)))), 6, 15))
+    held = np.bincount((mixed(tokens) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], group: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a row of another group that they may link with: sizes and parity bits allow the overlap."""
+    shared = n - own
+    widths = np.array([len(b) for b in bits])
+    out = np.zeros(len(n), bool)
+    folded = [np.frombuffer(b, np.uint64) for b in bits]
+    for width in sorted(set(widths.tolist()), reverse=True):
+        # Pairs whose narrower row has this width; wider rows are folded onto it, which keeps parity.
+        at = np.flatnonzero(widths >= width)
+        for i in at:
+            while folded[i].nbytes > width:
+                half = len(folded[i]) // 2
+                folded[i] = folded[i][:half] ^ folded[i][half:]
+        table = np.stack([folded[i] for i in at])
+        for k, i in enumerate(at):
+            if widths[i] != width:
+                continue
+            differ = np.bitwise_count(table ^ table[k]).sum(axis=1, dtype=np.int64)
+            most = np.minimum((shared[at] + shared[i] - differ) // 2, np.minimum(shared[at], shared[i]))
+            hit = (most * (100 + percent) >= percent * (n[at] + n[i])) & (group[at] != group[i])
+            if hit.any():
+                out[i] = True
+                out[at[hit]] = True
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -422,7 +474,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = stored(digests(base, size), "digests")
     members = with_shared(survivors(base, known, size, percent), percent)
     single = members.groupBy("rkey").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("members"), F.min(F.expr(f"100 * (n - own) >= {percent} * (n + own)")).alias("alike"))
-    reduced = stored(members.join(single.select("rkey", "key"), ["rkey", "key"], "left_semi").select("rkey", "n", "own", "rare"), "reduced-classes")
+    reduced = stored(members.join(single.select("rkey", "key"), ["rkey", "key"], "left_semi").select("rkey", "n", "own", "rare", "bits"), "reduced-classes")
     first = components(first_links(reduced, percent)).withColumnRenamed("node", "rkey")
     groups = stored(reduced.select("rkey").join(first, "rkey", "left").select("rkey", F.coalesce("root", "rkey").alias("grp")), "groups")
     more = components(rest_links(reduced, groups, percent)).withColumnRenamed("node", "grp")

@@ -104,6 +104,28 @@ def test_tree_links_match_brute_force():
         assert [want.root(i) for i in range(25)] == [got.root(i) for i in range(25)], trial
 
 
+def test_parity_bits_lose_no_link():
+    rng = np.random.RandomState(2)
+    sets, own = [], []
+    for size in (3, 30, 31, 33, 70, 300, 5000):
+        base = rng.randint(0, 1 << 48, size).astype(np.uint64)
+        for change in (0, 1, 2, size // 12, size // 6, size // 3):
+            t = base.copy()
+            t[:change] = rng.randint(0, 1 << 48, change)
+            sets.append(np.unique(t))
+            own.append(change % 3)
+    near = len(sets)
+    for size in (30, 300, 5000):  # alike in size alone
+        sets.append(np.unique(rng.randint(0, 1 << 48, size).astype(np.uint64)))
+        own.append(0)
+    n = np.array([len(s) for s in sets]) + own
+    group = np.arange(len(sets)) // 2
+    got = jaccard_join.may_link(n, np.array(own), [jaccard_join.parity(s) for s in sets], group, 80)
+    must = [any(group[i] != group[j] and 180 * len(np.intersect1d(a, b)) >= 80 * (n[i] + n[j]) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert all(g or not m for g, m in zip(got, must))
+    assert not got[near:].any()
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(5, 5), (None, 4)]
