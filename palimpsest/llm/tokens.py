@@ -26,9 +26,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _TWO_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}| \z"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct parts kept between batches, and the longest that are kept.
-MOST_PARTS, LONGEST_PART = 300_000, 64
+MOST_PARTS, LONGEST_PART = 200_000, 64
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def safe_pieces(text: str, least: int = 1 << 16) -> Iterator[str]:
@@ -41,48 +41,49 @@ def safe_pieces(text: str, least: int = 1 << 16) -> Iterator[str]:
 
 
 class Encoder:
-    """Texts to ids.  ``encode_parts`` gets strings to be encoded each by itself; ``line_feed`` is the id of "\\n"."""
+    """Texts to ids.
 
-    def __init__(self, encode_parts: Callable[[list[str]], list[np.ndarray]], encode_text: Callable[[str], np.ndarray], dtype: str):
+    ``encode_parts`` gets strings to be encoded each by itself and returns their
+    ids one after another and how many each has.
+    """
+
+    def __init__(self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray], dtype: str):
         self.encode_parts, self.encode_text, self.dtype = encode_parts, encode_text, dtype
         self.reset()
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {"": 0}
-        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ends = np.zeros(2, np.int32)  # of the parts' ids in ``flat``, in order of their slots
         self.flat = np.zeros(0, self.dtype)
 
     def _slots(self, keys: list[str]) -> np.ndarray:
         slot = self.slot
         new = [k for k in keys if k not in slot]
         if new:
-            ids = self.encode_parts([k if k[0] == "\n" else " " + k for k in new])
-            n = len(self.start)
+            ids, length = self.encode_parts([k if k[0] == "\n" else " " + k for k in new])
+            n = len(self.ends) - 1
             slot.update(zip(new, range(n, n + len(new))))
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, *ids]).astype(self.dtype)
-        return np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)])
+            self.flat = np.concatenate([self.flat, ids.astype(self.dtype)])
+        return np.fromiter(map(slot.__getitem__, keys), np.int32, len(keys))
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without adjacent blanks, and where each text's begin and end."""
         led = pc.binary_join_element_wise(pa.scalar("\n"), texts, pa.scalar(""))
         parts = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
         coded = pc.dictionary_encode(parts.flatten())
-        if len(self.start) > MOST_PARTS or len(self.flat) > 16 * MOST_PARTS:
+        if len(self.ends) > MOST_PARTS or len(self.flat) > 16 * MOST_PARTS:
             self.reset()
-        slots = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        length = self.length[slots]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.start[slots] - ends[:-1], length) + np.arange(ends[-1])]
+        keys = coded.dictionary.to_pylist()
+        slots = self._slots(keys)[coded.indices.to_numpy(zero_copy_only=False)]
+        # Arrow copies each part's run of ids; a part of a text is one list.
+        taken = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(slots))
+        ids, ends = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = ends[parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py()]
-        for k in [k for k in coded.dictionary.to_pylist() if len(k) > LONGEST_PART]:
+        for k in [k for k in keys if len(k) > LONGEST_PART]:
             self.slot.pop(k, None)  # its ids stay until the next reset
         # Each text was led by a line feed, which is one id.
-        firsts = np.zeros(len(ids), bool)
-        firsts[bounds[:-1]] = True
-        return ids[~firsts], bounds - np.arange(len(bounds))
+        return np.delete(ids, bounds[:-1]), bounds - np.arange(len(bounds))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and n + 1 bounds."""
@@ -130,19 +131,35 @@ def library_encoder(path: str) -> Encoder:
         def one(text: str) -> np.ndarray:
             return np.array(t.encode(text, add_special_tokens=False).ids, np.int64)
 
-        def many(parts: list[str]) -> list[np.ndarray]:
-            out: list = [None] * len(parts)
-            joined = [i for i, p in enumerate(parts) if not p[-1].isspace() and len(p) <= LONGEST_PART]
-            for i in set(range(len(parts))).difference(joined):
-                out[i] = one(parts[i])
-            runs = [joined[k : k + 4096] for k in range(0, len(joined), 4096)]
-            for run in runs:
+        def many(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            alone = [i for i, p in enumerate(parts) if p[-1].isspace() or len(p) > LONGEST_PART]
+            apart = set(alone)
+            joined = [i for i in range(len(parts)) if i not in apart] if alone else range(len(parts))
+            ids, length, whose = [], [], []
+            for k in range(0, len(joined), 4096):
+                run = joined[k : k + 4096]
                 # Parts begin with their only blank, so the ids that open with one show where each begins.
-                ids = np.array(t.encode_batch_fast(["".join([parts[i] for i in run])], add_special_tokens=False)[0].ids, np.int64)
-                at = np.flatnonzero(opens[ids])
-                for i, x in zip(run, np.split(ids, at[1:]) if len(at) == len(run) else map(one, [parts[i] for i in run])):
-                    out[i] = x
-            return out
+                own = np.array(t.encode_batch_fast(["".join([parts[i] for i in run])], add_special_tokens=False)[0].ids, np.int64)
+                at = np.flatnonzero(opens[own])
+                if len(at) != len(run):
+                    alone.extend(run)
+                    continue
+                ids.append(own)
+                length.append(np.diff(np.append(at, len(own))))
+                whose.extend(run)
+            for i in alone:
+                ids.append(one(parts[i]))
+                length.append([len(ids[-1])])
+                whose.append(i)
+            flat, length = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *length]).astype(np.int64)
+            if not alone:
+                return flat, length
+            # Back into the order of the parts.
+            order = np.argsort(np.array(whose), kind="stable")
+            start = (np.cumsum(length) - length)[order]
+            length = length[order]
+            ends = np.cumsum(length)
+            return flat[np.repeat(start - (ends - length), length) + np.arange(len(flat))], length
 
         _encoders[path] = Encoder(many, one, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
     return _encoders[path]

@@ -152,6 +152,15 @@ def test_very_long_words(rank_library):
         assert bpe.encode_word(word.encode(), ranks) == rank_library(word)
 
 
+def test_short_words_together(rank_library):
+    ranks = bpe.load_ranks(RANKS)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aabcdeéthn日 ß") for _ in range(rng.randint(1, 14))) for _ in range(5_000)] + ["a" * 40, "ab" * 20]
+    ids, n = bpe.encode_short_words([w.encode() for w in words], bpe.PairTable(ranks))
+    want = [bpe.encode_word(w.encode(), ranks) if w.encode() not in ranks else None for w in words]
+    assert [x.tolist() for x, w in zip(np.split(ids, np.cumsum(n)[:-1]), want) if w is not None] == [w for w in want if w is not None]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert packing.pack(none, JSON).count() == 0
