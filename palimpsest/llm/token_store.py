@@ -34,35 +34,43 @@ from pyspark.sql import functions as F
 from .common import documents_of, order_bounds, order_bucket
 from .tokens import library_encoder, slices
 
-#: Ids in the rolling window, mean and greatest ids of a chunk.
+#: Ids in the rolling window, mean (a power of two) and greatest ids of a chunk.
 WINDOW, MEAN, MOST = 16, 256, 2048
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream (the last is its length).
+def stream_cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """For each document, the ends of its chunks; ``bounds`` cut ``ids`` into documents.
 
     The rolling hash of a place is a polynomial of the ids of the window before
-    it; a chunk ends where its top bits are zero, and after ``MOST`` ids.
+    it; a chunk ends where its top bits leave no rest, if the window lies in the
+    document, after ``MOST`` ids, and with the document.
     """
-    n = len(ids)
-    if n <= WINDOW:
-        return np.array([n])
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTOR)
-    mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + mixed[k : k + len(rolled)]
-    ends = np.flatnonzero((rolled >> np.uint64(32)) % np.uint64(MEAN) == 0) + WINDOW
-    out, last = [], 0
-    for e in [*ends.tolist(), n]:
-        while e - last > MOST:
-            last += MOST
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
-    return np.array(out)
+    rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTOR)
+    rolled ^= rolled >> np.uint64(29)
+    span, power = 1, 0xD6E8FEB86659FD93
+    while span < WINDOW and len(rolled) > span:  # windows of 2, 4, 8, 16
+        rolled = rolled[:-span] * np.uint64(power) + rolled[span:]
+        span, power = 2 * span, power * power % (1 << 64)
+    ends = np.flatnonzero((rolled >> np.uint64(32)) & np.uint64(MEAN - 1) == 0) + WINDOW if span == WINDOW else np.zeros(0, np.int64)
+    first, last = np.searchsorted(ends, bounds[:-1] + WINDOW, "left"), np.searchsorted(ends, bounds[1:], "left")
+    out = []
+    for a, b, start, stop in zip(first.tolist(), last.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        own, at = [], start
+        for e in [*ends[a:b].tolist(), stop]:
+            while e - at > MOST:
+                at += MOST
+                own.append(at)
+            if e > at:
+                own.append(e)
+                at = e
+        out.append(own)
+    return out
+
+
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of one id stream (the last is its length)."""
+    return np.array(stream_cuts(ids, np.array([0, len(ids)]))[0])
 
 
 def digest_of(raw: bytes) -> bytes:
@@ -83,6 +91,12 @@ _PARTS_DDL = "kind string, spread long, digest binary, ids binary, n int, width
 REMEMBERED = 200_000
 
 
+def _rows(count: int, kind: str, **columns) -> pa.RecordBatch:
+    """Rows of :data:`PARTS`, null where no column is given."""
+    made = [pa.array([kind] * count, pa.string()), *(pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in list(PARTS)[1:])]
+    return pa.RecordBatch.from_arrays(made, schema=PARTS)
+
+
 def chunks_and_recipes(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of two kinds: chunks to be stored and recipes of documents."""
 
@@ -93,39 +107,35 @@ def chunks_and_recipes(docs: DataFrame, tokenizer: str, end_id: int) -> DataFram
         for batch in batches:
             for part in slices(batch):
                 flat, bounds = encode(part.column(1).cast(pa.string()))
-                rows = []
-                for k, doc in enumerate(part.column(0).to_pylist()):
-                    ids = np.append(flat[bounds[k] : bounds[k + 1]], end_id).astype(encode.dtype)
-                    digests, at = [], 0
-                    for e in cut_points(ids).tolist():
-                        raw = ids[at:e].tobytes()
-                        digest = digest_of(raw)
+                ids = np.insert(flat, bounds[1:], end_id).astype(encode.dtype)
+                bounds = bounds + np.arange(len(bounds))
+                raw, starts, sizes = ids.tobytes(), bounds[:-1].tolist(), np.diff(bounds)
+                chunks: list[tuple[bytes, bytes, int]] = []
+                recipes, roots = [], []
+                for at, ends in zip(starts, stream_cuts(ids, bounds)):
+                    digests = []
+                    for e in ends:
+                        piece = raw[at * width : e * width]
+                        digest = digest_of(piece)
                         digests.append(digest)
                         if digest not in seen:
                             if len(seen) >= REMEMBERED:
                                 seen.clear()
                             seen.add(digest)
-                            rows.append({"kind": "chunk", "spread": int.from_bytes(digest[:8], "little", signed=True), "digest": digest, "ids": raw, "n": e - at, "width": width})
+                            chunks.append((digest, piece, e - at))
                         at = e
-                    root = merkle(digests)
-                    rows.append({"kind": "recipe", "spread": (doc or 0) * 31 + k, "doc_id": doc, "n_tokens": len(ids), "digests": digests, "root": root})
-                yield pa.RecordBatch.from_pylist(rows, schema=PARTS)
+                    recipes.append(digests)
+                    roots.append(merkle(digests))
+                if chunks:
+                    digest, piece, n = zip(*chunks)
+                    spread = np.frombuffer(b"".join(digest), "<i8")[::2]
+                    yield _rows(len(n), kind="chunk", spread=spread, digest=digest, ids=piece, n=n, width=[width] * len(n))
+                spread = part.column(0).fill_null(0).to_numpy() * 31 + np.arange(len(roots))
+                yield _rows(len(roots), kind="recipe", spread=spread, doc_id=part.column(0), n_tokens=sizes, digests=recipes, root=roots)
 
     return docs.mapInArrow(run, _PARTS_DDL)
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest: all recipes, and the first chunk of each digest."""
-    last = None
-    for b in batches:
-        digest = b.column(2).to_pylist()
-        keep = []
-        for d in digest:
-            keep.append(d is None or d != last)
-            last = d if d is not None else last
-        yield b.filter(pa.array(keep))
-
-
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents, each with ``end_id`` after it, and write the store.
 
@@ -135,8 +145,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     """
     spark = docs.sparkSession
     parts = chunks_and_recipes(documents_of(docs, id_col, text_col), tokenizer, end_id)
-    unique = parts.repartition("spread").sortWithinPartitions("digest").mapInArrow(_first_of_each, _PARTS_DDL)
-    unique.drop("spread").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    # Equal digests have equal spreads, so the window needs no further shuffle.
+    nth = F.row_number().over(W.partitionBy("spread", "kind", "digest").orderBy("n"))
+    unique = parts.repartition("spread").withColumn("nth", nth).where("kind = 'recipe' or nth = 1")
+    unique.drop("spread", "nth").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
     draft = _read_parts(spark, path).where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "root")
     bounds = order_bounds(draft.select("doc_id"))
     draft = draft.withColumn("bucket", order_bucket(F.col("doc_id"), bounds))
