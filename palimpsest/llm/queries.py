@@ -115,5 +115,30 @@ reach AS (
   SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
 SELECT sized.doc_id, n AS n_shingles, min(other) AS component_id
 FROM sized JOIN reach ON reach.doc_id = sized.doc_id GROUP BY sized.doc_id, n
+""",
+    "op5_quality_rules": rf"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(str_split(coalesce(text, ''), chr(10)), lambda x: trim(x, chr(32)||chr(9)||chr(11)||chr(12)||chr(13)) <> '') AS ls
+  FROM documents),
+each AS (SELECT doc_id, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM worded),
+windows AS (
+  SELECT doc_id, i, w, CASE WHEN i <= m - 8 THEN hash(w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) END AS h
+  FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i, w, h IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h) > 1 AS a FROM windows),
+covered AS (SELECT doc_id, w, max(a) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM again),
+counted AS (
+  SELECT doc_id, count(*) FILTER (WHERE c) AS n_repeat_words, count(*) FILTER (WHERE w IN ({", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)})) AS n_stop,
+         count(*) FILTER (WHERE ends_with(w, '!!')) AS n_shouts
+  FROM covered GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, n_stop, n_shouts
+  FROM worded LEFT JOIN counted USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_repeat_words / n_words <= 0.3 AND word_chars / n_words BETWEEN 2 AND 20 AND n_symbols / word_chars <= 0.1
+       AND n_dup_lines / n_lines <= 0.3 AND n_stop / n_words >= 0.01 AND n_shouts / n_words <= 0.3 AS kept
+FROM judged
 """,
 }
