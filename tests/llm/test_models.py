@@ -178,6 +178,30 @@ def test_disguises(text):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("text", ["john@exam\u00adple.com", "john@my\u2011company.com", "john\u00a0@\u00a0example.com", "+1\u00a0(415)\u00a0555-0132", "\u00a0".join(["four"] + ["one"] * 15), "one.two.three.four"])
+def test_hints_miss_no_disguise(text):
+    ((_, base, spans),) = pii.batch_spans(pa.array([text]))
+    assert spans and spans == base + pii.disguised_spans(text, base)
+
+
+def test_hints_miss_no_random_disguise():
+    import random
+
+    rng = random.Random(11)
+    bits = ["a", "john", "@", ".", "-", "_", "+", " ", "  ", "1", "415", "255", "O", "l", "\u00a0", "\u2011", "\u00ad", "\u200b", "о", "４", "ı", "İ", "é", "ſ", "(", ")", "[", "]", "\n", "at", "dot", "plus", "arroba", "point", "double", "triple", "one", "five", "Zero", "oh", "com", ".com", "example", "4111 1111 1111 111", "10.0.0", "+1 (578) 555-64"]
+    seen = 0
+    for most in (8, 20, 40):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, most))) for _ in range(15_000)]
+        # Runs of one kind reach the long identifiers.
+        texts += ["".join(rng.choice(["one", "5", "four", "23", "O", "l", "double two", sep]) + sep for _ in range(rng.randint(3, 16))) for sep in (" ", "-", ".", "\u00a0", ") ", "  ", "\n", ". ", "\u2009", "") for _ in range(1_000)]
+        texts += ["+" + t for t in texts[-10_000:]]
+        for text, (_, base, spans) in zip(texts, pii.batch_spans(pa.array(texts))):
+            assert base == pii.plain_spans(text), text
+            assert spans == base + pii.disguised_spans(text, base), text
+            seen += len(spans) > len(base)
+    assert seen > 3_000
+
+
 def test_digit_scripts_and_long_texts():
     import time
 
