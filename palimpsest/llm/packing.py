@@ -5,18 +5,23 @@ plan is made on the histogram of lengths: how many sequences get which filling.
 The documents then find their places by their rank within their length, which
 is a count by (length, salt), a small running sum, and a window in each pair.
 
-The plan takes the largest length left and searches the fillings around it by
-branch and bound: undominated ones only (no member may be replaced by a longer
-length that also fits), pruned by the waste that cannot be avoided, with the
-best-fit filling as first incumbent.  The filling found is repeated while the
-histogram allows, so the search runs once for each kind of sequence and its
-cost does not grow with the number of documents.
+The plan is made by bin completion.  The largest length left is taken, and the
+search branches over the fillings around it, those of least waste first; sums
+of the lengths left (exact, as bits of an integer) say which waste is possible.
+Only undominated fillings count: no members may be replaced by one longer
+length left that also fits.  A branch is left when the sequences so far and a
+lower bound for the rest are no fewer than in the best plan known, which is
+best fit decreasing at first.  A filling is repeated while the histogram
+allows, or, as a later branch, used once; so the cost does not grow with the
+number of documents.  The search ends with a proof that the plan is the best,
+or after ``SEARCH_NODES`` nodes with the best plan known.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,102 +32,159 @@ from pyspark.sql import functions as F
 from .common import documents_of, stored
 from .tokens import library_encoder, slices
 
-#: Nodes of one search for a filling, after which the incumbent is taken.
-SEARCH_NODES = 2_000
+#: Nodes of the search for a plan (fillings looked at), after which the best plan known is taken.
+SEARCH_NODES = 20_000
 #: Parts that each length is dealt to for ranking: by id, so that copies part too.
 SALTS = 64
 
 
-def best_filling(room: int, counts: np.ndarray, nodes: int = SEARCH_NODES) -> list[int]:
-    """Lengths, longest first, that fill ``room`` with the least waste (a branch-and-bound search)."""
-    have = np.flatnonzero(counts)
-    have = have[have <= room]
-    if not len(have):
-        return []
-    reach = int(np.dot(have, counts[have]))
-    if reach <= room:  # all that is left fits
-        return [int(x) for x in have[::-1] for _ in range(counts[x])]
-
-    best: list[int] = []
-    free, left = room, room
-    used: dict[int, int] = {}
-    # The incumbent: best fit, the longest that fits, again and again.
-    k = len(have) - 1
-    while k >= 0 and left:
-        x = int(have[k])
-        if x <= left and used.get(x, 0) < counts[x]:
-            best.append(x)
-            used[x] = used.get(x, 0) + 1
-            left -= x
-        else:
-            k = min(k - 1, int(np.searchsorted(have, left, "right")) - 1)
-    free = left
-    seen = 0
-    shortest = int(have[0])
-
-    def search(left: int, top: int, chosen: list[int]) -> bool:
-        """True once no waste is left or the nodes are used up."""
-        nonlocal best, free, seen
-        seen += 1
-        if left < free:
-            best, free = list(chosen), left
-        if free == 0 or seen > nodes:
+def _add_sums(sums: int, x: int, n: int, room: int) -> int:
+    """Bits of the sums up to ``room`` after at most ``n`` more members ``x``."""
+    n, step, mask = min(n, room // x), 1, (2 << room) - 1
+    while n > 0 and sums != mask:
+        k = min(step, n)
+        sums |= (sums << k * x) & mask
+        n -= k
+        step *= 2
+    return sums
+
+
+def dominated(filling: list[int], waste: int, counts: np.ndarray) -> bool:
+    """Whether a length left over may replace members whose sum it reaches, or be added, within ``waste``."""
+    none, one, more = 1, 0, 0  # sums of no, one, two or more members
+    for x in filling:
+        more |= (more | one) << x
+        one |= 1 << x
+    left = counts.copy()
+    np.subtract.at(left, filling, 1)
+    for y in np.flatnonzero(left > 0).tolist():
+        # Members of sum y - waste to y go; one member y for another is no change.
+        low = max(0, y - waste)
+        window = (1 << y - low + 1) - 1
+        if (none | more) >> low & window or one >> low & (window >> 1):
             return True
-        if left < shortest:
-            return False
-        k = int(np.searchsorted(have, min(left, have[top]), "right")) - 1
-        # One more length that fits exactly ends a branch without waste.
-        for j in range(k, -1, -1):
-            x = int(have[j])
-            if chosen.count(x) >= counts[x]:
-                continue
-            # Lengths from here down, at most as many as fit: what they leave is waste that stays.
-            if left - x and left - x < shortest and left - x >= free:
+    return False
+
+
+def fillings(room: int, counts: np.ndarray) -> Iterator[list[int] | None]:
+    """Undominated fillings of ``room`` (longest member first), by waste, then those with longer members first; None for each dominated one."""
+    have = [x for x in np.flatnonzero(counts[: room + 1]).tolist() if x]
+    number = counts.tolist()
+    reach = [1]
+    for x in have:
+        reach.append(_add_sums(reach[-1], x, number[x], room))
+    for total in range(room, -1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        # (Number of lengths still open, sum still to reach, members); every state can be completed.
+        stack: list[tuple[int, int, list[int]]] = [(len(have), total, [])]
+        while stack:
+            k, rest, members = stack.pop()
+            if not rest:
+                yield None if dominated(members, room - total, counts) else members
                 continue
-            if (left // x + 1) * x < left - free and x * int(counts[have[: j + 1]].sum()) < left - free:
-                break
-            chosen.append(x)
-            if search(left - x, j, chosen):
-                return True
-            chosen.pop()
-        return False
-
-    if free:
-        search(room, len(have) - 1, [])
-    return best
+            k = min(k, bisect_right(have, rest))
+            x = have[k - 1]
+            for n in range(min(number[x], rest // x) + 1):
+                if reach[k - 1] >> rest - n * x & 1:
+                    stack.append((k - 1, rest - n * x, members + [x] * n))
+
 
+def best_fit(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """The plan of best fit decreasing, as :func:`plan_sequences` returns it."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}  # by room left
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        while n:
+            room = min((r for r in open_ if r >= x), default=size)
+            filling, times = open_[room].pop() if room in open_ else ([], n)
+            if room in open_ and not open_[room]:
+                del open_[room]
+            each = min(room // x, n)
+            used = min(times, n // each)
+            if filling and used < times:
+                open_.setdefault(room, []).append((filling, times - used))
+            open_.setdefault(room - each * x, []).append((filling + [x] * each, used))
+            n -= used * each
+    return [entry for entries in open_.values() for entry in entries]
 
-def plan_sequences(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+
+def plan_sequences(histogram: dict[int, int], size: int, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
     """[(lengths of one sequence, how many sequences)], all documents of the histogram placed."""
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    out: list[tuple[list[int], int]] = []
-    while counts.any():
+    best = best_fit(histogram, size)
+    fewest, bound = sum(t for _, t in best), _bound(counts, size)
+
+    def branches() -> Iterator[tuple[list[int], np.ndarray, int] | None]:
         largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        rest = best_filling(size - largest, counts)
-        counts[largest] += 1
-        filling = [largest, *rest]
-        need = np.bincount(filling, minlength=size + 1)
-        some = need > 0
-        times = int((counts[some] // need[some]).min())
+        others = counts.copy()
+        others[largest] -= 1
+        for rest in fillings(size - largest, others):
+            if rest is None:
+                yield None
+                continue
+            need = np.bincount([largest, *rest], minlength=size + 1)
+            some = need > 0
+            times = int((counts[some] // need[some]).min())
+            for t in {times: 0, 1: 0}:
+                yield [largest, *rest], need, t
+
+    stack, path, used = [branches()] if fewest > bound else [], [], 0
+    while stack and nodes:
+        branch = next(stack[-1], ())
+        if branch == ():
+            stack.pop()
+            if path:
+                _, need, times = path.pop()
+                counts += need * times
+                used -= times
+            continue
+        nodes -= 1
+        if branch is None:
+            continue
+        filling, need, times = branch
         counts -= need * times
-        out.append((filling, times))
-    return out
+        if counts.any() and used + times + _bound(counts, size) < fewest:
+            path.append(branch)
+            used += times
+            stack.append(branches())
+            continue
+        if not counts.any() and used + times < fewest:
+            best, fewest = [(f, t) for f, _, t in [*path, branch]], used + times
+            if fewest == bound:
+                break
+        counts += need * times
+    return best
 
 
 def lower_bound(histogram: dict[int, int], size: int) -> int:
-    """No packing has fewer sequences: the total, and the lengths over half, which need one each."""
-    total = -(-sum(x * n for x, n in histogram.items()) // size)
-    best = total
-    for k in sorted({min(x, size - x) for x in histogram}):
-        big = sum(n for x, n in histogram.items() if x > size - k)
-        half = [(x, n) for x, n in histogram.items() if size / 2 < x <= size - k]
-        small = sum(x * n for x, n in histogram.items() if k <= x <= size / 2)
-        spare = sum((size - x) * n for x, n in half)
-        best = max(best, big + sum(n for _, n in half) + max(0, -(-(small - spare) // size)))
-    return best
+    """No packing has fewer sequences: by the lengths over half, which need one each, and by waste that no filling avoids."""
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n
+    return _bound(counts, size)
+
+
+def _bound(counts: np.ndarray, size: int) -> int:
+    lengths, half = np.arange(size + 1), size // 2
+    number, total = np.cumsum(counts), np.cumsum(counts * lengths)
+    # Lengths under k are left out: those over size - k are alone, the others over half take in some of those up to half.
+    k = np.arange(half + 1)
+    over = number[-1] - number[half]
+    spare = size * (number[size - k] - number[half]) - (total[size - k] - total[half])
+    small = total[half] - total[np.maximum(k - 1, 0)] * (k > 0)
+    best = int((over + np.maximum(0, -((spare - small) // size))).max())
+    # The fullest that a sequence can get around a length over half, and without one.
+    sums = 1
+    for x in np.flatnonzero(counts[: half + 1]).tolist():
+        sums = _add_sums(sums, x, int(counts[x]), size) if x else sums
+    bits = np.unpackbits(np.frombuffer(sums.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[: size + 1]
+    full = np.maximum.accumulate(np.where(bits, lengths, 0))
+    big = lengths[half + 1 :]
+    rest = int(total[-1] - (counts[half + 1 :] * (big + full[size - big])).sum())
+    return max(best, int(over) + (-(-rest // int(full[size])) if rest > 0 else 0))
 
 
 def slots_of(plan: list[tuple[list[int], int]], size: int) -> np.ndarray:
