@@ -4,25 +4,27 @@ The units are words.  A k-mer of ``K`` words is an anchor if the smallest hash
 among its inner ``S``-mers stands at its first or last place.  Whether it is
 depends on its own words alone, so an edit moves no anchor outside the edit.
 
-A fingerprint is the ``SIZE`` smallest distinct anchor hashes, a uniform sample
-of all anchors of the whole text (all of them, for texts with fewer).  The
-likeness of two fingerprints is the bottom-k estimate of the Jaccard likeness
-of their anchor sets.
+A fingerprint is every anchor of the whole text in order, with its hash and its
+place (the number of words before its last one).  The likeness of two texts is
+the Jaccard likeness of their anchors and of the pairs of anchors that follow
+each other, so it sees order as well; places tell where texts match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents_of, order_bounds, order_bucket
 
-K, S, SIZE = 4, 2, 128
+K, S = 4, 2
 
 
 def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Adds array<bigint> ``name``: the fingerprint of ``text``.
+    """Adds array<bigint> ``name``, the hashes of the anchors of ``text``, and array<int> ``name``_at, their places.
 
     ``K - 1`` empty words stand before the text, so that a text of one word has
     a k-mer too.  The text with no word has the fingerprint of no anchors.
@@ -35,23 +37,33 @@ def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
     s = lambda i: F.get(F.col("_s"), i)
     places = F.when(F.size("_s") >= K - S + 1, F.sequence(F.lit(0), F.size("_s") - (K - S + 1))).otherwise(F.array().cast("array<int>"))
     chosen = F.filter(places, lambda i: s(i + 1) >= F.least(s(i), s(i + 2)))
-    d = d.withColumn("_a", F.transform(chosen, lambda i: F.xxhash64(s(i), s(i + 2))))
-    return d.withColumn(name, F.slice(F.sort_array(F.array_distinct("_a")), 1, SIZE)).drop("_w", "_s", "_a")
+    d = d.withColumn("_i", chosen).withColumn(f"{name}_at", F.col("_i"))
+    d = d.withColumn("_a", F.transform("_i", lambda i: F.xxhash64(s(i), s(i + 2))))
+    return d.withColumn(name, F.col("_a")).drop("_w", "_s", "_i", "_a")
+
+
+def features(hashes: Column) -> Column:
+    """The distinct anchors, and pairs of anchors that follow each other, as hashes."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.array_distinct(F.concat(hashes, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda x, y: F.xxhash64(x, y))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; two fingerprints without anchors are alike (1)."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union))
+    """0 to 1, of two columns of :func:`features`; two texts without anchors are alike (1)."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def as_string(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def as_string(hashes: Column, places: Column) -> Column:
+    """For each anchor in order 16 hexadecimal digits of its hash and 8 of its place."""
+    return F.lower(F.array_join(F.zip_with(hashes, places, lambda h, i: F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(i), 8, "0"))), ""))
 
 
-def with_next(base: DataFrame, carry: list[str], rows_per_bucket: int = 200) -> DataFrame:
+def with_next(base: DataFrame, carry: list[str], rows_per_bucket: int = 200, derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Adds ``next_<c>`` for each ``c`` of ``carry``: the value of the row with the next id, after the last the first's.
 
+    ``derive`` adds columns behind the shuffle, so that they need not be moved.
+
     No task sees the whole order: rows go to buckets of consecutive ids, and the
     first row of each bucket is also sent to the bucket before it.
     """
@@ -59,7 +71,7 @@ def with_next(base: DataFrame, carry: list[str], rows_per_bucket: int = 200) ->
     bounds = order_bounds(ids, rows_per_bucket=rows_per_bucket)
     firsts = {r[0]: r[1] for r in ids.groupBy(order_bucket(F.col("doc_id"), bounds).alias("b")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).collect() for r in [(r["b"], r["m"]["doc_id"])]}
     if not firsts:
-        return base.select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
+        return derive(base).select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}
     d = base.withColumn("_b", order_bucket(F.col("doc_id"), bounds))
@@ -67,10 +79,12 @@ def with_next(base: DataFrame, carry: list[str], rows_per_bucket: int = 200) ->
     m = F.element_at(pairs, F.col("_b"))
     copies = F.when(m["first"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest")), F.struct(m["to"].alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))))
     d = d.withColumn("_c", F.explode(copies))
-    w = W.partitionBy(F.col("_c")["b"]).orderBy(F.col("_c")["guest"], F.col("doc_id").asc_nulls_first(), "_t")
+    d = d.select("*", F.col("_c")["b"].alias("_to"), F.col("_c")["guest"].alias("_guest")).drop("_b", "_c")
+    d = derive(d.repartition("_to"))
+    w = W.partitionBy("_to").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "_t")
     d = d.withColumn("_t", F.xxhash64("text"))
-    d = d.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where(~F.col("_c")["guest"])
-    return d.drop("_b", "_c", "_t")
+    d = d.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where(~F.col("_guest"))
+    return d.drop("_to", "_guest", "_t")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,18 +99,18 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their text.  Null ids come first.  A single row is its own next document;
     an empty table gives an empty result.
     """
-    base = with_anchors(documents_of(docs, id_col, text_col), F.col("text"), "fp")
-    d = with_next(base, ["text", "fp"])
+    anchored = lambda d: with_anchors(d, F.col("text"), "fp").withColumn("set", features(F.col("fp")))
+    d = with_next(documents_of(docs, id_col, text_col), ["text", "set"], derive=anchored)
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     d = d.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    d = with_anchors(d.drop("next_text"), F.col("edited_text"), "edited_fp")
+    d = with_anchors(d.drop("next_text"), F.col("edited_text"), "edited_fp").withColumn("edited_set", features(F.col("edited_fp")))
     return d.select(
         "doc_id",
         "n_chars",
         "edited_text",
-        as_string(F.col("fp")).alias("fingerprint"),
-        as_string(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        as_string(F.col("fp"), F.col("fp_at")).alias("fingerprint"),
+        as_string(F.col("edited_fp"), F.col("edited_fp_at")).alias("edited_fingerprint"),
+        likeness(F.col("set"), F.col("edited_set")).alias("near_edited"),
+        likeness(F.col("set"), F.col("next_set")).alias("near_next"),
     )

@@ -57,6 +57,25 @@ def test_fingerprints(spark, sf_dir):
     assert sum(r.near_edited > r.near_next for r in got) > 0.9 * len(got)
 
 
+def test_fingerprints_hold_every_anchor(spark):
+    words = [[f"{c}{i}" for i in range(20_000)] for c in "ab"]
+    passage = [f"shared{i}" for i in range(100)]
+    a, b = (" ".join(w[:9_000] + passage + w[9_000:]) for w in words)
+    moved = " ".join(words[0][10_000:] + words[0][:10_000])
+    changed = " ".join(words[0][:15_000] + ["another", "sentence"] + words[0][15_002:])
+    rows = [(1, a), (2, b), (3, " ".join(words[0])), (4, changed), (5, moved), (6, "one")]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs(spark, rows)).collect()}
+    anchors = {i: [(r.fingerprint[k : k + 16], int(r.fingerprint[k + 16 : k + 24], 16)) for k in range(0, len(r.fingerprint), 24)] for i, r in got.items()}
+    assert 0 < got[1].near_next < 0.02  # the passage
+    assert 0.99 < got[3].near_next < 1  # the sentence
+    for i in range(1, 6):
+        places = [p for _, p in anchors[i]]
+        assert 12_000 < len(places) < 15_000 and places == sorted(set(places)) and places[-1] < 20_100
+    shared = {h: p for h, p in anchors[1]}.keys() & {h: p for h, p in anchors[2]}.keys()
+    assert len(shared) > 40 and all(9_000 <= p < 9_100 for h, p in anchors[1] if h in shared)
+    assert len(set(anchors[3]) ^ set(anchors[4])) < 20 and anchors[3] != anchors[4]
+
+
 def test_next_crosses_buckets(spark):
     rows = [(i * 7 % 1009, f"text {i * 7 % 1009}") for i in range(1009)]
     from palimpsest.llm.common import documents_of
