@@ -8,6 +8,7 @@ travel along in one struct column ``carried``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,11 +35,14 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a temporary folder is made and set.
+    The setting is read from the session.  Where it is unset, a session on one
+    machine gets a temporary folder; on a cluster that is an error, since no
+    executor would see the tables of another.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -45,8 +46,10 @@ BLOCK = 512
 FLUSH, GROUP = 1 << 20, 1 << 21
 #: Shingles whose counts each task is told; rarer ones are counted by shuffling.
 HEAVY = 100_000
-#: Below this many ids, a list of documents is broadcast.
+#: Up to this many ids, a list of documents is broadcast.
 BROADCAST_IDS = 1_000_000
+#: Values that more than one in ``HOT_KEYS`` rows has, and more than ``HOT_COPIES``, are joined by broadcast.
+HOT_KEYS, HOT_COPIES = 10_000, 1_000
 
 _PACKED = "part long, keys binary, counts binary, low binary, high binary, extra binary"
 
@@ -163,7 +166,7 @@ def shared_counts(docs: DataFrame, size: int, percent: int, parts: int) -> DataF
                     n = len(tokens)
                     if n:
                         packer.add(key8(set_key(tokens)), tokens[: n - need(n, percent) + int(spare(n, percent))])
-                if packer.total >= FLUSH:
+                if packer.total >= flush_at(parts):
                     yield _batch(list(packer.rows()), _PACKED_SCHEMA)
         yield _batch(list(packer.rows()), _PACKED_SCHEMA)
 
@@ -224,7 +227,13 @@ def _k8(key: Column) -> Column:
 
 
 def parts_of(shingles: int) -> int:
-    return int(min(1 << 16, max(8, shingles // GROUP)))
+    """Groups of a shuffle of ``shingles``; they grow in number, never in size."""
+    return int(max(8, shingles // GROUP))
+
+
+def flush_at(parts: int) -> int:
+    """Shingles that a task packs at a time: more for very many parts, so that packed rows stay worth their keys."""
+    return min(max(FLUSH, 8 * parts), max(FLUSH, 1 << 23))
 
 
 def heavy_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +300,7 @@ def with_shared(sets: DataFrame, percent: int) -> DataFrame:
                 if len(done) < 1 << 18:
                     done.add(k)
             yield _batch(rows, _PACKED_SCHEMA)
-            if packer.total >= FLUSH:
+            if packer.total >= flush_at(parts):
                 yield _batch(list(packer.rows()), _PACKED_SCHEMA)
         yield _batch(list(packer.rows()), _PACKED_SCHEMA)
 
@@ -458,18 +467,8 @@ def may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], group: np.ndarra
     return out
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (least id reachable by links) of every row.
-
-    Two rows link when the Jaccard likeness of their sets of ``size``-word
-    shingles is ``percent`` hundredths or more.  Texts with fewer words have
-    their whole sequence as one shingle.
-
-    Null or empty text, or text without words, links with nothing and is a
-    component of its own.  Repeated rows and equal ids with different texts are
-    rows of their own.  Null ids link like others but name no component, unless
-    it has no other id.  An empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """For every row ``doc_id``, ``n_shingles``, ``component_id``, the ``key`` of its set and ``grp`` of its component (both null: no words)."""
     base = documents_of(docs, id_col, text_col)
     known = stored(digests(base, size), "digests")
     members = with_shared(survivors(base, known, size, percent), percent)
@@ -483,25 +482,91 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = final.join(single.where("members > 1 and alike").select("rkey", F.lit(True).alias("alike")), "rkey", "left")
     sizes = final.groupBy("root").agg(F.count(F.lit(1)).alias("n_reduced"))
     linked = linked.join(sizes, "root").where("n_reduced > 1 or alike").select("rkey", "root")
-    classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    tied = stored(members.select("key", "rkey").join(linked, "rkey").join(classes, "key").select("key", "root", "rep"), "tied")
-    least = tied.groupBy("root").agg(F.min("rep").alias("least"))
-    ids = tied.join(least, "root").select("key", "least")
-    named = classes.join(ids, "key", "left").select("key", F.coalesce("least", "rep").alias("component"))
-    worded = known.where("key is not null").join(named, "key", "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return worded.unionByName(known.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    tied = stored(members.select("key", "rkey").join(linked, "rkey").join(classes.select("key", "rep"), "key").select("key", "root", "rep"), "tied")
+    least = stored(tied.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("copies")), "least-ids")
+    ids = join_named(tied.select("key", "root"), least, "root")
+    named = classes.join(ids, "key", "left").select("key", F.coalesce("root", "key").alias("grp"), F.coalesce("least", "rep").alias("component_id"), "copies")
+    worded = join_named(known.where("key is not null"), stored(named, "named-classes"), "key")
+    columns = ["doc_id", "n_shingles", "key", "grp", "component_id"]
+    alone = known.where("key is null").select("doc_id", "n_shingles", "key", F.col("key").alias("grp"), F.col("doc_id").alias("component_id"))
+    return worded.select(*columns).unionByName(alone)
+
+
+def join_named(rows: DataFrame, named: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of ``named``, which has one row for each value of ``on`` and says in ``copies`` how many rows have it.
+
+    Values of very many rows are joined where the rows lie.  Fewer than
+    ``HOT_KEYS`` values can have more than one in ``HOT_KEYS`` of all rows, so
+    that their broadcast is bounded whatever the size; no other value has more
+    rows than that in its task.
+    """
+    most = max(HOT_COPIES, rows.count() // HOT_KEYS)
+    hot = F.broadcast(named.where(F.col("copies") > most).drop("copies"))
+    rest = named.where(F.col("copies") <= most).drop("copies")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(rest, on))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (least id reachable by links) of every row.
+
+    Two rows link when the Jaccard likeness of their sets of ``size``-word
+    shingles is ``percent`` hundredths or more.  Texts with fewer words have
+    their whole sequence as one shingle.
+
+    Null or empty text, or text without words, links with nothing and is a
+    component of its own.  Repeated rows and equal ids with different texts are
+    rows of their own.  Null ids link like others but name no component, unless
+    it has no other id.  An empty table gives an empty result.
+    """
+    return grouped(docs, id_col, text_col, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that name their group: one row of each component stays, with all columns.
 
-    Of rows with equal ids in one component, one stays; rows of null id stay if their component has no other id, one for each text.
+    Of rows with equal ids in one component, one stays (any); rows of null id
+    stay, one for each component, if it has no other id.  Rows without words are
+    components of their own and stay, repeated ones too.  Columns of any name
+    are kept; an empty table gives an empty result.
+
+    Only ids move: the rows that go are told to the tasks that read ``docs``.
+    Texts are shuffled when more than ``BROADCAST_IDS`` go.
     """
-    found = similar_groups(docs, id_col, text_col, size, percent)
-    heads = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "heads")
-    once = docs.join(heads.where("n = 1").select(F.col("doc_id").alias("_head")), docs[id_col].cast("long").eqNullSafe(F.col("_head")), "left_semi")
-    often = docs.join(heads.where("n > 1").select(F.col("doc_id").alias("_head")), docs[id_col].cast("long").eqNullSafe(F.col("_head")), "left_semi")
-    return once.unionByName(often.dropDuplicates([id_col, text_col]))
+    found = stored(grouped(docs, id_col, text_col, size, percent), "groups-of-rows")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"))
+    several = F.col("doc_id").isNull() | (F.col("n") > 1)
+    leaving = stored(ids.where(several | (F.col("doc_id") != F.col("c"))).select("doc_id", several.alias("several")), "leaving-ids")
+    a, b, c = free_names(docs, 3)
+    own_id = docs[id_col].cast("long")
+
+    def told(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias(a))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    plain = docs.join(told(leaving), own_id.eqNullSafe(F.col(a)), "left_anti")
+    mixed_ids = leaving.where("several")
+    if mixed_ids.isEmpty():
+        return plain
+
+    def keys(texts: pd.Series) -> pd.Series:
+        sets = shingle_sets(pa.array(texts, pa.string()), size)
+        return pd.Series([set_key(s) if len(s) else None for s in sets], dtype=object)
+
+    # Ids alone don't tell these rows apart: their sets do.
+    rows = docs.join(told(mixed_ids), own_id.eqNullSafe(F.col(a)), "left_semi")
+    rows = rows.withColumn(b, F.pandas_udf(keys, "binary")(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    heads = found.join(mixed_ids, found.doc_id.eqNullSafe(mixed_ids.doc_id), "left_semi").where("key is not null and doc_id <=> component_id")
+    heads = heads.select(F.struct("doc_id", "key").alias(a), "grp").distinct().select(a, F.col("grp").alias(c))
+    worded = rows.join(heads, F.struct(own_id.alias("doc_id"), F.col(b).alias("key")).eqNullSafe(F.col(a)))
+    worded = worded.withColumn(a, F.col(a)["doc_id"]).dropDuplicates([a, c])
+    return plain.unionByName(worded.drop(a, b, c)).unionByName(rows.where(F.col(b).isNull()).drop(b))
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` does not have, in any case."""
+    taken = {x.lower() for x in df.columns}
+    return [x for x in (f"_own{i}" for i in range(len(taken) + n)) if x not in taken][:n]
 
 
 __all__: Sequence[str] = ("one_of_each", "similar_groups")

@@ -67,6 +67,28 @@ def test_one_row_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in whole}
 
 
+def test_rows_of_equal_ids_are_told_apart(spark, monkeypatch):
+    """Equal ids, null ids, rows without words, columns of clashing names; by broadcast and by shuffle."""
+    a, b = "one two three four five six", "ten nine eight seven six five"
+    rows = [(5, a, 1), (5, b, 2), (3, b.upper(), 3), (5, a.upper(), 4), (None, a, 5), (None, "only without an id", 6), (None, "only without an id", 7), (8, "", 8), (8, None, 9), (9, a, 10)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, _head int").selectExpr("*", "_head as _OWN0", "_head as key", "_head as grp")
+    for limit in (jaccard_join.BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", limit)
+        kept = jaccard_join.one_of_each(data)
+        assert kept.columns == data.columns
+        got = sorted(r["key"] for r in kept.collect())
+        assert len(got) == 5 and got[1] == 3 and got[0] in (1, 4) and got[2] in (6, 7) and got[3:] == [8, 9]
+
+
+def test_values_of_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_COPIES", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_KEYS", 4)
+    texts = near_copies(3, 20)
+    rows = list(enumerate(texts + [texts[0]] * 40 + [texts[9]] * 5))
+    got = jaccard_join.similar_groups(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.linked_groups(rows))
+
+
 def test_one_large_group(spark):
     rng = random.Random(4)
     base = [f"b{i}" for i in range(80)]
