@@ -56,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def order_bounds(ids: DataFrame, col: str = "doc_id", rows_per_bucket: int = 2_000, most: int = 2_048) -> list[int]:
+def order_bounds(ids: DataFrame, col: str = "doc_id", rows_per_bucket: int = 2_000, most: int = 65_536) -> list[int]:
     """At most ``most`` ascending ids that cut the rows into even runs.
 
     Only these bounds reach the driver.  They are approximate quantiles, which
@@ -66,19 +66,21 @@ def order_bounds(ids: DataFrame, col: str = "doc_id", rows_per_bucket: int = 2_0
     k = max(1, min(most, n // rows_per_bucket))
     if k == 1:
         return []
-    cuts = ids.approxQuantile(col, [i / k for i in range(1, k)], 0.2 / k)
+    cuts = ids.approxQuantile(col, [i / k for i in range(1, k)], max(0.2 / k, 1e-5))
     return sorted({int(x) for x in cuts})
 
 
+def long_array(values: list[int]) -> Column:
+    """A constant array<bigint>: one literal in the plan, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def order_bucket(col: Column, bounds: list[int]) -> Column:
     """Number of bounds at or below ``col``: buckets ascend with the id; null ids come first."""
     if not bounds:
         return F.lit(0)
     # Two levels of comparison keep this near 2 * sqrt(len(bounds)) steps a row.
     step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    tails = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    g = F.size(F.filter(heads, lambda h: h <= col))
-    within = F.size(F.filter(F.get(tails, g - 1), lambda h: h <= col))
-    return F.when(col.isNull() | (g == 0), F.lit(0)).otherwise((g - 1) * step + within)
+    at_most = lambda a: F.size(F.filter(a, lambda h: h <= col))
+    g = at_most(long_array(bounds[::step]))
+    return F.when(col.isNull() | (g == 0), F.lit(0)).otherwise((g - 1) * step + at_most(F.slice(long_array(bounds), (g - 1) * step + 1, step)))

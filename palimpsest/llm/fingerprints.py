@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents_of, order_bounds, order_bucket
+from .common import documents_of, long_array, order_bounds, order_bucket
 
 K, S = 4, 2
 
@@ -69,15 +69,19 @@ def with_next(base: DataFrame, carry: list[str], rows_per_bucket: int = 200, der
     """
     ids = base.select("doc_id")
     bounds = order_bounds(ids, rows_per_bucket=rows_per_bucket)
-    firsts = {r[0]: r[1] for r in ids.groupBy(order_bucket(F.col("doc_id"), bounds).alias("b")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).collect() for r in [(r["b"], r["m"]["doc_id"])]}
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))
+    firsts = {r["b"]: r["least"]["doc_id"] for r in ids.groupBy(order_bucket(F.col("doc_id"), bounds).alias("b")).agg(least.alias("least")).collect()}
     if not firsts:
         return derive(base).select("*", *[F.col(c).alias(f"next_{c}") for c in carry])
     used = sorted(firsts)
     before = {b: used[i - 1] for i, b in enumerate(used)}
     d = base.withColumn("_b", order_bucket(F.col("doc_id"), bounds))
-    pairs = F.create_map(*[x for b in used for x in (F.lit(b), F.struct(F.lit(before[b]).alias("to"), F.lit(firsts[b]).cast("long").alias("first")))])
-    m = F.element_at(pairs, F.col("_b"))
-    copies = F.when(m["first"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest")), F.struct(m["to"].alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))))
+    every = range(len(bounds) + 1)
+    # Null ids can only be the first of the first bucket.
+    null_first = F.lit(firsts[used[0]] is None) & (F.col("_b") == used[0])
+    first = F.when(null_first, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.get(long_array([firsts.get(b) or 0 for b in every]), F.col("_b")))
+    own, guest = F.struct(F.col("_b").cast("long").alias("b"), F.lit(False).alias("guest")), F.struct(F.get(long_array([before.get(b, 0) for b in every]), F.col("_b")).alias("b"), F.lit(True).alias("guest"))
+    copies = F.when(first, F.array(own, guest)).otherwise(F.array(own))
     d = d.withColumn("_c", F.explode(copies))
     d = d.select("*", F.col("_c")["b"].alias("_to"), F.col("_c")["guest"].alias("_guest")).drop("_b", "_c")
     d = derive(d.repartition("_to"))

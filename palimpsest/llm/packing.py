@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents_of, stored
-from .tokens import library_encoder, slices
+from .tokens import ENCODED_BYTES, library_encoder, slices
 
 #: Nodes of the search for a plan (fillings looked at), after which the best plan known is taken.
 SEARCH_NODES = 20_000
@@ -214,7 +214,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODED_BYTES):
                 ids, bounds = encode(part.column(1).cast(pa.string()))
                 cols: list[list] = [[] for _ in range(7)]
                 for k, doc in enumerate(part.column(0).to_pylist()):

@@ -5,8 +5,8 @@ match of that pattern crosses from a non-blank character to a blank, or takes
 a blank that a non-blank follows together with what stands before it.  A text
 in which no two white-space characters touch, and that ends in no blank, can be cut before each
 blank and line feed, and the ids of the parts joined.  Arrow splits a batch
-and numbers its distinct parts; only parts not met before are encoded, and the
-ids of the batch are gathered with numpy.  Other texts are encoded as they are,
+and numbers its distinct parts; only parts that are not among those kept from
+earlier batches are encoded, and the ids of the batch are gathered by Arrow.  Other texts are encoded as they are,
 in pieces that end before a blank between two non-blank characters.
 """
 
@@ -25,10 +25,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Two adjacent characters that some engine takes for white space, or a blank at the end.
 _TWO_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}| \z"
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Distinct parts kept between batches, and the longest that are kept.
-MOST_PARTS, LONGEST_PART = 200_000, 64
-#: Bytes of text encoded at a time.
-SLICE_BYTES = 4 << 20
+#: Distinct parts kept between batches (half of them, the ones met most, when there are more), and the bytes of the longest that are kept.
+MOST_PARTS, LONGEST_PART = 500_000, 64
+#: Bytes of text that an operator takes at a time, and that are encoded at a time: more repeat each other's words.
+SLICE_BYTES, ENCODED_BYTES = 4 << 20, 8 << 20
 
 
 def safe_pieces(text: str, least: int = 1 << 16) -> Iterator[str]:
@@ -52,36 +52,55 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[str, int] = {"": 0}
-        self.ends = np.zeros(2, np.int32)  # of the parts' ids in ``flat``, in order of their slots
+        self.known = pa.array([""], pa.string())
+        self.ends = np.zeros(2, np.int32)  # of the parts' ids in ``flat``, in order of ``known``
         self.flat = np.zeros(0, self.dtype)
-
-    def _slots(self, keys: list[str]) -> np.ndarray:
-        slot = self.slot
-        new = [k for k in keys if k not in slot]
-        if new:
-            ids, length = self.encode_parts([k if k[0] == "\n" else " " + k for k in new])
-            n = len(self.ends) - 1
-            slot.update(zip(new, range(n, n + len(new))))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)])
-            self.flat = np.concatenate([self.flat, ids.astype(self.dtype)])
-        return np.fromiter(map(slot.__getitem__, keys), np.int32, len(keys))
+        self.used = np.zeros(1, np.int32)  # batches in which a part was met, halved from time to time
+
+    def _trim(self) -> None:
+        """Of too many parts, those met in the most batches stay."""
+        order = np.argsort(-self.used[1:], kind="stable")[: MOST_PARTS // 2]
+        stay = np.concatenate([[0], 1 + np.sort(order)])
+        ids = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(stay))
+        self.known, self.used = self.known.take(pa.array(stay)), self.used[stay] // 2
+        self.ends = ids.offsets.to_numpy(zero_copy_only=False).astype(np.int32)
+        self.flat = ids.values.to_numpy(zero_copy_only=False).astype(self.dtype)
+
+    def _slots(self, keys: pa.Array) -> tuple[np.ndarray, int]:
+        """Where the ids of each of the (distinct) parts are, and how many of all parts are to be kept."""
+        found = pc.index_in(keys, value_set=self.known)
+        new = pc.is_null(found).to_numpy(zero_copy_only=False)
+        slots = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        self.used[slots[~new]] += 1
+        if not new.any():
+            return slots, len(self.known)
+        at = np.flatnonzero(new)
+        # Long ones come last, so that they can go when they have been used.
+        long = pc.greater(pc.binary_length(keys.take(pa.array(at))), LONGEST_PART).to_numpy(zero_copy_only=False)
+        at = np.concatenate([at[~long], at[long]])
+        parts = keys.take(pa.array(at))
+        ids, length = self.encode_parts([k if k[0] == "\n" else " " + k for k in parts.to_pylist()])
+        slots[at] = len(self.known) + np.arange(len(at), dtype=np.int32)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(self.dtype)])
+        self.known = pa.concat_arrays([self.known, parts[: len(at) - int(long.sum())]])
+        self.used = np.concatenate([self.used, np.ones(len(self.known) - len(self.used), np.int32)])
+        return slots, len(self.known)
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without adjacent blanks, and where each text's begin and end."""
         led = pc.binary_join_element_wise(pa.scalar("\n"), texts, pa.scalar(""))
         parts = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
         coded = pc.dictionary_encode(parts.flatten())
-        if len(self.ends) > MOST_PARTS or len(self.flat) > 16 * MOST_PARTS:
-            self.reset()
-        keys = coded.dictionary.to_pylist()
-        slots = self._slots(keys)[coded.indices.to_numpy(zero_copy_only=False)]
+        if len(self.known) > MOST_PARTS:
+            self._trim()
+        slots, kept = self._slots(coded.dictionary)
         # Arrow copies each part's run of ids; a part of a text is one list.
-        taken = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(slots))
+        taken = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(slots[coded.indices.to_numpy(zero_copy_only=False)]))
         ids, ends = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = ends[parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py()]
-        for k in [k for k in keys if len(k) > LONGEST_PART]:
-            self.slot.pop(k, None)  # its ids stay until the next reset
+        self.ends = self.ends[: kept + 1]
+        self.flat = self.flat[: self.ends[-1]]
         # Each text was led by a line feed, which is one id.
         return np.delete(ids, bounds[:-1]), bounds - np.arange(len(bounds))
 
@@ -136,8 +155,8 @@ def library_encoder(path: str) -> Encoder:
             apart = set(alone)
             joined = [i for i in range(len(parts)) if i not in apart] if alone else range(len(parts))
             ids, length, whose = [], [], []
-            for k in range(0, len(joined), 4096):
-                run = joined[k : k + 4096]
+            for k in range(0, len(joined), 1024):
+                run = joined[k : k + 1024]
                 # Parts begin with their only blank, so the ids that open with one show where each begins.
                 own = np.array(t.encode_batch_fast(["".join([parts[i] for i in run])], add_special_tokens=False)[0].ids, np.int64)
                 at = np.flatnonzero(opens[own])

@@ -12,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from palimpsest.llm import bpe, packing, queries, token_store, tokens
-from palimpsest.llm.common import scratch_dir
+from palimpsest.llm.common import order_bucket, scratch_dir
 
 from .test_native import ODD, SCHEMA, docs
 
@@ -45,6 +45,19 @@ def test_encoders_match_libraries(spark, sf_dir, library, rank_library):
         assert [x[0].tolist() for x in monkey] == [list(want(x)) for x in texts[:40]]
 
 
+def test_encoder_forgets_rare_parts(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PARTS", 60)
+    encode, rng = tokens.library_encoder(JSON), random.Random(8)
+    encode.reset()
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["often", f"w{rng.randrange(99)}", "x" * 80, "é\nü", f"y{rng.random()}"]) for _ in range(9)) for _ in range(12)]
+        ids, at = encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library(x) for x in texts]
+    assert len(encode.known) < 200 and encode.known[1:].to_pylist().count("often") == 1
+    assert max(map(len, encode.known.to_pylist())) <= tokens.LONGEST_PART and len(encode.ends) == len(encode.known) + 1
+    encode.reset()
+
+
 def test_long_texts_are_cut_safely(library):
     text = " ".join(f"word{i},  x" if i % 7 == 0 else f"w{i}" for i in range(50_000))
     parts = list(tokens.safe_pieces(text, 1000))
@@ -80,6 +93,52 @@ def test_store(spark, sf_dir, library):
     assert token_store.verify_manifest(spark, path).count() == 0
 
 
+def test_damage_is_found(spark, monkeypatch):
+    """A changed chunk, recipe or manifest, and a lost chunk, each end the reading of the store."""
+    monkeypatch.setattr(token_store, "RUN", 3)
+    path = scratch_dir(spark, "store")
+    token_store.write_store(docs(spark, [(i, f"text {i % 7} " * (40 * i + 1)) for i in range(20)]), path, JSON)
+    assert token_store.read_digests(spark, path).count() == 20
+    assert spark.read.parquet(f"{path}/manifest").count() == 7
+
+    def damaged(part, change, said):
+        table = spark.read.parquet(f"{path}/{part}")
+        copy = scratch_dir(spark, "damaged")
+        for p in ("parts", "recipes", "manifest"):
+            spark.read.parquet(f"{path}/{p}").write.parquet(f"{copy}/{p}")
+        spark.createDataFrame(change(table.collect()), table.schema).write.mode("overwrite").parquet(f"{copy}/{part}")
+        for read in (token_store.read_digests, token_store.read_back):
+            with pytest.raises(Exception, match=said):
+                read(spark, copy).collect()
+
+    def other(rows, name, value):
+        at = next(i for i, r in enumerate(rows) if r[name] is not None)
+        return [r if i != at else type(r)(**{**r.asDict(), name: value(r[name])}) for i, r in enumerate(rows)]
+
+    flipped = lambda x: bytes([x[0] ^ 1]) + bytes(x[1:])
+    damaged("parts", lambda rows: other(rows, "ids", flipped), "is damaged")
+    damaged("parts", lambda rows: [r for r in rows if r.kind == "recipe" or r.n > 100], "missing")
+    damaged("recipes", lambda rows: other(rows, "digests", lambda x: x[::-1] + x[:1]), "recipe is damaged")
+    damaged("recipes", lambda rows: other(rows, "root", flipped), "match the manifest")
+    damaged("recipes", lambda rows: rows[1:], "match the manifest")
+    damaged("manifest", lambda rows: other(rows, "root", flipped), "match the manifest")
+
+
+def test_buckets_ascend(spark):
+    ids = [None, -5, 0, 3, 3, 8, *range(20, 400, 3)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for bounds in ([], [4], list(range(-3, 390, 7))):
+        got = {r.doc_id: r.b for r in df.withColumn("b", order_bucket(df.doc_id, bounds)).collect()}
+        assert got == {i: 0 if i is None else sum(b <= i for b in bounds) for i in ids}
+
+
+def test_crc_of_two_parts():
+    rng = random.Random(0)
+    for n in (0, 1, 4, 400, 8192):
+        a, b = rng.randbytes(50), rng.randbytes(n)
+        assert token_store.append_crc(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+
+
 def test_chunks_shift_with_an_insertion():
     ids = np.random.RandomState(1).randint(0, 50_000, 20_000)
     chunk = lambda x: {x[a:b].tobytes() for a, b in zip([0, *token_store.cut_points(x)], token_store.cut_points(x))}
