@@ -5,9 +5,12 @@ among its inner ``S``-mers stands at its first or last place.  Whether it is
 depends on its own words alone, so an edit moves no anchor outside the edit.
 
 A fingerprint is every anchor of the whole text in order, with its hash and its
-place (the number of words before its last one).  The likeness of two texts is
-the Jaccard likeness of their anchors and of the pairs of anchors that follow
-each other, so it sees order as well; places tell where texts match.
+place (the number of words before its last one).  Texts are matched by position:
+their features are the anchors and the steps from one anchor to the next, which
+are the hashes of both and the number of words between their places, and their
+likeness is the Jaccard likeness of these.  An edit changes the places of all
+anchors behind it but no step outside it.  :func:`matches` lists where two texts
+have anchors in common.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ K, S = 4, 2
 
 
 def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Adds array<bigint> ``name``, the hashes of the anchors of ``text``, and array<int> ``name``_at, their places.
+    """Adds array<bigint> ``name``, the hashes of the anchors of ``text``, array<int> ``name_at``, their places, and array<bigint> ``name_set``, the features.
 
     ``K - 1`` empty words stand before the text, so that a text of one word has
     a k-mer too.  The text with no word has the fingerprint of no anchors.
@@ -37,19 +40,21 @@ def with_anchors(df: DataFrame, text: Column, name: str) -> DataFrame:
     s = lambda i: F.get(F.col("_s"), i)
     places = F.when(F.size("_s") >= K - S + 1, F.sequence(F.lit(0), F.size("_s") - (K - S + 1))).otherwise(F.array().cast("array<int>"))
     chosen = F.filter(places, lambda i: s(i + 1) >= F.least(s(i), s(i + 2)))
-    d = d.withColumn("_i", chosen).withColumn(f"{name}_at", F.col("_i"))
-    d = d.withColumn("_a", F.transform("_i", lambda i: F.xxhash64(s(i), s(i + 2))))
-    return d.withColumn(name, F.col("_a")).drop("_w", "_s", "_i", "_a")
+    d = d.withColumn(f"{name}_at", chosen)
+    at, n = F.col(f"{name}_at"), F.greatest(F.size(f"{name}_at") - 1, F.lit(0))
+    steps = F.zip_with(F.slice(at, 1, n), F.slice(at, 2, n), lambda i, j: F.xxhash64(s(i), s(i + 2), s(j), s(j + 2), j - i))
+    d = d.withColumn(name, F.transform(at, lambda i: F.xxhash64(s(i), s(i + 2))))
+    return d.withColumn(f"{name}_set", F.array_distinct(F.concat(name, steps))).drop("_w", "_s")
 
 
-def features(hashes: Column) -> Column:
-    """The distinct anchors, and pairs of anchors that follow each other, as hashes."""
-    n = F.greatest(F.size(hashes) - 1, F.lit(0))
-    return F.array_distinct(F.concat(hashes, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda x, y: F.xxhash64(x, y))))
+def matches(a: Column, a_at: Column, b: Column, b_at: Column) -> Column:
+    """For each anchor of ``a`` (hashes and places) that ``b`` has too: its place in ``a`` and its first place in ``b``, array<struct<at, there>>."""
+    both = F.filter(F.arrays_zip(a.alias("hash"), a_at.alias("at")), lambda x: F.array_contains(b, x["hash"]))
+    return F.transform(both, lambda x: F.struct(x["at"].alias("at"), F.element_at(b_at, F.array_position(b, x["hash"]).cast("int")).alias("there")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, of two columns of :func:`features`; two texts without anchors are alike (1)."""
+    """0 to 1, of the features of two texts; two texts without anchors are alike (1)."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
@@ -103,18 +108,17 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their text.  Null ids come first.  A single row is its own next document;
     an empty table gives an empty result.
     """
-    anchored = lambda d: with_anchors(d, F.col("text"), "fp").withColumn("set", features(F.col("fp")))
-    d = with_next(documents_of(docs, id_col, text_col), ["text", "set"], derive=anchored)
+    d = with_next(documents_of(docs, id_col, text_col), ["text", "fp_set"], derive=lambda d: with_anchors(d, F.col("text"), "fp"))
     d = d.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     d = d.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
-    d = with_anchors(d.drop("next_text"), F.col("edited_text"), "edited_fp").withColumn("edited_set", features(F.col("edited_fp")))
+    d = with_anchors(d.drop("next_text"), F.col("edited_text"), "edited_fp")
     return d.select(
         "doc_id",
         "n_chars",
         "edited_text",
         as_string(F.col("fp"), F.col("fp_at")).alias("fingerprint"),
         as_string(F.col("edited_fp"), F.col("edited_fp_at")).alias("edited_fingerprint"),
-        likeness(F.col("set"), F.col("edited_set")).alias("near_edited"),
-        likeness(F.col("set"), F.col("next_set")).alias("near_next"),
+        likeness(F.col("fp_set"), F.col("edited_fp_set")).alias("near_edited"),
+        likeness(F.col("fp_set"), F.col("next_fp_set")).alias("near_next"),
     )

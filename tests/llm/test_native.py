@@ -1,6 +1,10 @@
 """Line dedup, quality rules and fingerprints against plain restatements."""
 
+import functools
+
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import fingerprints, line_dedup, quality_rules, queries
@@ -18,16 +22,12 @@ ODD = [(1, None), (2, ""), (3, "\n\n"), (4, "a\x0b b\x0cÉ A\r"), (None, "one li
 
 
 def test_lines(spark):
-    from pyspark.sql import functions as F
-
     out = line_dedup.drop_repeated_lines(docs(spark, ODD)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256))
     key = lambda r: str(tuple(r))
     assert sorted(map(tuple, out.collect()), key=key) == sorted(brute.lines(ODD), key=key)
 
 
 def test_lines_shuffled_path(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     monkeypatch.setattr(line_dedup, "HEAVY_LINES", 1)
     rows = ODD + [(300 + i, "second shared\nshared line") for i in range(12)]
@@ -76,6 +76,41 @@ def test_fingerprints_hold_every_anchor(spark):
     assert len(set(anchors[3]) ^ set(anchors[4])) < 20 and anchors[3] != anchors[4]
 
 
+def plain_fingerprint(text):
+    """Anchors with places, and features, by the words of the definition."""
+    chain = lambda *xs: functools.reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), xs, 42)
+    long = lambda x: x.to_bytes(8, "little")
+    words = [chain(w.encode()) for w in brute.WORD.findall(text or "")]
+    words = [0, 1, 2, *words] if words else []
+    pairs = [chain(long(x), long(y)) for x, y in zip(words, words[1:])]
+    signed = lambda x: x - (x >> 63 << 64)
+    at = [i for i in range(len(pairs) - 2) if signed(pairs[i + 1]) >= min(signed(pairs[i]), signed(pairs[i + 2]))]
+    own = [(pairs[i], pairs[i + 2]) for i in at]
+    hashes = [chain(*map(long, x)) for x in own]
+    steps = {chain(*map(long, x + y), (j - i).to_bytes(4, "little")) for x, y, i, j in zip(own, own[1:], at, at[1:])}
+    return "".join(f"{h:016x}{i:08x}" for h, i in zip(hashes, at)), set(hashes) | steps
+
+
+def test_fingerprints_match_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "one"), (-4, "one"), (-5, "a b c d e")]
+    edits, text, ids = brute.edited(rows), dict(rows), sorted(i for i, _ in rows)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs(spark, rows)).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, following in zip(ids, [*ids[1:], ids[0]]):
+        (own, a), (edited, b), (_, c) = map(plain_fingerprint, (text[i], edits[i], text[following]))
+        r = got[i]
+        assert (r.edited_text, r.fingerprint, r.edited_fingerprint) == (edits[i], own, edited)
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(a, b)), pytest.approx(like(a, c)))
+
+
+def test_matches_tell_places(spark):
+    a = [f"w{i}" for i in range(60)]
+    data = spark.createDataFrame([(" ".join(a), " ".join(["new"] * 7 + a[20:]))], "x string, y string")
+    d = fingerprints.with_anchors(fingerprints.with_anchors(data, F.col("x"), "a"), F.col("y"), "b")
+    (found,) = d.select(fingerprints.matches(F.col("a"), F.col("a_at"), F.col("b"), F.col("b_at"))).first()
+    assert len(found) > 15 and {m["at"] - m["there"] for m in found} == {13}
+
+
 def test_next_crosses_buckets(spark):
     rows = [(i * 7 % 1009, f"text {i * 7 % 1009}") for i in range(1009)]
     from palimpsest.llm.common import documents_of
