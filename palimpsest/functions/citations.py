@@ -33,7 +33,10 @@ SIGN = r"(?:\s*(?:" + "|".join(SIGNS) + r")\s*)"
 NUMBER = r"(\d+[A-Z]?)(?:\s*([.:])\s*(\w[\w.]*))?((?:\s*\([^)]+\))*)"
 FREE_TEXT = r"(?:(?:Iowa Code\s+)?(?:§§?|\bsec(?:tion|s\.?|\.)?\b|\bI\.?C\.?\b|\bch(?:apter|\.)?\b)\s*)?\d+[A-Z]?(?:\.\w+)?(?:\s*\([^)]+\))*"
 SERIES_ITEM = r"\d+[A-Z]?(?:[.:][\w.]+)?"
-SERIES = r"\b(chapters?|sections?|§§?)\s+(" + SERIES_ITEM + r"(?:(?:\s*(?:,|;|&|\band\b|\bor\b))+\s+" + SERIES_ITEM + r")+)"
+SERIES_LIST = SERIES_ITEM + r"(?:(?:\s*(?:,|;|&|\band\b|\bor\b))+\s+" + SERIES_ITEM + r")+"
+CHAPTER_SERIES = r"\bchapters?\s+(" + SERIES_LIST + r")"
+SECTION_SERIES = r"\b(?:sections?|§§?)\s+(" + SERIES_LIST + r")"
+SECTION_ITEM = r"\d+[A-Z]?[.:][\w.]+"
 
 _WHOLE = r"(?iU)\A\s*" + SIGN + r"*+\s*" + NUMBER
 

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import citations as grammar
 from palimpsest.functions import text
 from palimpsest.operators import links
 from palimpsest.operators.temporal import current_versions, visible
 
-# What counts as a quotation, how far its citation may be, and when a quotation is nearly right.
+# What counts as a quotation, how far its citation may be, when a quotation is nearly right, where passages end, and how much of one is shown.
 QUOTE = re.compile(r'[“"]([^”"]{6,}?)[”"]')
 WINDOW, FUZZY = 400, 0.85
+PASSAGE_END, SHOWN = r"(?U)(?<=[.\n])\s+", 300
 TERM = r"""(?iU)(["“‘’'][^"”‘’']{1,60}["”‘’']|[A-Za-z][A-Za-z0-9\-\s]{0,60}?)\s+(?:means|shall\s+mean|is\s+defined\s+as)\s+([^.]{1,400}\.)"""
 
 
@@ -27,8 +29,7 @@ def validate_citations(texts: DataFrame, nodes: DataFrame, versions: DataFrame,
     *valid*; *repealed* (flagged, or a section without a visible text);
     *not_found*, with the first paths of its chapter; *parse_error*.
     """
-    found = links.scan(texts, key, body).join(texts.select(key, "source"), key)
-    cited = found.withColumn("citation", F.struct("path", "chapter", "chapter_only"))
+    cited = links.scan(texts, key, body, carry=["source"]).withColumn("citation", F.struct("path", "chapter", "chapter_only"))
     live = current_versions(versions, include_pending).select("node_id", F.lit(True).alias("_text"))
     r = links.resolve(cited, nodes).join(live, "node_id", "left")
     gone = F.col("is_repealed") | (~F.col("chapter_only") & F.col("_text").isNull())
@@ -45,46 +46,58 @@ def citation_report(checked: DataFrame, key: str = "text_id") -> DataFrame:
     return checked.groupBy(key).agg(F.count(F.lit(1)).alias("n_citations"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in states])
 
 
-def closest(quote: str, body: str) -> tuple[str, float, str]:
-    """(status, score, passage) of a quotation that the body doesn't hold word for word."""
-    squeeze = lambda s: re.sub(r"\s+", " ", s).strip().lower()
-    want, best, passage = squeeze(quote), 0.0, ""
+def likeliest(want: str, passages: Sequence[str]) -> tuple[float, int]:
+    """(ratio, place) of the passage most like ``want``, the first of equal ones; (0, -1) if none has a ratio over 0.
+
+    Passages are compared in order of what their lengths allow, so that most need no comparison.
+    """
     match = difflib.SequenceMatcher(None, "", want, autojunk=False)
-    for chunk in re.split(r"(?<=[.\n])\s+", body):
-        chunk = chunk.strip()
-        match.set_seq1(squeeze(chunk))
-        # The two upper bounds are cheap and spare most comparisons.
-        if chunk and match.real_quick_ratio() > best and match.quick_ratio() > best and (ratio := match.ratio()) > best:
-            best, passage = ratio, chunk
-    return ("fuzzy" if best >= FUZZY else "not_found"), best, passage[:300] + ("…" if len(passage) > 300 else "")
+    best, at = 0.0, -1
+    for bound, i in sorted((-2 * min(len(p), len(want)) / max(1, len(p) + len(want)), i) for i, p in enumerate(passages)):
+        if -bound < best:
+            break
+        match.set_seq1(passages[i])
+        if match.quick_ratio() >= best:
+            ratio = match.ratio()
+            if ratio > best or (ratio == best and i < at):
+                best, at = ratio, i
+    return best, at
+
+
+def _likeliest(want: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([likeliest(w, p) for w, p in zip(want, passages)], columns=["score", "at"])
+
 
+def closest(quote: Column, body: Column) -> Column:
+    """struct<status, score, passage> of a quotation that the body doesn't hold word for word."""
+    folded = lambda c: F.lower(text.collapse_space(c))
+    passages = F.filter(F.transform(F.split(body, PASSAGE_END), text.strip), lambda p: p != "")
+    got = F.pandas_udf(_likeliest, "score double, at int")(folded(quote), F.transform(passages, folded))
+    found = F.coalesce(F.get(passages, got["at"]), F.lit(""))
+    shown = F.concat(F.substring(found, 1, SHOWN), F.when(F.length(found) > SHOWN, "…").otherwise(""))
+    return F.struct(F.when(got["score"] >= FUZZY, "fuzzy").otherwise("not_found").alias("status"), got["score"].alias("score"), shown.alias("passage"))
 
-def quotes_of(texts: DataFrame, key: str = "text_id", body: str = "body") -> DataFrame:
-    """``key``, ``quote_no``, ``quote``, ``start``, ``end``, and the citations within reach: ``near`` (distance, order, path, chapter)."""
+
+def quotes_of(texts: DataFrame, key: str = "text_id", body: str = "body", carry: Sequence[str] = ()) -> DataFrame:
+    """``key``, ``carry``, ``quote_no``, ``quote``, ``start``, ``end``, and the citations within reach: ``near`` (distance, order, path)."""
+    own = [key, *carry]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for k, b in zip(pdf[key], pdf[body]):
+            for *known, b in pdf[[*own, body]].itertuples(index=False):
                 for no, m in enumerate(QUOTE.finditer(b or "")):
                     quote, (a, z) = m[1].strip(), m.span(1)
-                    if not quote:
-                        continue
-                    lo, hi = max(0, a - WINDOW), min(len(b), z + WINDOW)
-                    near = []
-                    for i, (s, e, _, path, _, _, _) in enumerate(links.spans_in(b[lo:hi])):
-                        if path is not None:
-                            s, e = s + lo, e + lo
-                            near.append({"distance": a - e if e < a else s - z if s > z else 0, "nth": i, "path": path})
-                    rows.append((k, no, quote, a, z, near))
-            yield pd.DataFrame(rows, columns=[key, "quote_no", "quote", "start", "end", "near"])
-
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, body).mapInPandas(run, f"{key} {kind}, quote_no int, quote string, start int, end int, near array<struct<distance: int, nth: int, path: string>>")
+                    low = max(0, a - WINDOW)
+                    near = [{"distance": max(a - low - e, s + low - z, 0), "nth": i, "raw": raw} for i, (s, e, raw) in enumerate(links.free_spans(b[low : z + WINDOW]))]
+                    if quote:
+                        rows.append((*known, no, quote, a, z, near))
+            yield pd.DataFrame(rows, columns=[*own, "quote_no", "quote", "start", "end", "near"])
 
-
-def _closest(quote: pd.Series, body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([closest(q, b) for q, b in zip(quote, body)], columns=["status", "score", "passage"])
+    kinds = dict(texts.dtypes)
+    found = texts.select(*own, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", quote_no int, quote string, start int, end int, near array<struct<distance: int, nth: int, raw: string>>")
+    read = F.transform("near", lambda x: F.struct(x["distance"].alias("distance"), x["nth"].alias("nth"), grammar.parse(x["raw"])["path"].alias("path")))
+    return found.withColumn("near", F.filter(read, lambda x: x["path"].isNotNull()))
 
 
 def verify_quotes(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key: str = "text_id", body: str = "body", citation: Column | None = None, include_pending: bool = False) -> DataFrame:
@@ -94,9 +107,8 @@ def verify_quotes(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key:
     nearest; ``citation`` overrides this where it parses.  *exact*, *fuzzy* or
     *not_found* in the node's current text; *section_unresolved*; *no_citation*.
     """
-    from palimpsest.functions import citations as grammar
-
-    q = quotes_of(texts, key, body).join(texts.select(key, "source", *([citation.alias("_given")] if citation is not None else [])), key)
+    given_texts = texts if citation is None else texts.withColumn("_given", citation.cast("string"))
+    q = quotes_of(given_texts, key, body, ["source", *(["_given"] if citation is not None else [])])
     n = nodes.select(F.col("source").alias("_s"), F.col("path").alias("_p"), F.col("node_id"))
     if citation is not None:
         given = grammar.parse(F.col("_given"))["path"]
@@ -109,7 +121,7 @@ def verify_quotes(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key:
     r = r.withColumn("_how", F.when(F.col("path").isNull(), "no_citation").when(F.col("_body").isNull(), "section_unresolved").when(held, "exact").otherwise("look"))
     # Only what isn't there word for word goes to Python.
     done = r.where("_how <> 'look'").withColumn("_m", F.struct(F.col("_how").alias("status"), F.when(F.col("_how") == "exact", 1.0).otherwise(0.0).alias("score"), F.when(F.col("_how") == "exact", text.excerpt_around(F.col("_body"), F.col("quote"))).otherwise("").alias("passage")))
-    look = r.where("_how = 'look'").withColumn("_m", F.pandas_udf(_closest, "status string, score double, passage string")("quote", "_body"))
+    look = r.where("_how = 'look'").withColumn("_m", closest(F.col("quote"), F.col("_body")))
     return done.unionByName(look).select(key, "quote_no", "quote", "start", "end", "path", "node_id", "_m.status", "_m.score", "_m.passage")
 
 

@@ -36,7 +36,8 @@ def summarise(scores: DataFrame, tags: DataFrame | None = None) -> DataFrame:
 
 #: A trace: the calls of one turn with what they returned.
 TRACE = "array<struct<name: string, arguments: map<string,string>, result: struct<query: string, hits: array<struct<path: string, citation: string, heading: string>>, section: string, chapter: string, sections: array<string>>>>"
-SEARCH, LOOKUP = "search_statutes", "lookup_citation"
+#: Names of the calls that search and that look up, unless others are given.
+SEARCH, LOOKUP = "search", "lookup"
 
 
 def answer_uses(answer: Column, hit: Column) -> Column:
@@ -45,13 +46,13 @@ def answer_uses(answer: Column, hit: Column) -> Column:
     return F.coalesce(held(hit["path"]) | held(hit["citation"]), F.lit(False))
 
 
-def derive_trace(turns: DataFrame) -> DataFrame:
+def derive_trace(turns: DataFrame, search: str = SEARCH) -> DataFrame:
     """Adds to (``trace``, ``answer``) what can be told from it.
 
     ``top_result_used``: null if no search had hits, true if the answer uses
     the first hit of any, else false.
     """
-    searches = F.filter("trace", lambda c: c["name"] == SEARCH)
+    searches = F.filter("trace", lambda c: c["name"] == search)
     d = turns.withColumn("_s", F.coalesce(searches, F.array().cast(TRACE)))
     with_hits = F.filter("_s", lambda c: F.coalesce(F.size(c["result"]["hits"]), F.lit(0)) > 0)
     used = F.exists(with_hits, lambda c: answer_uses(F.col("answer"), F.get(c["result"]["hits"], F.lit(0))))
@@ -69,7 +70,7 @@ def question_of(messages: Column) -> Column:
     return F.try_element_at(F.filter(messages, lambda m: m["role"] == "user"), F.lit(-1))["text"]
 
 
-def retrieved_paths(trace: Column) -> Column:
+def retrieved_paths(trace: Column, search: str = SEARCH, lookup: str = LOOKUP) -> Column:
     """Paths that search hits and look-ups brought, each once, in order of appearance."""
     none = F.array().cast("array<string>")
 
@@ -77,7 +78,7 @@ def retrieved_paths(trace: Column) -> Column:
         r = c["result"]
         hits = F.coalesce(F.transform(r["hits"], lambda h: h["path"]), none)
         looked = F.when(r["section"].isNotNull(), F.array(r["section"])).when(r["chapter"].isNotNull(), F.concat(F.array(r["chapter"]), F.coalesce(r["sections"], none))).otherwise(none)
-        return F.when(c["name"] == SEARCH, hits).when(c["name"] == LOOKUP, looked).otherwise(none)
+        return F.when(c["name"] == search, hits).when(c["name"] == lookup, looked).otherwise(none)
 
     return F.array_distinct(F.filter(F.flatten(F.transform(F.coalesce(trace, F.array().cast(TRACE)), of)), lambda p: p.isNotNull() & (p != "")))
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,33 +22,51 @@ from palimpsest.functions.stemming import STOP_WORDS, stem
 #: Weights of headings (A) and bodies (B).
 WEIGHTS = {"A": 1.0, "B": 0.4}
 WORD = r"(?U)[\p{L}\p{N}]+"
-
-
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map({w: stem(w) for w in words.dropna().unique()})
-
-
-def words_of(df: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, ``word``, ``pos``, ``weight`` of heading and body, stop words too; positions count from 1."""
-    found = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
-    d = df.select(*keys, found(F.col("heading")).alias("h"), found(F.col("body")).alias("b"))
-    tag = lambda arr, shift, weight: F.transform(arr, lambda w, i: F.struct(w.alias("word"), (i + 1 + shift).cast("int").alias("pos"), F.lit(weight).alias("weight")))
-    return d.select(*keys, F.explode(F.concat(tag(F.col("h"), F.lit(0), "A"), tag(F.col("b"), F.size("h"), "B"))).alias("x")).select(*keys, "x.*")
+#: Lexemes of a table of queries that are told to the scan.
+PUSHED = 1_000
 
 
 def postings(df: DataFrame, *keys: str, english: bool = True) -> DataFrame:
-    """``keys``, ``lexeme``, ``at``: an array of (pos, weight), ascending.
+    """``keys``, ``lexeme``, ``at``: an array of (pos, weight), ascending; positions count from 1, stop words too.
 
     ``english``: stop words go, the rest is stemmed; each distinct word of a
-    version is stemmed once.  Otherwise lexemes are the words in lower case.
+    batch is stemmed once.  Otherwise lexemes are the words in lower case.
+    All words of a version are in its row, so nothing is shuffled.
     """
-    words = words_of(df, *keys)
-    if english:
-        words = words.where(~F.col("word").isin(*sorted(STOP_WORDS)))
-    by_word = words.groupBy(*keys, "word").agg(F.collect_list(F.struct("pos", "weight")).alias("at"))
-    if not english:
-        return by_word.select(*keys, F.col("word").alias("lexeme"), F.array_sort("at").alias("at"))
-    return by_word.withColumn("lexeme", F.pandas_udf(_stems, "string")("word")).groupBy(*keys, "lexeme").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    kinds = dict(df.dtypes)
+    found = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORD), 0)
+    d = df.select(*keys, found("heading").alias("_h"), found("body").alias("_b"))
+    d = d.select(*keys, F.size("_h").alias("_n"), F.concat("_h", "_b").alias("_words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n_heading, lists = batch.columns[: len(keys)], batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1)
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            coded = pc.dictionary_encode(lists.flatten())
+            pos = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+            words = coded.dictionary.to_pylist()
+            named = [None if w in STOP_WORDS else stem(w) for w in words] if english else words
+            lexemes = pa.array(named, pa.string()).dictionary_encode()
+            code = pc.fill_null(lexemes.indices.cast(pa.int32()), -1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(doc) else np.zeros(0, np.int32)
+            order = np.lexsort((pos, code, doc))
+            order = order[code[order] >= 0]
+            doc, code, pos = doc[order], code[order], pos[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            weight = pa.array(np.where(pos <= n_heading[doc], "A", "B"), pa.string())
+            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.StructArray.from_arrays([pa.array(pos, pa.int32()), weight], names=["pos", "weight"]))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(doc[first])) for c in own), lexemes.dictionary.take(pa.array(code[first])), at], names=[*keys, "lexeme", "at"])
+
+    return d.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lexeme string, at array<struct<pos: int, weight: string>>")
+
+
+def write_postings(post: DataFrame, path: str) -> None:
+    """Store an index, in order of lexeme: a search then reads the row groups of its own lexemes."""
+    keys = [c for c in post.columns if c not in ("lexeme", "at")]
+    post.repartitionByRange("lexeme", *keys).sortWithinPartitions("lexeme", *keys).write.mode("overwrite").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 _PIECE = re.compile(r'(-?)"([^"]*)"|(\S+)')
@@ -125,13 +146,17 @@ def _density(hits: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def search(post: DataFrame, queries: DataFrame, key: str = "version_id", limit: int = 50, english: bool = True) -> DataFrame:
-    """``query_id``, ``key``, ``score``, ``rank`` of at most ``limit`` matches for each query.
+def search(post: DataFrame, queries: DataFrame, key: str = "version_id", limit: int | None = 50, english: bool = True) -> DataFrame:
+    """``query_id``, ``key``, ``score``, ``rank`` of at most ``limit`` matches for each query; with None all matches, without a rank.
 
     Only postings of the queries' lexemes are read further; a document meets a
-    query only through a lexeme they share.
+    query only through a lexeme they share.  Up to ``PUSHED`` lexemes reach the
+    scan of a stored index as a filter.
     """
     terms = query_terms(queries, english)
+    asked = [r["lexeme"] for r in terms.select("lexeme").distinct().limit(PUSHED + 1).collect()]
+    if len(asked) <= PUSHED:
+        post = post.where(F.col("lexeme").isin(asked))
     hits = post.join(terms, "lexeme")
     starts = F.transform("at", lambda x: x["pos"] - F.col("distance"))
     # A clause holds where all its lexemes stand at their distances from one start.
@@ -144,5 +169,8 @@ def search(post: DataFrame, queries: DataFrame, key: str = "version_id", limit:
     whole = clause.groupBy("query_id", "alternative", key).agg(F.count_if(F.col("wanted")).alias("n"), F.count_if(~F.col("wanted")).alias("bad"), F.flatten(F.collect_list(F.when(F.col("wanted"), F.col("hits")))).alias("hits"))
     whole = whole.join(wanted, ["query_id", "alternative"]).where("n = n_clauses and bad = 0")
     scored = whole.withColumn("score", F.pandas_udf(_density, "double")("hits")).groupBy("query_id", key).agg(F.max("score").alias("score"))
+    if limit is None:
+        return scored
+    # Spark keeps each task's first ``limit`` before it ranks (a limit on the window's groups).
     w = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,22 +40,26 @@ def candidates(missed: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return m.join(lists, ["source", "_chapter"], "left").select(key, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
-def lookup(queries: DataFrame, nodes: DataFrame, versions: DataFrame, include_pending: bool = False) -> DataFrame:
+def lookup(queries: DataFrame, nodes: DataFrame, versions: DataFrame, include_pending: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """What each (``query_id``, ``source``, ``query``) finds.
 
-    ``outcome``: parse_error, chapter, section, no_version (the node has no
-    visible text) or missing; ``node_id``, ``version_id``, ``sections`` (of a
-    chapter, in natural order) and ``candidates`` (of a missing section).
+    ``outcome``: parse_error, unknown_source (one that ``sources`` hasn't, if
+    given), chapter, section, no_version (the node has no visible text) or
+    missing; ``node_id``, ``version_id``, ``n_sections`` (of a chapter, see
+    :func:`chapter_sections`) and ``candidates`` (of a missing section).
     """
     q = resolve(with_citation(queries, "query"), nodes)
     now = current_versions(versions, include_pending).select("node_id", "version_id")
     q = q.join(now, "node_id", "left")
-    below = nodes.where("not is_repealed and parent_path is not null").groupBy("source", F.col("parent_path").alias("_chapter"))
-    below = below.agg(F.transform(F.array_sort(F.collect_list(F.struct(text.natural_key(F.col("path")).alias("k"), "path"))), lambda x: x["path"]).alias("sections"))
-    below = below.withColumnRenamed("source", "_s")
+    below = nodes.where("not is_repealed and parent_path is not null").groupBy(F.col("source").alias("_s"), F.col("parent_path").alias("_chapter")).agg(F.count(F.lit(1)).alias("_n"))
     q = q.join(below, (F.col("source") == F.col("_s")) & (F.col("citation.path") == F.col("_chapter")) & F.col("citation.chapter_only"), "left").drop("_s", "_chapter")
+    known = F.lit(True)
+    if sources is not None:
+        q = q.join(sources.select("source", F.lit(True).alias("_known")).distinct(), "source", "left")
+        known = F.coalesce("_known", F.lit(False))
     outcome = (
         F.when(F.col("citation").isNull(), "parse_error")
+        .when(~known, "unknown_source")
         .when(F.col("node_id").isNull(), "missing")
         .when(F.col("citation.chapter_only"), "chapter")
         .when(F.col("version_id").isNull(), "no_version")
@@ -64,8 +68,17 @@ def lookup(queries: DataFrame, nodes: DataFrame, versions: DataFrame, include_pe
     q = q.withColumn("outcome", outcome)
     near = candidates(q.where("outcome = 'missing'"), nodes, "query_id")
     q = q.join(near, "query_id", "left")
-    none = F.array().cast("array<string>")
-    return q.select("query_id", "source", "query", "outcome", F.col("citation.path").alias("path"), "node_id", "version_id", F.coalesce("sections", none).alias("sections"), F.coalesce("candidates", none).alias("candidates"))
+    return q.select("query_id", "source", "query", "outcome", F.col("citation.path").alias("path"), "node_id", "version_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_sections"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+
+
+def chapter_sections(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``source``, ``chapter``, ``path`` of the live sections of each chapter that :func:`lookup` found, once each, in natural order.
+
+    Rows are sorted by a range shuffle; no task or row holds a whole chapter.
+    """
+    asked = found.where("outcome = 'chapter'").select("source", F.col("path").alias("parent_path")).distinct()
+    live = nodes.where("not is_repealed").join(asked, ["source", "parent_path"], "left_semi")
+    return live.orderBy("source", "parent_path", text.natural_key(F.col("path"))).select("source", F.col("parent_path").alias("chapter"), "path")
 
 
 def lookup_any_source(queries: DataFrame, sources: DataFrame, nodes: DataFrame, versions: DataFrame) -> DataFrame:
@@ -81,67 +94,47 @@ def lookup_any_source(queries: DataFrame, sources: DataFrame, nodes: DataFrame,
     return lookup(q, nodes, versions)
 
 
-_SIGN = re.compile(r"\s*(?:" + "|".join(grammar.SIGNS) + r")\s*", re.IGNORECASE)
-_NUMBER = re.compile(grammar.NUMBER, re.IGNORECASE)
 _FREE = re.compile(grammar.FREE_TEXT, re.IGNORECASE)
-_SERIES = re.compile(grammar.SERIES, re.IGNORECASE)
-_ITEM = re.compile(grammar.SERIES_ITEM, re.IGNORECASE)
-
-
-def parsed_path(raw: str) -> tuple[str, str, bool, bool] | None:
-    """(path, chapter, chapter only, has a sign) of one citation, or None."""
-    raw = raw.strip()
-    at = 0
-    while m := _SIGN.match(raw, at):
-        at = m.end()
-    m = _NUMBER.match(raw[at:].strip())
-    if not m:
-        return None
-    whole = m[1] + m[2] + m[3] if m[3] else m[1]
-    return whole, m[1], not m[3], at > 0
-
-
-def spans_in(body: str) -> Iterator[tuple[int, int, str, str | None, str | None, bool, bool]]:
-    """(start, end, raw, path, chapter, chapter only, confident) of each citation in free text, in order."""
-    for m in _FREE.finditer(body):
-        raw = m[0].strip()
-        if len(raw) >= 2:
-            got = parsed_path(raw)
-            yield (m.start(), m.end(), m[0], *(got[:3] if got else (None, None, False)), bool(got and (not got[2] or _SIGN.match(m[0]))))
-
+#: Lists of numbers behind one word, and which of their members are meant.
+_SERIES = [(re.compile(grammar.CHAPTER_SERIES, re.IGNORECASE), re.compile(grammar.SERIES_ITEM, re.IGNORECASE)), (re.compile(grammar.SECTION_SERIES, re.IGNORECASE), re.compile(grammar.SECTION_ITEM, re.IGNORECASE))]
 
-def series_in(body: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, raw, path) of the members of lists such as "chapters 2, 3 or 4"."""
-    for m in _SERIES.finditer(body):
-        sections = m[1][0].lower() in "s§"
-        for item in _ITEM.finditer(m[2]):
-            if not sections or "." in item[0] or ":" in item[0]:
-                yield m.start(2) + item.start(), m.start(2) + item.end(), item[0], item[0]
 
+def free_spans(body: str) -> list[tuple[int, int, str]]:
+    """(start, end, text) of what has the shape of a citation in free text, in order; a single character is none."""
+    return [(*m.span(), m[0]) for m in _FREE.finditer(body) if len(m[0].strip()) > 1]
 
-SPANS = "start int, end int, raw string, path string, chapter string, chapter_only boolean, confident boolean"
 
+def series_spans(body: str) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the members of lists such as "chapters 2, 3 or 4", in order."""
+    found = ((m.start(1), item) for series, member in _SERIES for m in series.finditer(body) for item in member.finditer(m[1]))
+    return sorted((at + item.start(), at + item.end(), item[0]) for at, item in found)
 
-def _scan(body: str, series: bool) -> list[tuple]:
-    rows = [(0, *x) for x in spans_in(body)]
-    if series:
-        rows += [(1, a, b, raw, path, path, True, True) for a, b, raw, path in series_in(body)]
-    return [(scan, i, *row) for i, (scan, *row) in enumerate(rows)]
 
+def scan(texts: DataFrame, key: str, body: str, series: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``key`` (and ``carry``) for each citation in ``body``.
 
-def scan(texts: DataFrame, key: str, body: str, series: bool = False) -> DataFrame:
-    """Rows of ``key`` for each citation in ``body``: ``pass`` (1 for members of lists), ``pos``, and its span.
+    ``pass`` (1 for members of lists), ``pos``, ``start``, ``end``, ``raw``, and
+    what the grammar reads in it: ``path``, ``chapter``, ``chapter_only``,
+    ``confident`` (a section, a sign before it, or a member of a list).
 
-    Java's expressions give no offsets, so this is a pandas function over batches.
+    Java's expressions give no offsets, so spans are found by a pandas function
+    over batches; what they say is read by Column expressions.
     """
+    own = [key, *carry]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "pass", "pos", "start", "end", "raw", "path", "chapter", "chapter_only", "confident"]
         for pdf in frames:
-            yield pd.DataFrame([(k, *row) for k, b in zip(pdf[key], pdf[body]) if b for row in _scan(b, series)], columns=names)
+            rows = []
+            for *known, b in pdf[[*own, body]].itertuples(index=False):
+                for n, spans in enumerate((free_spans(b), series_spans(b) if series else ()) if b else ()):
+                    rows += [(*known, n, i, *x) for i, x in enumerate(spans)]
+            yield pd.DataFrame(rows, columns=[*own, "pass", "pos", "start", "end", "raw"])
 
-    kind = dict(texts.dtypes)[key]
-    return texts.select(key, body).mapInPandas(run, f"{key} {kind}, pass int, pos int, {SPANS}")
+    kinds = dict(texts.dtypes)
+    found = texts.select(*own, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", pass int, pos int, start int, end int, raw string")
+    c = grammar.parse(F.col("raw"))
+    alone = c["chapter_only"] & ~grammar.has_sign(F.col("raw")) & (F.col("pass") == 0)
+    return found.withColumns({"path": c["path"], "chapter": c["chapter"], "chapter_only": F.coalesce(c["chapter_only"], F.lit(False)), "confident": c.isNotNull() & ~F.coalesce(alone, F.lit(False))})
 
 
 def citation_links(texts: DataFrame, nodes: DataFrame, versions: DataFrame, include_pending: bool = False) -> DataFrame:
@@ -152,7 +145,7 @@ def citation_links(texts: DataFrame, nodes: DataFrame, versions: DataFrame, incl
     equal (raw, target) the first stays, in order of ``pos``.
     """
     live = versions.where(F.col("effective_to").isNull() & visible(include_pending)).select(F.col("node_id").alias("target_id")).distinct()
-    found = scan(texts, "node_id", "body", series=True).where("confident").join(texts.select("node_id", "source"), "node_id")
+    found = scan(texts, "node_id", "body", series=True, carry=["source"]).where("confident")
     target = nodes.where("not is_repealed").select(F.col("source").alias("_s"), F.col("path").alias("_p"), F.col("node_id").alias("target_id"), F.col("parent_path").alias("_parent"))
     hit = found.join(target, (found.source == target["_s"]) & (found.path == target["_p"])).where("node_id <> target_id")
     sections = hit.where("_parent is not null").join(live, "target_id", "left_semi")

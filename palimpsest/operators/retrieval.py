@@ -9,7 +9,8 @@ ranks what may be shown and nothing else.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from palimpsest.operators.temporal import is_current
 
 #: Constant of reciprocal rank fusion.
 FUSION = 60
+#: Queries that go to the tasks at a time, and vectors that a task compares with them at a time.
+QUERY_BLOCK, VECTOR_ROWS = 2_048, 4_096
 
 
 def searchable(nodes: DataFrame, versions: DataFrame, source: str | None = None, include_pending: bool = False) -> DataFrame:
@@ -49,29 +52,50 @@ def trigram_search(docs: DataFrame, queries: DataFrame, threshold: float = 0.1,
     return _top(both.select("query_id", "version_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score")).where(F.col("score") >= threshold), limit)
 
 
-def vector_search(docs: DataFrame, vectors: np.ndarray, query_ids: Sequence[int], limit: int = 50, col: str = "embedding") -> DataFrame:
-    """The nearest by cosine, exactly: each task keeps its best ``limit`` for each query, then those are ranked.
+def vector_search(docs: DataFrame, queries: DataFrame, limit: int = 50, col: str = "embedding") -> DataFrame:
+    """The nearest by cosine, exactly, of each of ``queries`` (``query_id`` and ``col``), ties by id.
 
-    ``vectors`` is a stated set of queries, one row each.
+    Queries go to the tasks in blocks of ``QUERY_BLOCK``, one pass over ``docs``
+    for each; the driver holds one block at a time.  Each task keeps its best
+    ``limit`` for each query of the block, then those are ranked.  Null and
+    zero vectors are near nothing.
     """
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    held = docs.sparkSession.sparkContext.broadcast((unit, list(query_ids)))
+    found, block = None, []
+    for r in chain(queries.select("query_id", col).where(F.col(col).isNotNull()).toLocalIterator(), (None,)):
+        block += [] if r is None else [r]
+        if len(block) == QUERY_BLOCK or (r is None and (block or found is None)):
+            one = _nearest(docs, block, limit, col)
+            found, block = one if found is None else found.unionByName(one), []
+    return _top(found, limit)
+
+
+def _nearest(docs: DataFrame, block: list, limit: int, col: str) -> DataFrame:
+    q = np.array([r[col] for r in block], np.float64).reshape(len(block), len(block[0][col]) if block else 0)
+    norm = np.linalg.norm(q, axis=1)
+    names = np.array([r["query_id"] for r in block], np.int64)[norm > 0]
+    held = docs.sparkSession.sparkContext.broadcast((q[norm > 0] / norm[norm > 0, None], names))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, names = held.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # number of the query, id, score
         for pdf in frames:
-            pdf = pdf[pdf[col].notna()]
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[col].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(m, axis=1)
-            ids, m, norm = pdf["version_id"].to_numpy()[norm > 0], m[norm > 0], norm[norm > 0]
-            scores = (m / norm[:, None]) @ q.T
-            for k, name in enumerate(names):
-                best = np.lexsort((ids, -scores[:, k]))[:limit]
-                yield pd.DataFrame({"query_id": name, "version_id": ids[best], "score": scores[best, k]})
-
-    return _top(docs.select("version_id", col).mapInPandas(run, "query_id long, version_id long, score double"), limit)
+            vectors = pdf[pdf[col].notna()]
+            for at in range(0, len(vectors) if len(q) else 0, VECTOR_ROWS):
+                part = vectors.iloc[at : at + VECTOR_ROWS]
+                m = np.stack(part[col].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(m, axis=1)
+                ids, scores = part["version_id"].to_numpy()[norm > 0], (m[norm > 0] / norm[norm > 0, None]) @ q.T
+                if not len(ids):
+                    continue
+                # All at or above the last place count, so that ties are settled by id.
+                row, no = np.nonzero(scores >= np.partition(scores, max(0, len(ids) - limit), axis=0)[max(0, len(ids) - limit)])
+                no, found, score = (np.concatenate(x) for x in zip(best, (no, ids[row], scores[row, no])))
+                order = np.lexsort((found, -score, no))
+                kept = order[np.arange(len(no)) - np.searchsorted(no[order], no[order]) < limit]
+                best = no[kept], found[kept], score[kept]
+        yield pd.DataFrame({"query_id": names[best[0]], "version_id": best[1], "score": best[2]})
+
+    return docs.select("version_id", col).mapInPandas(run, "query_id long, version_id long, score double")
 
 
 def fuse(lists: dict[str, DataFrame], k: int = FUSION) -> DataFrame:
@@ -96,18 +120,26 @@ Expander = Callable[[str], str]
 Reranker = Callable[[str, list[tuple[int, str]]], list[int]]
 
 
-def expanded(queries: DataFrame, expand: Expander | None = None) -> DataFrame:
-    """Queries rewritten by a hook; where it fails or gives nothing, they stay."""
-    if expand is None:
-        return queries
+def expanded(queries: DataFrame, expand: Expander | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """Queries rewritten by a hook, then with the words of a table (``term``, ``synonym``) put behind terms they hold.
 
-    def one(q: str) -> str:
-        try:
-            return expand(q) or q
-        except Exception:  # noqa: BLE001 - a hook must not stop a search
-            return q
+    Where the hook fails or gives nothing, a query stays.  Synonyms are added
+    each once, in order of their bytes, by a join on the words of the queries.
+    """
+    if expand is not None:
 
-    return queries.withColumn("query", F.udf(one, "string")("query"))
+        def one(q: str) -> str:
+            try:
+                return expand(q) or q
+            except Exception:  # noqa: BLE001 - a hook must not stop a search
+                return q
+
+        queries = queries.withColumn("query", F.pandas_udf(lambda s: s.map({q: one(q) for q in s.dropna().unique()}), "string")("query"))
+    if synonyms is None:
+        return queries
+    words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(fulltext.WORD), 0))).alias("term"))
+    more = words.join(synonyms.select(F.lower("term").alias("term"), "synonym"), "term").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("synonym")), " ").alias("more"))
+    return queries.join(more, "query_id", "left").withColumn("query", F.concat_ws(" ", "query", "more")).drop("more")
 
 
 def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, rerank: Reranker | None = None, top: int = 20) -> DataFrame:
@@ -129,12 +161,12 @@ def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, rerank: Reran
     return rows.select("query_id", "version_id", "score", "rank", "query", "body").groupBy("query_id").applyInPandas(run, "query_id long, version_id long, score double, rank int")
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: tuple[np.ndarray, Sequence[int]] | None = None, expand: Expander | None = None, limit: int = 20, per_retriever: int = 50, english: bool = True) -> DataFrame:
-    """Full text, trigram and (if given) vectors, fused and cut, with what ``docs`` has of each hit."""
+def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, expand: Expander | None = None, limit: int = 20, per_retriever: int = 50, english: bool = True) -> DataFrame:
+    """Full text, trigram and (if ``vectors`` of the queries are given) nearest vectors, fused and cut, with what ``docs`` has of each hit."""
     q = expanded(queries, expand)
     lists = {"fts": fulltext.search(fulltext.postings(docs, "version_id", english=english), q, limit=per_retriever, english=english), "trigram": trigram_search(docs, q, limit=per_retriever)}
     if vectors is not None:
-        lists["vector"] = vector_search(docs, *vectors, limit=per_retriever)
+        lists["vector"] = vector_search(docs, vectors, limit=per_retriever)
     return fuse(lists).where(F.col("rank") <= limit).join(docs.select("version_id", "node_id", "path", "heading", "body"), "version_id")
 
 

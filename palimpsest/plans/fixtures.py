@@ -64,23 +64,27 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next snapshot: every tenth section is missing, every seventh amended, some are new."""
+    """The next snapshot: every tenth section is missing, every seventh amended, some are new, and some also are in another source under the same path."""
     d = table(spark, sf_dir, "documents").where("doc_id % 10 <> 0")
     d = d.withColumn("id", F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") + 10_000_000).otherwise(F.col("doc_id")))
     chapter = F.regexp_extract("source", "[0-9]+", 0)
     body = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("AMENDED "), "text")).otherwise(F.col("text"))
-    return d.select(F.concat(chapter, F.lit("."), "id").alias("path"), chapter.alias("chapter"), F.substring(F.substring_index("text", "\n", 1), 1, 500).alias("heading"), body.alias("body"), text.content_hash(body).alias("content_hash"))
+    sources = F.when(F.col("doc_id") % 17 == 0, F.array("lang", F.concat("lang", F.lit("2")))).otherwise(F.array("lang"))
+    d = d.select(F.concat(chapter, F.lit("."), "id").alias("path"), chapter.alias("chapter"), F.substring(F.substring_index("text", "\n", 1), 1, 500).alias("heading"), body.alias("body"), text.content_hash(body).alias("content_hash"), sources.alias("sources"))
+    return d.withColumn("source", F.explode("sources")).drop("sources")
 
 
 def snapshot_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chapters that the snapshot covers: all but those with a 3."""
-    return table(spark, sf_dir, "documents").select(F.regexp_extract("source", "[0-9]+", 0).alias("chapter")).distinct().where(~F.col("chapter").contains("3")).withColumn("title", F.concat(F.lit("Title "), "chapter"))
+    """The chapters that the snapshot covers: all but those with a 3; those with a 2 are reserved."""
+    d = table(spark, sf_dir, "documents").select(F.explode(F.array("lang", F.concat("lang", F.lit("2")))).alias("source"), F.regexp_extract("source", "[0-9]+", 0).alias("chapter"))
+    d = d.distinct().where(~F.col("chapter").contains("3"))
+    return d.withColumns({"title": F.concat(F.lit("Title "), "chapter"), "reserved": F.col("chapter").contains("2")})
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that cite and quote sections."""
+    """Texts that cite and quote sections: a sentence that does, and the whole document."""
     d = table(spark, sf_dir, "documents").withColumn("chapter", F.regexp_extract("source", "[0-9]+", 0))
-    body = F.concat(F.lit("See chapter "), "chapter", F.lit(" and section "), "chapter", F.lit("."), "doc_id", F.lit(', "'), F.substring("text", 11, 60), F.lit('". Not over 30 days, nor section 999.'), "doc_id", F.lit("."))
+    body = F.concat(F.lit("See chapter "), "chapter", F.lit(" and section "), "chapter", F.lit("."), "doc_id", F.lit(', "'), F.substring("text", 11, 60), F.lit('". Not over 30 days, nor section 999.'), "doc_id", F.lit(". "), "text")
     return d.select(F.col("doc_id").alias("text_id"), F.col("lang").alias("source"), body.alias("body"))
 
 

@@ -6,6 +6,8 @@ and embeddings; those are tested against plain restatements.
 
 from __future__ import annotations
 
+from palimpsest.functions import citations
+
 _CH = "regexp_extract(source, '[0-9]+')"
 _NODES = f"""
  sections AS (SELECT d.doc_id AS node_id, lang AS source, {_CH} || '.' || d.doc_id AS path, {_CH} AS parent_path,
@@ -24,12 +26,13 @@ _HISTORIES = """
  histories AS (SELECT *, lead(effective_from) OVER (PARTITION BY node_id ORDER BY effective_from) AS effective_to FROM turns)"""
 _BRIEFS = f"""
  briefs AS (SELECT doc_id AS text_id, lang AS source, {_CH} AS chapter, text,
-   'See chapter ' || {_CH} || ' and section ' || {_CH} || '.' || doc_id || ', "' || substr(text, 11, 60) || '". Not over 30 days, nor section 999.' || doc_id || '.' AS body
+   'See chapter ' || {_CH} || ' and section ' || {_CH} || '.' || doc_id || ', "' || substr(text, 11, 60) || '". Not over 30 days, nor section 999.' || doc_id || '. ' || text AS body
    FROM documents)"""
-_FREE = r"(?i)(?:(?:Iowa Code\s+)?(?:§§?|\bsec(?:tion|s\.?|\.)?\b|\bI\.?C\.?\b|\bch(?:apter|\.)?\b)\s*)?\d+[A-Z]?(?:\.\w+)?(?:\s*\([^)]+\))*"
+#: The shape of a citation, with the word characters of any script spelled out.
+_FREE = "(?i)" + citations.FREE_TEXT.replace(r"\w", r"[\pL\pN_]")
 _CITED = rf"""
  raws AS (SELECT text_id, source, unnest(regexp_extract_all(body, '{_FREE}')) AS raw FROM briefs),
- cited AS (SELECT text_id, source, trim(raw) AS raw, regexp_extract(raw, '(?i)\d+[A-Z]?(?:\.\w+)?') AS path, regexp_extract(raw, '(?i)\d+[A-Z]?') AS chapter,
+ cited AS (SELECT text_id, source, trim(raw) AS raw, regexp_extract(raw, '(?i)\d+[A-Z]?(?:\.[\pL\pN_]+)?') AS path, regexp_extract(raw, '(?i)\d+[A-Z]?') AS chapter,
    NOT regexp_matches(trim(raw), '(?i)^\d') AS signed FROM raws WHERE length(trim(raw)) >= 2),
  resolved AS (SELECT c.*, contains(c.path, '.') AS is_section, n.node_id, n.path AS found, n.is_repealed, v.version_id
    FROM cited c LEFT JOIN nodes n ON n.source = c.source AND n.path = c.path
@@ -38,22 +41,29 @@ _CITED = rf"""
    (SELECT *, row_number() OVER (PARTITION BY source, parent_path ORDER BY path) AS k FROM sections) WHERE k <= 5 GROUP BY ALL),
  checked AS (SELECT r.*, CASE WHEN found IS NULL THEN 'not_found' WHEN is_repealed OR (is_section AND version_id IS NULL) THEN 'repealed' ELSE 'valid' END AS status FROM resolved r)"""
 _SNAPSHOT = f"""
- snapshot AS (SELECT {_CH} || '.' || CASE WHEN doc_id % 13 = 0 THEN doc_id + 10000000 ELSE doc_id END AS path, {_CH} AS chapter,
+ base AS (SELECT doc_id, lang AS source, {_CH} || '.' || CASE WHEN doc_id % 13 = 0 THEN doc_id + 10000000 ELSE doc_id END AS path, {_CH} AS chapter,
    substr(split_part(text, chr(10), 1), 1, 500) AS heading, CASE WHEN doc_id % 7 = 0 THEN 'AMENDED ' || text ELSE text END AS body
    FROM documents WHERE doc_id % 10 <> 0),
- covered AS (SELECT DISTINCT path AS chapter FROM tops WHERE NOT contains(path, '3')),
- both_sides AS (SELECT coalesce(p.path, s.path) AS path, p.path IS NULL AS missing, s.path IS NULL AS new, s.is_repealed, sha256(p.body) AS content_hash, v.content_hash AS prior_hash
-   FROM snapshot p FULL JOIN (sections s JOIN versions v USING (node_id)) ON p.path = s.path),
- changes AS (SELECT path, CASE WHEN missing THEN 'repealed' WHEN new THEN 'added' WHEN content_hash = prior_hash THEN 'unchanged' ELSE 'amended' END AS kind, content_hash
-   FROM both_sides WHERE NOT missing OR (NOT is_repealed AND split_part(path, '.', 1) IN (SELECT chapter FROM covered)))"""
+ snapshot AS (SELECT source, path, chapter, heading, body FROM base UNION ALL SELECT source || '2', path, chapter, heading, body FROM base WHERE doc_id % 17 = 0),
+ covered AS (SELECT source, path AS chapter FROM tops WHERE NOT contains(path, '3') UNION ALL SELECT source || '2', path FROM tops WHERE NOT contains(path, '3')),
+ both_sides AS (SELECT coalesce(p.source, s.source) AS source, coalesce(p.path, s.path) AS path, p.path IS NULL AS missing, s.path IS NULL AS new, s.is_repealed, sha256(p.body) AS content_hash, v.content_hash AS prior_hash
+   FROM snapshot p FULL JOIN (sections s JOIN versions v USING (node_id)) ON p.path = s.path AND p.source = s.source),
+ changes AS (SELECT source, path, CASE WHEN missing THEN 'repealed' WHEN new THEN 'added' WHEN content_hash = prior_hash THEN 'unchanged' ELSE 'amended' END AS kind, content_hash
+   FROM both_sides WHERE NOT missing OR (NOT is_repealed AND EXISTS (SELECT 1 FROM covered c WHERE c.source = both_sides.source AND c.chapter = split_part(both_sides.path, '.', 1))))"""
+_ISSUES = """
+ issues AS (
+ SELECT 'error' AS severity, 'missing_heading' AS code FROM snapshot WHERE trim(heading) = ''
+ UNION ALL SELECT 'error', 'duplicate_path' FROM snapshot GROUP BY source, path HAVING count(*) > 1
+ UNION ALL SELECT 'error', 'unannounced_repeal_wave' FROM changes HAVING count(*) FILTER (WHERE kind = 'repealed') > 0.1 * count(*)
+ {0})"""
 _COSINE = """
  near AS (SELECT a.vec_id AS query_id, b.vec_id AS version_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
-   FROM embeddings a, embeddings b WHERE a.vec_id < 4)"""
+   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"""
 _JUDGED = (
     _COSINE
     + """,
  top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS k FROM near) WHERE k <= 5),
- want AS (SELECT a.vec_id AS query_id, b.vec_id AS version_id, a.label FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 4 AND b.vec_id % 2 = 0),
+ want AS (SELECT a.vec_id AS query_id, b.vec_id AS version_id, a.label FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 200 WHERE a.vec_id % 20 = 0),
  judged AS (SELECT w.query_id, any_value(w.label) AS label, count(*) AS n_available, count(t.version_id) AS n_matched
    FROM want w LEFT JOIN top5 t USING (query_id, version_id) GROUP BY w.query_id),
  scores AS (SELECT *, n_matched / 5.0 AS precision, n_matched / n_available AS recall, n_matched > 0 AS hit FROM judged)"""
@@ -61,7 +71,7 @@ _JUDGED = (
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 _TURNS = """
- last_user AS (SELECT conv_id, substr(coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), ''), 1, 30) AS question FROM conversations GROUP BY conv_id),
+ last_user AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS question FROM conversations GROUP BY conv_id),
  turns AS (SELECT conv_id AS turn_id, question, conv_id % 5 > 0 AS searched, conv_id % 3 > 0 AS has_hits,
    CASE WHEN conv_id % 2 = 0 THEN 'see § ' || conv_id ELSE 'nothing' END AS answer, CASE WHEN conv_id % 4 = 0 THEN 'out_of_scope' ELSE 'question' END AS kind FROM last_user),
  found AS (SELECT *, CASE WHEN searched AND has_hits THEN [CAST(turn_id AS VARCHAR), CAST(turn_id + 1 AS VARCHAR)] ELSE [] END AS paths FROM turns),
@@ -121,33 +131,31 @@ WHERE review_status = 'approved' AND effective_from <= day AND (effective_to IS
     + """, top AS (SELECT * FROM histories WHERE review_status = 'approved' AND effective_from >= DATE '2024-02-01' ORDER BY effective_from DESC, version_id DESC LIMIT 100)
 SELECT version_id, CAST(node_id AS VARCHAR) AS path, CASE WHEN node_id % 7 = 0 AND effective_to IS NOT NULL THEN 'repealed'
  WHEN EXISTS (SELECT 1 FROM histories h WHERE h.node_id = top.node_id AND h.effective_from < top.effective_from) THEN 'amended' ELSE 'new' END AS kind FROM top""",
-    "c5_diff": _with(_NODES, _VERSIONS, _SNAPSHOT) + "SELECT path, kind FROM changes",
+    "c5_diff": _with(_NODES, _VERSIONS, _SNAPSHOT) + "SELECT source, path, kind FROM changes",
     "c7_summary": _with(_NODES, _VERSIONS, _SNAPSHOT)
     + """SELECT count(*) FILTER (WHERE kind = 'added') AS n_added, count(*) FILTER (WHERE kind = 'amended') AS n_amended, count(*) FILTER (WHERE kind = 'repealed') AS n_repealed,
  count(*) FILTER (WHERE kind = 'unchanged') AS n_unchanged, count(*) FILTER (WHERE kind <> 'unchanged') = 0 AS is_empty FROM changes""",
     "c8_applied_versions": _with(_NODES, _VERSIONS, _SNAPSHOT)
-    + """SELECT v.content_hash, effective_from, CASE WHEN kind IN ('amended', 'repealed') THEN DATE '2026-01-01' END AS effective_to, review_status
- FROM versions v JOIN sections s USING (node_id) LEFT JOIN changes c ON c.path = s.path
-UNION ALL SELECT sha256(body), DATE '2026-01-01', NULL, 'pending' FROM snapshot JOIN changes USING (path) WHERE kind IN ('added', 'amended')""",
+    + """SELECT v.content_hash, effective_from, CASE WHEN kind IN ('amended', 'repealed') THEN DATE '2026-01-01' END AS effective_to, review_status, CAST(NULL AS VARCHAR) AS enacted_by
+ FROM versions v JOIN sections s USING (node_id) LEFT JOIN changes c ON c.path = s.path AND c.source = s.source
+UNION ALL SELECT sha256(body), DATE '2026-01-01', NULL, 'pending', '' FROM snapshot JOIN changes USING (source, path) WHERE kind IN ('added', 'amended')""",
+    "c8_run": _with(_NODES, _VERSIONS, _SNAPSHOT, _ISSUES.format(""))
+    + """SELECT CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'failed' ELSE 'applied' END AS status, (SELECT count(*) FROM changes WHERE kind = 'added') AS n_added, (SELECT count(*) FROM changes WHERE kind = 'amended') AS n_amended,
+ (SELECT count(*) FROM changes WHERE kind = 'repealed') AS n_repealed, (SELECT count(*) FROM changes WHERE kind = 'unchanged') AS n_unchanged, count(*) FILTER (WHERE severity = 'error') AS n_errors, count(*) FILTER (WHERE severity = 'warning') AS n_warnings FROM issues""",
     "c9_applied_nodes": _with(_NODES, _VERSIONS, _SNAPSHOT)
-    + """, moved AS (SELECT s.* FROM snapshot s JOIN changes c USING (path) WHERE kind IN ('added', 'amended')),
- wanted AS (SELECT path, chapter, heading FROM moved UNION ALL SELECT chapter, NULL, 'Title ' || chapter FROM covered),
- merged AS (SELECT coalesce(n.path, w.path) AS path, coalesce(n.parent_path, w.chapter) AS parent_path, coalesce(w.heading, n.heading) AS heading, w.path IS NOT NULL AND w.chapter IS NOT NULL AS revived, coalesce(n.is_repealed, false) AS flag
-   FROM nodes n FULL JOIN wanted w ON n.path = w.path)
-SELECT m.path, parent_path, CASE WHEN c.kind = 'repealed' THEN true WHEN revived THEN false ELSE flag END AS is_repealed, sha256(heading) AS heading_hash FROM merged m LEFT JOIN (SELECT * FROM changes WHERE kind = 'repealed') c ON c.path = m.path""",
+    + """, moved AS (SELECT s.* FROM snapshot s JOIN changes c USING (source, path) WHERE kind IN ('added', 'amended')),
+ wanted AS (SELECT source, path, chapter, heading, false AS flag FROM moved UNION ALL SELECT source, chapter, NULL, 'Title ' || chapter, contains(chapter, '2') FROM covered),
+ merged AS (SELECT coalesce(n.source, w.source) AS source, coalesce(n.path, w.path) AS path, coalesce(n.parent_path, w.chapter) AS parent_path, coalesce(w.heading, n.heading) AS heading, coalesce(w.flag, n.is_repealed, false) AS flag
+   FROM nodes n FULL JOIN wanted w ON n.path = w.path AND n.source = w.source)
+SELECT m.source, m.path, parent_path, coalesce(c.kind = 'repealed', flag) AS is_repealed, sha256(heading) AS heading_hash FROM merged m LEFT JOIN (SELECT * FROM changes WHERE kind = 'repealed') c ON c.path = m.path AND c.source = m.source""",
     "c11_review": _with(_NODES, _VERSIONS)
     + """SELECT CASE WHEN version_id % 3 = 0 AND review_status = 'pending' THEN 'approved' ELSE review_status END AS review_status,
  CASE WHEN version_id % 3 = 0 THEN CASE WHEN review_status = 'pending' THEN 'changed' ELSE 'skipped' END END AS review_outcome, count(*) AS n FROM versions GROUP BY ALL""",
-    "c12_issues": _with(_NODES, _VERSIONS, _SNAPSHOT)
-    + """, issues AS (
- SELECT 'error' AS severity, 'missing_heading' AS code FROM snapshot WHERE trim(heading) = ''
- UNION ALL SELECT 'error', 'duplicate_path' FROM snapshot GROUP BY path HAVING count(*) > 1
- UNION ALL SELECT 'error', 'unannounced_repeal_wave' FROM changes HAVING count(*) FILTER (WHERE kind = 'repealed') > 0.1 * count(*)
- UNION ALL SELECT 'warning', 'unresolved_cross_reference' FROM snapshot WHERE chapter || '.1' NOT IN (SELECT path FROM snapshot))
-SELECT severity, code, count(*) AS n FROM issues GROUP BY ALL""",
+    "c12_issues": _with(_NODES, _VERSIONS, _SNAPSHOT, _ISSUES.format("UNION ALL SELECT 'warning', 'unresolved_cross_reference' FROM snapshot WHERE source || ' ' || chapter || '.1' NOT IN (SELECT source || ' ' || path FROM snapshot)"))
+    + "SELECT severity, code, count(*) AS n FROM issues GROUP BY ALL",
     "d1_postings": f"""
-WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS lexeme FROM documents WHERE lang = 'en')
-SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY lexeme HAVING df >= 3""",
+WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS lexeme FROM documents)
+SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY lexeme""",
     "d2_simple_match": _with(_NODES, _VERSIONS)
     + rf""", docs AS (SELECT version_id, list_concat({_WORDS.format("heading")}, {_WORDS.format("body")}) AS w FROM shown)
 SELECT 0 AS query_id, version_id FROM docs WHERE list_contains(w, 'the') AND list_contains(w, 'that')
@@ -161,9 +169,13 @@ UNION ALL SELECT 3, version_id FROM docs WHERE list_contains(w, 'and') AND NOT l
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS rank FROM s WHERE score >= 0.1)
 SELECT query_id, version_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""",
     "d4_vector": _with(_COSINE) + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS k FROM near) SELECT query_id, version_id, round(score, 6) AS score FROM r WHERE k <= 10",
-    "d5_fusion": _with(_COSINE)
-    + """, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS k FROM near) WHERE k <= 30),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS k FROM near WHERE version_id % 3 = 0) WHERE k <= 30),
+    "d5_fusion": _with(_NODES, _VERSIONS)
+    + f""", queries AS (SELECT unnest([0, 1, 2, 3]) AS query_id, unnest(['the and of', 'der die und', 'de la que', 'erst']) AS query),
+ q AS (SELECT query_id, {_TRIGRAMS.format("query")} AS a FROM queries), d AS (SELECT version_id, {_TRIGRAMS.format("heading")} AS b, {_TRIGRAMS.format("body")} AS c FROM shown),
+ s AS (SELECT query_id, version_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS h, len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) AS t FROM q, d),
+ one AS (SELECT query_id, version_id, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, version_id) AS k FROM s WHERE h >= 0.1),
+ two AS (SELECT query_id, version_id, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, version_id) AS k FROM s WHERE t > 0),
+ a AS (SELECT * FROM one WHERE k <= 30), b AS (SELECT * FROM two WHERE k <= 30),
  f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.version_id, b.version_id) AS version_id, coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0) AS score,
    CASE WHEN a.k IS NULL THEN 1 ELSE 0 END AS list, coalesce(a.k, b.k) AS k FROM a FULL JOIN b ON a.query_id = b.query_id AND a.version_id = b.version_id)
 SELECT query_id, version_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list, k, version_id) AS rank FROM f""",
@@ -177,10 +189,12 @@ SELECT query_id, version_id, round(score, 9) AS score, row_number() OVER (PARTIT
 SELECT s.node_id AS query_id, CASE s.node_id % 4 WHEN 0 THEN CASE WHEN h.version_id IS NULL THEN 'no_version' ELSE 'section' END WHEN 1 THEN 'missing' WHEN 2 THEN 'chapter' ELSE 'parse_error' END AS outcome,
  CASE WHEN s.node_id % 4 = 0 THEN h.version_id END AS version_id, CASE WHEN s.node_id % 4 = 2 THEN z.n ELSE 0 END AS n_sections, CASE WHEN s.node_id % 4 = 1 THEN near.candidates ELSE '' END AS candidates
 FROM sections s LEFT JOIN shown h USING (node_id) JOIN near ON near.source = s.source AND near.parent_path = s.parent_path JOIN sized z ON z.source = s.source AND z.parent_path = s.parent_path WHERE s.node_id > 0""",
+    "e6_chapter_sections": _with(_NODES) + "SELECT source, parent_path AS chapter, path FROM sections s WHERE NOT is_repealed AND EXISTS (SELECT 1 FROM sections q WHERE q.source = s.source AND q.parent_path = s.parent_path AND q.node_id > 0 AND q.node_id % 4 = 2)",
     "e7_lookup_any_source": _with(_NODES, _VERSIONS)
-    + """SELECT s.node_id AS query_id, CASE WHEN s.node_id % 4 = 0 AND h.version_id IS NOT NULL THEN s.source ELSE (SELECT min(lang) FROM documents) END AS source,
- CASE WHEN s.node_id % 4 = 1 THEN 'missing' WHEN h.version_id IS NOT NULL THEN 'section' WHEN s.source = (SELECT min(lang) FROM documents) THEN 'no_version' ELSE 'missing' END AS outcome
-FROM sections s LEFT JOIN shown h USING (node_id) WHERE s.node_id > 0 AND s.node_id % 4 <= 1""",
+    + """, first AS (SELECT min(lang) AS s FROM documents), tops_of AS (SELECT path, min(source) AS s FROM tops GROUP BY path)
+SELECT s.node_id AS query_id, CASE s.node_id % 4 WHEN 0 THEN CASE WHEN h.version_id IS NULL THEN first.s ELSE s.source END WHEN 2 THEN tops_of.s ELSE first.s END AS source,
+ CASE s.node_id % 4 WHEN 0 THEN CASE WHEN h.version_id IS NOT NULL THEN 'section' WHEN s.source = first.s THEN 'no_version' ELSE 'missing' END WHEN 1 THEN 'missing' WHEN 2 THEN 'chapter' ELSE 'parse_error' END AS outcome
+FROM sections s LEFT JOIN shown h USING (node_id) JOIN tops_of ON tops_of.path = s.parent_path CROSS JOIN first WHERE s.node_id > 0""",
     "e8_links": _with(_NODES, _VERSIONS, _BRIEFS, _CITED) + "SELECT DISTINCT text_id * 3 AS node_id, raw, path AS target_path FROM checked WHERE status = 'valid' AND (is_section OR signed) AND coalesce(node_id, -1) <> text_id * 3",
     "e9_edges": _with(_NODES, _VERSIONS, _BRIEFS, _CITED) + "SELECT DISTINCT text_id AS from_version, checked.path AS to_path FROM checked JOIN shown h ON h.version_id = text_id WHERE status = 'valid' AND (is_section OR signed) AND coalesce(checked.node_id, -1) <> text_id",
     "e10_references": _with(_NODES, _VERSIONS)
@@ -193,9 +207,7 @@ UNION ALL SELECT 'incoming', version_id, node_id FROM shown WHERE version_id % 5
     "f5_audit": _with(_NODES, _VERSIONS, _BRIEFS, _CITED) + "SELECT DISTINCT text_id, version_id, v.effective_from FROM checked JOIN versions v USING (version_id) WHERE v.effective_from >= DATE '2024-06-01'",
     "f7_definitions": _with(_NODES, _VERSIONS)
     + """, first AS (SELECT * FROM shown ORDER BY source, path LIMIT 25)
-SELECT node_id, '"Fast reason"' AS term, """
-    + _STRIP.format("""replace(substr(body, 1, 40), '.', '') || '.'""")
-    + " AS definition FROM first",
+SELECT node_id, '"Fast reason"' AS term, 'body ' || node_id || '.' AS definition FROM first""",
     "g1_sources": _with(_NODES) + "SELECT source, count(*) FILTER (WHERE parent_path IS NULL) AS n_chapters, count(*) FILTER (WHERE parent_path IS NOT NULL AND NOT is_repealed) AS n_sections FROM nodes GROUP BY source",
     "g2_chapters": _with(_NODES)
     + """, n AS (SELECT source, parent_path, count(*) FILTER (WHERE NOT is_repealed) AS n_sections FROM sections GROUP BY ALL)

@@ -56,36 +56,59 @@ def test_review(spark):
 
 
 def test_ingest_twice_amend_and_repeal(spark):
-    chapters = spark.createDataFrame([("1", "General")], "chapter string, title string")
+    """Two sources with equal paths, four snapshots: b is repealed and comes back, a goes to AMENDED a and back to a."""
+    chapters = spark.createDataFrame([("x", "1", "General", False, "m"), ("y", "1", "Other", True, "m")], "source string, chapter string, title string, reserved boolean, metadata string")
 
     def snap(**bodies):
-        return spark.createDataFrame([(f"1.{k[1:]}", "1", f"Head {k}", b, b) for k, b in bodies.items()], "path string, chapter string, heading string, body string, content_hash string")
+        rows = [(s, f"1.{k[1:]}", "1", f"Head {k}", b, b, [f"note {b}"]) for s in "xy" for k, b in bodies.items() if s == "x" or k == "s1"]
+        return spark.createDataFrame([(*r[:4], r[4] if r[0] == "x" else "y text", r[5] if r[0] == "x" else "y text", r[6]) for r in rows], "source string, path string, chapter string, heading string, body string, content_hash string, history_brackets array<string>")
 
-    nodes, v = spark.createDataFrame([], NODE).drop("source"), versions(spark, [])
-    for step, (day, bodies, want) in enumerate([("2025-01-01", dict(s1="a", s2="b"), (2, 0, 0, 0)), ("2025-02-01", dict(s1="a", s2="b"), (0, 0, 0, 2)), ("2025-03-01", dict(s1="AMENDED a"), (0, 1, 1, 0)), ("2025-04-01", dict(s1="AMENDED a", s2="b"), (1, 0, 0, 1))]):
+    nodes, v = spark.createDataFrame([], NODE), versions(spark, [])
+    steps = [("2025-01-01", dict(s1="a", s2="b"), (3, 0, 0, 0)), ("2025-02-01", dict(s1="a", s2="b"), (0, 0, 0, 3)), ("2025-03-01", dict(s1="AMENDED a"), (0, 1, 1, 1)), ("2025-04-01", dict(s1="a", s2="b"), (1, 1, 0, 1))]
+    for step, (day, bodies, want) in enumerate(steps):
         p, date = snap(**bodies), F.lit(day).cast("date")
         changes = ingest.diff(p, chapters, nodes, v)
         s = ingest.summary(changes).first()
         assert (s.n_added, s.n_amended, s.n_repealed, s.n_unchanged) == want, step
-        after = spark.createDataFrame(ingest.apply_nodes(nodes, p, chapters, changes).collect(), "node_id long, path string, parent_path string, heading string, is_repealed boolean")
-        v = spark.createDataFrame(ingest.apply_versions(v, after, p, changes, date).select(*v.columns).collect(), VERSION)
-        nodes = after
-    rows = {(r.body, r.effective_from, r.effective_to, r.review_status) for r in v.collect()}
-    assert rows == {("a", D(2025, 1, 1), D(2025, 3, 1), "pending"), ("b", D(2025, 1, 1), D(2025, 3, 1), "pending"), ("AMENDED a", D(2025, 3, 1), None, "pending"), ("b", D(2025, 4, 1), None, "pending")}
-    assert {r.path: r.is_repealed for r in nodes.collect()} == {"1": False, "1.1": False, "1.2": False}
+        run = ingest.run_row(changes, ingest.validate(p, changes), date, date).first()
+        assert (run.status, run.n_errors) == (("failed", 1) if step == 2 else ("applied", 0))  # one of three repealed
+        after = ingest.apply_nodes(nodes, p, chapters, changes)
+        nodes = spark.createDataFrame(after.collect(), after.schema)
+        new = ingest.apply_versions(v, nodes, p, changes, date)
+        v = spark.createDataFrame(new.collect(), new.schema)
+    where = {r.node_id: (r.source, r.path) for r in nodes.collect()}
+    assert len(where) == nodes.count() == 5 and set(where.values()) == {("x", "1"), ("x", "1.1"), ("x", "1.2"), ("y", "1"), ("y", "1.1")}
+    rows = v.collect()
+    got = {(*where[r.node_id], r.body, r.effective_from, r.effective_to, r.review_status, r.enacted_by) for r in rows}
+    pending = lambda *x: (*x[:5], "pending", x[5])
+    assert len(rows) == len(got) == len({r.version_id for r in rows}) == 6
+    assert got == {
+        pending("x", "1.1", "a", D(2025, 1, 1), D(2025, 3, 1), "note a"),
+        pending("x", "1.1", "AMENDED a", D(2025, 3, 1), D(2025, 4, 1), "note AMENDED a"),
+        pending("x", "1.1", "a", D(2025, 4, 1), None, "note a"),
+        pending("x", "1.2", "b", D(2025, 1, 1), D(2025, 3, 1), "note b"),
+        pending("x", "1.2", "b", D(2025, 4, 1), None, "note b"),
+        pending("y", "1.1", "y text", D(2025, 1, 1), None, "note a"),
+    }
+    started = {r.version_id: r.effective_from for r in rows}
+    assert [started[i] for i in sorted(started)] == sorted(started.values())  # later snapshots have greater ids
+    assert {(r.source, r.path): (r.is_repealed, r.metadata) for r in nodes.collect() if r.parent_path is None} == {("x", "1"): (False, "m"), ("y", "1"): (True, "m")}
+    assert not any(r.is_repealed for r in nodes.collect() if r.parent_path)
+    (outcome,) = {r.review_outcome for r in temporal.review(v, v.where("effective_to is null").select("version_id"), "approved").where("effective_to is null").collect()}
+    assert outcome == "changed"
 
 
 def test_issues(spark):
-    changes = lambda *kinds: spark.createDataFrame([(f"1.{i}", k, "x", p) for i, (k, p) in enumerate(kinds)], "path string, kind string, content_hash string, prior_hash string")
-    parsed = spark.createDataFrame([("1.1", " "), ("1.2", "h"), ("1.2", "h")], "path string, heading string")
+    changes = lambda *kinds: spark.createDataFrame([("x", f"1.{i}", k, "x", p) for i, (k, p) in enumerate(kinds)], "source string, path string, kind string, content_hash string, prior_hash string")
+    parsed = spark.createDataFrame([("x", "1.1", " "), ("x", "1.2", "h"), ("x", "1.2", "h"), ("y", "1.1", "h")], "source string, path string, heading string")
     codes = lambda df: sorted((r.severity, r.code) for r in df.collect())
     assert codes(ingest.validate(parsed, changes(("unchanged", "x")))) == [("error", "duplicate_path"), ("error", "missing_heading")]
-    fine = spark.createDataFrame([("1.1", "h")], "path string, heading string")
+    fine = spark.createDataFrame([("x", "1.1", "h")], "source string, path string, heading string")
     assert codes(ingest.validate(fine, changes(("added", None), *[("repealed", "x")] * 5))) == [("error", "unannounced_repeal_wave")]
     assert codes(ingest.validate(fine, changes(*[("added", None)] * 100, ("repealed", "x")))) == []
     assert codes(ingest.validate(fine, changes(*[("added", None)] * 9, ("repealed", "x")))) == []
     assert codes(ingest.validate(fine, changes(("unchanged", "y"), ("amended", "x")))) == [("error", "hash_drift_amended"), ("error", "hash_drift_unchanged")]
-    refs = spark.createDataFrame([("1.1", "1.1"), ("1.1", "9.9")], "path string, reference string")
+    refs = spark.createDataFrame([("x", "1.1", "1.1"), ("x", "1.1", "9.9")], "source string, path string, reference string")
     chapters = spark.createDataFrame([("1", False, 0), ("2", True, 0), ("3", False, 4)], "chapter string, reserved boolean, n_rules long")
     assert codes(ingest.validate(fine, changes(("unchanged", "x")), refs, chapters)) == [("warning", "unparsed_content_chapter"), ("warning", "unresolved_cross_reference")]
 
@@ -97,7 +120,13 @@ def test_lookup(spark, law):
     got = {r.query: r for r in links.lookup(q, nodes, v).collect()}
     assert {t: r.outcome for t, r in got.items()} == asked
     assert got["714.404"].candidates == ["714.1", "714.16", "714.2", "714.8", "714.99"]
-    assert got["chapter 714"].sections == ["714.1", "714.2", "714.8", "714.16"]
+    assert got["chapter 714"].n_sections == 4 and got["714.16"].n_sections == 0
+    assert [tuple(r) for r in links.chapter_sections(links.lookup(q, nodes, v), nodes).collect()] == [("code", "714", p) for p in ("714.1", "714.2", "714.8", "714.16")]
+    known = spark.createDataFrame([("code",)], "source string")
+    both = q.unionByName(q.selectExpr("query_id + 100 as query_id", "'elsewhere' as source", "query"))
+    outcomes = {r.query_id: r.outcome for r in links.lookup(both, nodes, v, sources=known).collect()}
+    assert [outcomes[i] for i in range(len(asked))] == list(asked.values())
+    assert {outcomes[100 + i] for i, t in enumerate(asked) if t != "nothing"} == {"unknown_source"}
     sources = spark.createDataFrame([("code",), ("rules",)], "source string")
     any_source = links.lookup_any_source(spark.createDataFrame([(1, "32:1.7"), (2, "714.1"), (3, "9.9")], "query_id long, query string"), sources, nodes, v)
     assert {r.query_id: (r.source, r.outcome) for r in any_source.collect()} == {1: ("rules", "section"), 2: ("code", "section"), 3: ("code", "missing")}
@@ -163,6 +192,39 @@ def test_postings_keep_positions(spark):
     assert got == {"consum": [(1, "A")], "fraud": [(2, "A")], "act": [(6, "B")], "decept": [(8, "B")], "practic": [(9, "B")]}
 
 
+def test_postings_match_plain_words(spark, sf_dir):
+    rows = [(r.doc_id, r.lang, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(-1, None, None), (-2, "", ""), (-3, "A b", "b a")]
+    d = spark.createDataFrame(rows, "version_id long, heading string, body string").withColumn("copy", F.lit("x"))
+    for english in (False, True):
+        want = {}
+        for i, h, b in rows:
+            head = re.findall(r"[^\W_]+", (h or "").lower())
+            for k, w in enumerate(head + re.findall(r"[^\W_]+", (b or "").lower()), 1):
+                if not english or w not in fulltext.STOP_WORDS:
+                    want.setdefault((i, fulltext.stem(w) if english else w), []).append((k, "A" if k <= len(head) else "B"))
+        post = fulltext.postings(d, "version_id", "copy", english=english)
+        assert {(r.version_id, r.lexeme): [tuple(x) for x in r.at] for r in post.collect()} == want
+        assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_index(spark, law, tmp_path):
+    nodes, v = law
+    post = fulltext.postings(retrieval.searchable(nodes, v), "version_id")
+    fulltext.write_postings(post, str(tmp_path / "index"))
+    stored = fulltext.read_postings(spark, str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "deceptive practices"), (2, "theft or lawyers")], "query_id long, query string")
+    rows = lambda p, **k: sorted(map(tuple, fulltext.search(p, q, **k).collect()))
+    assert rows(stored) == rows(post) != []
+    assert [r[:3] for r in rows(stored)] == rows(stored, limit=None)
+    assert re.search(r"PushedFilters: \[[^]]*lexeme", fulltext.search(stored, q)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_synonyms(spark):
+    q = spark.createDataFrame([(1, "Lawyer fees"), (2, "none")], "query_id long, query string")
+    table = spark.createDataFrame([("lawyer", "counsel"), ("lawyer", "attorney"), ("Fees", "costs")], "term string, synonym string")
+    assert [r.query for r in retrieval.expanded(q, synonyms=table).orderBy("query_id").collect()] == ["Lawyer fees attorney costs counsel", "none"]
+
+
 def test_fulltext(spark, law):
     nodes, v = law
     post = fulltext.postings(retrieval.searchable(nodes, v), "version_id")
@@ -202,13 +264,20 @@ def test_fusion(spark):
     assert [r.version_id for r in tie] == [7, 3]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.RandomState(0)
     m = rng.randn(40, 8)
     d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(98, None), (99, [0.0] * 8)], "version_id long, embedding array<double>")
-    got = retrieval.vector_search(d, m[:3], [0, 1, 2], limit=5).orderBy("query_id", "rank").collect()
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    assert [r.version_id for r in got] == [int(i) for q in range(3) for i in np.argsort(-(unit @ unit[q]))[:5]]
+    twins = d.unionByName(d.selectExpr("version_id + 1000 as version_id", "embedding")).repartition(3)
+    q = d.withColumnRenamed("version_id", "query_id")
+    for block, rows in ((2_048, 4_096), (7, 5)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "VECTOR_ROWS", rows)
+        got = retrieval.vector_search(twins, q, limit=5).orderBy("query_id", "rank").collect()
+        near = [[int(i) for i in np.argsort(-(unit @ unit[k]))[:3]] for k in range(40)]
+        assert [r.version_id for r in got] == [i for a, b, c in near for i in (a, a + 1000, b, b + 1000, c)]
+    assert retrieval.vector_search(d, q.limit(0)).count() == 0 == retrieval.vector_search(d.limit(0), q).count()
 
 
 def test_hybrid_hooks_and_pins(spark, law):
@@ -260,16 +329,16 @@ def test_scores(spark):
     assert got == {1: (0.5, 0.5, True), 2: (0.0, 0.0, False)}
 
 
-CALL = {"name": "search_statutes", "arguments": {"query": "q"}, "result": {"query": None, "hits": [{"path": "32:1.10", "citation": "R. 32:1.10", "heading": ""}], "section": None, "chapter": None, "sections": None}}
+CALL = {"name": "search", "arguments": {"query": "q"}, "result": {"query": None, "hits": [{"path": "32:1.10", "citation": "R. 32:1.10", "heading": ""}], "section": None, "chapter": None, "sections": None}}
 BARE = {**CALL, "result": {**CALL["result"], "hits": []}}
-OTHER = {**BARE, "name": "lookup_citation", "result": {**BARE["result"], "section": "9.1"}}
+OTHER = {**BARE, "name": "lookup", "result": {**BARE["result"], "section": "9.1"}}
 
 
 @pytest.mark.parametrize(("trace", "answer", "used"), [([CALL], "by 32:1.10", True), ([CALL], "nothing", False), ([BARE], "32:1.10", None), ([OTHER], "9.1", None), ([BARE, CALL], "R. 32:1.10", True), ([], "x", None), ([CALL], None, False)])
 def test_top_result_used(spark, trace, answer, used):
     turn = spark.createDataFrame([(1, trace, answer)], f"turn_id long, trace {evaluation.TRACE}, answer string")
     r = evaluation.derive_trace(turn).first()
-    assert r.top_result_used is used and r.num_searches == sum(c["name"] == "search_statutes" for c in trace) and r.num_tool_calls == len(trace)
+    assert r.top_result_used is used and r.num_searches == sum(c["name"] == "search" for c in trace) and r.num_tool_calls == len(trace)
 
 
 def test_paths_and_footers(spark):
