@@ -61,7 +61,8 @@ def plain_spans(text: str) -> list[Span]:
             free = at + 1
         at = text.find("@", free)
     for m in _IP.finditer(text):
-        if all(len(p) <= 4300 and int(p) <= 255 for p in m[0].split(".")):
+        # Only the value counts, however many zeros lead it.
+        if all(len(v) <= 3 and int(v or "0") <= 255 for v in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
@@ -120,8 +121,17 @@ LOOK_ALIKES = dict(zip(
 DASHES = "‐‑‒–—―−"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = "­​‌‍⁠﻿"
-# Names of digits and of signs.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Names of digits in English, German, French and Spanish, and of signs.
+DIGITS = {
+    name: digit
+    for names in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for digit, name in zip("0123456789", names.split())
+} | {"oh": "0", "zwo": "2"}
 TOP_DOMAINS = "com|org|net|edu|gov|info|biz|io|co|dev|app|uk|de|fr|es|eu|us|ca|example|test"
 
 
@@ -155,7 +165,8 @@ def _class_of(chars: str) -> str:
     return "".join(out)
 
 
-_NUMBER = "(?:(?:double |triple )?(?:" + "|".join(DIGITS) + "))"
+_NAMES = "|".join(sorted(DIGITS, key=len, reverse=True))  # "un" must not cut "uno" short
+_NUMBER = f"(?:(?:double |triple )?(?:{_NAMES}))"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT = rf"(?:\x20{{0,3}}{_OPEN}\x20{{0,3}}(?:dot|punto|punkt|point|\.)\x20{{0,3}}{_CLOSE}\x20{{0,3}}|\x20{{1,3}}(?:dot|punto|punkt)\x20{{1,3}}|_(?:dot|punto|punkt)_)"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
@@ -164,12 +175,12 @@ _DISGUISE = re.compile(
     rf"|(?<=[A-Za-z0-9_])(?:\x20{{1,3}}(?:at|arroba)\x20{{1,3}}|_(?:at|arroba)_)(?={_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL}))"
     rf"|(?P<word>(?<=[A-Za-z0-9_])\x20(?:at|arroba)\x20(?=(?:{_LABEL}\.)+(?:{TOP_DOMAINS})(?![A-Za-z0-9-])))"
     rf"|(?P<dot>(?<=[A-Za-z0-9_]){_DOT}(?=[A-Za-z0-9]))"
-    rf"|(?P<plus>\b(?:plus)\x20{{1,3}}(?=[0-9]|{_NUMBER}\b)|{_OPEN}plus{_CLOSE}\x20{{0,3}})"
+    rf"|(?P<plus>\b(?:plus|más)\x20{{1,3}}(?=[0-9]|{_NUMBER}\b)|{_OPEN}plus{_CLOSE}\x20{{0,3}})"
     rf"|(?P<number>\b{_NUMBER}(?:[\x20-]{{1,2}}{_NUMBER})*\b)"
     r"|(?P<digits>(?<![A-Za-z0-9])(?=[0-9OoIl]*[0-9])[0-9OoIl]{2,}(?![A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_ONE_NUMBER = re.compile(r"(?:(double|triple) )?(" + "|".join(DIGITS) + ")", re.IGNORECASE)
+_ONE_NUMBER = re.compile(rf"(?:(double|triple) )?\b({_NAMES})\b", re.IGNORECASE)
 _IN_DIGITS = str.maketrans("OoIl", "0011")
 
 
@@ -203,16 +214,17 @@ def _hints() -> str:
 
     Each text that a transducer changes matches, but for lone names of digits: to be in a span of
     digits, a name must have a digit or another name behind or before blanks, dots, hyphens and brackets,
-    and in an address it only stands for itself.  RE2's ASCII ``\\b`` holds wherever Python's does here:
+    and in an address it only stands for itself, if it is ASCII (the others are hints).  RE2's ASCII ``\\b`` holds wherever Python's does here:
     letters beyond ASCII that equal ASCII ones without case are hints themselves.
     """
     alike = "".join(characters()) + "\u0130\u0131"
-    names, multiple, between = "|".join(DIGITS), "(double|triple) ", "[ ().-]+"
+    names, multiple, between = _NAMES, "(double|triple) ", "[ ().-]+"
     return (
         "[" + "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in _runs(alike)) + "]"
+        rf"|(?i:{'|'.join(n for n in DIGITS if not n.isascii())})"
         rf"|(?i:{_OPEN} {{0,3}}(at|arroba|@|dot|punto|punkt|point|plus|\.) {{0,3}}{_CLOSE}| (dot|punto|punkt) |_(dot|punto|punkt)_| @|@ "
         rf"|\b{multiple}({names})\b|\b({names}){between}([0-9]|({multiple})?({names})\b)|[0-9]{between}({names})\b"
-        rf"|\bplus {{1,3}}([0-9]|({multiple})?({names}))| (at|arroba) ([a-z0-9-]+\.)+({TOP_DOMAINS})"
+        rf"|\b(plus|más) {{1,3}}([0-9]|({multiple})?({names}))| (at|arroba) ([a-z0-9-]+\.)+({TOP_DOMAINS})"
         r"|(^|[^a-z0-9])[0-9oil]*([0-9][oil]|[oil][0-9])[0-9oil]*([^a-z0-9]|$))"
     )
 
@@ -309,7 +321,12 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask_private(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, with the personal data in ``text_col`` masked; null text stays null."""
+    """All columns of ``docs``, with the personal data in ``text_col`` masked.
+
+    Null text stays null and empty text empty.  Rows are read one by one, so
+    repeated rows, ties and other columns, whatever their names, stay as they
+    are; an empty table stays empty.
+    """
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

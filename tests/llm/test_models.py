@@ -1,5 +1,6 @@
 """Quality classifier, toxicity and personal data."""
 
+import random
 import hashlib
 import re
 
@@ -132,8 +133,6 @@ def plain(text):
 
 
 def private_texts(spark):
-    import random
-
     rng = random.Random(8)
     bits = ["a", "Z", ".", "@", "-", "_", "+", " ", "1", "23", "255", "4111 1111 1111 1111", "+1 (578) 555-6437", "10.0.0.1", "x.y@mail.com", "é", "(", ")", "\n", "%", "一"]
     return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(3000)] + [t for _, t in ODD if t] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
@@ -178,22 +177,66 @@ def test_disguises(text):
     assert set(base) <= set(spans)
 
 
-@pytest.mark.parametrize("text", ["john@exam\u00adple.com", "john@my\u2011company.com", "john\u00a0@\u00a0example.com", "+1\u00a0(415)\u00a0555-0132", "\u00a0".join(["four"] + ["one"] * 15), "one.two.three.four"])
+@pytest.mark.parametrize("text", ["john@exam\u00adple.com", "john@my\u2011company.com", "john\u00a0@\u00a0example.com", "+1\u00a0(415)\u00a0555-0132", "\u00a0".join(["four"] + ["one"] * 15), "one.two.three.four", "más uno dos tres cuatro cinco seis siete ocho nueve", "plus zwo vier neun fünf eins null null sechs acht", "zéro.un.deux.trois", "0" * 5000 + "1.oh.1.1"])
 def test_hints_miss_no_disguise(text):
     ((_, base, spans),) = pii.batch_spans(pa.array([text]))
     assert spans and spans == base + pii.disguised_spans(text, base)
 
 
-def test_hints_miss_no_random_disguise():
-    import random
+def planted(rng):
+    """(text, kind, disguised identifier) in prose of a random language."""
+    language = rng.randrange(4)
+    prose = [["call me at", "please write to", "my number is", "or so they say"], ["bitte anrufen unter", "schreib an", "meine Nummer ist", "so sagt man"], ["appelez le", "écrivez à", "mon numéro est", "comme on dit"], ["llama al", "escribe a", "mi número es", "eso dicen"]][language]
+    names = ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"][language].split()
+    digit = lambda: rng.choice("0123456789")
+    like = {v: k for k, v in pii.LOOK_ALIKES.items()}
+    kind = rng.choice(["email", "phone", "card", "ip"])
+    if kind == "email":
+        user, host, top = f"{rng.choice(['ana', 'jo.doe', 'k'])}{digit()}{digit()}", rng.choice(["mail", "example", "my-host"]), rng.choice(["com", "org", "de"])
+        how = rng.randrange(4)
+        if how == 0:
+            told = user + rng.choice([" [at] ", "(at)", " at ", "_at_", " arroba "]) + host + rng.choice([" dot ", "[dot]", " punkt ", " (punto) "]) + top
+        elif how == 1:
+            told = f"{user} @ {host}.{top}"
+        elif how == 2:
+            told = "".join(like.get(c, c) if rng.random() < 0.5 else c for c in f"{user}@{host}.{top}".replace("o", "\u043e").replace("a", "\u0430"))
+        else:
+            told = f"{user}@{host[:2]}\u200b{host[2:]}.{top}"
+    elif kind == "phone":
+        number = "".join(rng.choice("123456789") for _ in range(11))
+        told = rng.choice(["plus " + " ".join(names[int(c)] for c in number), "+" + " ".join(names[int(c)] if i > 2 else c for i, c in enumerate(number)), "\uff0b" + "".join(chr(0xFF10 + int(c)) for c in number), f"+{number[:2]}\u00a0{number[2:6]}\u2011{number[6:]}"])
+    elif kind == "card":
+        body = "4" + "".join(digit() for _ in range(14))
+        number = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        told = rng.choice([" ".join(names[int(c)] for c in number), "".join(chr(0x0660 + int(c)) for c in number), "\u2009".join(number[i : i + 4] for i in range(0, 16, 4)), number[:5] + "\u200b" + number[5:]])
+    else:
+        parts = [str(rng.randrange(10, 256)) for _ in range(4)]
+        told = rng.choice([" dot ", "[.]", " (punkt) "]).join(parts) if rng.random() < 0.5 else "\u3002".join(parts)
+    return f"{rng.choice(prose)} {told}, {rng.choice(prose)}.", kind, told
+
+
+def test_planted_disguises_are_found():
+    rng = random.Random(11)
+    cases = [planted(rng) for _ in range(600)]
+    found = exact = extra = 0
+    for (text, kind, told), (_, base, spans) in zip(cases, pii.batch_spans(pa.array([c[0] for c in cases]))):
+        a = text.index(told)
+        found += any(k == kind and x < a + len(told) and y > a for k, x, y in spans)
+        exact += (kind, a, a + len(told)) in spans
+        extra += any(y <= a or x >= a + len(told) for _, x, y in spans)
+    assert found >= 0.95 * len(cases) and exact >= 0.9 * len(cases) and extra <= 0.01 * len(cases), (found, exact, extra)
+    clean = ["un six et deux fois par an, trois quatre mots", "eins zwei drei Tage", "uno dos tres y ya", "see us at noon dot", "1 un 2 deux 3 trois"]
+    assert [s for _, _, s in pii.batch_spans(pa.array(clean))] == [[]] * len(clean)
 
+
+def test_hints_miss_no_random_disguise():
     rng = random.Random(11)
-    bits = ["a", "john", "@", ".", "-", "_", "+", " ", "  ", "1", "415", "255", "O", "l", "\u00a0", "\u2011", "\u00ad", "\u200b", "о", "４", "ı", "İ", "é", "ſ", "(", ")", "[", "]", "\n", "at", "dot", "plus", "arroba", "point", "double", "triple", "one", "five", "Zero", "oh", "com", ".com", "example", "4111 1111 1111 111", "10.0.0", "+1 (578) 555-64"]
+    bits = ["a", "john", "@", ".", "-", "_", "+", " ", "  ", "1", "415", "255", "O", "l", "\u00a0", "\u2011", "\u00ad", "\u200b", "о", "４", "ı", "İ", "é", "ſ", "(", ")", "[", "]", "\n", "at", "dot", "plus", "arroba", "point", "double", "triple", "one", "five", "Zero", "oh", "com", ".com", "example", "un", "zwei", "FÜNF", "más", "zéro", "cuatro", "4111 1111 1111 111", "10.0.0", "+1 (578) 555-64"]
     seen = 0
     for most in (8, 20, 40):
         texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, most))) for _ in range(15_000)]
         # Runs of one kind reach the long identifiers.
-        texts += ["".join(rng.choice(["one", "5", "four", "23", "O", "l", "double two", sep]) + sep for _ in range(rng.randint(3, 16))) for sep in (" ", "-", ".", "\u00a0", ") ", "  ", "\n", ". ", "\u2009", "") for _ in range(1_000)]
+        texts += ["".join(rng.choice(["one", "5", "four", "23", "O", "l", "double two", "siete", "vier", "uno", sep]) + sep for _ in range(rng.randint(3, 16))) for sep in (" ", "-", ".", "\u00a0", ") ", "  ", "\n", ". ", "\u2009", "") for _ in range(1_000)]
         texts += ["+" + t for t in texts[-10_000:]]
         for text, (_, base, spans) in zip(texts, pii.batch_spans(pa.array(texts))):
             assert base == pii.plain_spans(text), text
