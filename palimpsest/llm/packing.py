@@ -3,7 +3,9 @@
 Only lengths matter for packing, and there are at most ``size`` of them, so the
 plan is made on the histogram of lengths: how many sequences get which filling.
 The documents then find their places by their rank within their length, which
-is a count by (length, salt), a small running sum, and a window in each pair.
+is a count by (length, salt), a small running sum, and a window in each pair;
+a length has as many salts as its count asks for.  Pieces of the full length
+are sequences of their own and are not ranked.
 
 The plan is made by bin completion.  The largest length left is taken, and the
 search branches over the fillings around it, those of least waste first; sums
@@ -34,8 +36,8 @@ from .tokens import ENCODED_BYTES, library_encoder, slices
 
 #: Nodes of the search for a plan (fillings looked at), after which the best plan known is taken.
 SEARCH_NODES = 20_000
-#: Parts that each length is dealt to for ranking: by id, so that copies part too.
-SALTS = 64
+#: Windows in which pieces are ranked, beyond one for each length, and about the least pieces of a window.
+WINDOWS, WINDOW_ROWS = 50_000, 1_000
 
 
 def _add_sums(sums: int, x: int, n: int, room: int) -> int:
@@ -205,14 +207,14 @@ def slots_of(plan: list[tuple[list[int], int]], size: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, spread long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
     """Texts as ids with ``end_id``, longer ones cut so that all pieces but the first have ``size`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer)
+        encode, n = library_encoder(tokenizer), 0
         for batch in batches:
             for part in slices(batch, most=ENCODED_BYTES):
                 ids, bounds = encode(part.column(1).cast(pa.string()))
@@ -223,11 +225,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_i
                     for i, (a, b) in enumerate(zip(edges, edges[1:])):
                         raw = own[a:b].tobytes()
                         crc = zlib.crc32(raw)
-                        salt = ((doc or 0) * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F >> 32) % SALTS
-                        for c, v in zip(cols, (doc, i, a, b - a, crc, salt, raw)):
+                        n += 1
+                        # By id, text and place in the task, so that copies and null ids part too.
+                        spread = ((doc or 0) * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F + crc >> 24) & 0x7FFFFFFF
+                        for c, v in zip(cols, (doc, i, a, b - a, crc, spread, raw)):
                             c.append(v)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread", "ids"]
                 k = 7 if with_ids else 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:k], types)], names=names[:k])
 
@@ -244,21 +248,26 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_
     Null or empty text is the end id alone.  Repeated rows and equal or null ids
     are packed as rows of their own; an empty table gives an empty result.
     Which of several pieces of one length gets which place is arbitrary but
-    fixed by (salt, id, piece, crc); rows equal in all of these are alike.
+    fixed once the pieces are written, before they are ranked.
     """
     pieces = stored(token_pieces(documents_of(docs, id_col, text_col), tokenizer, end_id, size, with_ids), "pieces")
     spark = pieces.sparkSession
-    by_salt = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # At most size lengths times SALTS rows, whatever the number of documents.
-    tally = by_salt.orderBy("length", "salt").collect()
-    histogram: dict[int, int] = {}
-    before = []
-    for r in tally:
-        before.append((r["length"], r["salt"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
-    slots = slots_of(plan_sequences(histogram, size), size)
-    held = spark.sparkContext.broadcast((slots, {(x, s): b for x, s, b in before}))
-    ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    # At most size rows, whatever the number of documents.
+    histogram = {r["length"]: r["n"] for r in pieces.where(F.col("length") < size).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = max(WINDOW_ROWS, sum(histogram.values()) // WINDOWS)
+    windows = [-(-histogram.get(x, 0) // most) or 1 for x in range(size)]
+    salted = pieces.withColumn("salt", F.pmod(F.col("spread"), F.get(F.split(F.lit(",".join(map(str, windows))), ",").cast("array<bigint>"), F.col("length"))))
+    # One row for each window, a bounded number.
+    before, seen = {}, dict.fromkeys(histogram, 0)
+    for r in salted.where(F.col("length") < size).groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "salt").collect():
+        before[r["length"], r["salt"]] = seen[r["length"]]
+        seen[r["length"]] += r["n"]
+    plan = plan_sequences(histogram, size)
+    held = spark.sparkContext.broadcast((slots_of(plan, size), before))
+    ranked = salted.where(F.col("length") < size).withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    # A full piece is a sequence; where it lies in the written table makes its number, behind those of the plan.
+    full = pieces.where(F.col("length") == size).withColumns({"length": F.col("length").cast("long"), "sequence_id": F.monotonically_increasing_id() + sum(t for _, t in plan), "offset": F.lit(0).cast("long")}).select(*names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = held.value
@@ -273,9 +282,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, id_
             turn = rank - row[:, 1]
             sequence, offset = row[:, 3] + turn // row[:, 2], row[:, 4] + turn % row[:, 2] * length
             arrays = [col["doc_id"], col["piece"], col["start"], pa.array(length), col["ids_crc32"], pa.array(sequence), pa.array(offset)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             if with_ids:
-                arrays, names = [*arrays, col["ids"]], [*names, "ids"]
+                arrays = [*arrays, col["ids"]]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    return placed.select(*names).unionByName(full)

@@ -146,7 +146,8 @@ def test_chunks_shift_with_an_insertion():
     assert max(np.diff([0, *token_store.cut_points(np.zeros(9_000, int))])) <= token_store.MOST
 
 
-def test_packing(spark, sf_dir, library):
+def test_packing(spark, sf_dir, library, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_ROWS", 40)
     data = rows(spark, sf_dir) + [(20_000 + i, "same text") for i in range(300)]
     got = packing.pack(docs(spark, data), JSON, with_ids=True).collect()
     by_seq, by_doc = {}, {}
