@@ -19,6 +19,7 @@ from palimpsest.operators.temporal import current_versions, visible
 # What counts as a quotation, how far its citation may be, when a quotation is nearly right, where passages end, and how much of one is shown.
 QUOTE = re.compile(r'[“"]([^”"]{6,}?)[”"]')
 WINDOW, FUZZY = 400, 0.85
+MOST_CHARS = 250_000
 PASSAGE_END, SHOWN = r"(?U)(?<=[.\n])\s+", 300
 TERM = r"""(?iU)(["“‘’'][^"”‘’']{1,60}["”‘’']|[A-Za-z][A-Za-z0-9\-\s]{0,60}?)\s+(?:means|shall\s+mean|is\s+defined\s+as)\s+([^.]{1,400}\.)"""
 
@@ -145,6 +146,23 @@ def audit_report(cites: DataFrame, quotes: DataFrame, fresh: DataFrame, key: str
     return out.withColumns({"citation_rows": F.coalesce("citation_rows", none), "quote_rows": F.coalesce("quote_rows", none)}).fillna(0)
 
 
+def citation_payloads(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key: str = "text_id", body: str = "body", most_chars: int = MOST_CHARS, include_pending: bool = False) -> DataFrame:
+    """One row for each text: ``key``, ``error``, ``n_citations`` and ``citations`` in order, each with an excerpt of the text it cites.
+
+    Texts over ``most_chars`` characters are answered with an error and not
+    read, and one without citations with an empty array.  Null counts as empty.
+    """
+    fits = F.coalesce(F.length(body), F.lit(0)) <= most_chars
+    found = validate_citations(texts.where(fits), nodes, versions, key, body, include_pending)
+    now = current_versions(versions, include_pending).select("node_id", text.body_excerpt(F.col("body")).alias("excerpt"))
+    named = found.join(now, "node_id", "left").join(nodes.select("node_id", "heading"), "node_id", "left")
+    each = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "raw", "path", "status", "heading", "excerpt", "candidates")))
+    lists = named.groupBy(key).agg(each.alias("citations"), F.count(F.lit(1)).alias("n_citations"))
+    error = F.when(~fits, F.format_string(f"text is longer than {most_chars} characters"))
+    out = texts.select(key, error.alias("error")).join(lists, key, "left")
+    return out.select(key, "error", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("citations", F.array().cast(lists.schema["citations"].dataType)).alias("citations"))
+
+
 def definitions(nodes: DataFrame, versions: DataFrame, term: str, chapter: str | None = None, limit: int = 25, include_pending: bool = False) -> DataFrame:
     """``node_id``, ``path``, ``nth``, ``term``, ``definition`` of passages that define ``term``.
 

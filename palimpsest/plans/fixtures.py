@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.sources import probes as probe_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +95,50 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tier(key: F.Column) -> F.Column:
     return F.element_at(F.array(*[F.lit(t) for t in ("free", "solo", "firm", "custom")]), (key % 4 + 1).cast("int"))
+
+
+def code_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe of codes, one sample for each document: a right section, one of another chapter and one without a right number."""
+    part = lambda number, heading, body: F.struct(number.alias("number"), heading.alias("heading"), body.alias("body_text"), F.array(F.concat(F.lit(" [C"), "doc_id", F.lit("] ")), F.lit(" ")).alias("history_brackets"))
+    d = table(spark, sf_dir, "documents")
+    own = part(F.concat("doc_id", F.lit(".1A")), F.concat(F.lit(" "), "lang"), F.concat("text", F.lit(" \n\neferred to in §1.2")))
+    sections = F.array(own, part(F.concat(F.col("doc_id") + 1, F.lit(".2")), F.col("lang"), F.col("text")), part(F.concat("doc_id", F.lit("-3")), F.col("lang"), F.col("text")))
+    sample = F.struct(F.col("doc_id").cast("string").alias("chapter"), F.concat(F.lit(" Title "), "lang").alias("chapter_title"), sections.alias("sections"))
+    made = d.select(F.to_json(F.struct(F.lit("2026").alias("code_year"), F.array(sample).alias("samples"))).alias("value"))
+    return made.select(F.from_json("value", probe_files.CODE_SCHEMA).alias("p")).select("p.*")
+
+
+def rules_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe of rules, one sample for each document: a rule with a comment and a long heading, a reserved one, and one of another chapter."""
+    d = table(spark, sf_dir, "documents")
+    rule = lambda number, heading, comment, reserved: F.struct(number.alias("number"), heading.alias("heading"), F.col("lang").alias("division"), F.col("text").alias("body_text"), comment.alias("comment_text"), reserved.alias("reserved"))
+    long = F.concat(F.rpad(F.lit("Head "), 300, "x"), F.lit(" Form 1 "), F.rpad(F.col("lang"), 300, "y"))
+    rules = F.array(
+        rule(F.concat("doc_id", F.lit(":1.2.")), long, F.col("lang"), F.lit(False)),
+        rule(F.concat("doc_id", F.lit(":1.3")), F.col("lang"), F.lit(""), F.lit(True)),
+        rule(F.concat(F.col("doc_id") + 1, F.lit(".4")), F.col("lang"), F.lit(""), F.lit(False)),
+    )
+    sample = F.struct(F.col("doc_id").cast("string").alias("chapter"), F.col("lang").alias("chapter_title"), (F.col("doc_id") % 5 == 0).alias("reserved"), rules.alias("rules"))
+    made = d.select(F.to_json(F.struct(F.lit("2026-04-01").alias("edition_date"), F.array(sample).alias("samples"))).alias("value"))
+    return made.select(F.from_json("value", probe_files.RULES_SCHEMA).alias("p")).select("p.*")
+
+
+def rich_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters as the text of rich-text files: a head, and two sections, one with the document and its notes."""
+    one = F.regexp_replace(F.regexp_replace("text", r"[\[\]§]", ""), r"\s+", " ")
+    body = F.concat(F.lit("CHAPTER "), "doc_id", F.lit("\nTHEFT AND FRAUD\n"), "doc_id", F.lit(".1 Theft defined.\n"), one, F.lit("\n[C51, §1]\nReferred to in §714.2, 714.3\n\n\nEnd.\n"), "doc_id", F.lit(".2 Degrees.\nText."))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), body.alias("text"))
+
+
+def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule book for each document: contents, then bodies with its text in small letters, a comment and a history note over two lines."""
+    prose = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0), " ")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chapter"), prose.alias("prose"))
+    rule = lambda n, rest: F.concat(F.lit("Rule "), "chapter", F.lit(f":{n} {rest}"))
+    chapter = F.concat(F.lit("CHAPTER "), "chapter")
+    lines = [
+        chapter, F.lit("RULES OF CONDUCT"), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "Terms and"), F.lit("how they are used"), rule("1.1", "Competence"), F.concat(F.lit("Rules "), "chapter", F.lit(":1.2 to 1.4 Reserved")),
+        F.lit("DIVISION II"), rule("2.1", "Advisor"), F.concat(F.lit("April 2026 RULES Ch "), "chapter", F.lit(", p.1")), F.lit(" "), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "TERMS AND HOW"), F.lit("THEY ARE USED"), F.lit("a term is a word."),
+        F.lit("[Court Order April 20, 2005;"), F.lit("September 1, 2010]"), rule("1.1.", "Competence. A lawyer shall be competent."), F.concat(F.lit("text "), "prose"), F.lit("Comment"), F.lit("[1] First reason"), F.lit("goes on."), F.lit("[2] Second reason."), rule("2.1", "ADVISOR"), F.lit("a lawyer advises."),
+    ]
+    return d.select("chapter", F.posexplode(F.array(*lines)).alias("line_no", "line"))

@@ -92,6 +92,44 @@ SQL: dict[str, str] = {
 WITH found AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS slugs FROM pages),
  each AS (SELECT page_id, unnest(slugs) AS slug, unnest(range(len(slugs))) AS pos FROM found)
 SELECT slug, min(page_id) AS page_id, arg_min(pos, page_id * 1000000 + pos) AS pos FROM each GROUP BY slug""",
+    "a1_code_sections": r"""
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS path, '1A' AS ordinal, lang AS heading, sha256(regexp_replace(text, '\s+$', '')) AS content_hash, '[C' || doc_id || ']' AS history FROM documents""",
+    "a1_skipped_sections": """
+SELECT CAST(doc_id AS VARCHAR) AS chapter, (doc_id + 1) || '.2' AS number, 'number belongs to another chapter' AS reason FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || '-3', 'number has no right shape' FROM documents""",
+    "a1_code_chapters": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 'Title ' || lang AS title, 2026 AS year FROM documents",
+    "a2_rules": r"""
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':1.2' AS path, '1.2' AS ordinal, rpad('Head ', 300, 'x') AS heading, lang AS division,
+ sha256(regexp_replace('Form 1 ' || rpad(lang, 300, 'y') || chr(10) || chr(10) || text, '\s+$', '') || chr(10) || chr(10) || 'Comment' || chr(10) || chr(10) || lang) AS content_hash FROM documents""",
+    "a2_rule_chapters": "SELECT CAST(doc_id AS VARCHAR) AS chapter, lang AS title, doc_id % 5 = 0 AS reserved, DATE '2026-04-01' AS edition, 1 AS n_rules FROM documents",
+    "a4_chapter_heads": "SELECT doc_id AS path, CAST(doc_id AS VARCHAR) AS chapter, 'THEFT AND FRAUD' AS title FROM documents",
+    "a5_rich_sections": rf"""
+WITH t AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(text, '[\[\]§]', '', 'g'), '\s+', ' ', 'g')")} AS one FROM documents)
+SELECT doc_id AS path, doc_id || '.1' AS number, 'Theft defined' AS heading, sha256(CASE one WHEN '' THEN '' ELSE one || chr(10) || chr(10) END || 'End.') AS body_hash, 'C51, §1' AS history, '714.2|714.3' AS referred FROM t
+UNION ALL SELECT doc_id, doc_id || '.2', 'Degrees', sha256('Text.'), '', '' FROM documents""",
+    "a9_content_lines": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 25 AS n_lines, 6 AS n_heads, 8 AS n_banners FROM documents",
+    "a10_index": """
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.role AS role, r.n AS n FROM documents,
+ (VALUES ('1.0', 'contents', 4), ('1.1', 'contents', 6), ('2.1', 'contents', 9), ('1.0', 'body', 12), ('1.1', 'body', 17), ('2.1', 'body', 23)) r(rule, role, n)""",
+    "a11_contents": """
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.heading AS heading, r.division AS division FROM documents,
+ (VALUES ('1.0', 'Terms and how they are used', 'GENERAL'), ('1.1', 'Competence', 'GENERAL'), ('2.1', 'Advisor', 'DIVISION II')) r(rule, heading, division)""",
+    "a13_rule_bodies": """
+WITH t AS (SELECT doc_id, trim('text ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS prose FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':1.0' AS rule, 'TERMS AND HOW' AS heading, sha256('a term is a word.') AS prose_hash, '' AS comment, '[Court Order April 20, 2005; September 1, 2010]' AS history FROM t
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':1.1', 'Competence', sha256('A lawyer shall be competent. ' || prose), '[1] First reason goes on.' || chr(10) || chr(10) || '[2] Second reason.', '' FROM t
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':2.1', 'ADVISOR', sha256('a lawyer advises.'), '', '' FROM t""",
+    "a14_rule_notes": """
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.note AS note FROM documents,
+ (VALUES ('1.0', 'parsed under GENERAL', 2), ('1.1', 'parsed under GENERAL', 2), ('2.1', 'parsed under DIVISION II', 0), ('2.1', 'in contents only', 1)) r(rule, note, odd) WHERE r.odd = 2 OR r.odd = doc_id % 2""",
+    "a17_new_blobs": """
+WITH d AS (SELECT sha256(text) AS content_hash, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS storage_path, strlen(text) AS byte_size, doc_id FROM documents)
+SELECT content_hash, min(storage_path) AS storage_path, any_value(byte_size) AS byte_size FROM d WHERE content_hash NOT IN (SELECT content_hash FROM d WHERE doc_id % 3 = 0) GROUP BY content_hash""",
+    "a18_code_sink": r"SELECT '2026' AS code_year, CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS number, sha256(regexp_replace(text, '\s+$', '')) AS body_hash FROM documents",
+    "a18_rules_sink": "SELECT '2026-04-01' AS edition_date, CAST(doc_id AS VARCHAR) AS chapter, 3 AS rule_count, doc_id || ':1.0,' || doc_id || ':1.1,' || doc_id || ':2.1' AS numbers, '' AS notes FROM documents",
+    "a19_reconciled": """
+SELECT 'documents' AS "table", (SELECT count(*) FROM documents) AS n_source, (SELECT count(*) FROM documents) AS n_dump, true AS equal
+UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), 0, (SELECT count(*) FROM labels) = 0 UNION ALL SELECT 'events', (SELECT count(*) FROM events), (SELECT count(*) FROM events), true""",
     "b1_visible_versions": _with(_NODES, _VERSIONS) + "SELECT version_id, node_id FROM versions WHERE review_status = 'approved'",
     "b2_one_source": _with(_NODES, _VERSIONS) + "SELECT version_id, path FROM shown WHERE source = 'en'",
     "b3_chapter_prefix": _with(_NODES) + "SELECT node_id, path FROM sections WHERE starts_with(path, '1.')",
@@ -232,9 +270,19 @@ SELECT call_id, used, used <= 2 AS allowed, greatest(2 - used, 0) AS remaining F
     "h8_usage": """
 WITH u AS (SELECT user_id AS key, CAST(ts AS DATE) AS day, count(*) AS used, CASE user_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 5000 WHEN 2 THEN 50000 END AS quota FROM events GROUP BY ALL)
 SELECT key, day, used, CASE WHEN quota IS NULL THEN 0 ELSE greatest(used - quota, 0) END AS n_refused, CASE WHEN quota IS NOT NULL THEN greatest(quota - used, 0) END AS remaining FROM u""",
+    "h9_features": """
+SELECT event_id AS call_id, CASE user_id % 4 WHEN 0 THEN event_id % 3 = 0 WHEN 1 THEN event_id % 3 < 2 WHEN 2 THEN true ELSE false END AS allowed FROM events""",
     "h10_chat_caps": """
 WITH r AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, event_id) AS m,
  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS d FROM events)
 SELECT month, CASE WHEN m > 3000 THEN 503 WHEN d > 2 THEN 429 ELSE 200 END AS code, count(*) AS n FROM r GROUP BY ALL""",
     "h12_footers": _with(_TURNS) + "SELECT turn_id, array_to_string(CASE WHEN len(used) > 0 THEN used ELSE paths END, ',') AS footer FROM cited",
+    "h16_event_folds": """
+WITH e AS (SELECT user_id AS run_id, event_id AS seq, ['tool_start', 'delta', 'delta', 'done', 'error', 'tool_start'][event_id % 6 + 1] AS type, event_type AS text FROM events),
+ stops AS (SELECT run_id, min(seq) FILTER (WHERE type IN ('done', 'error')) AS stop FROM e GROUP BY run_id),
+ k AS (SELECT e.* FROM e JOIN stops USING (run_id) WHERE stop IS NULL OR seq <= stop),
+ g AS (SELECT run_id, count(*) FILTER (WHERE type = 'tool_start') AS n_steps, string_agg(text, '' ORDER BY seq) FILTER (WHERE type = 'delta') AS answer, max(seq) FILTER (WHERE type = 'tool_start') AS started,
+   min(seq) FILTER (WHERE type = 'delta') AS told, any_value(text) FILTER (WHERE type = 'error') AS failure, bool_or(type = 'error') AS failed, bool_or(type = 'done') AS done FROM k GROUP BY run_id)
+SELECT run_id, CASE WHEN failed THEN 'The request failed: ' || coalesce(failure, '') WHEN answer IS NOT NULL THEN answer WHEN done THEN '(no answer returned)' ELSE '' END AS answer, n_steps,
+ CASE WHEN failed AND n_steps > 0 AND NOT coalesce(told > started, false) THEN 1 ELSE 0 END AS n_failed, CASE WHEN failed THEN 'failed' WHEN done THEN 'success' ELSE 'running' END AS state FROM g""",
 }

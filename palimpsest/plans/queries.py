@@ -5,6 +5,7 @@ Names begin with the operator's place in the inventory.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import citations, similarity, text
 from palimpsest.operators import audit, browse, evaluation, fulltext, ingest, links, retrieval, temporal
 from palimpsest.plans import fixtures as fx
-from palimpsest.sources import pages
+from palimpsest.sources import blobs, pages, probes, rtf, rules_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +41,100 @@ def a6_first_links(spark, sf_dir):
     return pages.first_appearances(found).select("slug", "page_id", F.col("pos").cast("long").alias("pos"))
 
 
+@query
+def a1_code_sections(spark, sf_dir):
+    _, sections, _ = probes.parse_code(fx.code_probe(spark, sf_dir))
+    return sections.select("chapter", "path", "ordinal", "heading", "content_hash", F.array_join("history_brackets", "|").alias("history"))
+
+
+@query
+def a1_skipped_sections(spark, sf_dir):
+    return probes.parse_code(fx.code_probe(spark, sf_dir))[2].select("chapter", "number", "reason")
+
+
+@query
+def a1_code_chapters(spark, sf_dir):
+    return probes.parse_code(fx.code_probe(spark, sf_dir))[0].select("chapter", "title", "year")
+
+
+@query
+def a2_rules(spark, sf_dir):
+    _, rules, _ = probes.parse_rules(fx.rules_probe(spark, sf_dir))
+    return rules.select("chapter", "path", "ordinal", "heading", "division", "content_hash")
+
+
+@query
+def a2_rule_chapters(spark, sf_dir):
+    return probes.parse_rules(fx.rules_probe(spark, sf_dir))[0].select("chapter", "title", "reserved", "edition", "n_rules")
+
+
+@query
+def a4_chapter_heads(spark, sf_dir):
+    return rtf.chapter_heads(fx.rich_chapters(spark, sf_dir)).select("path", "chapter", "title")
+
+
+@query
+def a5_rich_sections(spark, sf_dir):
+    found = rtf.with_notes(rtf.sections_of(fx.rich_chapters(spark, sf_dir)))
+    return found.select("path", "number", "heading", F.sha2("body", 256).alias("body_hash"), F.array_join("history_brackets", "|").alias("history"), F.array_join("referred_to_in", "|").alias("referred"))
+
+
+@query
+def a9_content_lines(spark, sf_dir):
+    return rules_text.content_lines(fx.rule_lines(spark, sf_dir)).groupBy("chapter").agg(F.count(F.lit(1)).alias("n_lines"), F.count("rule").alias("n_heads"), F.count_if("banner").alias("n_banners"))
+
+
+@query
+def a10_index(spark, sf_dir):
+    return rules_text.index(rules_text.content_lines(fx.rule_lines(spark, sf_dir))).select("chapter", "rule", "role", F.col("n").cast("long").alias("n"))
+
+
+@query
+def a11_contents(spark, sf_dir):
+    c = rules_text.content_lines(fx.rule_lines(spark, sf_dir))
+    return rules_text.contents(c, rules_text.index(c)).select("chapter", "rule", "heading", "division")
+
+
+@query
+def a13_rule_bodies(spark, sf_dir):
+    c = rules_text.content_lines(fx.rule_lines(spark, sf_dir))
+    out = rules_text.bodies(c, rules_text.index(c))
+    return out.select("chapter", "rule", "heading", F.sha2("prose", 256).alias("prose_hash"), "comment", F.array_join("history", "|").alias("history"))
+
+
+@query
+def a14_rule_notes(spark, sf_dir):
+    rules, notes = rules_text.parse(fx.rule_lines(spark, sf_dir).where("line not like 'Rule %:2.1 A%' or chapter % 2 = 0 or line_no < 12"))
+    return notes.select("chapter", "rule", "note").unionByName(rules.select("chapter", "rule", F.concat(F.lit("parsed under "), "division").alias("note")))
+
+
+@query
+def a17_new_blobs(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("storage_path"), F.octet_length("text").cast("long").alias("byte_size"))
+    return blobs.new_blobs(d, d.where("storage_path % 3 = 0")).select("content_hash", "storage_path", "byte_size")
+
+
+@query
+def a18_code_sink(spark, sf_dir):
+    chapters, sections, _ = probes.parse_code(fx.code_probe(spark, sf_dir))
+    made = probes.to_probe(sections, chapters, 2026).select(F.from_json("value", probes.CODE_SCHEMA).alias("p"))
+    return made.select("p.code_year", F.explode("p.samples").alias("s")).select("code_year", "s.chapter", F.get("s.sections", F.lit(0))["number"].alias("number"), F.sha2(F.get("s.sections", F.lit(0))["body_text"], 256).alias("body_hash"))
+
+
+@query
+def a18_rules_sink(spark, sf_dir):
+    rules, notes = rules_text.parse(fx.rule_lines(spark, sf_dir))
+    made = probes.to_rules_probe(rules, notes, "2026-04-01").select(F.from_json("value", probes.RULES_SCHEMA).alias("p"))
+    return made.select("p.edition_date", F.explode("p.samples").alias("s")).select("edition_date", "s.chapter", F.col("s.rule_count").cast("long").alias("rule_count"), F.array_join(F.transform("s.rules", lambda r: r["number"]), ",").alias("numbers"), F.array_join("s.parse_notes", ",").alias("notes"))
+
+
+@query
+def a19_reconciled(spark, sf_dir):
+    counts = lambda t: t.agg(F.count(F.lit(1)).alias("n"))
+    names = ("documents", "labels", "events")
+    return functools.reduce(DataFrame.unionByName, [blobs.compared(n, counts(fx.table(spark, sf_dir, n)), counts(fx.table(spark, sf_dir, n).where(F.lit(n != "labels")))) for n in names])
+
+
 # Scalar functions
 
 
@@ -392,6 +487,12 @@ def f6_audit_report(spark, sf_dir):
     return audit.audit_report(*parts).select("text_id", "n_citations", "n_valid", "n_quotes", "n_exact", "n_amended", "citation_rows", "quote_rows")
 
 
+@query
+def f8_payloads(spark, sf_dir):
+    out = audit.citation_payloads(fx.briefs(spark, sf_dir), fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), most_chars=2_000)
+    return out.select("text_id", "error", "n_citations", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["path"], c["status"], F.length(F.coalesce(c["excerpt"], F.lit("")))))  , ",").alias("citations"))
+
+
 @query
 def f7_definitions(spark, sf_dir):
     v = fx.versions(spark, sf_dir).withColumn("body", F.concat("body", F.lit('\n1. "Fast reason" means body '), "node_id", F.lit(". Other words.")))
@@ -491,6 +592,13 @@ def h8_usage(spark, sf_dir):
     return evaluation.usage(fx.calls(spark, sf_dir), evaluation.quota_of(fx.tier(F.col("key")))).select("key", "day", "used", "n_refused", "remaining")
 
 
+@query
+def h9_features(spark, sf_dir):
+    asked = fx.calls(spark, sf_dir).select("call_id", fx.tier(F.col("key")).alias("tier"), F.element_at(F.array(F.lit("search"), F.lit("export"), F.lit("bulk")), (F.col("call_id") % 3 + 1).cast("int")).alias("feature"))
+    table = spark.createDataFrame([("free", ["search"]), ("solo", ["search", "export"]), ("firm", ["search", "export", "bulk"])], "tier string, features array<string>")
+    return evaluation.allowed_features(asked, table).select("call_id", "allowed")
+
+
 @query
 def h10_chat_caps(spark, sf_dir):
     return evaluation.chat_caps(fx.calls(spark, sf_dir), daily=2, monthly=3_000).groupBy("month", "code").agg(F.count(F.lit(1)).alias("n"))

@@ -26,12 +26,18 @@ def reconcile(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> D
     """``table``, ``n_source``, ``n_dump``, ``equal``: rows of each table against its dump."""
     out = None
     for name, df in tables.items():
-        a, b = df.agg(F.count(F.lit(1)).alias("n_source")), spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n_dump"))
-        both = a.withColumn("table", F.lit(name)).join(b.withColumn("table", F.lit(name)), "table").withColumn("equal", F.expr("n_source = n_dump"))
+        count = F.count(F.lit(1)).alias("n")
+        both = compared(name, df.agg(count), spark.read.parquet(f"{path}/{name}").agg(count))
         out = both if out is None else out.unionByName(both)
     return out
 
 
+def compared(name: str, source: DataFrame, dump: DataFrame) -> DataFrame:
+    """One row of :func:`reconcile`, from two counts ``n``."""
+    a, b = source.select(F.lit(name).alias("table"), F.col("n").alias("n_source")), dump.select(F.lit(name).alias("table"), F.col("n").alias("n_dump"))
+    return a.join(b, "table").withColumn("equal", F.expr("n_source = n_dump"))
+
+
 EVENT = "run_id string, seq long, type string, text string, name string, message string"
 
 

@@ -98,3 +98,13 @@ def to_probe(sections: DataFrame, chapters: DataFrame, year: int) -> DataFrame:
     body = F.transform(F.coalesce("s", F.array().cast("array<struct<section_no: int, number: string, heading: string, body_text: string>>")), lambda x: x.dropFields("section_no"))
     d = chapters.join(own, "chapter", "left").select(F.lit(str(year)).alias("code_year"), F.array(F.struct("chapter", F.col("title").alias("chapter_title"), body.alias("sections"))).alias("samples"))
     return d.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def to_rules_probe(rules: DataFrame, notes: DataFrame, edition: str) -> DataFrame:
+    """The JSON form of a rule book (rules and notes of :func:`rules_text.parse`), one row for each chapter."""
+    rule = F.struct("n", F.col("rule").alias("number"), "heading", "division", F.col("prose").alias("body_text"), F.col("comment").alias("comment_text"), F.col("history").alias("history_brackets"))
+    own = rules.groupBy("chapter").agg(F.array_sort(F.collect_list(rule)).alias("r"), F.count(F.lit(1)).cast("int").alias("rule_count"))
+    said = notes.groupBy("chapter").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "rule", "note"))).alias("parse_notes"))
+    d = own.join(said, "chapter", "full_outer")
+    sample = F.struct("chapter", F.lit(False).alias("reserved"), F.coalesce("rule_count", F.lit(0)).alias("rule_count"), F.coalesce("parse_notes", F.array().cast(_TEXTS)).alias("parse_notes"), F.transform("r", lambda x: x.dropFields("n")).alias("rules"))
+    return d.select(F.to_json(F.struct(F.lit(edition).alias("edition_date"), F.array(sample).alias("samples"))).alias("value"))

@@ -361,6 +361,21 @@ def test_quota(spark):
     assert [r[0] for r in tiers] == [200, 5000, 50000, None, 200]
 
 
+def test_features(spark):
+    table = spark.createDataFrame([("free", ["search"]), ("firm", ["search", "bulk"])], "tier string, features array<string>")
+    asked = spark.createDataFrame([("free", "search"), ("free", "bulk"), ("firm", "bulk"), ("none", "search"), (None, "search"), ("firm", None)], "tier string, feature string")
+    assert {(r.tier, r.feature): r.allowed for r in evaluation.allowed_features(asked, table).collect()} == {("free", "search"): True, ("free", "bulk"): False, ("firm", "bulk"): True, ("none", "search"): False, (None, "search"): False, ("firm", None): False}
+
+
+def test_citation_payloads(spark, law):
+    nodes, v = law
+    texts = spark.createDataFrame([(1, "code", "See 714.16 and section 714.404."), (2, "code", "x" * 50 + " 714.1"), (3, "code", "none"), (4, "code", None)], "text_id long, source string, body string")
+    got = {r.text_id: r for r in audit.citation_payloads(texts, nodes, v, most_chars=40).collect()}
+    assert [(c.path, c.status, c.heading) for c in got[1].citations] == [("714.16", "valid", "Consumer fraud"), ("714.404", "not_found", None)]
+    assert got[1].citations[0].excerpt.startswith("'merchant' means") and got[1].error is None and got[1].n_citations == 2
+    assert got[2].error and got[2].citations == [] and (got[3].n_citations, got[3].error) == (0, None) == (got[4].n_citations, got[4].error)
+
+
 def test_event_folds(spark):
     runs = {
         "ok": [("tool_start", "a"), ("delta", "x"), ("delta", "y"), ("done", None), ("delta", "late")],

@@ -120,6 +120,29 @@ def test_rule_book(spark):
     assert [(r.rule, r.note) for r in notes.collect()] == [("32:3.1", "in body only")]
 
 
+@pytest.mark.parametrize(
+    ("rows", "prose", "comment", "history"),
+    [
+        (["a", "", "b ", " c"], "a\n\nb c", "", []),
+        (["a", "[Report x]", "b", "[Amended 1 [2]", "3]", "c"], "a\n\nb\n\nc", "", ["[Report x]", "[Amended 1 [2] 3]"]),
+        (["Comment", "x", "[1] y", "z", "Comment", "[2] w"], "", "x\n\n[1] y z Comment\n\n[2] w", []),
+        (["a", "[Effective 1", "Comment", "more"], "a", "", []),
+        (["[Adopted 1", "Comment]", "b", "Comment", "c", "[Report d]", "e"], "b", "c\n\ne", ["[Adopted 1 Comment]", "[Report d]"]),
+        ([], "", "", []),
+    ],
+)
+def test_rule_bodies(rows, prose, comment, history):
+    assert rules_text.split_body(rows) == (prose, comment, history)
+
+
+def test_rules_sink(spark):
+    lines = spark.createDataFrame([("32", i, t) for i, t in enumerate(BOOK.split("\n"))], "chapter string, line_no int, line string")
+    (row,) = probes.to_rules_probe(*rules_text.parse(lines), "2026-04-01").collect()
+    (sample,) = json.loads(row.value)["samples"]
+    assert [r["number"] for r in sample["rules"]] == ["32:1.0", "32:1.1", "32:2.1", "32:3.1"] and sample["rule_count"] == 4
+    assert sample["parse_notes"] == ["32:3.1 in body only"] and sample["rules"][1]["comment_text"].startswith("[1] First")
+
+
 def test_links_first_appearance(spark):
     p = spark.createDataFrame([(2, '<a href="/docs/code/2026/9I.rtf"><a href="/docs/code/2026/1.rtf">'), (1, '<A HREF="/docs/code/2026/1.RTF">')], "page_id long, html string")
     first = pages.in_order(pages.first_appearances(pages.links(p, pages.CHAPTER_LINK)))
