@@ -202,7 +202,12 @@ def score_documents(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns.
+
+    Null text is scored as empty text and stays null.  Rows are judged one by
+    one, so repeated rows and ties stay or go together; columns of any name are
+    kept, texts are read whole, and an empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(trees)
     at = docs.columns.index(text_col)
 

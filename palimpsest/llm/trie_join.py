@@ -80,6 +80,8 @@ def links(sets: list[np.ndarray], sizes: list[int], percent: int, known: list |
 
     ``sizes`` are those of the whole sets; ``sets`` may leave out members that
     no other set has.  Rows of one group in ``known`` count as linked already.
+    Empty sets link with nothing, equal sets with each other; a block of one
+    row, or of none with members, has no links.
     """
     found: list[tuple[int, int]] = []
     groups = Groups(len(sets))

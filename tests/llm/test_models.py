@@ -274,3 +274,17 @@ def test_held_out_fold(spark):
 
     got = spark.range(2000).select("id", quality_classifier.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_very_long_and_odd_texts_are_scored(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, for both models and the filter."""
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(1, None), (2, ""), (3, "word " * 400_000), (4, "x" * 1_000_000), (5, "a\n" * 200_000), (5, "a\n" * 200_000)]
+    trees = quality_classifier.train(documents, labels)
+    odd = docs(spark, rows).selectExpr("*", "doc_id as score", "text as label")
+    scored = quality_classifier.score_documents(odd, trees).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    kept = quality_classifier.keep_good(odd, trees, threshold=0.0)
+    assert kept.columns == odd.columns and kept.count() == len(rows) and kept.where("doc_id = 1 and text is null").count() == 1
+    graded = toxicity.score_documents(odd, toxicity.train(documents, labels)).collect()
+    assert len(graded) == len(rows) and {r.doc_id for r in graded} == {1, 2, 3, 4, 5}
