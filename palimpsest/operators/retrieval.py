@@ -24,6 +24,8 @@ from palimpsest.operators.temporal import is_current
 
 #: Constant of reciprocal rank fusion.
 FUSION = 60
+#: Trigrams of a table of queries that are told to the tasks.
+TOLD = 1_000
 #: Queries that go to the tasks at a time, and vectors that a task compares with them at a time.
 QUERY_BLOCK, VECTOR_ROWS = 2_048, 4_096
 
@@ -44,10 +46,14 @@ def trigram_search(docs: DataFrame, queries: DataFrame, threshold: float = 0.1,
     """Trigram likeness of at least ``threshold`` with ``col``.
 
     Queries and texts meet through the trigrams they share, counted in one
-    aggregation; the union follows from the sizes.
+    aggregation; the union follows from the sizes.  Up to ``TOLD`` trigrams of
+    the queries are told to the tasks, which then send no others.
     """
-    d = docs.select("version_id", similarity.trigrams(F.col(col)).alias("t")).select("version_id", F.size("t").alias("n"), F.explode("t").alias("t"))
     q = queries.select("query_id", similarity.trigrams(F.col("query")).alias("t")).select("query_id", F.size("t").alias("m"), F.explode("t").alias("t"))
+    asked = [r["t"] for r in q.select("t").distinct().limit(TOLD + 1).collect()]
+    d = docs.select("version_id", similarity.trigrams(F.col(col)).alias("t"))
+    own = F.array_intersect("t", F.array(*map(F.lit, asked)).cast("array<string>")) if len(asked) <= TOLD else F.col("t")
+    d = d.select("version_id", F.size("t").alias("n"), F.explode(own).alias("t"))
     both = d.join(q, "t").groupBy("query_id", "version_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     return _top(both.select("query_id", "version_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score")).where(F.col("score") >= threshold), limit)
 
