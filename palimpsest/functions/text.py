@@ -7,12 +7,16 @@ otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A cut-off cross-reference note that some bodies carry, and how prose and comment are joined.
 REFERENCE_NOTE = r"(?U)(?:\n\s*|\s*(?:;\s*)+)eferred to in [^\n]*"
 COMMENT_HEADING = "\n\nComment\n\n"
+# Fixed value: what stands for a table without rows.
+NO_ITEMS = "_No items._"
 
 
 def strip(c: Column) -> Column:
@@ -91,7 +95,12 @@ def first_filled(*cols: Column) -> Column:
 
 def snippet(c: Column, size: int = 280) -> Column:
     """One line of at most ``size`` characters, with an ellipsis if cut."""
-    one = F.translate(strip(c), "\n", " ")
+    return truncated(F.translate(strip(c), "\n", " "), size)
+
+
+def truncated(c: Column, size: int) -> Column:
+    """Without white space at the ends, and at most ``size`` characters, the last an ellipsis if cut."""
+    one = strip(c)
     return F.when(F.length(one) <= size, one).otherwise(F.concat(rstrip(F.substring(one, 1, size - 1)), F.lit("…")))
 
 
@@ -135,13 +144,20 @@ def all_capitals(c: Column) -> Column:
 
 
 def markdown_escape(c: Column) -> Column:
-    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    """What a cell may hold: bars escaped, line ends as blanks; null is empty."""
+    return F.translate(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), "\n\r", "  ")
 
 
 def markdown_row(*cols: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[markdown_escape(c.cast("string")) for c in cols]), F.lit(" |"))
 
 
+def markdown_table(heads: Sequence[str], rows: Column) -> Column:
+    """A table of rows (an array of :func:`markdown_row`), or a line that there are none."""
+    top = "\n".join(("| " + " | ".join(heads) + " |", "|" + "---|" * len(heads)))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, F.concat_ws("\n", F.lit(top), rows)).otherwise(NO_ITEMS)
+
+
 def embedding_text(heading: Column, body: Column) -> Column:
     return strip(F.concat(F.coalesce(heading, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit(""))))
 

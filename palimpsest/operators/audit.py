@@ -142,10 +142,54 @@ def audit_report(cites: DataFrame, quotes: DataFrame, fresh: DataFrame, key: str
     n_quotes = quotes.groupBy(key).agg(F.count(F.lit(1)).alias("n_quotes"), F.count_if(F.col("status") == "exact").alias("n_exact"))
     n_fresh = fresh.groupBy(key).agg(F.count(F.lit(1)).alias("n_amended"))
     out = citation_report(cites, key).join(n_quotes, key, "full_outer").join(n_fresh, key, "left").join(bad, key, "left").join(wrong, key, "left")
-    none = F.lit("_No items._")
+    none = F.lit(text.NO_ITEMS)
     return out.withColumns({"citation_rows": F.coalesce("citation_rows", none), "quote_rows": F.coalesce("quote_rows", none)}).fillna(0)
 
 
+# Heads of the tables, and how much of a quotation and of a passage they show.
+CITATION_HEADS = ("Status", "As cited", "Chapter", "Section", "Heading", "Official URL", "Candidates (if missing)")
+QUOTE_HEADS = ("Status", "Score", "Quoted text", "Section", "Closest passage")
+AMENDED_HEADS = ("Section", "Heading", "Effective from", "Official URL")
+SUMMARY_HEADS = ("Metric", "Count")
+QUOTE_CHARS, PASSAGE_CHARS, MOST_CANDIDATES = 80, 100, 3
+
+
+def audit_tables(texts: DataFrame, nodes: DataFrame, cites: DataFrame, quotes: DataFrame, fresh: DataFrame, since: str | None, url: Column | None = None, key: str = "text_id") -> DataFrame:
+    """``key`` and four Markdown tables: ``summary``, ``citations``, ``quotes``, ``amended_since``; one row for each of ``texts``.
+
+    ``cites``, ``quotes`` and ``fresh`` are the parts of :func:`audit`; ``url``
+    is a column of ``nodes``.  Each part is grouped once, so a task holds what
+    one text cites and quotes, no more.
+    """
+    n = nodes.select("node_id", F.col("path").alias("_path"), F.col("heading").alias("_heading"), (F.lit("") if url is None else url).alias("_url"))
+    in_order = lambda order, row: F.transform(F.array_sort(F.collect_list(F.struct(order, row.alias("_row")))), lambda x: x["_row"])
+    counted = lambda status: F.count_if(F.col("status") == status)
+
+    chapter, section = text.chapter_of(F.col("path"), colon=True), F.when(~F.col("chapter_only"), F.col("path"))
+    cited = text.markdown_row(F.col("status"), F.col("raw"), chapter, section, F.col("_heading"), F.col("_url"), F.array_join(F.slice("candidates", 1, MOST_CANDIDATES), ", "))
+    c = cites.join(n, "node_id", "left").groupBy(key).agg(in_order("pos", cited).alias("_c"), F.count(F.lit(1)).alias("_n"), counted("valid").alias("_valid"), counted("repealed").alias("_repealed"), counted("not_found").alias("_missing"))
+
+    quoted = text.markdown_row(F.col("status"), F.format_string("%.2f", "score"), text.truncated(F.col("quote"), QUOTE_CHARS), F.col("_path"), text.truncated(F.coalesce("passage", F.lit("")), PASSAGE_CHARS))
+    q = quotes.join(n, "node_id", "left").groupBy(key).agg(in_order("quote_no", quoted).alias("_q"), F.count(F.lit(1)).alias("_nq"), counted("exact").alias("_exact"), counted("fuzzy").alias("_fuzzy"), counted("not_found").alias("_missed"))
+
+    amended = text.markdown_row(F.col("_path"), F.col("_heading"), F.col("effective_from"), F.col("_url"))
+    f = fresh.join(n, "node_id").groupBy(key).agg(in_order("_path", amended).alias("_f"), F.count(F.lit(1)).alias("_nf"))
+
+    metrics = {
+        "Citations — total": "_n", "Citations — valid": "_valid", "Citations — repealed": "_repealed", "Citations — missing": "_missing",
+        "Quotes — total": "_nq", "Quotes — exact": "_exact", "Quotes — fuzzy": "_fuzzy", "Quotes — missed": "_missed", "Sections amended since": "_nf",
+    }
+    none = "_No `since` date supplied; freshness check skipped._" if since is None else f"_No cited sections amended since {since}._"
+    out = texts.select(key).join(c, key, "left").join(q, key, "left").join(f, key, "left")
+    return out.select(
+        key,
+        text.markdown_table(SUMMARY_HEADS, F.array(*[text.markdown_row(F.lit(name), F.coalesce(F.col(col), F.lit(0))) for name, col in metrics.items()])).alias("summary"),
+        text.markdown_table(CITATION_HEADS, F.col("_c")).alias("citations"),
+        text.markdown_table(QUOTE_HEADS, F.col("_q")).alias("quotes"),
+        F.when(F.col("_nf") > 0, text.markdown_table(AMENDED_HEADS, F.col("_f"))).otherwise(none).alias("amended_since"),
+    )
+
+
 def citation_payloads(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key: str = "text_id", body: str = "body", most_chars: int = MOST_CHARS, include_pending: bool = False) -> DataFrame:
     """One row for each text: ``key``, ``error``, ``n_citations`` and ``citations`` in order, each with an excerpt of the text it cites.
 

@@ -188,14 +188,15 @@ def usage(calls: DataFrame, quota: Column) -> DataFrame:
 def chat_caps(calls: DataFrame, daily: int = DAILY_CHATS, monthly: int = MONTHLY_CHATS) -> DataFrame:
     """Adds ``code``: 503 beyond the month's total of all, 429 beyond a key's own day, else 200.
 
-    The place of a call within its month comes from daily totals, and from its
-    rank within its day, so no window holds a month.
+    The place of a call within its month comes from totals of seconds, and from
+    its rank within its second: no window holds more than the seconds of a
+    month, or the calls of one second.
     """
     d = calls.withColumn("day", F.to_date("at")).withColumn("month", F.trunc("at", "month"))
-    d = d.withColumn("hour", F.date_trunc("hour", F.col("at").cast("timestamp_ntz")))
-    per = d.groupBy("month", "hour").agg(F.count(F.lit(1)).alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("month").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("hour", "before")
-    d = d.join(before, "hour").withColumn("of_month", F.col("before") + F.row_number().over(W.partitionBy("hour").orderBy("at", "call_id")))
+    d = d.withColumn("second", F.date_trunc("second", F.col("at").cast("timestamp_ntz")))
+    per = d.groupBy("month", "second").agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("month").orderBy("second").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("second", "before")
+    d = d.join(before, "second").withColumn("of_month", F.col("before") + F.row_number().over(W.partitionBy("second").orderBy("at", "call_id")))
     d = d.withColumn("of_day", F.row_number().over(W.partitionBy("key", "day").orderBy("at", "call_id")))
     code = F.when(F.col("of_month") > monthly, 503).when(F.col("of_day") > daily, 429).otherwise(200)
-    return d.withColumn("code", code).drop("hour", "before")
+    return d.withColumn("code", code).drop("second", "before")

@@ -28,6 +28,8 @@ FUSION = 60
 TOLD = 1_000
 #: Queries that go to the tasks at a time, and vectors that a task compares with them at a time.
 QUERY_BLOCK, VECTOR_ROWS = 2_048, 4_096
+#: More than a matrix product and a sum in fixed order can differ by for unit vectors.
+SLACK = 1e-9
 
 
 def searchable(nodes: DataFrame, versions: DataFrame, source: str | None = None, include_pending: bool = False) -> DataFrame:
@@ -90,12 +92,15 @@ def _nearest(docs: DataFrame, block: list, limit: int, col: str) -> DataFrame:
                 part = vectors.iloc[at : at + VECTOR_ROWS]
                 m = np.stack(part[col].to_numpy()).astype(np.float64)
                 norm = np.linalg.norm(m, axis=1)
-                ids, scores = part["version_id"].to_numpy()[norm > 0], (m[norm > 0] / norm[norm > 0, None]) @ q.T
+                ids, unit = part["version_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0, None]
+                scores = unit @ q.T
                 if not len(ids):
                     continue
                 # All at or above the last place count, so that ties are settled by id.
-                row, no = np.nonzero(scores >= np.partition(scores, max(0, len(ids) - limit), axis=0)[max(0, len(ids) - limit)])
-                no, found, score = (np.concatenate(x) for x in zip(best, (no, ids[row], scores[row, no])))
+                row, no = np.nonzero(scores >= np.partition(scores, max(0, len(ids) - limit), axis=0)[max(0, len(ids) - limit)] - SLACK)
+                # A product rounds by the place of a row in its block; sums row by row give equal vectors equal scores.
+                exact = [(unit[row[k : k + VECTOR_ROWS]] * q[no[k : k + VECTOR_ROWS]]).sum(axis=1) for k in range(0, len(row), VECTOR_ROWS)]
+                no, found, score = (np.concatenate(x) for x in zip(best, (no, ids[row], np.concatenate(exact))))
                 order = np.lexsort((found, -score, no))
                 kept = order[np.arange(len(no)) - np.searchsorted(no[order], no[order]) < limit]
                 best = no[kept], found[kept], score[kept]

@@ -1,7 +1,7 @@
 """SQL that says the same as the queries, for an engine that reads the same tables.
 
-Left out: what needs stems, cover density or a sequence matcher, spans in text,
-and embeddings; those are tested against plain restatements.
+Left out: what needs stems, cover density or a sequence matcher; those are
+tested against plain restatements.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ _BRIEFS = f"""
 #: The shape of a citation, with the word characters of any script spelled out.
 _FREE = "(?i)" + citations.FREE_TEXT.replace(r"\w", r"[\pL\pN_]")
 _CITED = rf"""
- raws AS (SELECT text_id, source, unnest(regexp_extract_all(body, '{_FREE}')) AS raw FROM briefs),
- cited AS (SELECT text_id, source, trim(raw) AS raw, regexp_extract(raw, '(?i)\d+[A-Z]?(?:\.[\pL\pN_]+)?') AS path, regexp_extract(raw, '(?i)\d+[A-Z]?') AS chapter,
+ lists AS (SELECT text_id, source, regexp_extract_all(body, '{_FREE}') AS l FROM briefs),
+ raws AS (SELECT text_id, source, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM lists),
+ cited AS (SELECT text_id, source, pos, trim(raw) AS raw, regexp_extract(raw, '(?i)\d+[A-Z]?(?:\.[\pL\pN_]+)?') AS path, regexp_extract(raw, '(?i)\d+[A-Z]?') AS chapter,
    NOT regexp_matches(trim(raw), '(?i)^\d') AS signed FROM raws WHERE length(trim(raw)) >= 2),
  resolved AS (SELECT c.*, contains(c.path, '.') AS is_section, n.node_id, n.path AS found, n.is_repealed, v.version_id
    FROM cited c LEFT JOIN nodes n ON n.source = c.source AND n.path = c.path
@@ -79,6 +80,8 @@ _TURNS = """
  turn_scores AS (SELECT turn_id, kind, CASE WHEN turn_id % 4 > 0 AND turn_id % 2 = 1 THEN list_contains(paths, CAST(turn_id AS VARCHAR)) END AS retrieval_hit,
    CASE WHEN turn_id % 4 > 0 AND turn_id % 2 = 1 THEN list_contains(used, CAST(turn_id AS VARCHAR)) END AS cite_hit,
    CASE WHEN turn_id % 4 = 0 THEN len(used) = 0 END AS abstained FROM cited)"""
+#: A cell of a Markdown table.
+_CELL = r"replace(replace(replace({0}, '|', '\|'), chr(10), ' '), chr(13), ' ')"
 _STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 
 
@@ -88,6 +91,10 @@ def _with(*parts: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "a6_links_in_order": """
+WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS s FROM pages), e AS (SELECT page_id, unnest(s) AS slug, unnest(range(len(s))) AS pos FROM l),
+ f AS (SELECT slug, min((page_id, pos)) AS spot FROM e GROUP BY slug)
+SELECT slug, row_number() OVER (ORDER BY spot) AS place FROM f""",
     "a6_first_links": """
 WITH found AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS slugs FROM pages),
  each AS (SELECT page_id, unnest(slugs) AS slug, unnest(range(len(slugs))) AS pos FROM found)
@@ -149,6 +156,12 @@ WITH t AS (SELECT doc_id, replace({_STRIP.format("text")}, chr(10), ' ') AS one,
  c AS (SELECT *, substr(body, 1, 800) AS cut, instr(reverse(substr(body, 1, 800)), ' ') AS gap FROM t)
 SELECT doc_id, CASE WHEN length(one) <= 280 THEN one ELSE regexp_replace(substr(one, 1, 279), '\s+$', '') || '…' END AS snippet,
  CASE WHEN length(body) <= 800 THEN body ELSE regexp_replace(CASE WHEN gap > 0 AND 800 - gap > 720 THEN substr(cut, 1, 800 - gap) ELSE cut END, '\s+$', '') || '…' END AS excerpt FROM c""",
+    "b19_search_snippets": r"""
+WITH o AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS one, instr(lower(one), 'the') AS a, instr(lower(one), 'und') AS b FROM documents),
+ s AS (SELECT *, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b END - 1 AS p, greatest(0, p - 80) AS lo, least(length(one), lo + 240) AS hi, substr(one, lo + 1, hi - lo) AS piece FROM o),
+ l AS (SELECT *, CASE WHEN lo > 0 THEN '…' || regexp_replace(piece, '^[^ ]* ', '') ELSE piece END AS led FROM s)
+SELECT doc_id, CASE WHEN length(one) <= 240 THEN one WHEN p IS NULL THEN rtrim(regexp_replace(substr(one, 1, 239), ' [^ ]*$', '')) || '…'
+ ELSE trim(CASE WHEN hi < length(one) THEN regexp_replace(led, ' [^ ]*$', '') || '…' ELSE led END) END AS snippet FROM l""",
     "b21_excerpts": """
 WITH t AS (SELECT doc_id, text, instr(lower(text), 'and the') - 1 AS a FROM documents),
  s AS (SELECT *, greatest(0, a - 100) AS lo, least(length(text), a + 107) AS hi FROM t)
@@ -218,9 +231,22 @@ SELECT query_id, version_id, round(score, 6) AS score, rank FROM r WHERE rank <=
    CASE WHEN a.k IS NULL THEN 1 ELSE 0 END AS list, coalesce(a.k, b.k) AS k FROM a FULL JOIN b ON a.query_id = b.query_id AND a.version_id = b.version_id)
 SELECT query_id, version_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, list, k, version_id) AS rank FROM f""",
     "d7_pending_embeddings": "SELECT doc_id AS version_id FROM documents WHERE doc_id % 3 <> 0",
+    "d8_embeddings": _with(_NODES, _VERSIONS)
+    + f""", texts AS (SELECT version_id, {_STRIP.format("heading || chr(10) || chr(10) || body")} AS s FROM shown),
+ hashes AS (SELECT version_id, i, sha256(i || ':' || s) AS x FROM texts, range(128) r(i)),
+ parts AS (SELECT version_id, i * 8 + j AS k, CAST('0x' || substr(x, 8 * j + 7, 2) || substr(x, 8 * j + 5, 2) || substr(x, 8 * j + 3, 2) || substr(x, 8 * j + 1, 2) AS BIGINT) / 4294967295 * 2 - 1 AS y FROM hashes, range(8) q(j)),
+ sizes AS (SELECT version_id, sqrt(sum(y * y)) AS l FROM parts GROUP BY version_id)
+SELECT version_id, 1024 AS width, round(sum(y / l * (y / l)), 4) AS norm, round(max(y / l) FILTER (WHERE k = 0), 4) AS "first", round(max(y / l) FILTER (WHERE k = 1023), 4) AS "last", CAST(NULL AS VARCHAR) AS error
+FROM parts JOIN sizes USING (version_id) GROUP BY version_id""",
     "e1_parse": _with(_NODES)
     + """SELECT node_id, CASE node_id % 6 WHEN 5 THEN path ELSE path END AS path, parent_path AS chapter, '2/a' AS subdivisions, path || '(2)(a)' AS bare FROM sections WHERE node_id > 0""",
     "e2_find_all": _with(_BRIEFS) + f", raws AS (SELECT text_id, unnest(regexp_extract_all(body, '{_FREE}')) AS raw FROM briefs) SELECT text_id, raw, count(*) AS n FROM raws GROUP BY ALL",
+    # A span begins where its text next occurs behind the one before.
+    "e3_spans": f"""WITH RECURSIVE {_BRIEFS.strip()},
+ lists AS (SELECT text_id, body, regexp_extract_all(body, '{_FREE}') AS l FROM briefs),
+ spans AS (SELECT text_id, 1 AS k, instr(body, l[1]) - 1 AS a, length(l[1]) AS n FROM lists WHERE len(l) > 0
+   UNION ALL SELECT s.text_id, k + 1, a + n + instr(substr(body, a + n + 1), l[k + 1]) - 1, length(l[k + 1]) FROM spans s JOIN lists USING (text_id) WHERE k < len(l))
+SELECT text_id, CAST(a AS INT) AS start, CAST(a + n AS INT) AS "end", l[k] AS raw, regexp_extract(l[k], '(?i)\\d+[A-Z]?(?:\\.[\\pL\\pN_]+)?') AS path FROM spans JOIN lists USING (text_id) WHERE length(trim(l[k])) >= 2""",
     "e6_lookup": _with(_NODES, _VERSIONS)
     + """, near AS (SELECT source, parent_path, string_agg(path, ',' ORDER BY path) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY source, parent_path ORDER BY path) AS k FROM sections) WHERE k <= 5 GROUP BY ALL),
  sized AS (SELECT source, parent_path, count(*) FILTER (WHERE NOT is_repealed) AS n FROM sections GROUP BY ALL)
@@ -243,14 +269,32 @@ UNION ALL SELECT 'incoming', version_id, node_id FROM shown WHERE version_id % 5
     + """SELECT text_id, count(*) AS n_citations, count(*) FILTER (WHERE status = 'valid') AS n_valid, count(*) FILTER (WHERE status = 'repealed') AS n_repealed,
  count(*) FILTER (WHERE status = 'not_found') AS n_not_found, CAST(0 AS BIGINT) AS n_parse_error FROM checked GROUP BY text_id""",
     "f5_audit": _with(_NODES, _VERSIONS, _BRIEFS, _CITED) + "SELECT DISTINCT text_id, version_id, v.effective_from FROM checked JOIN versions v USING (version_id) WHERE v.effective_from >= DATE '2024-06-01'",
+    "f6_audit_tables": _with(_NODES, _VERSIONS, _BRIEFS, _CITED)
+    + f""", three AS (SELECT source, parent_path AS chapter, string_agg(path, ', ' ORDER BY path) AS first_ones FROM (SELECT *, row_number() OVER (PARTITION BY source, parent_path ORDER BY path) AS k FROM sections) WHERE k <= 3 GROUP BY ALL),
+ cells AS (SELECT c.*, {_CELL.format("coalesce(n.heading, '')")} AS heading, coalesce('https://law.example/' || n.path, '') AS url, n.path AS node_path FROM checked c LEFT JOIN nodes n ON n.source = c.source AND n.path = c.path),
+ of_cites AS (SELECT text_id, string_agg('| ' || status || ' | ' || {_CELL.format("raw")} || ' | ' || c.chapter || ' | ' || CASE WHEN is_section THEN path ELSE '' END || ' | ' || heading || ' | ' || url || ' | ' || CASE WHEN status = 'not_found' THEN coalesce(first_ones, '') ELSE '' END || ' |', chr(10) ORDER BY pos) AS rows
+   FROM cells c LEFT JOIN three t ON t.source = c.source AND t.chapter = c.chapter GROUP BY text_id),
+ fresh AS (SELECT DISTINCT text_id, node_path, heading, url, v.effective_from AS day FROM cells JOIN versions v USING (version_id) WHERE v.effective_from >= DATE '2024-06-01'),
+ of_fresh AS (SELECT text_id, string_agg('| ' || node_path || ' | ' || heading || ' | ' || day || ' | ' || url || ' |', chr(10) ORDER BY node_path) AS rows FROM fresh GROUP BY text_id)
+SELECT text_id, sha256(CASE WHEN c.rows IS NULL THEN '_No items._' ELSE '| Status | As cited | Chapter | Section | Heading | Official URL | Candidates (if missing) |' || chr(10) || '|---|---|---|---|---|---|---|' || chr(10) || c.rows END) AS citations_hash,
+ sha256(CASE WHEN f.rows IS NULL THEN '_No cited sections amended since 2024-06-01._' ELSE '| Section | Heading | Effective from | Official URL |' || chr(10) || '|---|---|---|---|' || chr(10) || f.rows END) AS amended_hash
+FROM briefs LEFT JOIN of_cites c USING (text_id) LEFT JOIN of_fresh f USING (text_id)""",
+    "f8_payloads": _with(_NODES, _VERSIONS, _BRIEFS, _CITED)
+    + r""", cut AS (SELECT version_id, rtrim(body, chr(32)||chr(9)||chr(10)||chr(13)) AS t, instr(reverse(substr(t, 1, 800)), ' ') AS gap FROM versions),
+ sized AS (SELECT version_id, CASE WHEN length(t) <= 800 THEN length(t) ELSE 1 + length(regexp_replace(substr(t, 1, CASE WHEN gap > 0 AND 800 - gap > 720 THEN 800 - gap ELSE 800 END), '\s+$', '')) END AS n FROM cut)
+SELECT text_id, CAST(NULL AS VARCHAR) AS error, count(*) AS n_citations, string_agg(path || ':' || status || ':' || coalesce(n, 0), ',' ORDER BY pos) AS citations FROM checked LEFT JOIN sized USING (version_id) GROUP BY text_id""",
     "f7_definitions": _with(_NODES, _VERSIONS)
     + """, first AS (SELECT * FROM shown ORDER BY source, path LIMIT 25)
 SELECT node_id, '"Fast reason"' AS term, 'body ' || node_id || '.' AS definition FROM first""",
     "g1_sources": _with(_NODES) + "SELECT source, count(*) FILTER (WHERE parent_path IS NULL) AS n_chapters, count(*) FILTER (WHERE parent_path IS NOT NULL AND NOT is_repealed) AS n_sections FROM nodes GROUP BY source",
+    "g1_typed_sources": _with(_NODES)
+    + """, typed AS (SELECT source, is_repealed, CASE WHEN parent_path IS NULL THEN CASE source WHEN 'de' THEN 'title' ELSE 'chapter' END WHEN node_id % 2 = 0 THEN 'section' ELSE 'rule' END AS t FROM nodes)
+SELECT source, CASE source WHEN 'de' THEN 'title' WHEN 'en' THEN 'chapter' WHEN 'fr' THEN 'chapter' END AS top_type, count(*) FILTER (WHERE source IN ('de', 'en', 'fr') AND t IN ('title', 'chapter')) AS n_chapters,
+ count(*) FILTER (WHERE NOT is_repealed AND (source = 'de' AND t IN ('rule', 'section') OR source = 'en' AND t = 'section')) AS n_sections, CASE source WHEN 'de' THEN 'Rules' WHEN 'en' THEN 'Sections' ELSE 'Entries' END AS entry_label FROM typed GROUP BY source""",
     "g2_chapters": _with(_NODES)
     + """, n AS (SELECT source, parent_path, count(*) FILTER (WHERE NOT is_repealed) AS n_sections FROM sections GROUP BY ALL)
 SELECT t.source, t.path, n_sections, row_number() OVER (PARTITION BY t.source ORDER BY CAST(t.path AS INT)) AS place FROM tops t JOIN n ON n.source = t.source AND n.parent_path = t.path""",
-    "g3_chapter": _with(_NODES) + "SELECT path, row_number() OVER (ORDER BY node_id) AS place FROM sections WHERE source = 'en' AND parent_path = '1' AND NOT is_repealed",
+    "g3_chapter": _with(_NODES) + "SELECT path, row_number() OVER (ORDER BY node_id) AS place, 'Code § ' || path AS citation, CASE WHEN node_id % 2 = 0 THEN 'Division I' ELSE '' END AS division FROM sections WHERE source = 'en' AND parent_path = '1' AND NOT is_repealed",
     "g4_nodes": _with(_NODES, _VERSIONS)
     + """SELECT s.node_id, s.path, 'Chapter ' || s.parent_path AS chapter_heading, h.version_id, CASE WHEN h.version_id IS NULL THEN 0 ELSE 1 END AS n_versions, CASE WHEN h.version_id % 5 = 0 THEN 1 ELSE 0 END AS n_links
 FROM sections s LEFT JOIN shown h USING (node_id) WHERE s.node_id > 0""",

@@ -41,6 +41,12 @@ def a6_first_links(spark, sf_dir):
     return pages.first_appearances(found).select("slug", "page_id", F.col("pos").cast("long").alias("pos"))
 
 
+@query
+def a6_links_in_order(spark, sf_dir):
+    found = pages.links(fx.table(spark, sf_dir, "pages"))
+    return pages.in_order(pages.first_appearances(found)).select("slug", F.col("place").cast("long").alias("place"))
+
+
 @query
 def a1_code_sections(spark, sf_dir):
     _, sections, _ = probes.parse_code(fx.code_probe(spark, sf_dir))
@@ -356,7 +362,8 @@ def d7_pending_embeddings(spark, sf_dir):
 @query
 def d8_embeddings(spark, sf_dir):
     v = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir)).withColumn("embedding_source_hash", F.lit(None).cast("string"))
-    return retrieval.embed(v).select("version_id", F.size("embedding").alias("width"), F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), "error")
+    part = lambda i: F.round(F.element_at("embedding", i).cast("double"), 4)
+    return retrieval.embed(v).select("version_id", F.size("embedding").alias("width"), F.round(similarity.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), part(1).alias("first"), part(-1).alias("last"), "error")
 
 
 @query
@@ -487,10 +494,18 @@ def f6_audit_report(spark, sf_dir):
     return audit.audit_report(*parts).select("text_id", "n_citations", "n_valid", "n_quotes", "n_exact", "n_amended", "citation_rows", "quote_rows")
 
 
+@query
+def f6_audit_tables(spark, sf_dir):
+    texts, n, since = fx.briefs(spark, sf_dir), fx.nodes(spark, sf_dir), "2024-06-01"
+    parts = audit.audit(texts, n, fx.versions(spark, sf_dir), F.lit(since).cast("date"))
+    out = audit.audit_tables(texts, n, *parts, since, url=F.concat(F.lit("https://law.example/"), "path"))
+    return out.select("text_id", F.sha2("citations", 256).alias("citations_hash"), F.sha2("amended_since", 256).alias("amended_hash"))
+
+
 @query
 def f8_payloads(spark, sf_dir):
-    out = audit.citation_payloads(fx.briefs(spark, sf_dir), fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), most_chars=2_000)
-    return out.select("text_id", "error", "n_citations", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["path"], c["status"], F.length(F.coalesce(c["excerpt"], F.lit("")))))  , ",").alias("citations"))
+    out = audit.citation_payloads(fx.briefs(spark, sf_dir), fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir))
+    return out.select("text_id", "error", "n_citations", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["path"], c["status"], F.length(F.coalesce(c["excerpt"], F.lit(""))))), ",").alias("citations"))
 
 
 @query
@@ -507,6 +522,13 @@ def g1_sources(spark, sf_dir):
     return browse.list_sources(fx.sources(spark, sf_dir), fx.nodes(spark, sf_dir, headings=False))
 
 
+@query
+def g1_typed_sources(spark, sf_dir):
+    n = fx.nodes(spark, sf_dir, headings=False).withColumn("node_type", F.when(F.col("parent_path").isNull(), F.when(F.col("source") == "de", "title").otherwise("chapter")).when(F.col("node_id") % 2 == 0, "section").otherwise("rule"))
+    types = [("en", "chapter", 0, "Chapters"), ("en", "section", 1, "Sections"), ("de", "title", 0, "Titles"), ("de", "rule", 1, "Rules"), ("de", "section", 2, "Sections"), ("fr", "chapter", 0, "Chapters")]
+    return browse.typed_sources(fx.sources(spark, sf_dir), n, spark.createDataFrame(types, "source string, node_type string, level int, label string"))
+
+
 @query
 def g2_chapters(spark, sf_dir):
     return browse.list_chapters(fx.nodes(spark, sf_dir, headings=False)).select("source", "path", "n_sections", F.col("place").cast("long").alias("place"))
@@ -514,7 +536,8 @@ def g2_chapters(spark, sf_dir):
 
 @query
 def g3_chapter(spark, sf_dir):
-    return browse.chapter_detail(fx.nodes(spark, sf_dir, headings=False), "en", "1").select("path", F.col("place").cast("long").alias("place"))
+    n = fx.nodes(spark, sf_dir, headings=False).withColumn("division", F.when(F.col("node_id") % 2 == 0, "Division I"))
+    return browse.chapter_detail(n, "en", "1", "Code §").select("path", F.col("place").cast("long").alias("place"), "citation", "division")
 
 
 @query

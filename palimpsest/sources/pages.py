@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Fixed value: a link to a chapter's file.
 CHAPTER_LINK = r"(?i)/docs/code/\d+/(\d+[A-Z]?)\.rtf"
 ANY_LINK = r'href="([^"]+)"'
+#: Pages, or runs of pages, that are counted together.
+RUN = 1_000
 
 
 def links(pages: DataFrame, pattern: str = ANY_LINK, key: str = "page_id") -> DataFrame:
@@ -26,5 +28,16 @@ def first_appearances(found: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def in_order(first: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adds ``place`` by page and position; for lists of slugs, not for the web."""
-    return first.withColumn("place", F.row_number().over(W.orderBy(key, "pos")))
+    """Adds ``place`` by page (a whole number, null first) and position.
+
+    Runs of :data:`RUN` pages are counted first; a window then holds the links of
+    one run, and another the counts of up to :data:`RUN` runs.
+    """
+    run = F.coalesce(F.floor(F.col(key) / RUN), F.lit(-(2**60)))
+    of_runs = W.partitionBy("_top").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    runs = first.groupBy(run.alias("_run")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_top", F.floor(F.col("_run") / RUN))
+    tops = runs.groupBy("_top").agg(F.sum("_n").alias("_n"))
+    tops = tops.select("_top", (F.coalesce(F.sum("_n").over(W.orderBy("_top").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_above"))
+    before = runs.withColumn("_before", F.coalesce(F.sum("_n").over(of_runs), F.lit(0))).join(tops, "_top").select("_run", (F.col("_above") + F.col("_before")).alias("_before"))
+    ranked = first.withColumn("_run", run).join(before, "_run").withColumn("_rank", F.row_number().over(W.partitionBy("_run").orderBy(key, "pos")))
+    return ranked.withColumn("place", F.col("_before") + F.col("_rank")).drop("_run", "_before", "_rank")

@@ -179,6 +179,25 @@ def test_quotes(spark, law):
     assert report[1].n_amended == 1 and "fuzzy" in report[1].quote_rows and report[0].quote_rows == "_No items._"
 
 
+def test_audit_tables(spark, law):
+    nodes, v = law
+    bodies = ["See 714.1 and 714.404: “theft is a DECEPTIVE\npractice|”", "nothing", None]
+    texts = spark.createDataFrame([(i, "code", b) for i, b in enumerate(bodies)], "text_id long, source string, body string")
+    parts = audit.audit(texts, nodes, v, F.lit("2025-01-01").cast("date"))
+    got = {r.text_id: r for r in audit.audit_tables(texts, nodes, *parts, "2025-01-01", url=F.concat(F.lit("u/"), "path")).collect()}
+    assert set(got) == {0, 1, 2}
+    rows = got[0].citations.split("\n")
+    assert len(rows) == 4 and rows[1] == "|---|---|---|---|---|---|---|"
+    assert rows[2].startswith("| valid | 714.1 | 714 | 714.1 | ") and rows[2].endswith(" | u/714.1 |  |") and rows[3].startswith("| not_found | 714.404 | 714 | 714.404 |  |  | 714.")
+    assert len(rows[3].split(", ")) == audit.MOST_CANDIDATES
+    (quote,) = got[0].quotes.split("\n")[2:]
+    assert quote.split(" | ")[2:4] == ["theft is a DECEPTIVE practice\\|", "714.1"]
+    assert "| Citations — total | 2 |" in got[0].summary and "| Sections amended since | 1 |" in got[0].summary and "| 714.1 |" in got[0].amended_since
+    for i in (1, 2):
+        assert got[i].citations == got[i].quotes == "_No items._" and "2025-01-01" in got[i].amended_since and "| Quotes — total | 0 |" in got[i].summary
+    assert "skipped" in audit.audit_tables(texts, nodes, *parts, None).where("text_id = 1").first().amended_since
+
+
 def test_definitions(spark, law):
     nodes, v = law
     got = audit.definitions(nodes, v, "merchant").collect()
@@ -316,7 +335,11 @@ def test_browse(spark, law):
     sources = spark.createDataFrame([("code",), ("rules",), ("empty",)], "source string")
     assert {r.source: (r.n_chapters, r.n_sections) for r in browse.list_sources(sources, nodes).collect()} == {"code": (8, 4), "rules": (1, 1), "empty": (0, 0)}
     assert [r.path for r in browse.list_chapters(nodes, "code").orderBy("place").collect()] == ["30", "232", "497", "498", "499", "501", "714", "501A"]
-    assert [r.path for r in browse.chapter_detail(nodes, "code", "714").orderBy("place").collect()] == ["714.1", "714.2", "714.8", "714.16"]
+    sections = browse.chapter_detail(nodes, "code", "714", "C §").orderBy("place").collect()
+    assert [r.path for r in sections] == ["714.1", "714.2", "714.8", "714.16"] and sections[0].citation == "C § 714.1" and sections[0].division == ""
+    typed = nodes.withColumn("node_type", F.when(F.col("parent_path").isNull(), "chapter").otherwise("section"))
+    types = spark.createDataFrame([("code", "chapter", 0, "Chapters"), ("code", "section", 1, "Sections"), ("rules", "part", 0, "Parts"), ("rules", "rule", 1, "Rules")], "source string, node_type string, level int, label string")
+    assert {r.source: tuple(r)[1:] for r in browse.typed_sources(sources, typed, types).collect()} == {"code": ("chapter", 8, 4, "Sections"), "rules": ("part", 0, 0, "Rules"), "empty": (None, 0, 0, "Entries")}
     d = {r.path: r for r in browse.node_detail(nodes, v, links.cross_references(nodes, v)).collect()}
     assert (d["714.8"].n_links, d["714.8"].chapter_heading, d["714.2"].version_id) == (4, "Chapter 714", None)
 
@@ -357,6 +380,9 @@ def test_quota(spark):
     assert evaluation.daily_quota(calls, F.lit(None).cast("long")).where("allowed and remaining is null").count() == 5
     caps = [r.code for r in evaluation.chat_caps(calls, daily=2, monthly=4).orderBy("call_id").collect()]
     assert caps == [200, 200, 429, 200, 503]
+    # Many calls of one second, and seconds apart: the month's total counts all, in order of time and id.
+    calls = spark.createDataFrame([(i, i, dt.datetime(2024, 1 + i % 2, 1, 0, 0, i // 7)) for i in range(40)], "call_id long, key long, at timestamp_ntz")
+    assert [r.of_month for r in evaluation.chat_caps(calls).orderBy("at", "call_id").collect()] == [*range(1, 21), *range(1, 21)]
     tiers = spark.createDataFrame([("free",), ("solo",), ("firm",), ("custom",), ("odd",)], "t string").select(evaluation.quota_of(F.col("t"))).collect()
     assert [r[0] for r in tiers] == [200, 5000, 50000, None, 200]
 

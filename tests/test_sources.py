@@ -143,10 +143,15 @@ def test_rules_sink(spark):
     assert sample["parse_notes"] == ["32:3.1 in body only"] and sample["rules"][1]["comment_text"].startswith("[1] First")
 
 
-def test_links_first_appearance(spark):
+def test_links_first_appearance(spark, monkeypatch):
     p = spark.createDataFrame([(2, '<a href="/docs/code/2026/9I.rtf"><a href="/docs/code/2026/1.rtf">'), (1, '<A HREF="/docs/code/2026/1.RTF">')], "page_id long, html string")
     first = pages.in_order(pages.first_appearances(pages.links(p, pages.CHAPTER_LINK)))
     assert [(r.slug, r.page_id) for r in first.orderBy("place").collect()] == [("1", 1), ("9I", 2)]
+    monkeypatch.setattr(pages, "RUN", 3)
+    rows = [(str(i), None if i % 13 == 0 else i * 7 % 50 - 9, i) for i in range(60)]
+    got = pages.in_order(spark.createDataFrame(rows, "slug string, page_id long, pos long"))
+    assert [r.slug for r in got.orderBy("place").collect()] == [s for s, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+    assert sorted(r.place for r in got.collect()) == [*range(1, 61)]
 
 
 def test_blobs_and_dump(spark, tmp_path):
