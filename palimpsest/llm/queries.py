@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, token_store, toxicity
+from . import bpe, embedding_dedup, fingerprints, jaccard_join, line_dedup, packing, pii, prefix_trie, quality_classifier, quality_rules, structure_repair, token_store, toxicity
 from .common import read_table, scratch_dir
 
 
@@ -65,6 +65,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
@@ -76,11 +88,123 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_fingerprints": op10_fingerprints,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII string: each byte is added to the remainder, then eight bits of that are shifted out."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ord(({text})[i]), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "xor(c >> 1, 3988292384 * (c & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, e: CASE WHEN e < 0 THEN {shift} ELSE xor(c, e) END), 4294967295::BIGINT)"
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion from each conversation's last turn to its first; v<state> holds (cost, letters, turns) of the cheapest way on."""
+    nl = "chr(10)"
+    put = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    lead = {0: "CASE r.i WHEN 's' THEN r.v1 WHEN 'u' THEN r.v2 END", 1: "CASE r.i WHEN 'u' THEN r.v2 END", 2: "CASE r.i WHEN 'a' THEN r.v3 END", 3: "CASE r.i WHEN 'u' THEN r.v2 END"}
+
+    def way(rest: str, cost: str, letter: str, turn: str) -> str:
+        turns = f"list_concat([{turn}], ({rest}).t)" if turn else f"({rest}).t"
+        return f"{{'c': ({rest}).c + {cost}, 'a': '{letter}' || ({rest}).a, 't': {turns}}}"
+
+    def own(s: int) -> str:
+        to, role = put[s]
+        extra = "3 * r.truncated"
+        keep = f"CASE WHEN r.must = 0 AND ({lead[s]}).c IS NOT NULL THEN {way(f'({lead[s]})', extra, 'K', 'r.role || chr(58) || r.text')} END"
+        rename = f"CASE WHEN r.must = 0 THEN {way(f'r.v{to}', f'3 + {extra}', 'R', f"'{role}:' || r.text")} END"
+        return f"list_min(list_filter([{way(f'r.v{s}', '4', 'D', '')}, {keep}, {rename}], lambda w: w IS NOT NULL)) AS b{s}"
+
+    insert = {0: "b2", 1: "b2", 2: "b3", 3: "b2"}
+    twice = {0: "b3", 1: "b3"}
+    closed = []
+    for s in range(4):
+        ways = [f"b{s}", way(insert[s], "3", "I", f"'{put[s][1]}:'")]
+        if s in twice:
+            ways.append(way(f"({way(twice[s], '3', 'I', chr(39) + 'assistant:' + chr(39))})", "3", "I", "'user:'"))
+        closed.append(f"list_min([{', '.join(ways)}]) AS v{s}")
+    none = "[]::VARCHAR[]"
+    end = f"{{'c': 0::BIGINT, 'a': '', 't': {none}}} AS v0, {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS v1, {{'c': 3::BIGINT, 'a': 'I', 't': ['assistant:']}} AS v2, {{'c': 0::BIGINT, 'a': '', 't': {none}}} AS v3"
+    solid = r"'[^\x20\x09-\x0D]'"
+    blanks = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+    return f"""
+WITH RECURSIVE fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate
+  FROM conversations),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER o AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, left(role, 1) AS i, lag(left(role, 1)) OVER o AS prior
+  FROM harmed WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+judged AS (
+  SELECT *, (NOT regexp_matches(text, {solid}))::INT AS blank, (regexp_matches(text, {solid}) AND nth > 1)::INT AS dup,
+         (regexp_matches(text, {solid}) AND nth = 1 AND right(rtrim(text, {blanks}), 1) NOT IN ('.', '!', '?'))::INT AS truncated
+  FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank)::BIGINT AS blank, sum(dup)::BIGINT AS duplicate, sum(truncated)::BIGINT AS truncated,
+         count(*) FILTER (WHERE prior IS NOT NULL AND prior || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM judged GROUP BY conv_id),
+solved AS (
+  SELECT conv_id, n AS k, {end} FROM counted
+  UNION ALL
+  SELECT conv_id, k - 1, {', '.join(closed)} FROM (
+    SELECT r.conv_id, r.k, {', '.join(own(s) for s in range(4))}
+    FROM (SELECT s.*, j.role, j.text, j.i, j.blank + j.dup AS must, j.truncated FROM solved s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.k = s.k) r) x)
+SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+       coalesce(s.v0.c, 0) AS cost, coalesce(s.v0.a, '') AS audit, sha256(coalesce(array_to_string(s.v0.t, {nl}), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.k = 0
+"""
+
 _LOWER = "translate(trim(l, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_structure_repair": _repair_sql(),
+    "op12_embedding_dedup": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM usable),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= 0.95),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+named AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named
+""",
+    "op13_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+counted AS (SELECT conv_id, count(*) AS total FROM turns GROUP BY conv_id),
+convs AS (SELECT conv_id, total, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM counted),
+rebuilt AS (
+  SELECT c.conv_id, t.r AS d, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.r <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.r - c.h + least(c.h, coalesce(b.total, 0)), t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.r > c.h LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+paths AS (
+  SELECT conv_id, d, length(text) AS chars, list([role, text]) OVER (PARTITION BY conv_id ORDER BY d) AS k FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, [] FROM convs),
+lengths AS (SELECT conv_id, max(d) AS len FROM paths GROUP BY conv_id),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM paths GROUP BY k, d),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM paths JOIN lengths USING (conv_id) WHERE d = len GROUP BY k),
+kids AS (SELECT list_slice(k, 1, d - 1) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT list_slice(n.k, 1, x) AS k, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS x FROM nodes) n LEFT JOIN kids ON kids.k = n.k GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN below ON below.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN ends ON ends.k = n.k LEFT JOIN nodes p ON n.d > 0 AND p.k = list_slice(n.k, 1, n.d - 1)
+""",
     "op1_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS l,
