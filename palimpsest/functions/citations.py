@@ -66,7 +66,12 @@ def find_all(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iU)" + FREE_TEXT), 0)
 
 
-def render(c: Column, style: str = "long", prefix: str = "Iowa Code §") -> Column:
-    """``long`` (under ``prefix``), ``short`` (under the sign alone) or ``bare``; subdivisions are appended."""
+#: How a section and a chapter are announced in each style.
+FORMS = {"long": ("Iowa Code § ", "Iowa Code ch. "), "short": ("I.C. § ", "I.C. ch. "), "bare": ("", "")}
+
+
+def render(c: Column, style: str = "long") -> Column:
+    """A parsed citation in ``long``, ``short`` or ``bare`` form, its subdivisions appended; null for null."""
+    section, chapter = FORMS[style]
     body = F.concat(c["path"], F.array_join(F.transform(c["subdivisions"], lambda s: F.concat(F.lit("("), s, F.lit(")"))), ""))
-    return body if style == "bare" else F.concat(F.lit("§ " if style == "short" else f"{prefix} "), body)
+    return F.concat(F.when(c["chapter_only"], F.lit(chapter)).otherwise(F.lit(section)), body)

@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import similarity, text
-from palimpsest.operators import fulltext
+from palimpsest.operators import ann, fulltext
 from palimpsest.operators.temporal import is_current
 
 #: Constant of reciprocal rank fusion.
@@ -60,53 +60,54 @@ def trigram_search(docs: DataFrame, queries: DataFrame, threshold: float = 0.1,
     return _top(both.select("query_id", "version_id", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("score")).where(F.col("score") >= threshold), limit)
 
 
+def _packed(rows: DataFrame, key: str, col: str, most: int) -> DataFrame:
+    """``n``, ``ids``, ``unit``: blocks of up to ``most`` ids and unit vectors as bytes; null, zero and non-finite vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = ann.vectors_of(b.column(1))
+            ids = np.array(b.column(0).to_pylist(), np.int64)[at] if len(at) else np.zeros(0, np.int64)
+            for k in range(0, len(ids), most):
+                part = [pa.array([len(ids[k : k + most])], pa.int32()), pa.array([ids[k : k + most].tobytes()], pa.binary()), pa.array([x[k : k + most].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(part, ["n", "ids", "unit"])
+
+    return rows.select(F.col(key).cast("long").alias(key), col).mapInArrow(run, "n int, ids binary, unit binary")
+
+
 def vector_search(docs: DataFrame, queries: DataFrame, limit: int = 50, col: str = "embedding") -> DataFrame:
     """The nearest by cosine, exactly, of each of ``queries`` (``query_id`` and ``col``), ties by id.
 
-    Queries go to the tasks in blocks of ``QUERY_BLOCK``, one pass over ``docs``
-    for each; the driver holds one block at a time.  Each task keeps its best
-    ``limit`` for each query of the block, then those are ranked.  Null and
-    zero vectors are near nothing.
+    Both sides are packed, thousands of vectors to a row, and each block of
+    documents meets each block of queries; no vector passes the driver.  Each
+    task keeps its best ``limit`` for each query, then those are ranked.  Null,
+    zero and non-finite vectors are near nothing; all vectors have one dimension.
     """
-    found, block = None, []
-    for r in chain(queries.select("query_id", col).where(F.col(col).isNotNull()).toLocalIterator(), (None,)):
-        block += [] if r is None else [r]
-        if len(block) == QUERY_BLOCK or (r is None and (block or found is None)):
-            one = _nearest(docs, block, limit, col)
-            found, block = one if found is None else found.unionByName(one), []
-    return _top(found, limit)
 
-
-def _nearest(docs: DataFrame, block: list, limit: int, col: str) -> DataFrame:
-    q = np.array([r[col] for r in block], np.float64).reshape(len(block), len(block[0][col]) if block else 0)
-    norm = np.linalg.norm(q, axis=1)
-    names = np.array([r["query_id"] for r in block], np.int64)[norm > 0]
-    held = docs.sparkSession.sparkContext.broadcast((q[norm > 0] / norm[norm > 0, None], names))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, names = held.value
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # number of the query, id, score
-        for pdf in frames:
-            vectors = pdf[pdf[col].notna()]
-            for at in range(0, len(vectors) if len(q) else 0, VECTOR_ROWS):
-                part = vectors.iloc[at : at + VECTOR_ROWS]
-                m = np.stack(part[col].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(m, axis=1)
-                ids, unit = part["version_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0, None]
-                scores = unit @ q.T
-                if not len(ids):
-                    continue
-                # All at or above the last place count, so that ties are settled by id.
-                row, no = np.nonzero(scores >= np.partition(scores, max(0, len(ids) - limit), axis=0)[max(0, len(ids) - limit)] - SLACK)
-                # A product rounds by the place of a row in its block; sums row by row give equal vectors equal scores.
-                exact = [(unit[row[k : k + VECTOR_ROWS]] * q[no[k : k + VECTOR_ROWS]]).sum(axis=1) for k in range(0, len(row), VECTOR_ROWS)]
-                no, found, score = (np.concatenate(x) for x in zip(best, (no, ids[row], np.concatenate(exact))))
-                order = np.lexsort((found, -score, no))
-                kept = order[np.arange(len(no)) - np.searchsorted(no[order], no[order]) < limit]
-                best = no[kept], found[kept], score[kept]
-        yield pd.DataFrame({"query_id": names[best[0]], "version_id": best[1], "score": best[2]})
-
-    return docs.select("version_id", col).mapInPandas(run, "query_id long, version_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each block of queries: number of the query, id, score
+        for b in batches:
+            for n, ids, unit, m, names, asked in zip(*(c.to_pylist() for c in b.columns)):
+                x, q, ids = np.frombuffer(unit).reshape(n, -1), np.frombuffer(asked).reshape(m, -1), np.frombuffer(ids, np.int64)
+                best[names] = _better(best.get(names), x, ids, q, limit)
+        for names, (no, ids, score) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, np.int64)[no]), pa.array(ids), pa.array(score)], ["query_id", "version_id", "score"])
+
+    asked = _packed(queries, "query_id", col, QUERY_BLOCK).toDF("m", "names", "asked")
+    return _top(_packed(docs, "version_id", col, VECTOR_ROWS).crossJoin(asked).mapInArrow(run, "query_id long, version_id long, score double"), limit)
+
+
+def _better(best: tuple | None, unit: np.ndarray, ids: np.ndarray, q: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best of each query among those so far and a block of vectors."""
+    best = best or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    scores = unit @ q.T
+    # All at or above the last place count, so that ties are settled by id.
+    row, no = np.nonzero(scores >= np.partition(scores, max(0, len(ids) - limit), axis=0)[max(0, len(ids) - limit)] - SLACK)
+    # A product rounds by the place of a row in its block; sums row by row give equal vectors equal scores.
+    exact = [(unit[row[k : k + VECTOR_ROWS]] * q[no[k : k + VECTOR_ROWS]]).sum(axis=1) for k in range(0, len(row), VECTOR_ROWS)]
+    no, found, score = (np.concatenate(x) for x in zip(best, (no, ids[row], np.concatenate(exact))))
+    order = np.lexsort((found, -score, no))
+    kept = order[np.arange(len(no)) - np.searchsorted(no[order], no[order]) < limit]
+    return no[kept], found[kept], score[kept]
 
 
 def fuse(lists: dict[str, DataFrame], k: int = FUSION) -> DataFrame:

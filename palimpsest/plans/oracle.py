@@ -220,6 +220,10 @@ UNION ALL SELECT 3, version_id FROM docs WHERE list_contains(w, 'and') AND NOT l
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS rank FROM s WHERE score >= 0.1)
 SELECT query_id, version_id, round(score, 6) AS score, rank FROM r WHERE rank <= 20""",
     "d4_vector": _with(_COSINE) + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS k FROM near) SELECT query_id, version_id, round(score, 6) AS score FROM r WHERE k <= 10",
+    # Whatever the index chooses, nine of ten true neighbours must be among it.
+    "d4_recall": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+ d AS (SELECT count(*) AS n FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)
+SELECT count(*) AS n_queries, sum(least(10, d.n))::BIGINT AS n_wanted, true AS enough FROM q, d""",
     "d5_fusion": _with(_NODES, _VERSIONS)
     + f""", queries AS (SELECT unnest([0, 1, 2, 3]) AS query_id, unnest(['the and of', 'der die und', 'de la que', 'erst']) AS query),
  q AS (SELECT query_id, {_TRIGRAMS.format("query")} AS a FROM queries), d AS (SELECT version_id, {_TRIGRAMS.format("heading")} AS b, {_TRIGRAMS.format("body")} AS c FROM shown),
@@ -239,7 +243,9 @@ SELECT query_id, version_id, round(score, 9) AS score, row_number() OVER (PARTIT
 SELECT version_id, 1024 AS width, round(sum(y / l * (y / l)), 4) AS norm, round(max(y / l) FILTER (WHERE k = 0), 4) AS "first", round(max(y / l) FILTER (WHERE k = 1023), 4) AS "last", CAST(NULL AS VARCHAR) AS error
 FROM parts JOIN sizes USING (version_id) GROUP BY version_id""",
     "e1_parse": _with(_NODES)
-    + """SELECT node_id, CASE node_id % 6 WHEN 5 THEN path ELSE path END AS path, parent_path AS chapter, '2/a' AS subdivisions, path || '(2)(a)' AS bare FROM sections WHERE node_id > 0""",
+    + """SELECT node_id, CASE WHEN o THEN parent_path ELSE path END AS path, parent_path AS chapter, o AS chapter_only, CASE WHEN o THEN '' ELSE '2/a' END AS subdivisions,
+ CASE WHEN o THEN 'Iowa Code ch. ' || parent_path ELSE 'Iowa Code § ' || path || '(2)(a)' END AS long, CASE WHEN o THEN 'I.C. ch. ' || parent_path ELSE 'I.C. § ' || path || '(2)(a)' END AS short,
+ CASE WHEN o THEN parent_path ELSE path || '(2)(a)' END AS bare FROM (SELECT *, node_id % 6 = 5 AS o FROM sections WHERE node_id > 0)""",
     "e2_find_all": _with(_BRIEFS) + f", raws AS (SELECT text_id, unnest(regexp_extract_all(body, '{_FREE}')) AS raw FROM briefs) SELECT text_id, raw, count(*) AS n FROM raws GROUP BY ALL",
     # A span begins where its text next occurs behind the one before.
     "e3_spans": f"""WITH RECURSIVE {_BRIEFS.strip()},

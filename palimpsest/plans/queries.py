@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import citations, similarity, text
-from palimpsest.operators import audit, browse, evaluation, fulltext, ingest, links, retrieval, temporal
+from palimpsest.operators import ann, audit, browse, evaluation, fulltext, ingest, links, retrieval, temporal
 from palimpsest.plans import fixtures as fx
-from palimpsest.sources import blobs, pages, probes, rtf, rules_text
+from palimpsest.sources import blobs, pages, probes, rtf, rules_text, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,6 +340,28 @@ def d4_vector(spark, sf_dir):
     return retrieval.vector_search(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), limit=10).select("query_id", "version_id", F.round("score", 6).alias("score"))
 
 
+def _index(spark, sf_dir):
+    """A stored index over all vectors, and its model."""
+    docs = _vectors(spark, sf_dir)
+    model, path = ann.fit(docs), scratch.folder(spark, "vector-index")
+    ann.write_index(docs, model, path)
+    return ann.read_index(spark, path)
+
+
+@query
+def d4_cells(spark, sf_dir):
+    docs = _vectors(spark, sf_dir)
+    return ann.search(docs, _asked_vectors(spark, sf_dir), *_index(spark, sf_dir), limit=10).select("query_id", "version_id", F.round("score", 6).alias("score"))
+
+
+@query
+def d4_recall(spark, sf_dir):
+    docs, asked_for = _vectors(spark, sf_dir), _asked_vectors(spark, sf_dir)
+    found = ann.search(docs, asked_for, *_index(spark, sf_dir), limit=10)
+    both = ann.recall(found, retrieval.vector_search(docs, asked_for, limit=10))
+    return both.agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n_exact").alias("n_wanted"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("enough"))
+
+
 @query
 def d5_fusion(spark, sf_dir):
     docs, q = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir)), asked(spark, HEADINGS)
@@ -388,9 +410,11 @@ def d14_tool_search(spark, sf_dir):
 @query
 def e1_parse(spark, sf_dir):
     n = fx.nodes(spark, sf_dir, headings=False).where("node_id > 0")
-    raw = F.concat(F.element_at(F.array(*[F.lit(s) for s in ("Iowa Code § ", "section ", "I.C. ", "", "§§ ", "ch. ")]), (F.col("node_id") % 6 + 1).cast("int")), "path", F.lit("(2)(a) and more"))
-    c = citations.parse(raw)
-    return n.select("node_id", c["path"].alias("path"), c["chapter"].alias("chapter"), F.array_join(c["subdivisions"], "/").alias("subdivisions"), citations.render(c, "bare").alias("bare"))
+    of_chapter = F.col("node_id") % 6 == 5
+    sign = F.element_at(F.array(*[F.lit(s) for s in ("Iowa Code § ", "section ", "I.C. ", "", "§§ ", "ch. ")]), (F.col("node_id") % 6 + 1).cast("int"))
+    c = citations.parse(F.concat(sign, F.when(of_chapter, F.col("parent_path")).otherwise(F.col("path")), F.lit("(2)(a) and more")))
+    parsed = [c[k].alias(k) for k in ("path", "chapter", "chapter_only")]
+    return n.select("node_id", *parsed, F.array_join(c["subdivisions"], "/").alias("subdivisions"), *[citations.render(c, style).alias(style) for style in ("long", "short", "bare")])
 
 
 @query

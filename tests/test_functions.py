@@ -122,7 +122,9 @@ def test_grammar(spark):
     got = df.select("t", citations.parse(F.col("t")).alias("c")).collect()
     assert {r.t: (r.c.chapter, r.c.section, r.c.subdivisions) if r.c else None for r in got} == FORMS
     c = citations.parse(F.lit("§ 1.2(a)"))
-    assert tuple(spark.range(1).select(citations.render(c), citations.render(c, "short"), citations.render(c, "bare")).first()) == ("Iowa Code § 1.2(a)", "§ 1.2(a)", "1.2(a)")
+    assert tuple(spark.range(1).select(citations.render(c), citations.render(c, "short"), citations.render(c, "bare")).first()) == ("Iowa Code § 1.2(a)", "I.C. § 1.2(a)", "1.2(a)")
+    c = citations.parse(F.lit("chapter 714"))
+    assert tuple(spark.range(1).select(citations.render(c), citations.render(c, "short"), citations.render(c, "bare")).first()) == ("Iowa Code ch. 714", "I.C. ch. 714", "714")
 
 
 def test_find_all(spark):
