@@ -21,6 +21,8 @@ from palimpsest.functions.stemming import STOP_WORDS, stem
 
 #: Weights of headings (A) and bodies (B).
 WEIGHTS = {"A": 1.0, "B": 0.4}
+#: Digits of a score that count: sums in another order differ behind them, and would part ties.
+DIGITS = 9
 WORD = r"(?U)[\p{L}\p{N}]+"
 #: Lexemes of a table of queries that are told to the scan.
 PUSHED = 1_000
@@ -101,9 +103,9 @@ def read_query(query: str, english: bool = True) -> list[list[tuple[bool, list[t
 def cover_density(hits: list[tuple[int, str, str]], wanted: set[str]) -> float:
     """Sum over minimal covers: weight of their hits over one and the words between.
 
-    ``hits`` are (position, weight, lexeme).
+    ``hits`` are (position, weight, lexeme); one that two clauses of a query ask for counts once.
     """
-    hits = sorted(hits)
+    hits = sorted(set(hits))
     total, count, left, need = 0.0, dict.fromkeys(wanted, 0), 0, len(wanted)
     for right, (end, _, lexeme) in enumerate(hits):
         count[lexeme] += 1
@@ -142,7 +144,7 @@ def _density(hits: pd.Series) -> pd.Series:
     out = []
     for rows in hits:
         found = [(int(p["pos"]), p["weight"], r["lexeme"]) for r in rows for p in r["at"]]
-        out.append(cover_density(found, {x for _, _, x in found}))
+        out.append(round(cover_density(found, {x for _, _, x in found}), DIGITS))
     return pd.Series(out, dtype="float64")
 
 

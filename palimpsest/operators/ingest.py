@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.operators.temporal import latest
+from palimpsest.sources.scratch import stored
 
 #: More repeals than this share of the sections at hand stop an ingest.
 REPEAL_LIMIT = 0.10
@@ -30,8 +31,10 @@ PARTS = 1024
 def numbered(rows: DataFrame, name: str, above: int) -> DataFrame:
     """Adds ``name``: numbers from ``above`` + 1 on, without gaps, by parts of a hash of :data:`KEY` and in order of it within.
 
-    One row for each part reaches the driver, and no task sees all rows.
+    One row for each part reaches the driver, and no task sees all rows.  The
+    rows are stored first, so that they are counted and ranked as the same.
     """
+    rows = stored(rows, "unnumbered")
     part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int")
     sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], above
@@ -102,8 +105,8 @@ def validate(parsed: DataFrame, changes: DataFrame, references: DataFrame | None
     return out
 
 
-def apply_nodes(nodes: DataFrame, parsed: DataFrame, chapters: DataFrame, changes: DataFrame) -> DataFrame:
-    """The nodes after a snapshot, with ids above the greatest so far for new ones.
+def apply_nodes(nodes: DataFrame, parsed: DataFrame, chapters: DataFrame, changes: DataFrame, above: int | None = None) -> DataFrame:
+    """The nodes after a snapshot, with ids above the greatest so far (or ``above``) for new ones.
 
     Missing chapters and sections are made; chapter headings follow the
     snapshot, section headings only with an added or amended text; repealed
@@ -119,6 +122,7 @@ def apply_nodes(nodes: DataFrame, parsed: DataFrame, chapters: DataFrame, change
     wanted = parsed.join(moved, KEY, "left_semi").select(*KEY, F.col("chapter").alias("new_parent"), F.col("heading").alias("new_heading"), extra(parsed).alias("new_metadata"), F.lit(False).alias("flag"))
     wanted = wanted.unionByName(chapters.select("source", F.col("chapter").alias("path"), F.lit(None).cast("string").alias("new_parent"), F.col("title").alias("new_heading"), extra(chapters).alias("new_metadata"), reserved.alias("flag")).dropDuplicates(KEY))
     gone = changes.where("kind = 'repealed'").select(*KEY, F.lit(True).alias("_gone"))
+    # Stored once: new ones are numbered, and joined to the others.
     merged = nodes.withColumn("_metadata", extra(nodes)).join(wanted, KEY, "full_outer").join(gone, KEY, "left")
     made = merged.select(
         "node_id",
@@ -128,11 +132,12 @@ def apply_nodes(nodes: DataFrame, parsed: DataFrame, chapters: DataFrame, change
         F.when(F.col("_gone"), True).otherwise(F.coalesce("flag", "is_repealed", F.lit(False))).alias("is_repealed"),
         *([F.coalesce("new_metadata", "_metadata").alias("metadata")] if "metadata" in {c for d in (nodes, parsed, chapters) for c in d.columns} else []),
     )
-    fresh = numbered(made.where("node_id is null").drop("node_id"), "node_id", _greatest(nodes, "node_id"))
+    made = stored(made, "nodes")
+    fresh = numbered(made.where("node_id is null").drop("node_id"), "node_id", _greatest(nodes, "node_id") if above is None else above)
     return made.where("node_id is not null").unionByName(fresh)
 
 
-def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, changes: DataFrame, effective_from: Column) -> DataFrame:
+def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, changes: DataFrame, effective_from: Column, above: int | None = None) -> DataFrame:
     """The versions after a snapshot: amended and repealed ones closed, new ones pending.
 
     ``nodes`` are those after :func:`apply_nodes`.  New versions get ids above
@@ -148,7 +153,7 @@ def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, cha
     closed = old.join(touched, "node_id", "left").withColumn("effective_to", until).select(*old.columns)
     fresh = parsed.join(changes.where("kind in ('added', 'amended')").select(*KEY), KEY, "left_semi").join(ids, KEY)
     history = F.coalesce(F.try_element_at("history_brackets", F.lit(1)), F.lit("")) if "history_brackets" in parsed.columns else F.lit("")
-    new = numbered(fresh.withColumn("enacted_by", history), "version_id", _greatest(versions, "version_id")).select(
+    new = numbered(fresh.withColumn("enacted_by", history), "version_id", _greatest(versions, "version_id") if above is None else above).select(
         "version_id",
         "node_id",
         "body",
@@ -161,6 +166,13 @@ def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, cha
     return closed.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True)
 
 
+def apply_snapshot(nodes: DataFrame, versions: DataFrame, parsed: DataFrame, chapters: DataFrame, effective_from: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes and versions after a snapshot; its changes and the new nodes are computed once, and stored."""
+    changes = stored(diff(parsed, chapters, nodes, versions), "changes")
+    after = stored(apply_nodes(nodes, parsed, chapters, changes), "nodes-after")
+    return after, apply_versions(versions, after, parsed, changes, effective_from)
+
+
 def dry_run(parsed: DataFrame, chapters: DataFrame, nodes: DataFrame, versions: DataFrame, references: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Changes and issues of a snapshot; nothing is applied."""
     changes = diff(parsed, chapters, nodes, versions)

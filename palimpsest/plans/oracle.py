@@ -207,6 +207,17 @@ SELECT m.source, m.path, parent_path, coalesce(c.kind = 'repealed', flag) AS is_
     "d1_postings": f"""
 WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS lexeme FROM documents)
 SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY lexeme""",
+    "d1_index": f"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang ELSE '' END AS heading, text FROM documents WHERE doc_id % 7 <> 0),
+ w AS (SELECT doc_id, unnest({_WORDS.format("heading")}) AS lexeme, 1 AS h FROM t UNION ALL SELECT doc_id, unnest({_WORDS.format("text")}), 0 FROM t)
+SELECT lexeme, count(DISTINCT doc_id) AS df, count(*) AS tf, sum(h)::BIGINT AS in_headings FROM w GROUP BY lexeme""",
+    # The score of one word is the sum of its weights: 1 in a heading, 0.4 in a body.
+    "d2_word_ranks": _with(_NODES, _VERSIONS)
+    + f""", q AS (SELECT doc_id AS query_id, {_WORDS.format("text")}[1] AS lexeme FROM documents WHERE doc_id % 20 = 0),
+ w AS (SELECT version_id, unnest({_WORDS.format("heading")}) AS lexeme, 10 AS tenths FROM shown UNION ALL SELECT version_id, unnest({_WORDS.format("body")}), 4 FROM shown),
+ s AS (SELECT version_id, lexeme, sum(tenths) AS s FROM w GROUP BY ALL),
+ r AS (SELECT query_id, version_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, version_id) AS rank FROM q JOIN s USING (lexeme) WHERE lower(lexeme) <> 'or')
+SELECT query_id, version_id, round(s / 10.0::DOUBLE, 6) AS score, rank FROM r WHERE rank <= 50""",
     "d2_simple_match": _with(_NODES, _VERSIONS)
     + rf""", docs AS (SELECT version_id, list_concat({_WORDS.format("heading")}, {_WORDS.format("body")}) AS w FROM shown)
 SELECT 0 AS query_id, version_id FROM docs WHERE list_contains(w, 'the') AND list_contains(w, 'that')
@@ -336,3 +347,5 @@ WITH e AS (SELECT user_id AS run_id, event_id AS seq, ['tool_start', 'delta', 'd
 SELECT run_id, CASE WHEN failed THEN 'The request failed: ' || coalesce(failure, '') WHEN answer IS NOT NULL THEN answer WHEN done THEN '(no answer returned)' ELSE '' END AS answer, n_steps,
  CASE WHEN failed AND n_steps > 0 AND NOT coalesce(told > started, false) THEN 1 ELSE 0 END AS n_failed, CASE WHEN failed THEN 'failed' WHEN done THEN 'success' ELSE 'running' END AS state FROM g""",
 }
+
+SQL["c8_in_place"] = SQL["c8_applied_versions"]

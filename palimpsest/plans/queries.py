@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import citations, similarity, text
-from palimpsest.operators import ann, audit, browse, evaluation, fulltext, ingest, links, retrieval, temporal
+from palimpsest.operators import ann, audit, browse, chapterstore, evaluation, fulltext, ingest, links, retrieval, temporal, textindex
 from palimpsest.plans import fixtures as fx
 from palimpsest.sources import blobs, pages, probes, rtf, rules_text, scratch
 
@@ -264,14 +264,26 @@ def c7_summary(spark, sf_dir):
     return ingest.summary(_changes(spark, sf_dir))
 
 
-def _applied_nodes(spark, sf_dir):
-    return ingest.apply_nodes(fx.nodes(spark, sf_dir), fx.snapshot(spark, sf_dir), fx.snapshot_chapters(spark, sf_dir), _changes(spark, sf_dir))
+#: The day from which the snapshot holds.
+STARTS = "2026-01-01"
+
+
+def _applied(spark, sf_dir):
+    return ingest.apply_snapshot(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), fx.snapshot(spark, sf_dir), fx.snapshot_chapters(spark, sf_dir), F.lit(STARTS).cast("date"))
 
 
 @query
 def c8_applied_versions(spark, sf_dir):
-    out = ingest.apply_versions(fx.versions(spark, sf_dir), _applied_nodes(spark, sf_dir), fx.snapshot(spark, sf_dir), _changes(spark, sf_dir), F.lit("2026-01-01").cast("date"))
-    return out.select("content_hash", "effective_from", "effective_to", "review_status", "enacted_by")
+    return _applied(spark, sf_dir)[1].select("content_hash", "effective_from", "effective_to", "review_status", "enacted_by")
+
+
+@query
+def c8_in_place(spark, sf_dir):
+    """The same snapshot, on a stored corpus of which it rewrites the chapters that it changes."""
+    held = chapterstore.ChapterStore(spark, scratch.folder(spark, "corpus"))
+    held.create(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir))
+    held.apply(fx.snapshot(spark, sf_dir), fx.snapshot_chapters(spark, sf_dir), F.lit(STARTS).cast("date"))
+    return held.versions().select("content_hash", "effective_from", "effective_to", "review_status", "enacted_by")
 
 
 @query
@@ -282,7 +294,7 @@ def c8_run(spark, sf_dir):
 
 @query
 def c9_applied_nodes(spark, sf_dir):
-    return _applied_nodes(spark, sf_dir).select("source", "path", "parent_path", "is_repealed", F.sha2("heading", 256).alias("heading_hash"))
+    return _applied(spark, sf_dir)[0].select("source", "path", "parent_path", "is_repealed", F.sha2("heading", 256).alias("heading_hash"))
 
 
 @query
@@ -307,10 +319,43 @@ def d1_postings(spark, sf_dir):
     return fulltext.postings(docs, "version_id", english=False).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("at")).alias("tf"))
 
 
+@query
+def d1_index(spark, sf_dir):
+    """An index that went through additions, removals and new headings, read back: it counts what one made anew would."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), F.lit("").alias("heading"), F.col("text").alias("body"), "lang")
+    before = d.where("version_id % 3 <> 0").drop("lang")
+    after = d.where("version_id % 7 <> 0").select("version_id", F.when(F.col("version_id") % 5 == 0, F.col("lang")).otherwise("").alias("heading"), "body")
+    held = textindex.Index(spark, scratch.folder(spark, "text-index"), english=False)
+    held.build(before)
+    held.update(*textindex.changed_documents(before, after))
+    return held.postings(held.state()).groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("tf"), F.sum(F.size(F.filter("places", lambda p: p % 2 == 1))).alias("in_headings"))
+
+
+@functools.cache
+def _text_index(application: str, sf_dir: str, english: bool) -> textindex.Index:
+    """An index of the current versions; it stays while the application does."""
+    spark = SparkSession.getActiveSession()
+    held = textindex.Index(spark, scratch.folder(spark, "text-index"), english=english)
+    held.build(retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir)).select("version_id", "heading", "body"))
+    return held
+
+
+def _questions(spark, sf_dir, words: int):
+    """The first words of every document whose id is divisible by 20."""
+    first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(fulltext.WORD), 0), 1, words)
+    return fx.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(first, " ").alias("query"))
+
+
 @query
 def d2_fulltext(spark, sf_dir):
-    docs = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir))
-    return fulltext.search(fulltext.postings(docs, "version_id"), asked(spark, ["measure reason", "thing -edition", "or"]), limit=50).select("query_id", "version_id", F.round("score", 6).alias("score"), "rank")
+    hits = _text_index(spark.sparkContext.applicationId, sf_dir, True).search(_questions(spark, sf_dir, 3), limit=50)
+    return hits.select("query_id", "version_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def d2_word_ranks(spark, sf_dir):
+    hits = _text_index(spark.sparkContext.applicationId, sf_dir, False).search(_questions(spark, sf_dir, 1), limit=50)
+    return hits.select("query_id", "version_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query

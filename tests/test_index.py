@@ -1,10 +1,12 @@
-"""Stored indexes: vectors in cells, and their exactness."""
+"""Stored indexes: vectors in cells, postings in segments."""
+
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import ann, retrieval
+from palimpsest.operators import ann, fulltext, retrieval, textindex
 
 SCHEMA = "version_id long, embedding array<double>"
 
@@ -69,3 +71,119 @@ def test_exact_search_in_blocks(spark, monkeypatch):
     for q, hits in got.items():
         want = sorted(unit, key=lambda k: (-round(float((unit[k] * unit[q]).sum()), 12), k))[:6]
         assert [v for _, v in sorted(hits)] == want
+
+
+TEXTS = "version_id long, heading string, body string"
+WORDS = ["tenant", "landlord", "theft", "weapons", "deceptive", "practices", "juvenile", "the", "of", "notice"]
+
+
+def a_text(rng, n):
+    return " ".join(rng.choice(WORDS[: rng.choice([3, 10])]) for _ in range(n))
+
+
+def some_texts(rng, ids):
+    return [(i, rng.choice([None, "", a_text(rng, 2)]), rng.choice([None, "", a_text(rng, 5), a_text(rng, 40), a_text(rng, 200)])) for i in ids]
+
+
+ASKED = ["tenant", "tenant landlord", "theft or weapons deceptive", '"deceptive practices"', 'notice -theft', 'juvenile -"tenant landlord"', "tenant tenant", "of the", "absent", "", "weapons theft notice practices", '"theft the weapons" or juvenile']
+
+
+def plain_search(rows, queries, limit, english):
+    """Every document against every query, by the definition alone."""
+    out = []
+    for q, query in queries:
+        scored = []
+        for i, heading, body in rows:
+            words = [(k + 1, w, where) for where, t in (("A", heading), ("B", body)) for w in (t or "").split() for k in (0,)]
+            words = [(k + 1, w, where) for k, (_, w, where) in enumerate(words)]
+            lexemes = [(p, fulltext.stem(w) if english else w, where) for p, w, where in words if not (english and w in fulltext.STOP_WORDS)]
+            best = None
+            for clauses in fulltext.read_query(query, english):
+                holds = lambda terms: any(all((p + d) in {x for x, w, _ in lexemes if w == lexeme} for lexeme, d in terms) for p in range(-9, len(words) + 9))  # noqa: E731, B023
+                if all(holds(terms) == wanted for wanted, terms in clauses):
+                    names = {lexeme for wanted, terms in clauses if wanted for lexeme, _ in terms}
+                    score = fulltext.cover_density([(p, where, w) for p, w, where in lexemes if w in names], names)
+                    best = score if best is None else max(best, score)
+            if best is not None:
+                scored.append((-round(best, 9), i))
+        out += [(q, i, -s, k + 1) for k, (s, i) in enumerate(sorted(scored)[:limit])]
+    return sorted(out)
+
+
+def same_hits(got, want):
+    assert sorted((r.query_id, r.version_id, round(r.score, 9), r["rank"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("english", [True, False])
+def test_stored_search_is_the_full_search(spark, tmp_path, monkeypatch, english):
+    monkeypatch.setattr(textindex, "PART_DOCS", 40)
+    monkeypatch.setattr(textindex, "QUERIES", 5)
+    rows = some_texts(random.Random(1), range(-20, 130))
+    docs = spark.createDataFrame(rows, TEXTS)
+    queries = list(enumerate(ASKED))
+    index = textindex.Index(spark, str(tmp_path / "index"), english)
+    assert index.search(spark.createDataFrame(queries, "query_id long, query string")).count() == 0
+    index.build(docs)
+    got = index.search(spark.createDataFrame(queries, "query_id long, query string"), limit=7)
+    want = plain_search(rows, queries, 7, english)
+    same_hits(got, want)
+    same_hits(fulltext.search(fulltext.postings(docs, "version_id", english=english), spark.createDataFrame(queries, "query_id long, query string"), limit=7, english=english), want)
+
+
+def test_upkeep_in_any_order_equals_a_rebuild(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "PART_DOCS", 40)
+    monkeypatch.setattr(textindex, "MERGED", 2)
+    rng = random.Random(2)
+    table = {r[0]: r for r in some_texts(rng, range(60))}
+    tokenised = []
+    tokens = textindex.Index._tokens
+    monkeypatch.setattr(textindex.Index, "_tokens", lambda self, docs: (tokenised.append(docs.count()), tokens(self, docs))[1])
+    index = textindex.Index(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame(list(table.values()), TEXTS))
+    for _ in range(4):
+        before = spark.createDataFrame(list(table.values()), TEXTS)
+        for i in rng.sample(sorted(table), 5):
+            table[i] = (i, table[i][1], a_text(rng, 30))  # amended
+        for i in rng.sample(sorted(table), 3):
+            table[i] = (i, a_text(rng, 3), table[i][2])  # a new heading
+        for i in rng.sample(sorted(table), 4):
+            del table[i]
+        table |= {r[0]: r for r in some_texts(rng, [rng.randrange(1000) for _ in range(4)])}
+        changed, removed = textindex.changed_documents(before, spark.createDataFrame(list(table.values()), TEXTS))
+        index.update(changed, removed)
+    assert sorted(r.version_id for r in index.documents().collect()) == sorted(table)
+    fresh = textindex.Index(spark, str(tmp_path / "fresh"))
+    fresh.build(spark.createDataFrame(list(table.values()), TEXTS))
+    rows = lambda x: sorted(map(str, x.postings(x.state()).select("version_id", "lexeme", "places").collect()))
+    assert rows(index) == rows(fresh)
+    same_hits(index.search(spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query string"), limit=9), plain_search(list(table.values()), list(enumerate(ASKED)), 9, True))
+    assert tokenised[0] == 60 and max(tokenised[1:-1]) <= 16 and len(index.state()) < 5
+
+
+def test_an_update_without_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    index = textindex.Index(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame([(1, "", "tenant"), (2, "", "landlord")], TEXTS))
+
+    def killed(self, segments):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(textindex.Index, "_commit", killed)
+        with pytest.raises(KeyboardInterrupt):
+            index.update(spark.createDataFrame([(1, "", "theft")], TEXTS), spark.createDataFrame([(2,)], "version_id long"))
+    asked = spark.createDataFrame([(0, "tenant or landlord"), (1, "theft")], "query_id long, query string")
+    assert sorted((r.query_id, r.version_id) for r in index.search(asked).collect()) == [(0, 1), (0, 2)]
+
+
+def test_few_blocks_are_read(spark, tmp_path, monkeypatch):
+    """Of two words that every document has, only documents that may be among the best have their positions read."""
+    rng = random.Random(3)
+    rows = [(i, "", "tenant theft " * 30 if i % 200 == 0 else "tenant " + "filler " * rng.randrange(5) + "theft") for i in range(4000)]
+    index = textindex.Index(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame(rows, TEXTS))
+    chosen = []
+    scored = textindex.Index._scored
+    monkeypatch.setattr(textindex.Index, "_scored", lambda self, rows, c, terms: (chosen.append(c.select("lexeme", "block").distinct().count()), scored(self, rows, c, terms))[1])
+    got = index.search(spark.createDataFrame([(0, "tenant theft")], "query_id long, query string"), limit=10)
+    assert [r.version_id % 200 for r in got.collect()] == [0] * 10
+    assert sum(chosen) < 4000 // textindex.BLOCK_DOCS
