@@ -66,6 +66,20 @@ def find_all(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iU)" + FREE_TEXT), 0)
 
 
+def spans(c: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start, end, raw>> of all matches of ``pattern`` (never empty ones), in characters; ``group``: of that part, which must end its match.
+
+    Matches and what lies between them alternate, so their lengths give the
+    offsets; all of it is built-in expressions.
+    """
+    flagged = "(?iU)" + pattern
+    found, gaps = F.regexp_extract_all(c, F.lit(flagged), 0), F.split(c, flagged, -1)
+    raw = F.regexp_extract_all(c, F.lit(flagged), group) if group else found
+    steps = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: g + F.coalesce(m, F.lit(0)))
+    ends = F.aggregate(F.slice(steps, 1, F.size(found)), F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))
+    return F.zip_with(ends, raw, lambda e, r: F.struct((e - F.length(r)).alias("start"), e.alias("end"), r.alias("raw")))
+
+
 #: How a section and a chapter are announced in each style.
 FORMS = {"long": ("Iowa Code § ", "Iowa Code ch. "), "short": ("I.C. § ", "I.C. ch. "), "bare": ("", "")}
 

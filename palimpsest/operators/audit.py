@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import citations as grammar
 from palimpsest.functions import text
 from palimpsest.operators import links
+from palimpsest.operators.joins import left_known
 from palimpsest.operators.temporal import current_versions, visible
+from palimpsest.sources.scratch import stored
 
 # What counts as a quotation, how far its citation may be, when a quotation is nearly right, where passages end, and how much of one is shown.
 QUOTE = re.compile(r'[“"]([^”"]{6,}?)[”"]')
@@ -32,7 +36,7 @@ def validate_citations(texts: DataFrame, nodes: DataFrame, versions: DataFrame,
     """
     cited = links.scan(texts, key, body, carry=["source"]).withColumn("citation", F.struct("path", "chapter", "chapter_only"))
     live = current_versions(versions, include_pending).select("node_id", F.lit(True).alias("_text"))
-    r = links.resolve(cited, nodes).join(live, "node_id", "left")
+    r = left_known(links.resolve(cited, nodes), live, "node_id")
     gone = F.col("is_repealed") | (~F.col("chapter_only") & F.col("_text").isNull())
     status = F.when(F.col("path").isNull(), "parse_error").when(F.col("node_id").isNull(), "not_found").when(gone, "repealed").otherwise("valid")
     r = r.withColumn("status", status)
@@ -65,18 +69,86 @@ def likeliest(want: str, passages: Sequence[str]) -> tuple[float, int]:
     return best, at
 
 
-def _likeliest(want: pd.Series, passages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([likeliest(w, p) for w, p in zip(want, passages)], columns=["score", "at"])
+class Passages:
+    """The passages of one section, for any number of quotations.
 
+    A passage with a ratio of ``FUZZY`` to a quotation, T characters both
+    together, matches it in M >= FUZZY * T / 2 characters, in no more than
+    T - 2 M + 1 runs; each run of n characters holds n - 2 common runs of three.
+    So the two share at least (5 * FUZZY / 2 - 2) * T - 2 of those, counted with
+    repeats.  Passages that do are compared first; one that reaches ``FUZZY``
+    is better than all others.
+    """
+
+    def __init__(self, folded: Sequence[str]):
+        self.folded, self._held = list(folded), None
+
+    def _shared(self, want: str) -> list[int]:
+        if self._held is None:
+            self._held = {}
+            for i, p in enumerate(self.folded):
+                for g, n in Counter(p[k : k + 3] for k in range(len(p) - 2)).items():
+                    self._held.setdefault(g, []).append((i, n))
+        shared = [0] * len(self.folded)
+        for g, n in Counter(want[k : k + 3] for k in range(len(want) - 2)).items():
+            for i, m in self._held.get(g, ()):
+                shared[i] += min(n, m)
+        return shared
+
+    def likeliest(self, want: str) -> tuple[float, int]:
+        """As :func:`likeliest` of all passages."""
+        near = [i for i, n in enumerate(self._shared(want)) if n >= (2.5 * FUZZY - 2) * (len(want) + len(self.folded[i])) - 2 - 1e-9]
+        score, at = likeliest(want, [self.folded[i] for i in near])
+        return (score, near[at]) if score >= FUZZY else likeliest(want, self.folded)
+
+
+def _excerpt(body: str, low: str, quote: str, low_quote: str, context: int = 100) -> str:
+    """As :func:`text.excerpt_around`, of a text and a quotation that are there in small letters too."""
+    at = low.find(low_quote)
+    if at < 0:
+        return quote
+    start, end = max(0, at - context), min(len(body), at + len(quote) + context)
+    return ("…" if start else "") + body[start:end] + ("…" if end < len(body) else "")
 
-def closest(quote: Column, body: Column) -> Column:
-    """struct<status, score, passage> of a quotation that the body doesn't hold word for word."""
+
+#: Quotations of one section that are compared in one group.
+GROUP_QUOTES = 2_000
+
+
+def compared(quotes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Adds ``status``, ``score``, ``passage`` to quotations (``quote``, ``node_id``, not null) of sections (``node_id``, ``body``).
+
+    *exact*, *fuzzy*, *not_found*, or *section_unresolved* without a section.
+    Both meet by section: a text moves once for every ``GROUP_QUOTES`` of its
+    quotations, and is cut into passages once.
+    """
     folded = lambda c: F.lower(text.collapse_space(c))
-    passages = F.filter(F.transform(F.split(body, PASSAGE_END), text.strip), lambda p: p != "")
-    got = F.pandas_udf(_likeliest, "score double, at int")(folded(quote), F.transform(passages, folded))
-    found = F.coalesce(F.get(passages, got["at"]), F.lit(""))
-    shown = F.concat(F.substring(found, 1, SHOWN), F.when(F.length(found) > SHOWN, "…").otherwise(""))
-    return F.struct(F.when(got["score"] >= FUZZY, "fuzzy").otherwise("not_found").alias("status"), got["score"].alias("score"), shown.alias("passage"))
+    quoted = quotes.groupBy("node_id").agg(F.ceil(F.count(F.lit(1)) / GROUP_QUOTES).cast("int").alias("_loads"))
+    q = quotes.join(quoted, "node_id").withColumns({"_load": F.expr("cast(pmod(xxhash64(quote, start), _loads) as int)"), "_low": F.lower("quote"), "_folded": folded(F.col("quote"))}).drop("_loads")
+    passages = F.filter(F.transform(F.split("body", PASSAGE_END), text.strip), lambda p: p != "")
+    s = sections.join(quoted.withColumnRenamed("node_id", "_node").withColumnRenamed("_loads", "_n"), F.col("node_id") == F.col("_node"))
+    s = s.select(F.col("node_id").alias("_node"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_part"), "body", F.lower("body").alias("low"), folded(F.col("body")).alias("folded"), passages.alias("passages"))
+    s = s.withColumn("folded_passages", F.transform("passages", folded))
+    kept = quotes.columns
+    fields = ", ".join(f"`{c}` {t}" for c, t in quotes.dtypes) + ", status string, score double, passage string"
+
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        held = s.to_pylist()[0] if s.num_rows else None
+        known = Passages(held["folded_passages"]) if held else None
+        out = []
+        for quote, low, folded in zip(*(q[c].to_pylist() for c in ("quote", "_low", "_folded"))):
+            if held is None:
+                out.append(("section_unresolved", 0.0, ""))
+            elif folded in held["folded"]:
+                out.append(("exact", 1.0, _excerpt(held["body"], held["low"], quote, low)))
+            else:
+                score, at = known.likeliest(folded)
+                found = held["passages"][at] if at >= 0 else ""
+                out.append(("fuzzy" if score >= FUZZY else "not_found", score, found[:SHOWN] + ("…" if len(found) > SHOWN else "")))
+        made = [pa.array([r[k] for r in out], t) for k, t in ((0, pa.string()), (1, pa.float64()), (2, pa.string()))]
+        return pa.Table.from_arrays([*(q[c] for c in kept), *made], [*kept, "status", "score", "passage"])
+
+    return q.groupBy("node_id", "_load").cogroup(s.groupBy("_node", "_part")).applyInArrow(run, fields).where("quote is not null")
 
 
 def quotes_of(texts: DataFrame, key: str = "text_id", body: str = "body", carry: Sequence[str] = ()) -> DataFrame:
@@ -117,13 +189,10 @@ def verify_quotes(texts: DataFrame, nodes: DataFrame, versions: DataFrame, key:
     pairs = q.select(key, "quote_no", "source", F.explode("near").alias("c")).join(n, (F.col("source") == F.col("_s")) & (F.col("c.path") == F.col("_p")), "left")
     best = pairs.withColumn("_rank", F.row_number().over(W.partitionBy(key, "quote_no").orderBy(F.col("node_id").isNull(), "c.distance", "c.nth"))).where("_rank = 1").select(key, "quote_no", F.col("c.path").alias("path"), "node_id")
     now = current_versions(versions, include_pending).select("node_id", F.col("body").alias("_body"))
-    r = q.drop("near", "source").join(best, [key, "quote_no"], "left").join(now, "node_id", "left")
-    held = F.contains(F.lower(text.collapse_space(F.col("_body"))), F.lower(text.collapse_space(F.col("quote"))))
-    r = r.withColumn("_how", F.when(F.col("path").isNull(), "no_citation").when(F.col("_body").isNull(), "section_unresolved").when(held, "exact").otherwise("look"))
-    # Only what isn't there word for word goes to Python.
-    done = r.where("_how <> 'look'").withColumn("_m", F.struct(F.col("_how").alias("status"), F.when(F.col("_how") == "exact", 1.0).otherwise(0.0).alias("score"), F.when(F.col("_how") == "exact", text.excerpt_around(F.col("_body"), F.col("quote"))).otherwise("").alias("passage")))
-    look = r.where("_how = 'look'").withColumn("_m", closest(F.col("quote"), F.col("_body")))
-    return done.unionByName(look).select(key, "quote_no", "quote", "start", "end", "path", "node_id", "_m.status", "_m.score", "_m.passage")
+    r = stored(q.drop("near", "source").join(best, [key, "quote_no"], "left"), "quotes")
+    out = [key, "quote_no", "quote", "start", "end", "path", "node_id"]
+    unknown = r.where("node_id is null").select(*out, F.when(F.col("path").isNull(), "no_citation").otherwise("section_unresolved").alias("status"), F.lit(0.0).alias("score"), F.lit("").alias("passage"))
+    return unknown.unionByName(compared(r.where("node_id is not null").select(*out), now.withColumnRenamed("_body", "body")))
 
 
 def audit(texts: DataFrame, nodes: DataFrame, versions: DataFrame, since: Column, key: str = "text_id", body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,10 +236,10 @@ def audit_tables(texts: DataFrame, nodes: DataFrame, cites: DataFrame, quotes: D
 
     chapter, section = text.chapter_of(F.col("path"), colon=True), F.when(~F.col("chapter_only"), F.col("path"))
     cited = text.markdown_row(F.col("status"), F.col("raw"), chapter, section, F.col("_heading"), F.col("_url"), F.array_join(F.slice("candidates", 1, MOST_CANDIDATES), ", "))
-    c = cites.join(n, "node_id", "left").groupBy(key).agg(in_order("pos", cited).alias("_c"), F.count(F.lit(1)).alias("_n"), counted("valid").alias("_valid"), counted("repealed").alias("_repealed"), counted("not_found").alias("_missing"))
+    c = left_known(cites, n, "node_id").groupBy(key).agg(in_order("pos", cited).alias("_c"), F.count(F.lit(1)).alias("_n"), counted("valid").alias("_valid"), counted("repealed").alias("_repealed"), counted("not_found").alias("_missing"))
 
     quoted = text.markdown_row(F.col("status"), F.format_string("%.2f", "score"), text.truncated(F.col("quote"), QUOTE_CHARS), F.col("_path"), text.truncated(F.coalesce("passage", F.lit("")), PASSAGE_CHARS))
-    q = quotes.join(n, "node_id", "left").groupBy(key).agg(in_order("quote_no", quoted).alias("_q"), F.count(F.lit(1)).alias("_nq"), counted("exact").alias("_exact"), counted("fuzzy").alias("_fuzzy"), counted("not_found").alias("_missed"))
+    q = left_known(quotes, n, "node_id").groupBy(key).agg(in_order("quote_no", quoted).alias("_q"), F.count(F.lit(1)).alias("_nq"), counted("exact").alias("_exact"), counted("fuzzy").alias("_fuzzy"), counted("not_found").alias("_missed"))
 
     amended = text.markdown_row(F.col("_path"), F.col("_heading"), F.col("effective_from"), F.col("_url"))
     f = fresh.join(n, "node_id").groupBy(key).agg(in_order("_path", amended).alias("_f"), F.count(F.lit(1)).alias("_nf"))
@@ -199,7 +268,7 @@ def citation_payloads(texts: DataFrame, nodes: DataFrame, versions: DataFrame, k
     fits = F.coalesce(F.length(body), F.lit(0)) <= most_chars
     found = validate_citations(texts.where(fits), nodes, versions, key, body, include_pending)
     now = current_versions(versions, include_pending).select("node_id", text.body_excerpt(F.col("body")).alias("excerpt"))
-    named = found.join(now, "node_id", "left").join(nodes.select("node_id", "heading"), "node_id", "left")
+    named = left_known(left_known(found, now, "node_id"), nodes.select("node_id", "heading"), "node_id")
     each = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "raw", "path", "status", "heading", "excerpt", "candidates")))
     lists = named.groupBy(key).agg(each.alias("citations"), F.count(F.lit(1)).alias("n_citations"))
     error = F.when(~fits, F.format_string(f"text is longer than {most_chars} characters"))

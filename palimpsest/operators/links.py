@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import citations as grammar
 from palimpsest.functions import text
+from palimpsest.operators.joins import left_known
 from palimpsest.operators.temporal import current_versions, visible
 
 CANDIDATES = 5
@@ -50,7 +50,7 @@ def lookup(queries: DataFrame, nodes: DataFrame, versions: DataFrame, include_pe
     """
     q = resolve(with_citation(queries, "query"), nodes)
     now = current_versions(versions, include_pending).select("node_id", "version_id")
-    q = q.join(now, "node_id", "left")
+    q = left_known(q, now, "node_id")
     below = nodes.where("not is_repealed and parent_path is not null").groupBy(F.col("source").alias("_s"), F.col("parent_path").alias("_chapter")).agg(F.count(F.lit(1)).alias("_n"))
     q = q.join(below, (F.col("source") == F.col("_s")) & (F.col("citation.path") == F.col("_chapter")) & F.col("citation.chapter_only"), "left").drop("_s", "_chapter")
     known = F.lit(True)
@@ -96,18 +96,27 @@ def lookup_any_source(queries: DataFrame, sources: DataFrame, nodes: DataFrame,
 
 _FREE = re.compile(grammar.FREE_TEXT, re.IGNORECASE)
 #: Lists of numbers behind one word, and which of their members are meant.
-_SERIES = [(re.compile(grammar.CHAPTER_SERIES, re.IGNORECASE), re.compile(grammar.SERIES_ITEM, re.IGNORECASE)), (re.compile(grammar.SECTION_SERIES, re.IGNORECASE), re.compile(grammar.SECTION_ITEM, re.IGNORECASE))]
+_SERIES = [(grammar.CHAPTER_SERIES, grammar.SERIES_ITEM), (grammar.SECTION_SERIES, grammar.SECTION_ITEM)]
 
 
 def free_spans(body: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of what has the shape of a citation in free text, in order; a single character is none."""
+    """(start, end, text) of what has the shape of a citation in a short piece of text, in order; a single character is none."""
     return [(*m.span(), m[0]) for m in _FREE.finditer(body) if len(m[0].strip()) > 1]
 
 
-def series_spans(body: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the members of lists such as "chapters 2, 3 or 4", in order."""
-    found = ((m.start(1), item) for series, member in _SERIES for m in series.finditer(body) for item in member.finditer(m[1]))
-    return sorted((at + item.start(), at + item.end(), item[0]) for at, item in found)
+def _free(body: Column) -> Column:
+    """The same of whole texts, as a Column."""
+    return F.filter(grammar.spans(body, grammar.FREE_TEXT), lambda s: F.length(text.strip(s["raw"])) > 1)
+
+
+def _members(body: Column, series: str, member: str) -> Column:
+    inside = lambda s: F.transform(grammar.spans(s["raw"], member), lambda m: F.struct((s["start"] + m["start"]).alias("start"), (s["start"] + m["end"]).alias("end"), m["raw"].alias("raw")))
+    return F.flatten(F.transform(grammar.spans(body, series, 1), inside))
+
+
+def _series(body: Column) -> Column:
+    """Members of lists such as "chapters 2, 3 or 4", in order."""
+    return F.array_sort(F.concat(*[_members(body, *s) for s in _SERIES]))
 
 
 def scan(texts: DataFrame, key: str, body: str, series: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -115,23 +124,14 @@ def scan(texts: DataFrame, key: str, body: str, series: bool = False, carry: Seq
 
     ``pass`` (1 for members of lists), ``pos``, ``start``, ``end``, ``raw``, and
     what the grammar reads in it: ``path``, ``chapter``, ``chapter_only``,
-    ``confident`` (a section, a sign before it, or a member of a list).
-
-    Java's expressions give no offsets, so spans are found by a pandas function
-    over batches; what they say is read by Column expressions.
+    ``confident`` (a section, a sign before it, or a member of a list).  Null
+    texts have none.
     """
     own = [key, *carry]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for *known, b in pdf[[*own, body]].itertuples(index=False):
-                for n, spans in enumerate((free_spans(b), series_spans(b) if series else ()) if b else ()):
-                    rows += [(*known, n, i, *x) for i, x in enumerate(spans)]
-            yield pd.DataFrame(rows, columns=[*own, "pass", "pos", "start", "end", "raw"])
-
-    kinds = dict(texts.dtypes)
-    found = texts.select(*own, body).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", pass int, pos int, start int, end int, raw string")
+    found = texts.select(*own, F.posexplode(_free(F.col(body))).alias("pos", "s")).withColumn("pass", F.lit(0))
+    if series:
+        found = found.unionByName(texts.select(*own, F.posexplode(_series(F.col(body))).alias("pos", "s")).withColumn("pass", F.lit(1)))
+    found = found.select(*own, "pass", "pos", "s.start", "s.end", "s.raw")
     c = grammar.parse(F.col("raw"))
     alone = c["chapter_only"] & ~grammar.has_sign(F.col("raw")) & (F.col("pass") == 0)
     return found.withColumns({"path": c["path"], "chapter": c["chapter"], "chapter_only": F.coalesce(c["chapter_only"], F.lit(False)), "confident": c.isNotNull() & ~F.coalesce(alone, F.lit(False))})

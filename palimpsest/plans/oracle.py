@@ -349,3 +349,9 @@ SELECT run_id, CASE WHEN failed THEN 'The request failed: ' || coalesce(failure,
 }
 
 SQL["c8_in_place"] = SQL["c8_applied_versions"]
+# A brief quotes its own document behind the number of its section.
+SQL["f2_exact_quotes"] = (
+    _with(_NODES, _VERSIONS)
+    + f""", quoted AS (SELECT doc_id AS text_id, substr(text, 11, 60) AS raw, {_STRIP.format("substr(text, 11, 60)")} AS quote FROM documents)
+SELECT text_id, sha256(quote) AS quote_hash, path, 1.0::DOUBLE AS score FROM quoted JOIN shown ON version_id = text_id WHERE length(raw) >= 6 AND quote <> ''"""
+)

@@ -544,6 +544,12 @@ def f2_quotes(spark, sf_dir):
     return out.select("text_id", F.sha2("quote", 256).alias("quote_hash"), "path", "status")
 
 
+@query
+def f2_exact_quotes(spark, sf_dir):
+    out = audit.verify_quotes(fx.briefs(spark, sf_dir), fx.nodes(spark, sf_dir, headings=False), fx.versions(spark, sf_dir))
+    return out.where("status = 'exact'").select("text_id", F.sha2("quote", 256).alias("quote_hash"), "path", "score")
+
+
 @query
 def f4_fuzzy_quotes(spark, sf_dir):
     b = fx.briefs(spark, sf_dir).withColumn("body", F.regexp_replace("body", r'(, ".{20}).', "$1#"))
