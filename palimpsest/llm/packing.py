@@ -17,6 +17,13 @@ best fit decreasing at first.  A filling is repeated while the histogram
 allows, or, as a later branch, used once; so the cost does not grow with the
 number of documents.  The search ends with a proof that the plan is the best,
 or after ``SEARCH_NODES`` nodes with the best plan known.
+
+Where best fit is further from the bound than rounding could be, many pieces
+have few lengths, and a good plan mixes fillings in proportions that repeats
+don't reach.  Then fillings are weighed first: each length gets a price, a
+filling that is worth more than a sequence takes another's place, and prices
+follow, until none is.  Whole repeats of these fillings are the head of one
+branch, whose rest is searched like any histogram.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ from .tokens import ENCODED_BYTES, library_encoder, slices
 SEARCH_NODES = 20_000
 #: Windows in which pieces are ranked, beyond one for each length, and about the least pieces of a window.
 WINDOWS, WINDOW_ROWS = 50_000, 1_000
+#: Most changes of price.
+PRICES = 1_000
 
 
 def _add_sums(sums: int, x: int, n: int, room: int) -> int:
@@ -111,6 +120,55 @@ def best_fit(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]
     return [entry for entries in open_.values() for entry in entries]
 
 
+def _worthiest(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
+    """How often each length is in the filling of most worth."""
+    worth, last = np.zeros(size + 1), np.full(size + 1, -1)
+    for room in range(int(lengths[0]), size + 1):
+        fits = lengths[: np.searchsorted(lengths, room, "right")]
+        got = worth[room - fits] + prices[: len(fits)]
+        k = int(got.argmax())
+        worth[room], last[room] = (got[k], k) if got[k] > worth[room - 1] else (worth[room - 1], -1)
+    out, room = np.zeros(len(lengths)), size
+    while room >= lengths[0]:
+        if last[room] < 0:
+            room -= 1
+        else:
+            out[last[room]] += 1
+            room -= int(lengths[last[room]])
+    return out
+
+
+def weighed(counts: np.ndarray, size: int) -> tuple[list[tuple[list[int], int]], float]:
+    """Fillings with whole repeats, none more than the histogram allows, and a number of sequences that no plan goes below (0 if prices didn't settle).
+
+    The relaxed plan, in which repeats may be fractions, by the simplex method
+    over fillings made as they are needed.
+    """
+    lengths = np.flatnonzero(counts)
+    wanted = counts[lengths].astype(float)
+    fills = np.diag(size // lengths).astype(float)  # a column for each filling
+    settled = False
+    for _ in range(PRICES):
+        prices = np.linalg.solve(fills.T, np.ones(len(lengths)))
+        new = _worthiest(lengths, prices, size)
+        if prices @ new <= 1 + 1e-9:
+            settled = True
+            break
+        amount, change = np.linalg.solve(fills, wanted), np.linalg.solve(fills, new)
+        ratio = np.where(change > 1e-9, np.maximum(amount, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        fills[:, int(ratio.argmin())] = new
+    amount = np.linalg.solve(fills, wanted)
+    whole = np.floor(np.maximum(amount, 0) + 1e-6).astype(int)
+    plan, left = [], counts.copy()
+    for column, times in zip(fills.T.astype(int), whole):
+        some = column > 0
+        times = min(times, int((left[lengths[some]] // column[some]).min()))
+        if times > 0:
+            left[lengths] -= column * times
+            plan.append((np.repeat(lengths, column)[::-1].tolist(), times))
+    return plan, float(amount.sum()) if settled else 0.0
+
+
 def plan_sequences(histogram: dict[int, int], size: int, nodes: int = SEARCH_NODES) -> list[tuple[list[int], int]]:
     """[(lengths of one sequence, how many sequences)], all documents of the histogram placed."""
     counts = np.zeros(size + 1, np.int64)
@@ -118,6 +176,13 @@ def plan_sequences(histogram: dict[int, int], size: int, nodes: int = SEARCH_NOD
         counts[length] = n
     best = best_fit(histogram, size)
     fewest, bound = sum(t for _, t in best), _bound(counts, size)
+    if fewest - bound > len(histogram):
+        head, least = weighed(counts, size)
+        rest = {x: n - sum(f.count(x) * t for f, t in head) for x, n in histogram.items()}
+        some = [*head, *plan_sequences({x: n for x, n in rest.items() if n}, size, nodes // 2)]
+        bound = max(bound, int(np.ceil(least - 1e-6 * max(1.0, least))))
+        if sum(t for _, t in some) < fewest:
+            best, fewest = some, sum(t for _, t in some)
 
     def branches() -> Iterator[tuple[list[int], np.ndarray, int] | None]:
         largest = int(np.flatnonzero(counts)[-1])
