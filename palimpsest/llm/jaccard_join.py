@@ -198,13 +198,17 @@ def shared_counts(docs: DataFrame, size: int, percent: int, parts: int) -> DataF
 
 
 def survivors(docs: DataFrame, known: DataFrame, size: int, percent: int) -> DataFrame:
-    """Stored ``k8``, ``key``, ``n``, ``tokens`` of the classes that may link, each at least once."""
+    """Stored ``key``, ``n``, ``tokens``, ``k8`` of the classes that may link, each at least once; no two have the same ``k8``."""
     classes = known.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep"))
     total = known.agg(F.sum("n_shingles").alias("t")).first()["t"] or 0
     shared = shared_counts(docs, size, percent, parts_of(total * (100 - percent) * 3 // 200))
     least = F.greatest(F.lit(1), F.floor((F.ceil(F.col("n") * percent / 100)) * (100 - percent) / 200))
     some = classes.withColumn("k8", _k8(F.col("key"))).join(shared, "k8").where(F.col("shared") >= least).select("key", "rep")
     some = stored(some, "candidates")
+    # A class goes by eight bytes of its key from here on; they are drawn again if two classes have the same.
+    salt = 0
+    while not some.groupBy(_k8(F.col("key"), salt)).count().where("count > 1").isEmpty():
+        salt += 1
     small = some.count() <= BROADCAST_IDS
     ids = F.broadcast(some.select("rep")) if small else some.select("rep")
     few = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi")
@@ -217,12 +221,12 @@ def survivors(docs: DataFrame, known: DataFrame, size: int, percent: int) -> Dat
 
     found = few.select("text").mapInArrow(sets, "key binary, n long, tokens binary")
     keys = F.broadcast(some.select("key")) if small else some.select("key")
-    return stored(found.join(keys, "key", "left_semi"), "survivors")
+    return stored(found.join(keys, "key", "left_semi").withColumn("k8", _k8(F.col("key"), salt)), "survivors")
 
 
-def _k8(key: Column) -> Column:
-    """As :func:`key8`, as a signed number."""
-    short = F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+def _k8(key: Column, salt: int = 0) -> Column:
+    """As :func:`key8`, as a signed number; with a salt, another number for the same key."""
+    short = F.xxhash64(key, F.lit(salt)) if salt else F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
     return F.when(short == 0, F.lit(1)).otherwise(short)
 
 
@@ -288,8 +292,8 @@ def with_shared(sets: DataFrame, percent: int) -> DataFrame:
         done: set[int] = set()
         for b in batches:
             rows = []
-            for key, n, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
-                k = key8(key)
+            for key, n, raw, short in zip(*(b.column(i).to_pylist() for i in range(4))):
+                k = short % 2**64
                 if k in packer.sets or k in done:
                     continue
                 tokens = np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFFFFFFFF)
@@ -328,7 +332,7 @@ def with_shared(sets: DataFrame, percent: int) -> DataFrame:
         types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, x) for c, x in zip(zip(*out), types)] if out else [pa.array([], x) for x in types], names=names)
 
-    pieces = sets.select("key", "n", "tokens").mapInArrow(send, _PACKED).groupBy("part").applyInArrow(count, "k8 long, key binary, n long, t binary, c binary")
+    pieces = sets.select("key", "n", "tokens", "k8").mapInArrow(send, _PACKED).groupBy("part").applyInArrow(count, "k8 long, key binary, n long, t binary, c binary")
     whole = pieces.groupBy("k8").agg(F.max("key").alias("key"), F.max("n").alias("n"), F.collect_list(F.struct("t", "c")).alias("pieces"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

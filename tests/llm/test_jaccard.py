@@ -170,3 +170,19 @@ def test_components(spark):
 def test_empty_table(spark):
     assert jaccard_join.similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert jaccard_join.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_short_keys_are_drawn_again(spark, monkeypatch):
+    """All classes begin with the same short key; a salt parts them."""
+    short = jaccard_join._k8
+    monkeypatch.setattr(jaccard_join, "shared_counts", lambda docs, *_: docs.sparkSession.createDataFrame([(1, 10**6)], "k8 long, shared long"))
+    calls = []
+
+    def k8(key, salt=0):
+        calls.append(salt)
+        return short(key, salt) if salt else short(key) * 0 + 1
+
+    monkeypatch.setattr(jaccard_join, "_k8", k8)
+    rows = list(enumerate(near_copies(11, 25)))
+    got = jaccard_join.similar_groups(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.linked_groups(rows)) and max(calls) == 1
