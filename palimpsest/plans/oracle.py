@@ -355,3 +355,4 @@ SQL["f2_exact_quotes"] = (
     + f""", quoted AS (SELECT doc_id AS text_id, substr(text, 11, 60) AS raw, {_STRIP.format("substr(text, 11, 60)")} AS quote FROM documents)
 SELECT text_id, sha256(quote) AS quote_hash, path, 1.0::DOUBLE AS score FROM quoted JOIN shown ON version_id = text_id WHERE length(raw) >= 6 AND quote <> ''"""
 )
+SQL["h8_streamed_quota"] = SQL["h8_daily_quota"]

@@ -15,6 +15,7 @@ from palimpsest.functions import citations, similarity, text
 from palimpsest.operators import ann, audit, browse, chapterstore, evaluation, fulltext, ingest, links, retrieval, temporal, textindex
 from palimpsest.plans import fixtures as fx
 from palimpsest.sources import blobs, pages, probes, rtf, rules_text, scratch
+from palimpsest.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,6 +686,17 @@ def h8_daily_quota(spark, sf_dir):
     return out.select("call_id", F.col("used").cast("long").alias("used"), "allowed", "remaining")
 
 
+@query
+def h8_streamed_quota(spark, sf_dir):
+    """The same from a stream with state, replayed from the table as one batch and the end of it."""
+    calls = fx.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(calls.schema).parquet(f"{sf_dir}/events.parque[t]")
+    made = stream.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    top = scratch.folder(spark, "quota-stream")
+    stateful.append_to(stateful.daily_quota(made, F.lit(2), "0 seconds"), f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("call_id", "used", "allowed", "remaining")
+
+
 @query
 def h8_usage(spark, sf_dir):
     return evaluation.usage(fx.calls(spark, sf_dir), evaluation.quota_of(fx.tier(F.col("key")))).select("key", "day", "used", "n_refused", "remaining")
