@@ -265,6 +265,19 @@ def _homes(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return home
 
 
+def _join(to: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """``to`` names the least row that each hangs together with; the links p - q are added to that."""
+    while True:
+        a, b = to[p], to[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to[:] = to[to]
+
+
 def _compared(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of vectors in order of bucket -> class, links that it has here, least class that it hangs together with here."""
@@ -282,12 +295,6 @@ def _compared(least: float):
             links, to = np.zeros(len(ids), np.int64), np.arange(len(ids))
             sides = _sides(np.array([int.from_bytes(r[:8], "little", signed=True) for r in ids]), int(cell))
 
-            def root(k: int) -> int:
-                while to[k] != k:
-                    to[k] = to[to[k]]
-                    k = to[k]
-                return k
-
             for a, b in _pairs(len(ids), sides):
                 i, j = np.nonzero(x[a] @ x[b].T >= least)
                 i, j = a[i], b[j]
@@ -299,13 +306,10 @@ def _compared(least: float):
                     p, q = p[here], q[here]
                     np.add.at(links, p, n[q])
                     np.add.at(links, q, n[p])
-                    # Once two rows hang together, further links between them say nothing new.
-                    for u, v in zip(p, q):
-                        u, v = root(u), root(v)
-                        to[max(u, v)] = min(u, v)
+                    _join(to, p, q)
             some = np.flatnonzero(links)
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([ids[root(k)] for k in some], pa.binary())], ["id", "links", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in some], pa.binary()), pa.array(links[some]), pa.array([ids[to[k]] for k in some], pa.binary())], ["id", "links", "to"])
 
     return run
 
