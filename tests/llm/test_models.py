@@ -2,6 +2,7 @@
 
 import random
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import pii, quality_classifier, queries, toxicity
 
+from . import brute
 from .brute import sha
 from .test_native import ODD, SCHEMA, docs
 
@@ -288,3 +290,25 @@ def test_very_long_and_odd_texts_are_scored(spark, sf_dir):
     assert kept.columns == odd.columns and kept.count() == len(rows) and kept.where("doc_id = 1 and text is null").count() == 1
     graded = toxicity.score_documents(odd, toxicity.train(documents, labels)).collect()
     assert len(graded) == len(rows) and {r.doc_id for r in graded} == {1, 2, 3, 4, 5}
+
+
+def test_toxicity_scores_restated(spark):
+    """Scores of a model made by hand, word by word."""
+    rng = random.Random(8)
+    names = ["idiot", "idiot*", "stupi*", "bad", "worst*", "hate"]
+    model = toxicity.Severity({f: i for i, f in enumerate(names)}, np.array([rng.uniform(-1, 2) for _ in names]), np.array([1.0, 1.5, 4.0]))
+    words = ["Idiots", "idiot", "(stupid!)", "stupidity", "bad", "BAD,", "worstest", "hate...", "hateful", "fine", "-", "É"]
+    texts = [None, "", " \t", "fine words"] + [rng.choice([" ", "\n\t"]).join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in toxicity.score_documents(docs(spark, rows), model).collect()}
+    for i, t in rows:
+        n = {}
+        for w in brute.WORD.findall(brute.lower(t or "")):
+            bare = w.strip(".,;:!?\"'()[]{}<>*#$%&|-_")
+            for f in ([bare, bare[:5] + "*"] if len(bare) > 5 else [bare]):
+                n[f] = n.get(f, 0) + 1
+        z = sum(model.weight[names.index(f)] * (1 + math.log(k)) for f, k in n.items() if f in names)
+        above = [1 / (1 + math.exp(c - z)) for c in model.theta]
+        shares = [a - b for a, b in zip([1, *above], [*above, 0])]
+        assert got[i].expected_severity == pytest.approx(sum(above)) and got[i].p_toxic == pytest.approx(above[0])
+        assert got[i].grade == shares.index(max(shares)) and got[i].predicted == (above[0] >= 0.5)
