@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import similarity, text
-from palimpsest.operators import ann, fulltext
+from palimpsest.operators import ann, fulltext, textindex
 from palimpsest.operators.temporal import is_current
 
 #: Constant of reciprocal rank fusion.
@@ -173,10 +173,14 @@ def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, rerank: Reran
     return rows.select("query_id", "version_id", "score", "rank", "query", "body").groupBy("query_id").applyInPandas(run, "query_id long, version_id long, score double, rank int")
 
 
-def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, expand: Expander | None = None, limit: int = 20, per_retriever: int = 50, english: bool = True) -> DataFrame:
-    """Full text, trigram and (if ``vectors`` of the queries are given) nearest vectors, fused and cut, with what ``docs`` has of each hit."""
+def hybrid_search(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, expand: Expander | None = None, limit: int = 20, per_retriever: int = 50, english: bool = True, index: textindex.Index | None = None) -> DataFrame:
+    """Full text, trigram and (if ``vectors`` of the queries are given) nearest vectors, fused and cut, with what ``docs`` has of each hit.
+
+    ``index`` is a stored one of the same ``docs``; without it, all their words are read.
+    """
     q = expanded(queries, expand)
-    lists = {"fts": fulltext.search(fulltext.postings(docs, "version_id", english=english), q, limit=per_retriever, english=english), "trigram": trigram_search(docs, q, limit=per_retriever)}
+    by_words = index.search(q, per_retriever) if index else fulltext.search(fulltext.postings(docs, "version_id", english=english), q, limit=per_retriever, english=english)
+    lists = {"fts": by_words, "trigram": trigram_search(docs, q, limit=per_retriever)}
     if vectors is not None:
         lists["vector"] = vector_search(docs, vectors, limit=per_retriever)
     return fuse(lists).where(F.col("rank") <= limit).join(docs.select("version_id", "node_id", "path", "heading", "body"), "version_id")

@@ -356,3 +356,33 @@ SQL["f2_exact_quotes"] = (
 SELECT text_id, sha256(quote) AS quote_hash, path, 1.0::DOUBLE AS score FROM quoted JOIN shown ON version_id = text_id WHERE length(raw) >= 6 AND quote <> ''"""
 )
 SQL["h8_streamed_quota"] = SQL["h8_daily_quota"]
+SQL["c6_colon_diff"] = _with(_NODES, _VERSIONS, _SNAPSHOT) + "SELECT source, replace(path, '.', ':') AS path, kind FROM changes"
+SQL["c13_bare_chapters"] = (
+    _with(_NODES, _VERSIONS, _SNAPSHOT)
+    + """SELECT 'warning' AS severity, 'unparsed_content_chapter' AS code, chapter AS path, 'chapter ' || chapter || ' has no rules' AS message
+FROM covered c WHERE NOT contains(chapter, '2') AND NOT EXISTS (SELECT 1 FROM snapshot s WHERE s.source = c.source AND s.chapter = c.chapter)"""
+)
+SQL["c14_dry_run"] = f"SELECT kind AS what, count(*) AS n FROM ({SQL['c5_diff']}) GROUP BY kind UNION ALL SELECT code, n FROM ({SQL['c12_issues']})"
+# The place of a match is where its text next occurs behind the one before.
+SQL["f3_nearest_citations"] = (
+    f"""WITH RECURSIVE {_BRIEFS.strip()},
+ lists AS (SELECT text_id, body, 'w' AS kind, regexp_extract_all(body, '(?i)\\b(?:section|chapter)\\b') AS l FROM briefs UNION ALL SELECT text_id, body, 'n', regexp_extract_all(body, '[0-9]{{3,}}') FROM briefs),
+ steps AS (
+  SELECT text_id, body, kind, l, 0 AS k, 0::BIGINT AS start, 0::BIGINT AS stop FROM lists
+  UNION ALL
+  SELECT text_id, body, kind, l, k + 1, stop + instr(substr(body, stop + 1), l[k + 1]) - 1, stop + instr(substr(body, stop + 1), l[k + 1]) - 1 + length(l[k + 1]) FROM steps WHERE k < len(l)),
+ spans AS (SELECT text_id, kind, start, stop, l[k] AS raw FROM steps WHERE k > 0),
+ pairs AS (SELECT n.text_id, n.start, n.stop AS "end", w.start AS r_start, lower(w.raw) AS word, greatest(n.start - w.stop, w.start - n.stop, 0) AS distance
+   FROM spans n JOIN spans w ON w.text_id = n.text_id AND n.kind = 'n' AND w.kind = 'w')
+SELECT text_id, start, "end", r_start, word, distance FROM pairs WHERE distance <= 400 QUALIFY row_number() OVER (PARTITION BY text_id, start, "end" ORDER BY distance, r_start) = 1"""
+)
+SQL["g3_hierarchy"] = """WITH RECURSIVE n AS (
+  SELECT doc_id AS node_id, CASE doc_id % 100 WHEN 61 THEN doc_id + 2 WHEN 63 THEN doc_id - 2 ELSE CASE WHEN doc_id > 0 THEN doc_id // 2 END END AS parent_id, CASE WHEN doc_id % 4 = 0 THEN lang END AS v FROM documents),
+ linked AS (SELECT n.node_id, p.node_id AS parent_id, n.v FROM n LEFT JOIN n p ON p.node_id = n.parent_id),
+ walk AS (
+  SELECT node_id, 0::BIGINT AS depth, node_id::VARCHAR AS breadcrumb, v AS inherited, [node_id] AS line FROM linked WHERE parent_id IS NULL
+  UNION ALL
+  SELECT l.node_id, depth + 1, breadcrumb || '/' || l.node_id, coalesce(l.v, inherited), list_append(line, l.node_id) FROM walk JOIN linked l ON l.parent_id = walk.node_id),
+ below AS (SELECT node_id, count(*) AS k FROM (SELECT unnest(line[1:len(line) - 1]) AS node_id FROM walk) GROUP BY node_id)
+SELECT n.node_id, w.node_id IS NULL AS cyclic, depth, breadcrumb, inherited, CASE WHEN w.node_id IS NOT NULL THEN coalesce(k, 0) END AS n_below
+FROM n LEFT JOIN walk w USING (node_id) LEFT JOIN below USING (node_id)"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import citations, similarity, text
-from palimpsest.operators import ann, audit, browse, chapterstore, evaluation, fulltext, ingest, links, retrieval, temporal, textindex
+from palimpsest.operators import ann, audit, bands, browse, chapterstore, evaluation, fulltext, hierarchy, ingest, links, retrieval, temporal, textindex
 from palimpsest.plans import fixtures as fx
 from palimpsest.sources import blobs, pages, probes, rtf, rules_text, scratch
 from palimpsest.streaming import stateful
@@ -260,6 +260,14 @@ def c5_diff(spark, sf_dir):
     return _changes(spark, sf_dir).select("source", "path", "kind")
 
 
+@query
+def c6_colon_diff(spark, sf_dir):
+    """Paths of rules: a colon behind the chapter."""
+    with_colon = lambda d: d.withColumn("path", F.replace("path", F.lit("."), F.lit(":")))
+    out = ingest.diff(with_colon(fx.snapshot(spark, sf_dir)), fx.snapshot_chapters(spark, sf_dir), with_colon(fx.nodes(spark, sf_dir, headings=False)), fx.versions(spark, sf_dir), colon=True)
+    return out.select("source", "path", "kind")
+
+
 @query
 def c7_summary(spark, sf_dir):
     return ingest.summary(_changes(spark, sf_dir))
@@ -311,6 +319,24 @@ def c12_issues(spark, sf_dir):
     return ingest.validate(fx.snapshot(spark, sf_dir), _changes(spark, sf_dir), refs).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def c13_bare_chapters(spark, sf_dir):
+    """Chapters that should have rules, and have none in the snapshot."""
+    parsed = fx.snapshot(spark, sf_dir)
+    counts = parsed.groupBy("source", "chapter").agg(F.count(F.lit(1)).alias("n_rules"))
+    chapters = fx.snapshot_chapters(spark, sf_dir).join(counts, ["source", "chapter"], "left").fillna(0, ["n_rules"])
+    issues = ingest.validate(parsed, _changes(spark, sf_dir), chapters=chapters)
+    return issues.where("code = 'unparsed_content_chapter'").select("severity", "code", "path", "message")
+
+
+@query
+def c14_dry_run(spark, sf_dir):
+    """What an ingest would do, and what is wrong with it."""
+    refs = fx.snapshot(spark, sf_dir).select("source", "path", F.concat("chapter", F.lit(".1")).alias("reference"))
+    changes, issues = ingest.dry_run(fx.snapshot(spark, sf_dir), fx.snapshot_chapters(spark, sf_dir), fx.nodes(spark, sf_dir, headings=False), fx.versions(spark, sf_dir), refs)
+    return changes.groupBy(F.col("kind").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(issues.groupBy(F.col("code").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+
 # Retrieval
 
 
@@ -333,11 +359,11 @@ def d1_index(spark, sf_dir):
 
 
 @functools.cache
-def _text_index(application: str, sf_dir: str, english: bool) -> textindex.Index:
-    """An index of the current versions; it stays while the application does."""
+def _text_index(application: str, sf_dir: str, english: bool, source: str | None = None) -> textindex.Index:
+    """An index of the current versions (of one source); it stays while the application does."""
     spark = SparkSession.getActiveSession()
     held = textindex.Index(spark, scratch.folder(spark, "text-index"), english=english)
-    held.build(retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir)).select("version_id", "heading", "body"))
+    held.build(retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), source).select("version_id", "heading", "body"))
     return held
 
 
@@ -417,8 +443,12 @@ def d5_fusion(spark, sf_dir):
 
 @query
 def d6_hybrid(spark, sf_dir):
-    docs = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), "en")
-    return retrieval.hybrid_search(docs, asked(spark, ["the reason", "thing and edition"])).select("query_id", "rank", "version_id", "path", F.round("score", 9).alias("score"))
+    """Words, headings and vectors, fused: the questions are the first words of documents, with the vectors of the same ids."""
+    vectors = _vectors(spark, sf_dir).select("version_id", "embedding")
+    docs = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir), "en").join(vectors, "version_id", "left")
+    index = _text_index(spark.sparkContext.applicationId, sf_dir, True, "en")
+    hits = retrieval.hybrid_search(docs, _questions(spark, sf_dir, 3), vectors=_asked_vectors(spark, sf_dir), index=index)
+    return hits.select("query_id", "rank", "version_id", "path", F.round("score", 9).alias("score"))
 
 
 @query
@@ -551,6 +581,15 @@ def f2_exact_quotes(spark, sf_dir):
     return out.where("status = 'exact'").select("text_id", F.sha2("quote", 256).alias("quote_hash"), "path", "score")
 
 
+@query
+def f3_nearest_citations(spark, sf_dir):
+    """For each number of at least three digits the nearest mention of a section or chapter."""
+    texts = fx.briefs(spark, sf_dir)
+    words = texts.select("text_id", F.explode(citations.spans(F.col("body"), r"\b(?:section|chapter)\b")).alias("s")).select("text_id", "s.start", "s.end", "s.raw")
+    numbers = texts.select("text_id", F.explode(citations.spans(F.col("body"), r"[0-9]{3,}")).alias("s")).select("text_id", "s.start", "s.end")
+    return bands.nearest(numbers, words, "text_id", audit.WINDOW).select("text_id", "start", "end", "r_start", F.lower("r_raw").alias("word"), "distance")
+
+
 @query
 def f4_fuzzy_quotes(spark, sf_dir):
     b = fx.briefs(spark, sf_dir).withColumn("body", F.regexp_replace("body", r'(, ".{20}).', "$1#"))
@@ -616,6 +655,17 @@ def g3_chapter(spark, sf_dir):
     return browse.chapter_detail(n, "en", "1", "Code §").select("path", F.col("place").cast("long").alias("place"), "citation", "division")
 
 
+@query
+def g3_hierarchy(spark, sf_dir):
+    """Documents as a tree in which n hangs below n / 2, broken by a cycle; every fourth has a value to inherit."""
+    d = fx.table(spark, sf_dir, "documents")
+    cycle = F.when(F.col("doc_id") % 100 == 61, F.col("doc_id") + 2).when(F.col("doc_id") % 100 == 63, F.col("doc_id") - 2)
+    parent = F.coalesce(cycle, F.when(F.col("doc_id") > 0, F.expr("doc_id div 2")))
+    n = d.select(F.col("doc_id").alias("node_id"), parent.alias("parent_id"), F.col("doc_id").cast("string").alias("label"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")).alias("lang"))
+    out = hierarchy.hierarchy(n, "label", "lang")
+    return out.select("node_id", "cyclic", "depth", F.array_join("breadcrumb", "/").alias("breadcrumb"), "inherited", "n_below")
+
+
 @query
 def g4_nodes(spark, sf_dir):
     edges = fx.versions(spark, sf_dir).where("version_id % 5 = 0").select(F.col("version_id").alias("from_version"), F.lit(1).cast("long").alias("to_node"))
