@@ -161,7 +161,7 @@ def allowed_features(asked: DataFrame, tiers: DataFrame) -> DataFrame:
     """Adds ``allowed`` to (``tier``, ``feature``): whether the tier's ``features`` in ``tiers`` (one row each) hold it; unknown tiers may nothing."""
     own = tiers.select("tier", F.col("features").alias("_features"))
     held = F.coalesce(F.array_contains("_features", F.col("feature")), F.lit(False))
-    return asked.join(F.broadcast(own), "tier", "left").withColumn("allowed", held).drop("_features")
+    return asked.join(own, "tier", "left").withColumn("allowed", held).drop("_features")
 
 
 def _left(quota: Column, used: Column) -> Column:

@@ -221,8 +221,8 @@ def fake_embedding(s: str, width: int = 1024) -> list[float]:
     return (v / (np.linalg.norm(v) or 1)).tolist()
 
 
-def embed(versions: DataFrame, embed_batch: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 64) -> DataFrame:
-    """``version_id``, ``embedding``, ``embedding_source_hash``, ``error`` of the pending versions.
+def embed(versions: DataFrame, embed_batch: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 64, limit: int | None = None) -> DataFrame:
+    """``version_id``, ``embedding``, ``embedding_source_hash``, ``error`` of the pending versions (with ``limit``, the first so many by id).
 
     ``embed_batch`` gets at most ``batch`` texts; if it fails or returns another
     number of vectors, its rows keep no embedding and carry the error.
@@ -242,4 +242,6 @@ def embed(versions: DataFrame, embed_batch: Callable[[list[str]], list[list[floa
                 yield pd.DataFrame({"version_id": own["version_id"], "embedding": vectors, "embedding_source_hash": None if error else own["content_hash"], "error": error})
 
     todo = pending_embeddings(versions).select("version_id", text.embedding_text(F.col("heading"), F.col("body")).alias("text"), "content_hash")
+    if limit is not None:
+        todo = todo.orderBy("version_id").limit(limit)
     return todo.mapInPandas(run, "version_id long, embedding array<float>, embedding_source_hash string, error string")

@@ -26,7 +26,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str, headings: bool = True) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("chapter", F.regexp_extract("source", "[0-9]+", 0))
     flags = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("bad"))
-    head = F.substring(F.substring_index("text", "\n", 1), 1, 500) if headings else F.lit("")
+    head = F.substring_index("text", "\n", 1) if headings else F.lit("")
     sections = d.join(flags, "doc_id", "left").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("source"), F.concat("chapter", F.lit("."), "doc_id").alias("path"), F.col("chapter").alias("parent_path"), head.alias("heading"), F.coalesce("bad", F.lit(False)).alias("is_repealed"))
     tops = d.select("lang", "chapter").distinct()
     tops = tops.select((-F.abs(F.xxhash64("lang", "chapter"))).alias("node_id"), F.col("lang").alias("source"), F.col("chapter").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.concat(F.lit("Chapter "), "chapter").alias("heading"), F.lit(False).alias("is_repealed"))
@@ -71,7 +71,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapter = F.regexp_extract("source", "[0-9]+", 0)
     body = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("AMENDED "), "text")).otherwise(F.col("text"))
     sources = F.when(F.col("doc_id") % 17 == 0, F.array("lang", F.concat("lang", F.lit("2")))).otherwise(F.array("lang"))
-    d = d.select(F.concat(chapter, F.lit("."), "id").alias("path"), chapter.alias("chapter"), F.substring(F.substring_index("text", "\n", 1), 1, 500).alias("heading"), body.alias("body"), text.content_hash(body).alias("content_hash"), sources.alias("sources"))
+    d = d.select(F.concat(chapter, F.lit("."), "id").alias("path"), chapter.alias("chapter"), F.substring_index("text", "\n", 1).alias("heading"), body.alias("body"), text.content_hash(body).alias("content_hash"), sources.alias("sources"))
     return d.withColumn("source", F.explode("sources")).drop("sources")
 
 

@@ -11,7 +11,7 @@ from palimpsest.functions import citations
 _CH = "regexp_extract(source, '[0-9]+')"
 _NODES = f"""
  sections AS (SELECT d.doc_id AS node_id, lang AS source, {_CH} || '.' || d.doc_id AS path, {_CH} AS parent_path,
-   substr(split_part(text, chr(10), 1), 1, 500) AS heading, coalesce(toxic, 0) = 1 AS is_repealed
+   split_part(text, chr(10), 1) AS heading, coalesce(toxic, 0) = 1 AS is_repealed
    FROM documents d LEFT JOIN labels USING (doc_id)),
  tops AS (SELECT DISTINCT lang AS source, {_CH} AS path FROM documents),
  nodes AS (SELECT * FROM sections UNION ALL SELECT NULL, source, path, NULL, 'Chapter ' || path, false FROM tops)"""
@@ -43,7 +43,7 @@ _CITED = rf"""
  checked AS (SELECT r.*, CASE WHEN found IS NULL THEN 'not_found' WHEN is_repealed OR (is_section AND version_id IS NULL) THEN 'repealed' ELSE 'valid' END AS status FROM resolved r)"""
 _SNAPSHOT = f"""
  base AS (SELECT doc_id, lang AS source, {_CH} || '.' || CASE WHEN doc_id % 13 = 0 THEN doc_id + 10000000 ELSE doc_id END AS path, {_CH} AS chapter,
-   substr(split_part(text, chr(10), 1), 1, 500) AS heading, CASE WHEN doc_id % 7 = 0 THEN 'AMENDED ' || text ELSE text END AS body
+   split_part(text, chr(10), 1) AS heading, CASE WHEN doc_id % 7 = 0 THEN 'AMENDED ' || text ELSE text END AS body
    FROM documents WHERE doc_id % 10 <> 0),
  snapshot AS (SELECT source, path, chapter, heading, body FROM base UNION ALL SELECT source || '2', path, chapter, heading, body FROM base WHERE doc_id % 17 = 0),
  covered AS (SELECT source, path AS chapter FROM tops WHERE NOT contains(path, '3') UNION ALL SELECT source || '2', path FROM tops WHERE NOT contains(path, '3')),
@@ -225,7 +225,7 @@ UNION ALL SELECT 1, version_id FROM docs WHERE list_contains(w, 'the') OR list_c
 UNION ALL SELECT 2, version_id FROM docs WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')
 UNION ALL SELECT 3, version_id FROM docs WHERE list_contains(w, 'and') AND NOT list_contains(w, 'the')""",
     "d3_trigram": _with(_NODES, _VERSIONS)
-    + f""", queries AS (SELECT unnest([0, 1, 2, 3]) AS query_id, unnest(['the and of', 'der die und', 'de la que', 'erst']) AS query),
+    + f""", queries AS (SELECT doc_id AS query_id, array_to_string({_WORDS.format("text")}[1:3], ' ') AS query FROM documents WHERE doc_id % 20 = 0),
  q AS (SELECT query_id, {_TRIGRAMS.format("query")} AS a FROM queries), d AS (SELECT version_id, {_TRIGRAMS.format("heading")} AS b FROM shown),
  s AS (SELECT query_id, version_id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM q, d),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version_id) AS rank FROM s WHERE score >= 0.1)

@@ -395,7 +395,7 @@ def d2_simple_match(spark, sf_dir):
 @query
 def d3_trigram(spark, sf_dir):
     docs = retrieval.searchable(fx.nodes(spark, sf_dir), fx.versions(spark, sf_dir))
-    return retrieval.trigram_search(docs, asked(spark, HEADINGS), limit=20).select("query_id", "version_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.trigram_search(docs, _questions(spark, sf_dir, 3), limit=20).select("query_id", "version_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _vectors(spark, sf_dir):
