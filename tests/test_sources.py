@@ -1,6 +1,8 @@
 """Sources: probe files, rich text, rule books, pages, blobs, streams."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +183,18 @@ def test_streamed_quota(spark, tmp_path):
     got = []
     jobs.write_each(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), lambda df, n: got.append((n, df.count())), str(tmp_path / "cp2")).awaitTermination(120)
     assert sum(n for _, n in got) == 4
+
+
+def test_sections_are_heads_and_what_stands_between(spark):
+    """The same as slicing from one match to the next."""
+    rng = random.Random(6)
+    python = re.compile(r"^(\d+[A-Z]*\.\d+[A-Z]*)\s{1,3}([^\n]+?)\.\s*$", re.MULTILINE)
+    texts = ["".join(rng.choice(["714.1 Theft.\n", "714.1A  A head. \n\n", "12.3\n Late head.", "1.2 no head", "\n", "text. ", "\U0001f600", "  ", "9H.2\xa0 Wide.\n", "\r\n", ".", "\x85"]) for _ in range(rng.choice([0, 3, 20]))) for _ in range(80)]
+    rows = [(str(i), t) for i, t in enumerate(texts)] + [("none", None)]
+    got = {}
+    for r in rtf.sections_of(spark.createDataFrame(rows, "path string, text string")).orderBy("section_no").collect():
+        got.setdefault(r.path, []).append((r.number, r.heading, r.raw_body))
+    for path, t in rows:
+        heads = list(python.finditer(t or ""))
+        ends = [m.start() for m in heads[1:]] + [len(t or "")]
+        assert got.get(path, []) == [(m[1], m[2].strip(), t[m.end() : z].strip()) for m, z in zip(heads, ends)]
