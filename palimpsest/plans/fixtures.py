@@ -98,11 +98,11 @@ def tier(key: F.Column) -> F.Column:
 
 
 def code_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A probe of codes, one sample for each document: a right section, one of another chapter and one without a right number."""
+    """A probe of codes, one sample for each document: a right section, a second one (of another chapter, but for every third document) and one without a right number."""
     part = lambda number, heading, body: F.struct(number.alias("number"), heading.alias("heading"), body.alias("body_text"), F.array(F.concat(F.lit(" [C"), "doc_id", F.lit("] ")), F.lit(" ")).alias("history_brackets"))
     d = table(spark, sf_dir, "documents")
     own = part(F.concat("doc_id", F.lit(".1A")), F.concat(F.lit(" "), "lang"), F.concat("text", F.lit(" \n\neferred to in §1.2")))
-    sections = F.array(own, part(F.concat(F.col("doc_id") + 1, F.lit(".2")), F.col("lang"), F.col("text")), part(F.concat("doc_id", F.lit("-3")), F.col("lang"), F.col("text")))
+    sections = F.array(own, part(F.concat(F.col("doc_id") + F.col("doc_id") % 3, F.lit(".2")), F.col("lang"), F.col("text")), part(F.concat("doc_id", F.lit("-3")), F.col("lang"), F.col("text")))
     sample = F.struct(F.col("doc_id").cast("string").alias("chapter"), F.concat(F.lit(" Title "), "lang").alias("chapter_title"), sections.alias("sections"))
     made = d.select(F.to_json(F.struct(F.lit("2026").alias("code_year"), F.array(sample).alias("samples"))).alias("value"))
     return made.select(F.from_json("value", probe_files.CODE_SCHEMA).alias("p")).select("p.*")
@@ -126,7 +126,7 @@ def rules_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rich_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters as the text of rich-text files: a head, and two sections, one with the document and its notes."""
     one = F.regexp_replace(F.regexp_replace("text", r"[\[\]§]", ""), r"\s+", " ")
-    body = F.concat(F.lit("CHAPTER "), "doc_id", F.lit("\nTHEFT AND FRAUD\n"), "doc_id", F.lit(".1 Theft defined.\n"), one, F.lit("\n[C51, §1]\nReferred to in §714.2, 714.3\n\n\nEnd.\n"), "doc_id", F.lit(".2 Degrees.\nText."))
+    body = F.concat(F.lit("CHAPTER "), "doc_id", F.lit("\n"), F.upper("lang"), F.lit(" LAW "), F.col("doc_id") % 7, F.lit("\n"), "doc_id", F.lit(".1 Theft defined.\n"), one, F.lit("\n[C51, §1]\nReferred to in §714.2, 714.3\n\n\nEnd.\n"), "doc_id", F.lit(".2 Degrees.\nText."))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), body.alias("text"))
 
 

@@ -100,16 +100,17 @@ WITH found AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS
  each AS (SELECT page_id, unnest(slugs) AS slug, unnest(range(len(slugs))) AS pos FROM found)
 SELECT slug, min(page_id) AS page_id, arg_min(pos, page_id * 1000000 + pos) AS pos FROM each GROUP BY slug""",
     "a1_code_sections": r"""
-SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS path, '1A' AS ordinal, lang AS heading, sha256(regexp_replace(text, '\s+$', '')) AS content_hash, '[C' || doc_id || ']' AS history FROM documents""",
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS path, '1A' AS ordinal, lang AS heading, sha256(regexp_replace(text, '\s+$', '')) AS content_hash, '[C' || doc_id || ']' AS history FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || '.2', '2', lang, sha256(regexp_replace(text, '\s+$', '')), '[C' || doc_id || ']' FROM documents WHERE doc_id % 3 = 0""",
     "a1_skipped_sections": """
-SELECT CAST(doc_id AS VARCHAR) AS chapter, (doc_id + 1) || '.2' AS number, 'number belongs to another chapter' AS reason FROM documents
+SELECT CAST(doc_id AS VARCHAR) AS chapter, (doc_id + doc_id % 3) || '.2' AS number, 'number belongs to another chapter' AS reason FROM documents WHERE doc_id % 3 > 0
 UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || '-3', 'number has no right shape' FROM documents""",
     "a1_code_chapters": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 'Title ' || lang AS title, 2026 AS year FROM documents",
     "a2_rules": r"""
 SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':1.2' AS path, '1.2' AS ordinal, rpad('Head ', 300, 'x') AS heading, lang AS division,
  sha256(regexp_replace('Form 1 ' || rpad(lang, 300, 'y') || chr(10) || chr(10) || text, '\s+$', '') || chr(10) || chr(10) || 'Comment' || chr(10) || chr(10) || lang) AS content_hash FROM documents""",
     "a2_rule_chapters": "SELECT CAST(doc_id AS VARCHAR) AS chapter, lang AS title, doc_id % 5 = 0 AS reserved, DATE '2026-04-01' AS edition, 1 AS n_rules FROM documents",
-    "a4_chapter_heads": "SELECT doc_id AS path, CAST(doc_id AS VARCHAR) AS chapter, 'THEFT AND FRAUD' AS title FROM documents",
+    "a4_chapter_heads": "SELECT doc_id AS path, CAST(doc_id AS VARCHAR) AS chapter, upper(lang) || ' LAW ' || doc_id % 7 AS title FROM documents",
     "a5_rich_sections": rf"""
 WITH t AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(text, '[\[\]§]', '', 'g'), '\s+', ' ', 'g')")} AS one FROM documents)
 SELECT doc_id AS path, doc_id || '.1' AS number, 'Theft defined' AS heading, sha256(CASE one WHEN '' THEN '' ELSE one || chr(10) || chr(10) END || 'End.') AS body_hash, 'C51, §1' AS history, '714.2|714.3' AS referred FROM t
