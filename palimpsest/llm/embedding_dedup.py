@@ -215,17 +215,17 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (key, cell), g in _groups(batches, 2):
         if g.num_rows < 2:
             continue
-        rows = np.unique(np.stack([np.asarray(g.column(i)) for i in (2, 3, 4, 5)], 1), axis=0)
-        if len(rows) < 2:
-            continue
+        rows = np.stack([np.asarray(g.column(i)) for i in (2, 3, 4, 5)], 1)
         table, narrow = int(key) >> 40 & 15, int(key) >> 44 <= 64
         own = ((key >> 20 & 0x7F) << 7) | (key & 0x7F)
         near, signs = np.zeros(len(rows), bool), np.ascontiguousarray(rows[:, 1:3]).view(np.uint64)
         for a, b in _pairs(len(rows), _sides(rows[:, 0], int(cell))):
             bits = sum(np.bitwise_count(signs[a, k][:, None] ^ signs[b, k]).astype(np.int16) for k in (0, 1))
             i, j = np.nonzero(bits <= SKETCH_BITS)
+            same = bits[i, j] == 0
             i, j = a[i], b[j]
-            ok = i != j
+            # A class may be here several times, once from each task that read it.
+            ok = ~(same & (rows[i, 0] == rows[j, 0]))
             if narrow:
                 both = rows[i, 3] ^ rows[j, 3]
                 for t in range(min(table, 4)):
@@ -254,6 +254,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_binary(ids[new]), b.column(0).take(pa.array(at[new]))], ["id", "embedding"])
 
 
+def _with_buckets(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds the buckets of each row's vector, found for all rows of a batch together."""
+    out: list = [None] * b.num_rows
+    for at, x in _valid(b.column(4)):
+        for i, k in zip(at, buckets(x)):
+            out[i] = k.tobytes()
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "buckets"])
+
+
 def _homes(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The one bucket in which each pair counts."""
     home = np.full(len(i), -1, np.int64)
@@ -281,14 +290,14 @@ def _join(to: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
 def _compared(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of vectors in order of bucket -> class, links that it has here, least class that it hangs together with here."""
-        for (key, cell), g in _groups(batches, 2):
+        for (key, cell), g in _groups(map(_with_buckets, batches), 2):
             ids = g.column(2).to_pylist()
             keep = sorted({r: i for i, r in enumerate(ids)}.values())
             if len(keep) < 2:
                 continue
             g, ids = g.take(pa.array(keep)), [ids[i] for i in keep]
             x = next(_valid(g.column(4)))[1]
-            keys = buckets(x)
+            keys = np.frombuffer(b"".join(g.column(5).to_pylist()), np.int64).reshape(len(x), -1)
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
             n = np.asarray(g.column(3))
