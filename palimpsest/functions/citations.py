@@ -69,15 +69,26 @@ def find_all(text: Column) -> Column:
 def spans(c: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, raw>> of all matches of ``pattern`` (never empty ones), in characters; ``group``: of that part, which must end its match.
 
-    Matches and what lies between them alternate, so their lengths give the
-    offsets; all of it is built-in expressions.
+    One pass of the pattern puts a mark before and behind each match; what
+    lies between marks has the lengths that add up to the offsets.
     """
+    before, behind = "\x01", "\x02"
     flagged = "(?iU)" + pattern
-    found, gaps = F.regexp_extract_all(c, F.lit(flagged), 0), F.split(c, flagged, -1)
-    raw = F.regexp_extract_all(c, F.lit(flagged), group) if group else found
-    steps = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: g + F.coalesce(m, F.lit(0)))
-    ends = F.aggregate(F.slice(steps, 1, F.size(found)), F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))
-    return F.zip_with(ends, raw, lambda e, r: F.struct((e - F.length(r)).alias("start"), e.alias("end"), r.alias("raw")))
+    marked = F.regexp_replace(F.translate(c, before + behind, "\x03\x03"), flagged, f"{before}$0{behind}")
+    pieces = F.filter(F.split(marked, behind, -1), lambda p: p.contains(before))
+    sizes = F.transform(pieces, lambda p: F.struct((F.instr(p, before) - 1).alias("gap"), (F.length(p) - 1).alias("both")))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+
+    def added(done: Column, size: Column) -> Column:
+        last = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
+        return F.array_append(done, F.struct((last + size["gap"]).alias("start"), (last + size["both"]).alias("end")))
+
+    def named(s: Column) -> Column:
+        raw = F.substring(c, s["start"] + 1, s["end"] - s["start"])
+        raw = F.regexp_extract(raw, flagged, group) if group else raw
+        return F.struct((s["end"] - F.length(raw)).alias("start"), s["end"].alias("end"), raw.alias("raw"))
+
+    return F.transform(F.aggregate(sizes, none, added), named)
 
 
 #: How a section and a chapter are announced in each style.
