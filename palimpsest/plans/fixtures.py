@@ -7,6 +7,11 @@ stand for histories: each turn is a version that the next one ends.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,3 +147,56 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("[Court Order April 20, 2005;"), F.lit("September 1, 2010]"), rule("1.1.", "Competence. A lawyer shall be competent."), F.concat(F.lit("text "), "prose"), F.lit("Comment"), F.lit("[1] First reason"), F.lit("goes on."), F.lit("[2] Second reason."), rule("2.1", "ADVISOR"), F.lit("a lawyer advises."),
     ]
     return d.select("chapter", F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+#: Lines on a page of :func:`as_pdf`.
+PAGE_ROWS = 50
+
+
+def as_pdf(rows: list[str], spaced: bool) -> bytes:
+    """A PDF file of lines: 50 on a page, words parted by blanks or by gaps alone, and each fifth word drawn in two parts.
+
+    Codes are the places of a character among those of the file; a map says
+    which they are.
+    """
+    signs = sorted({c for row in rows for c in row} | {" "})
+    code = {c: b"%04x" % i for i, c in enumerate(signs, 1)}
+    written = lambda w: b"<" + b"".join(map(code.__getitem__, w)) + b">"
+    parts: list[bytes] = []
+    for at in range(0, max(1, len(rows)), PAGE_ROWS):
+        shown = []
+        for i, row in enumerate(rows[at : at + PAGE_ROWS]):
+            words = re.split("[ \t-\r]+", row.strip(" \t\n\v\f\r")) if not spaced else [row]
+            drawn = [written(w[:2]) + b" -90 " + written(w[2:]) if n % 5 == 4 and len(w) > 3 else written(w) for n, w in enumerate(words)]
+            shown.append(b"1 0 0 1 50 %d Tm [%s] TJ" % (780 - 14 * i, b" -400 ".join(drawn)))
+        parts.append(zlib.compress(b"BT /F1 10 Tf\n" + b"\n".join(shown) + b"\nET"))
+    pairs = [b"<%s> <%s>" % (code[c], c.encode("utf-16-be", "surrogatepass").hex().encode()) for c in signs]
+    mapped = b"\n".join(b"%d beginbfchar\n%s\nendbfchar" % (len(pairs[i : i + 100]), b"\n".join(pairs[i : i + 100])) for i in range(0, len(pairs), 100))
+    stream = lambda data, keys=b"": b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), keys, data)
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R >> >> >>" % (len(parts), b" ".join(b"%d 0 R" % (6 + 2 * i) for i in range(len(parts)))),
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>",
+        b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Plain /DW 500 >>",
+        stream(mapped),
+    ]
+    for i, part in enumerate(parts):
+        objects += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents %d 0 R >>" % (7 + 2 * i), stream(part, b"/Filter /FlateDecode")]
+    out, places = bytearray(b"%PDF-1.7\n"), []
+    for n, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, o)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out) + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table, len(objects) + 1, len(out))
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a PDF file, a line of the text on a line: ``path`` (its id), ``content``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            made = (as_pdf((t or "").split("\n"), i % 2 == 0) for i, t in zip(ids, b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, ids), pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    return table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(run, "path string, content binary")

@@ -82,6 +82,8 @@ _TURNS = """
    CASE WHEN turn_id % 4 = 0 THEN len(used) = 0 END AS abstained FROM cited)"""
 #: A cell of a Markdown table.
 _CELL = r"replace(replace(replace({0}, '|', '\|'), chr(10), ' '), chr(13), ' ')"
+#: What counts as blank in Unicode.
+_BLANKS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
 
 
@@ -116,6 +118,10 @@ WITH t AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(text, '
 SELECT doc_id AS path, doc_id || '.1' AS number, 'Theft defined' AS heading, sha256(CASE one WHEN '' THEN '' ELSE one || chr(10) || chr(10) END || 'End.') AS body_hash, 'C51, §1' AS history, '714.2|714.3' AS referred FROM t
 UNION ALL SELECT doc_id, doc_id || '.2', 'Degrees', sha256('Text.'), '', '' FROM documents""",
     "a9_content_lines": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 25 AS n_lines, 6 AS n_heads, 8 AS n_banners FROM documents",
+    "a9_pdf_lines": r"""
+WITH rows AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ bare AS (SELECT doc_id, len(l) AS n, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '""" + _BLANKS + r"""', ' ', 'g'))), lambda x: x <> '') AS l FROM rows)
+SELECT CAST(doc_id AS VARCHAR) AS path, (n + 49) // 50 AS n_pages, len(l) AS n_lines, sha256(array_to_string(l, chr(10))) AS lines_hash, 0 AS n_issues FROM bare""",
     "a10_index": """
 SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.role AS role, r.n AS n FROM documents,
  (VALUES ('1.0', 'contents', 4), ('1.1', 'contents', 6), ('2.1', 'contents', 9), ('1.0', 'body', 12), ('1.1', 'body', 17), ('2.1', 'body', 23)) r(rule, role, n)""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import citations, similarity, text
 from palimpsest.operators import ann, audit, bands, browse, chapterstore, evaluation, fulltext, hierarchy, ingest, links, retrieval, temporal, textindex
 from palimpsest.plans import fixtures as fx
-from palimpsest.sources import blobs, pages, probes, rtf, rules_text, scratch
+from palimpsest.sources import blobs, pages, pdf, probes, rtf, rules_text, scratch
 from palimpsest.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,13 @@ def a9_content_lines(spark, sf_dir):
     return rules_text.content_lines(fx.rule_lines(spark, sf_dir)).groupBy("chapter").agg(F.count(F.lit(1)).alias("n_lines"), F.count("rule").alias("n_heads"), F.count_if("banner").alias("n_banners"))
 
 
+@query
+def a9_pdf_lines(spark, sf_dir):
+    of = pdf.pages(fx.pdf_files(spark, sf_dir)).groupBy("path")
+    whole = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "lines"))), lambda p: p["lines"])), "\n")
+    return of.agg(F.count("page").alias("n_pages"), F.sum(F.size("lines")).alias("n_lines"), F.sha2(whole, 256).alias("lines_hash"), F.count("issue").alias("n_issues"))
+
+
 @query
 def a10_index(spark, sf_dir):
     return rules_text.index(rules_text.content_lines(fx.rule_lines(spark, sf_dir))).select("chapter", "rule", "role", F.col("n").cast("long").alias("n"))
