@@ -141,6 +141,7 @@ WITH d AS (SELECT sha256(text) AS content_hash, lpad(CAST(doc_id AS VARCHAR), 12
 SELECT content_hash, min(storage_path) AS storage_path, any_value(byte_size) AS byte_size FROM d WHERE content_hash NOT IN (SELECT content_hash FROM d WHERE doc_id % 3 = 0) GROUP BY content_hash""",
     "a18_code_sink": r"SELECT '2026' AS code_year, CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS number, sha256(regexp_replace(text, '\s+$', '')) AS body_hash FROM documents",
     "a18_rules_sink": "SELECT '2026-04-01' AS edition_date, CAST(doc_id AS VARCHAR) AS chapter, 3 AS rule_count, doc_id || ':1.0,' || doc_id || ':1.1,' || doc_id || ':2.1' AS numbers, '' AS notes FROM documents",
+    "a17_blob_store": "SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash, strlen(coalesce(text, '')) AS byte_size, true AS whole FROM documents",
     "a19_reconciled": """
 SELECT 'documents' AS "table", (SELECT count(*) FROM documents) AS n_source, (SELECT count(*) FROM documents) AS n_dump, true AS equal
 UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), 0, (SELECT count(*) FROM labels) = 0 UNION ALL SELECT 'events', (SELECT count(*) FROM events), (SELECT count(*) FROM events), true""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import citations, similarity, text
 from palimpsest.operators import ann, audit, bands, browse, chapterstore, evaluation, fulltext, hierarchy, ingest, links, retrieval, temporal, textindex
 from palimpsest.plans import fixtures as fx
-from palimpsest.sources import blobs, pages, pdf, probes, rtf, rules_text, scratch
+from palimpsest.sources import blobs, blobstore, pages, pdf, probes, rtf, rules_text, scratch
 from palimpsest.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,15 @@ def a17_new_blobs(spark, sf_dir):
     return blobs.new_blobs(d, d.where("storage_path % 3 = 0")).select("content_hash", "storage_path", "byte_size")
 
 
+@query
+def a17_blob_store(spark, sf_dir):
+    store = blobstore.BlobStore(spark, scratch.folder(spark, "blobs"))
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    store.add(d.where("doc_id % 3 = 0"))
+    store.add(d)
+    return store.read().select("content_hash", "byte_size", (F.sha2("content", 256) == F.col("content_hash")).alias("whole"))
+
+
 @query
 def a18_code_sink(spark, sf_dir):
     chapters, sections, _ = probes.parse_code(fx.code_probe(spark, sf_dir))
