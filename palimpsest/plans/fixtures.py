@@ -136,17 +136,26 @@ def rich_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule book for each document: contents, then bodies with its text in small letters, a comment and a history note over two lines."""
+    """A rule book for each document: contents, then bodies with its text in small letters, a comment and a history note over two lines.
+
+    By the id, up to two further rules (3.1, 3.2) about the language, under a
+    division of their own or not, and up to three page headers.
+    """
     prose = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), 0), " ")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chapter"), prose.alias("prose"))
-    rule = lambda n, rest: F.concat(F.lit("Rule "), "chapter", F.lit(f":{n} {rest}"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chapter"), prose.alias("prose"), F.coalesce("lang", F.lit("")).alias("lang"), (F.col("doc_id") % 3).cast("int").alias("further"), (F.col("doc_id") % 4).cast("int").alias("headers"), (F.col("doc_id") % 2 == 1).alias("odd"))
+    rule = lambda n, *rest: F.concat(F.lit("Rule "), "chapter", F.lit(f":{n} "), *[F.lit(r) if isinstance(r, str) else r for r in rest])
     chapter = F.concat(F.lit("CHAPTER "), "chapter")
-    lines = [
-        chapter, F.lit("RULES OF CONDUCT"), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "Terms and"), F.lit("how they are used"), rule("1.1", "Competence"), F.concat(F.lit("Rules "), "chapter", F.lit(":1.2 to 1.4 Reserved")),
-        F.lit("DIVISION II"), rule("2.1", "Advisor"), F.concat(F.lit("April 2026 RULES Ch "), "chapter", F.lit(", p.1")), F.lit(" "), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "TERMS AND HOW"), F.lit("THEY ARE USED"), F.lit("a term is a word."),
-        F.lit("[Court Order April 20, 2005;"), F.lit("September 1, 2010]"), rule("1.1.", "Competence. A lawyer shall be competent."), F.concat(F.lit("text "), "prose"), F.lit("Comment"), F.lit("[1] First reason"), F.lit("goes on."), F.lit("[2] Second reason."), rule("2.1", "ADVISOR"), F.lit("a lawyer advises."),
+    lang = F.col("lang")
+    headers = F.slice(F.array(*[F.concat(F.lit("April 2026 RULES Ch "), "chapter", F.lit(f", p.{n}")) for n in (1, 2, 3)]), F.lit(1), F.col("headers"))
+    division = F.when(F.col("odd") & (F.col("further") > 0), F.array(F.lit("DIVISION III"))).otherwise(F.array().cast("array<string>"))
+    listed = F.slice(F.array(*[rule(f"3.{n}", f"Extra {n} ", lang) for n in (1, 2)]), F.lit(1), F.col("further"))
+    told = F.slice(F.array(*[x for n in (1, 2) for x in (rule(f"3.{n}", f"EXTRA {n}"), F.concat(F.lit(f"it says {n} in "), lang, F.lit(".")))]), F.lit(1), 2 * F.col("further"))
+    contents = [chapter, F.lit("RULES OF CONDUCT"), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "Terms and"), F.lit("how they are used"), rule("1.1", "Competence"), F.concat(F.lit("Rules "), "chapter", F.lit(":1.2 to 1.4 Reserved")), F.lit("DIVISION II"), rule("2.1", "Advisor")]
+    bodies = [
+        F.lit(" "), F.lit("DIVISION I"), F.lit("GENERAL"), rule("1.0", "TERMS AND HOW"), F.lit("THEY ARE USED"), F.lit("a term is a word."), F.lit("[Court Order April 20, 2005;"), F.lit("September 1, 2010]"), rule("1.1.", "Competence. A lawyer shall be competent."),
+        F.concat(F.lit("text "), "prose"), F.lit("Comment"), F.lit("[1] First reason"), F.lit("goes on."), F.lit("[2] Second reason."), rule("2.1", "ADVISOR"), F.lit("a lawyer advises."),
     ]
-    return d.select("chapter", F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    return d.select("chapter", F.posexplode(F.concat(F.array(*contents), division, listed, headers, F.array(*bodies), told)).alias("line_no", "line"))
 
 
 #: Lines on a page of :func:`as_pdf`.

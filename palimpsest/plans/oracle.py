@@ -82,6 +82,10 @@ _TURNS = """
    CASE WHEN turn_id % 4 = 0 THEN len(used) = 0 END AS abstained FROM cited)"""
 #: A cell of a Markdown table.
 _CELL = r"replace(replace(replace({0}, '|', '\|'), chr(10), ' '), chr(13), ' ')"
+#: The rules beyond 2.1 of each document's book.
+_FURTHER = """
+WITH books AS (SELECT doc_id, coalesce(lang, '') AS lang, doc_id % 3 AS k, CAST(doc_id % 6 IN (1, 5) AS INT) AS b FROM documents),
+ further AS (SELECT doc_id, lang, k, b, unnest(range(1, k + 1)) AS j, CASE b WHEN 1 THEN 'DIVISION III' ELSE 'DIVISION II' END AS division FROM books)"""
 #: What counts as blank in Unicode.
 _BLANKS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _STRIP = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
@@ -117,30 +121,35 @@ SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':1.2' AS path, '1.2' AS or
 WITH t AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(text, '[\[\]§]', '', 'g'), '\s+', ' ', 'g')")} AS one FROM documents)
 SELECT doc_id AS path, doc_id || '.1' AS number, 'Theft defined' AS heading, sha256(CASE one WHEN '' THEN '' ELSE one || chr(10) || chr(10) END || 'End.') AS body_hash, 'C51, §1' AS history, '714.2|714.3' AS referred FROM t
 UNION ALL SELECT doc_id, doc_id || '.2', 'Degrees', sha256('Text.'), '', '' FROM documents""",
-    "a9_content_lines": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 25 AS n_lines, 6 AS n_heads, 8 AS n_banners FROM documents",
+    "a9_content_lines": "SELECT CAST(doc_id AS VARCHAR) AS chapter, 25 + 3 * (doc_id % 3) + CAST(doc_id % 6 IN (1, 5) AS INT) AS n_lines, 6 + 2 * (doc_id % 3) AS n_heads, 8 + CAST(doc_id % 6 IN (1, 5) AS INT) AS n_banners FROM documents",
     "a9_pdf_lines": r"""
 WITH rows AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
  bare AS (SELECT doc_id, len(l) AS n, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '""" + _BLANKS + r"""', ' ', 'g'))), lambda x: x <> '') AS l FROM rows)
 SELECT CAST(doc_id AS VARCHAR) AS path, (n + 49) // 50 AS n_pages, len(l) AS n_lines, sha256(array_to_string(l, chr(10))) AS lines_hash, 0 AS n_issues FROM bare""",
-    "a10_index": """
-SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.role AS role, r.n AS n FROM documents,
- (VALUES ('1.0', 'contents', 4), ('1.1', 'contents', 6), ('2.1', 'contents', 9), ('1.0', 'body', 12), ('1.1', 'body', 17), ('2.1', 'body', 23)) r(rule, role, n)""",
-    "a11_contents": """
+    "a10_index": _FURTHER + """
+SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.role AS role, r.n + CASE r.role WHEN 'body' THEN k + b ELSE 0 END AS n FROM books,
+ (VALUES ('1.0', 'contents', 4), ('1.1', 'contents', 6), ('2.1', 'contents', 9), ('1.0', 'body', 12), ('1.1', 'body', 17), ('2.1', 'body', 23)) r(rule, role, n)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':3.' || j, 'contents', 9 + b + j FROM further
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':3.' || j, 'body', 25 + k + b + 2 * (j - 1) FROM further""",
+    "a11_contents": _FURTHER + """
 SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.heading AS heading, r.division AS division FROM documents,
- (VALUES ('1.0', 'Terms and how they are used', 'GENERAL'), ('1.1', 'Competence', 'GENERAL'), ('2.1', 'Advisor', 'DIVISION II')) r(rule, heading, division)""",
-    "a13_rule_bodies": """
-WITH t AS (SELECT doc_id, trim('text ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS prose FROM documents)
+ (VALUES ('1.0', 'Terms and how they are used', 'GENERAL'), ('1.1', 'Competence', 'GENERAL'), ('2.1', 'Advisor', 'DIVISION II')) r(rule, heading, division)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':3.' || j, trim('Extra ' || j || ' ' || lang), division FROM further""",
+    "a13_rule_bodies": _FURTHER + """,
+ t AS (SELECT doc_id, trim('text ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS prose FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':1.0' AS rule, 'TERMS AND HOW' AS heading, sha256('a term is a word.') AS prose_hash, '' AS comment, '[Court Order April 20, 2005; September 1, 2010]' AS history FROM t
 UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':1.1', 'Competence', sha256('A lawyer shall be competent. ' || prose), '[1] First reason goes on.' || chr(10) || chr(10) || '[2] Second reason.', '' FROM t
-UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':2.1', 'ADVISOR', sha256('a lawyer advises.'), '', '' FROM t""",
-    "a14_rule_notes": """
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':2.1', 'ADVISOR', sha256('a lawyer advises.'), '', '' FROM t
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':3.' || j, 'EXTRA ' || j, sha256('it says ' || j || ' in ' || lang || '.'), '', '' FROM further""",
+    "a14_rule_notes": _FURTHER + """
 SELECT CAST(doc_id AS VARCHAR) AS chapter, doc_id || ':' || r.rule AS rule, r.note AS note FROM documents,
- (VALUES ('1.0', 'parsed under GENERAL', 2), ('1.1', 'parsed under GENERAL', 2), ('2.1', 'parsed under DIVISION II', 0), ('2.1', 'in contents only', 1)) r(rule, note, odd) WHERE r.odd = 2 OR r.odd = doc_id % 2""",
+ (VALUES ('1.0', 'parsed under GENERAL', 2), ('1.1', 'parsed under GENERAL', 2), ('2.1', 'parsed under DIVISION II', 0), ('2.1', 'in contents only', 1)) r(rule, note, odd) WHERE r.odd = 2 OR r.odd = doc_id % 2
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':3.' || j, 'parsed under ' || division FROM further""",
     "a17_new_blobs": """
 WITH d AS (SELECT sha256(text) AS content_hash, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS storage_path, strlen(text) AS byte_size, doc_id FROM documents)
 SELECT content_hash, min(storage_path) AS storage_path, any_value(byte_size) AS byte_size FROM d WHERE content_hash NOT IN (SELECT content_hash FROM d WHERE doc_id % 3 = 0) GROUP BY content_hash""",
     "a18_code_sink": r"SELECT '2026' AS code_year, CAST(doc_id AS VARCHAR) AS chapter, doc_id || '.1A' AS number, sha256(regexp_replace(text, '\s+$', '')) AS body_hash FROM documents",
-    "a18_rules_sink": "SELECT '2026-04-01' AS edition_date, CAST(doc_id AS VARCHAR) AS chapter, 3 AS rule_count, doc_id || ':1.0,' || doc_id || ':1.1,' || doc_id || ':2.1' AS numbers, '' AS notes FROM documents",
+    "a18_rules_sink": "SELECT '2026-04-01' AS edition_date, CAST(doc_id AS VARCHAR) AS chapter, 3 + doc_id % 3 AS rule_count, doc_id || ':1.0,' || doc_id || ':1.1,' || doc_id || ':2.1' || CASE WHEN doc_id % 3 > 0 THEN ',' || doc_id || ':3.1' ELSE '' END || CASE doc_id % 3 WHEN 2 THEN ',' || doc_id || ':3.2' ELSE '' END AS numbers, '' AS notes FROM documents",
     "a17_blob_store": "SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash, strlen(coalesce(text, '')) AS byte_size, true AS whole FROM documents",
     "a19_reconciled": """
 SELECT 'documents' AS "table", (SELECT count(*) FROM documents) AS n_source, (SELECT count(*) FROM documents) AS n_dump, true AS equal
