@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from palimpsest.sources import scratch
+
 SCHEMA = "content_hash string, byte_size long, content binary"
 #: Bytes that a task holds before it writes them as a group of rows.
 GROUP_BYTES = 32 << 20
+#: Hashes of new contents that tasks are told (some 100 bytes each); more are joined.
+MOST_TOLD = 1_000_000
 _MANIFEST = "run string, packs array<struct<pack: string, blobs: long, bytes: long>>"
 
 
@@ -134,14 +138,20 @@ class BlobStore:
     def add(self, blobs: DataFrame) -> None:
         """Stores each ``content`` that isn't there yet; null is no content, empty is one.
 
-        Copies within a task collapse before anything moves, so a content with
-        many copies reaches its task once from each of the others; hashes of
-        what is stored are read without the contents.
+        Hashes alone say which contents are new, and the tasks that read
+        contents are told, up to ``MOST_TOLD`` of them: what is stored stays where
+        it is.  Of more, all contents move once.  Copies within a task collapse
+        before they move, so a content with many copies reaches its task once
+        from each of the others.
         """
         content = F.col("content").cast("binary")
         each = blobs.where(F.col("content").isNotNull()).select(F.sha2(content, 256).alias("content_hash"), F.octet_length(content).cast("long").alias("byte_size"), content.alias("content"))
-        new = each.dropDuplicates(["content_hash"]).join(self.read().select("content_hash"), "content_hash", "left_anti")
-        new.select("content_hash", "byte_size", "content").write.format(PackSink.name()).mode("append").option("path", self.path).save()
+        new = scratch.stored(each.select("content_hash").distinct().join(self.read().select("content_hash"), "content_hash", "left_anti"), "new-blobs")
+        count = new.count()
+        if not count:
+            return
+        found = each.join(F.broadcast(new), "content_hash", "left_semi").dropDuplicates(["content_hash"]) if count <= MOST_TOLD else each.dropDuplicates(["content_hash"]).join(new, "content_hash", "left_semi")
+        found.select("content_hash", "byte_size", "content").write.format(PackSink.name()).mode("append").option("path", self.path).save()
 
     def clean(self) -> None:
         """Removes packs of runs without a manifest, such as a killed driver leaves; none may be at work."""

@@ -14,7 +14,9 @@ def contents(store):
     return Counter(bytes(r.content) for r in store.read().collect())
 
 
-def test_each_content_once(spark, tmp_path):
+@pytest.mark.parametrize("told", [0, 1_000_000])
+def test_each_content_once(spark, tmp_path, monkeypatch, told):
+    monkeypatch.setattr(blobstore, "MOST_TOLD", told)
     store = blobstore.BlobStore(spark, f"file://{tmp_path}/store")
     assert contents(store) == {} and store.read().columns == ["content_hash", "byte_size", "content"]
     one = spark.createDataFrame([(b"a", 1), (b"a", 2), (b"", 3), (None, 4), ("ü".encode(), 5)], "content binary, content_hash long")
