@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,23 +26,32 @@ QUOTA_ROWS = "key long, day date, call_id long, at timestamp, used long, allowed
 FOLD_ROWS = "run_id long, answer string, n_steps long, n_completed long, n_failed long, state string"
 
 
+#: Groups that the keys of a day are dealt to: calls of a group are counted together, as one table of numbers.
+BUCKETS = 128
+_CALL = ["key", "call_id", "no_key", "at_us", "quota", "no_quota", "released"]
+
+
 class _Quota(StatefulProcessor):
-    """Calls of one key and day, counted in order of time and id."""
+    """Calls of one bucket of keys and one day, counted by key in order of time and id."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "n long")
-        self.calls = handle.getMapState("calls", "call_id long", "at long, quota long, released boolean")
+        self.calls = handle.getValueState("calls", "rows binary")
+
+    def _held(self) -> pd.DataFrame:
+        raw = bytes(self.calls.get()[0]) if self.calls.exists() else b""
+        return pd.DataFrame(np.frombuffer(raw, np.int64).reshape(-1, len(_CALL)), columns=_CALL)
+
+    def _hold(self, calls: pd.DataFrame) -> None:
+        self.calls.update((np.ascontiguousarray(calls.to_numpy(np.int64)).tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        soonest = None
-        for pdf in rows:
-            for call, at, quota in zip(pdf["call_id"].tolist(), pdf["at_us"].tolist(), pdf["quota"].tolist()):
-                if not self.calls.containsKey((call,)):
-                    self.calls.updateValue((call,), (at, None if pd.isna(quota) else int(quota), False))
-                    soonest = at if soonest is None else min(soonest, at)
-        if soonest is not None:
-            self.handle.registerTimer(soonest // 1000 + 1)
+        held = self._held()
+        both = pd.concat([held, *(pdf.assign(released=0)[_CALL].astype("int64") for pdf in rows)], ignore_index=True)
+        both = both[~both.duplicated(_CALL[:3])]
+        if len(both) > len(held):
+            self._hold(both)
+            self.handle.registerTimer(int(both["at_us"].iloc[len(held) :].min()) // 1000 + 1)
             self.handle.registerTimer(self._end(key))
         return iter(())
 
@@ -50,25 +60,25 @@ class _Quota(StatefulProcessor):
         return int(pd.Timestamp(key[1]).timestamp() * 1000) + DAY_MS
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        every = [(at, call, quota, released) for (call,), (at, quota, released) in self.calls.iterator()]
-        due = sorted((at, call, quota) for at, call, quota, released in every if not released and at // 1000 < now)
-        rest = [at for at, _, _, released in every if not released and at // 1000 >= now]
-        used, out = self.used.get()[0] if self.used.exists() else 0, []
-        for at, call, quota in due:
-            used += 1
-            left = None if quota is None else max(quota - used, 0)
-            out.append((key[0], key[1], call, pd.Timestamp(at, unit="us"), used, quota is None or used <= quota, left))
-            self.calls.updateValue((call,), (at, quota, True))
-        self.used.update((used,))
-        if rest:
-            self.handle.registerTimer(min(rest) // 1000 + 1)
-        elif now >= self._end(key):
-            self.used.clear()
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        waits, passed, who = held["released"] == 0, held["at_us"] // 1000 < now, ["no_key", "key"]
+        due = held[waits & passed].sort_values([*who, "at_us", "call_id"])
+        rest = held.loc[waits & ~passed, "at_us"]
+        before = held[~waits].groupby(who).size().rename("before")
+        if not len(rest) and now >= self._end(key):
             self.calls.clear()
-        if out:
-            frame = pd.DataFrame(out, columns=["key", "day", "call_id", "at", "used", "allowed", "remaining"])
-            yield frame.astype({"remaining": "Int64"})
+        else:
+            if len(due):
+                self._hold(held.assign(released=(~waits | passed).astype("int64")))
+            if len(rest):
+                self.handle.registerTimer(int(rest.min()) // 1000 + 1)
+        if len(due):
+            used = due.groupby(who).cumcount() + 1 + due.join(before, on=who)["before"].fillna(0).astype("int64")
+            free = due["no_quota"] == 1
+            left = (due["quota"] - used).clip(lower=0).astype("Int64").mask(free)
+            own = due["key"].astype("Int64").mask(due["no_key"] == 1)
+            made = {"key": own, "day": key[1], "call_id": due["call_id"], "at": pd.to_datetime(due["at_us"], unit="us"), "used": used, "allowed": free | (used <= due["quota"]), "remaining": left}
+            yield pd.DataFrame(made)
 
     def close(self) -> None:
         pass
@@ -138,13 +148,16 @@ def _mark(at: Column) -> Column:
 def daily_quota(calls: DataFrame, quota: Column, late: str = "1 hour") -> DataFrame:
     """The stream of :func:`evaluation.daily_quota`: calls (``call_id``, ``key``, ``at``) with ``used``, ``allowed`` and ``remaining``.
 
-    A call comes out when the watermark has passed it.  The state of a key and
-    day holds that day's calls; it goes when the day is over and all are out.
+    A call comes out when the watermark has passed it.  The keys of a day are
+    dealt to ``BUCKETS`` groups; the state of one is the table of its calls,
+    read and written once for each micro-batch that brings some.  It goes when
+    the day is over and all are out.
     """
     at = F.col("at").cast("timestamp")
-    d = calls.select("call_id", "key", at.alias("at"), quota.cast("long").alias("quota"))
+    d = calls.select("call_id", F.coalesce("key", F.lit(0)).cast("long").alias("key"), F.col("key").isNull().cast("long").alias("no_key"), at.alias("at"), quota.cast("long").alias("quota"))
+    d = d.withColumns({"quota": F.coalesce("quota", F.lit(0)), "no_quota": F.col("quota").isNull().cast("long"), "bucket": F.pmod(F.xxhash64("no_key", "key"), F.lit(BUCKETS))})
     d = d.withColumns({"day": F.to_date("at"), "at_us": F.unix_micros("at"), "mark": _mark(F.col("at"))}).drop("at").withWatermark("mark", late)
-    return d.groupBy("key", "day").transformWithStateInPandas(_Quota(), QUOTA_ROWS, "append", "eventTime")
+    return d.groupBy("bucket", "day").transformWithStateInPandas(_Quota(), QUOTA_ROWS, "append", "eventTime")
 
 
 def fold_events(events: DataFrame, late: str = "1 hour", idle_ms: int = DAY_MS) -> DataFrame:

@@ -59,3 +59,22 @@ def test_event_folds(spark, tmp_path):
     want = evaluation.fold_events(spark.createDataFrame(events, "run_id long, seq long, type string, text string, at_us long"))
     rows = lambda x: sorted((r.run_id, r.answer, r.n_steps, r.n_completed, r.n_failed, r.state) for r in x.collect())
     assert rows(got) == rows(want)
+
+
+def test_quota_state_is_by_buckets(spark, tmp_path):
+    """Many keys share few groups, and null keys, repeated calls and quotas of null count as in the batch."""
+    calls = [(i, None if i % 7 == 0 else i % 400, BASE + (i * 7919 % 86_400) * 1_000_000) for i in range(1200)]
+    quota = F.when(F.col("key") % 5 == 0, F.lit(None)).otherwise(F.lit(2)).cast("long")
+    batches = [calls[:700], calls[600:], [(9999, 777, BASE + 30 * 86_400_000_000)], [(9998, 777, BASE + 31 * 86_400_000_000)]]
+    seen = []
+
+    def make(stream):
+        made = stateful.daily_quota(stream, quota, "1 day")
+        seen.append(made._jdf.queryExecution().analyzed().toString())
+        return made
+
+    got = in_micro_batches(spark, batches, "call_id long, key long, at_us long", tmp_path, make).where("key is null or key < 777")
+    want = evaluation.daily_quota(spark.createDataFrame(calls, "call_id long, key long, at_us long").withColumn("at", F.timestamp_micros("at_us")), quota)
+    rows = lambda x: sorted((r.call_id, -1 if r.key is None else r.key, str(r.day), r.used, r.allowed, r.remaining) for r in x.collect())
+    assert rows(got) == rows(want)
+    assert "bucket" in seen[0]
