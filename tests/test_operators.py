@@ -2,6 +2,7 @@
 
 import datetime as dt
 import difflib
+import random
 import re
 
 import numpy as np
@@ -271,6 +272,27 @@ def test_trigram_and_source_scope(spark, law):
     assert retrieval.searchable(nodes, v, "nowhere").count() == 0
 
 
+def test_trigrams_of_many_queries(spark, monkeypatch):
+    """Many queries meet the texts in blocks, not as rows of pairs, with the results of the join, ties and long texts included."""
+    rng = random.Random(5)
+    words = ["the", "then", "there", "Öl", "öle", "straße", "x", "𝒜b", "consumer", "consumed"]
+    say = lambda n: " ".join(rng.choices(words, k=rng.randrange(n)))
+    docs = spark.createDataFrame([(i, None if i % 50 == 0 else say(6) + ("q" * (i % 300 if i % 11 == 0 else 0))) for i in range(400)], "version_id long, heading string")
+    texts = [say(4) for _ in range(90)] + ["".join(chr(300 + i) for i in range(400)) + " the", "", None]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "version_id", "score", "rank").collect())
+    monkeypatch.setattr(retrieval, "QUERY_SETS", 32)
+    monkeypatch.setattr(retrieval, "TEXT_SETS", 64)
+    for threshold in (0.1, 0.0):
+        found = retrieval.trigram_search(docs, queries, threshold=threshold, limit=7)
+        assert "Explode" not in found._jdf.queryExecution().analyzed().toString()
+        got = rows(found)
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "FEW", 1_000)
+            want = rows(retrieval.trigram_search(docs, queries, threshold=threshold, limit=7))
+        assert got == want and len(want) > 300
+
+
 def ranked(spark, ids):
     return spark.createDataFrame([(1, i, 1.0, k) for k, i in enumerate(ids, 1)], "query_id long, version_id long, score double, rank int")
 
