@@ -34,20 +34,32 @@ PART_DOCS, BLOCK_DOCS, QUERIES = 32_768, 64, 256
 FIRST = 2
 #: Segments of like size that are merged, and the ratio of sizes that are alike.
 MERGED = 4
+#: Fewest bytes that are worth compressing, and dead documents that are told to the tasks.
+PRESSED, TOLD = 96, 1_000_000
 
 _HEAD = "lexeme string, part int, block int, n int, ids binary, tfs binary, sums binary, data binary"
 _HEAD_ARROW = pa.schema([("lexeme", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("tfs", pa.binary()), ("sums", pa.binary()), ("data", pa.binary())])
 _CANDIDATES = "query_id long, alternative int, version_id long, part int, bound double, exact boolean, lexeme string, block int, slot int"
 
 
+def _pressed(raw: bytes) -> bytes:
+    """Bytes, compressed unless they are few."""
+    return b"-" + raw if len(raw) < PRESSED else b"+" + zlib.compress(raw, 1)
+
+
+def _whole(b: bytes) -> bytes:
+    return b[1:] if b[:1] == b"-" else zlib.decompress(b[1:])
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Numbers (not below zero, ascending or not) as compressed bytes of the least width."""
-    width = next(w for w in "BHIQ" if not len(values) or int(values.max()) <= np.iinfo(w).max)
-    return width.encode() + zlib.compress(values.astype(width).tobytes(), 1)
+    """Numbers (not below zero, ascending or not) as bytes of the least width, compressed unless they are few."""
+    most = int(values.max()) if len(values) else 0
+    width = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "I" if most < 1 << 32 else "Q"
+    return width.encode() + _pressed(values.astype(width).tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b[1:]), b[:1].decode()).astype(np.int64)
+    return np.frombuffer(_whole(b[1:]), b[:1].decode()).astype(np.int64)
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
@@ -61,38 +73,47 @@ def _unpack_ids(b: bytes) -> np.ndarray:
 
 def _write_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings (lexeme, part, version_id, places as twice the position, plus one in a heading) in order -> heads and blocks."""
-    key, ids, places, out = None, [], [], []
-
-    def close() -> None:
-        tfs = np.array([len(p) for p in places])
-        sums = np.array([sum(fulltext.WEIGHTS["A"] if x & 1 else fulltext.WEIGHTS["B"] for x in p) for p in places])
-        row = {"lexeme": key[0], "part": key[1]}
-        out.append(row | {"block": -1, "n": len(ids), "ids": _pack_ids(np.array(ids)), "tfs": pack(tfs), "sums": zlib.compress(sums.tobytes(), 1), "data": None})
-        for k in range(0, len(ids), BLOCK_DOCS):
-            some = places[k : k + BLOCK_DOCS]
-            steps = np.concatenate([np.diff(p, prepend=0) for p in some])
-            out.append(row | {"block": k // BLOCK_DOCS, "n": len(some), "ids": None, "tfs": pack(tfs[k : k + BLOCK_DOCS]), "sums": None, "data": pack(steps)})
-
+    held = None  # rows of the last group, which may go on
     for b in batches:
-        for lexeme, part, i, p in zip(*(c.to_pylist() for c in b.columns)):
-            if key != (lexeme, part):
-                if key:
-                    close()
-                key, ids, places = (lexeme, part), [], []
-            ids.append(i)
-            places.append(np.array(p, np.int64))
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_HEAD_ARROW)
-            out = []
-    if key:
-        close()
-        yield pa.RecordBatch.from_pylist(out, schema=_HEAD_ARROW)
+        t = pa.Table.from_batches([b])
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        lexemes = t["lexeme"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        parts = t["part"].to_numpy()
+        starts = np.flatnonzero((lexemes[1:] != lexemes[:-1]) | (parts[1:] != parts[:-1])) + 1
+        if len(starts):
+            yield _groups(t.slice(0, starts[-1]), np.append(0, starts))
+            t = t.slice(starts[-1])
+        held = t if t.num_rows else None
+    if held is not None:
+        yield _groups(held, np.array([0, held.num_rows]))
+
+
+def _groups(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+    """Heads and blocks of whole groups, which lie between ``bounds``."""
+    t = t.combine_chunks()
+    ids, lists = t["version_id"].to_numpy(), t["places"].combine_chunks()
+    flat, tfs = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.append(0, np.cumsum(tfs))
+    steps = np.diff(flat, prepend=0)
+    steps[ends[:-1]] = flat[ends[:-1]]
+    in_heading = np.diff(np.append(0, np.cumsum(flat & 1))[ends])
+    sums = in_heading * fulltext.WEIGHTS["A"] + (tfs - in_heading) * fulltext.WEIGHTS["B"]
+    at, rows = [], []
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        at.append(a)
+        rows.append((-1, z - a, _pack_ids(ids[a:z]), pack(tfs[a:z]), _pressed(sums[a:z].tobytes()), None))
+        for k in range(a, z, BLOCK_DOCS):
+            e = min(k + BLOCK_DOCS, z)
+            at.append(a)
+            rows.append(((k - a) // BLOCK_DOCS, e - k, _pack_ids(ids[k:e]), pack(tfs[k:e]), None, pack(steps[ends[k] : ends[e]])))
+    own = [t[c].combine_chunks().take(pa.array(at)) for c in ("lexeme", "part")]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(_HEAD_ARROW)[2:]))], schema=_HEAD_ARROW)
 
 
 def _rows(post: DataFrame, parts: int) -> DataFrame:
-    """Heads and blocks of postings (``version_id``, ``lexeme``, ``places``): one shuffle, by ranges of lexeme and part, so a common lexeme is many groups."""
+    """Heads and blocks of postings (``version_id``, ``lexeme``, ``places``): one shuffle, by lexeme and part, so a common lexeme is many groups; texts are tokenised once."""
     dealt = post.withColumn("part", F.expr(f"cast(pmod(xxhash64(version_id), {parts}) as int)")).select("lexeme", "part", "version_id", "places")
-    return dealt.repartitionByRange("lexeme", "part").sortWithinPartitions("lexeme", "part", "version_id").mapInArrow(_write_groups, _HEAD)
+    return dealt.repartition("lexeme", "part").sortWithinPartitions("lexeme", "part", "version_id").mapInArrow(_write_groups, _HEAD)
 
 
 class Index:
@@ -170,15 +191,16 @@ class Index:
 
     def postings(self, segments: list[dict]) -> DataFrame:
         """``version_id``, ``lexeme``, ``places`` of what counts in these segments, read back from their blocks."""
-        out = None
+        out, gone = None, self.dead(segments)
+        few = gone is not None and gone.limit(TOLD + 1).count() <= TOLD
         for s in segments:
             rows = self.spark.read.schema(_HEAD).parquet(f"{self.path}/segments/{s['segment']}/rows")
-            heads = rows.where("block = -1").select("lexeme", "part", "ids")
-            blocks = rows.where("block >= 0").select("lexeme", "part", "block", "tfs", "data").join(heads, ["lexeme", "part"])
-            one = blocks.mapInArrow(_read_blocks, "version_id long, lexeme string, places array<int>").withColumn("segment", F.lit(s["segment"]).cast("long"))
+            one = rows.where("block >= 0").select("lexeme", "ids", "tfs", "data").mapInArrow(_read_blocks, "version_id long, lexeme string, places array<int>")
+            if gone is not None:
+                own = gone.where(F.col("segment") == s["segment"]).select("version_id")
+                one = one.join(F.broadcast(own) if few else own, "version_id", "left_anti")
             out = one if out is None else out.unionByName(one)
-        gone = self.dead(segments)
-        return (out if gone is None else out.join(gone, ["segment", "version_id"], "left_anti")).drop("segment")
+        return out
 
     def merge(self) -> None:
         """Merge ``MERGED`` segments of like size, the smallest first, until no such are left; their rows are not tokenised again."""
@@ -260,14 +282,15 @@ class Index:
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = {"version_id": [], "lexeme": [], "places": []}
-        for lexeme, _, block, tfs, data, ids in zip(*(c.to_pylist() for c in b.columns)):
-            own = _unpack_ids(ids)[block * BLOCK_DOCS : (block + 1) * BLOCK_DOCS]
-            for i, steps in zip(own.tolist(), np.split(unpack(data), np.cumsum(unpack(tfs))[:-1])):
-                out["version_id"].append(i)
-                out["lexeme"].append(lexeme)
-                out["places"].append(np.cumsum(steps).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out["version_id"], pa.int64()), pa.array(out["lexeme"], pa.string()), pa.array(out["places"], pa.list_(pa.int32()))], list(out))
+        if not b.num_rows:
+            continue
+        ids, tfs, steps = ([read(x) for x in b.column(c).to_pylist()] for c, read in ((1, _unpack_ids), (2, unpack), (3, unpack)))
+        lexeme = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in ids])))
+        ids, tfs, steps = map(np.concatenate, (ids, tfs, steps))
+        ends = np.append(0, np.cumsum(tfs))
+        run = np.cumsum(steps)
+        places = (run - np.repeat((run - steps)[ends[:-1]], tfs)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), lexeme, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places))], ["version_id", "lexeme", "places"])
 
 
 def _chosen(limit: int, rest: bool):
@@ -282,7 +305,7 @@ def _chosen(limit: int, rest: bool):
             if h["lexeme"] is None:
                 dead = np.array(h["dead"])
             else:
-                known[h["lexeme"]] = (_unpack_ids(h["ids"]), unpack(h["tfs"]), np.frombuffer(zlib.decompress(h["sums"])))
+                known[h["lexeme"]] = (_unpack_ids(h["ids"]), unpack(h["tfs"]), np.frombuffer(_whole(h["sums"])))
         plans: dict[tuple, list] = {}
         for t in told.select(["query_id", "alternative", "wanted", "clause", "lexeme", "least"]).to_pylist():
             plans.setdefault((t["query_id"], t["alternative"]), []).append(t)

@@ -187,3 +187,21 @@ def test_few_blocks_are_read(spark, tmp_path, monkeypatch):
     got = index.search(spark.createDataFrame([(0, "tenant theft")], "query_id long, query string"), limit=10)
     assert [r.version_id % 200 for r in got.collect()] == [0] * 10
     assert sum(chosen) < 4000 // textindex.BLOCK_DOCS
+
+
+def test_texts_are_tokenised_once_and_blocks_read_alone(spark, tmp_path):
+    """Writing a segment takes no sample of its postings, and reading it back joins nothing; groups may lie over batches."""
+    docs = spark.createDataFrame([(i, "the head" if i % 3 else "", f"the word w{i % 5} the end") for i in range(-40, 260)], "version_id long, heading string, body string")
+    held = textindex.Index(spark, str(tmp_path / "index"), english=False)
+    post = held._tokens(docs)
+    plan = textindex._rows(post, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        held.build(docs)
+        back = held.postings(held.state())
+        assert "Join" not in back._jdf.queryExecution().executedPlan().toString()
+        rows = lambda d: sorted((r.version_id, r.lexeme, list(r.places)) for r in d.collect())
+        assert rows(back) == rows(post)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
