@@ -17,6 +17,7 @@ appended at the end, so a failed update leaves the old state.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators import fulltext
+from palimpsest.sources.scratch import stored
 
-#: Documents of a part and of a block of positions, and queries that a group answers.
-PART_DOCS, BLOCK_DOCS, QUERIES = 32_768, 64, 256
+#: Documents of a part and of a block of positions, queries that a group answers at most, and those that are worth a group.
+PART_DOCS, BLOCK_DOCS, QUERIES, LEAST = 32_768, 64, 8_192, 256
 #: Documents of a part that are scored first, for each one wanted.
 FIRST = 2
 #: Segments of like size that are merged, and the ratio of sizes that are alike.
@@ -39,7 +41,8 @@ PRESSED, TOLD = 96, 1_000_000
 
 _HEAD = "lexeme string, part int, block int, n int, ids binary, tfs binary, sums binary, data binary"
 _HEAD_ARROW = pa.schema([("lexeme", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("tfs", pa.binary()), ("sums", pa.binary()), ("data", pa.binary())])
-_CANDIDATES = "query_id long, alternative int, version_id long, part int, bound double, exact boolean, lexeme string, block int, slot int"
+_CANDIDATES = "segment long, part int, load int, query_id long, alternative int, ids binary, sums binary, lexeme string, block int"
+_CANDIDATES_ARROW = pa.schema([("segment", pa.int64()), ("part", pa.int32()), ("load", pa.int32()), ("query_id", pa.int64()), ("alternative", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary()), ("lexeme", pa.string()), ("block", pa.int32())])
 
 
 def _pressed(raw: bytes) -> bytes:
@@ -58,6 +61,11 @@ def pack(values: np.ndarray) -> bytes:
     return width.encode() + _pressed(values.astype(width).tobytes())
 
 
+def _pack_few(values: list[int]) -> bytes:
+    """As :func:`pack`, of fewer than ``PRESSED`` numbers."""
+    return b"B-" + bytes(values) if max(values, default=0) < 1 << 8 else pack(np.array(values, np.int64))
+
+
 def unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(_whole(b[1:]), b[:1].decode()).astype(np.int64)
 
@@ -99,7 +107,16 @@ def _groups(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
     in_heading = np.diff(np.append(0, np.cumsum(flat & 1))[ends])
     sums = in_heading * fulltext.WEIGHTS["A"] + (tfs - in_heading) * fulltext.WEIGHTS["B"]
     at, rows = [], []
+    few_ids, few_tfs, few_steps, few_ends, all_sums = ids.tolist(), tfs.tolist(), steps.tolist(), ends.tolist(), sums.tobytes()
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        # Most lexemes are rare: one block, with the ids and numbers of its head, from plain lists.
+        if z - a <= BLOCK_DOCS and few_ends[z] - few_ends[a] < PRESSED:
+            packed = few_ids[a].to_bytes(8, "little", signed=True) + _pack_few([y - x for x, y in zip(few_ids[a : z - 1], few_ids[a + 1 : z])])
+            n_each = _pack_few(few_tfs[a:z])
+            at += (a, a)
+            rows.append((-1, z - a, packed, n_each, _pressed(all_sums[8 * a : 8 * z]), None))
+            rows.append((0, z - a, packed, n_each, None, _pack_few(few_steps[few_ends[a] : few_ends[z]])))
+            continue
         at.append(a)
         rows.append((-1, z - a, _pack_ids(ids[a:z]), pack(tfs[a:z]), _pressed(sums[a:z].tobytes()), None))
         for k in range(a, z, BLOCK_DOCS):
@@ -218,32 +235,45 @@ class Index:
             self._commit([*(s for s in segments if s["segment"] not in numbers), made])
 
     def search(self, queries: DataFrame, limit: int = 50) -> DataFrame:
-        """``query_id``, ``version_id``, ``score``, ``rank``: the same as :func:`fulltext.search` over all that counts."""
+        """``query_id``, ``version_id``, ``score``, ``rank``: the same as :func:`fulltext.search` over all that counts.
+
+        Queries that ask for the same are answered once.
+        """
         segments = self.state()
-        terms = fulltext.query_terms(queries, self.english)
         none = self.spark.createDataFrame([], "query_id long, version_id long, score double, rank int")
         if not segments:
             return none
+        asks = self._questions(queries)
+        terms = asks.where("query_id = first").select("query_id", "plan", F.lit(limit).alias("most"))
         rows = None
         for s in segments:
             one = self.spark.read.schema(_HEAD).parquet(f"{self.path}/segments/{s['segment']}/rows").withColumn("segment", F.lit(s["segment"]).cast("long"))
             rows = one if rows is None else rows.unionByName(one)
-        asked = [r["lexeme"] for r in terms.select("lexeme").distinct().limit(fulltext.PUSHED + 1).collect()]
+        asked = [r["lexeme"] for r in terms.select(F.explode("plan.lexeme").alias("lexeme")).distinct().limit(fulltext.PUSHED + 1).collect()]
         if len(asked) <= fulltext.PUSHED:
             rows = rows.where(F.col("lexeme").isin(*asked)) if asked else rows.where("false")
         gone = self.dead(segments)
-        first = self._candidates(rows, gone, terms, segments, limit, None)
-        scored = self._scored(rows, first, terms)
+        first = stored(self._candidates(rows, gone, terms, segments, limit, None), "text-candidates")
+        scored = stored(self._scored(rows, first, terms), "text-scores")
         last = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "version_id"))).where(F.col("r") == limit).select("query_id", F.col("score").alias("least"))
-        rest = self._scored(rows, self._candidates(rows, gone, terms, segments, limit, last), terms)
-        both = scored.unionByName(rest).groupBy("query_id", "version_id").agg(F.max("score").alias("score"))
-        return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "version_id"))).where(F.col("rank") <= limit)
+        others = stored(self._candidates(rows, gone, terms, segments, limit, last), "text-candidates")
+        both = scored.unionByName(self._scored(rows, others, terms)).repartition("query_id").groupBy("query_id", "version_id").agg(F.max("score").alias("score"))
+        best = both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "version_id"))).where(F.col("rank") <= limit)
+        return best.withColumnRenamed("query_id", "first").join(asks.select("query_id", "first"), "first").select("query_id", "version_id", "score", "rank")
+
+    def _questions(self, queries: DataFrame) -> DataFrame:
+        """``query_id``, ``plan`` (what it asks for), ``first``: the least id of the queries that ask for the same."""
+        row = F.struct("alternative", "wanted", "clause", "lexeme", "distance")
+        made = stored(fulltext.query_terms(queries, self.english).groupBy("query_id").agg(F.array_sort(F.collect_set(row)).alias("plan")), "questions")
+        return made.join(made.groupBy("plan").agg(F.min("query_id").alias("first")), "plan").select("query_id", "plan", "first")
 
     def _candidates(self, rows: DataFrame, gone: DataFrame | None, terms: DataFrame, segments: list[dict], limit: int, last: DataFrame | None) -> DataFrame:
-        """Documents to be scored, a row for each of their lexemes: the best by bound of each part, or with ``last`` (``query_id``, ``least``) those behind them whose bound reaches it."""
-        load = F.expr(f"cast(pmod(xxhash64(query_id), {self._loads(terms)}) as int)").alias("load")
-        terms = terms.select("*", load)
-        heads = rows.where("block = -1").select("segment", "part", "lexeme", "ids", "tfs", "sums").join(terms.select("lexeme", "load").distinct(), "lexeme")
+        """Documents to be scored, a row for each query and part, and a row for each block of positions that this takes: the best by bound of each part, or with ``last`` (``query_id``, ``least``) those behind them whose bound reaches it."""
+        n, parts = terms.count(), sum(s["parts"] for s in segments)
+        # As many groups as tasks, but for loads of a few queries; with many parts, loads as large as may be.
+        loads = max(1, -(-n // QUERIES), min(-(-n // LEAST), -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // parts)))
+        terms = terms.withColumn("load", F.expr(f"cast(pmod(xxhash64(query_id), {loads}) as int)"))
+        heads = rows.where("block = -1").select("segment", "part", "lexeme", "ids", "tfs", "sums").join(terms.select(F.explode("plan.lexeme").alias("lexeme"), "load").distinct(), "lexeme")
         places = self.spark.createDataFrame([(s["segment"], p) for s in segments for p in range(s["parts"])], "segment long, part int")
         if gone is not None:
             sizes = F.broadcast(self.spark.createDataFrame([(s["segment"], s["parts"]) for s in segments], "segment long, parts int"))
@@ -253,31 +283,22 @@ class Index:
             heads = heads.withColumn("dead", F.lit(None).cast("array<bigint>")).unionByName(dead, allowMissingColumns=True)
         else:
             heads = heads.withColumn("dead", F.lit(None).cast("array<bigint>"))
-        if last is not None:
-            terms = terms.join(last, "query_id")
-        else:
-            terms = terms.withColumn("least", F.lit(None).cast("double"))
-        told = terms.select("load", "query_id", "alternative", "wanted", "clause", "lexeme", "distance", "least").crossJoin(F.broadcast(places))
+        # A query with fewer scores than it wants may have a match of any score.
+        terms = terms.withColumn("least", F.lit(0.0)) if last is None else terms.join(last, "query_id", "left").fillna(0.0, ["least"])
+        told = terms.select("load", "query_id", "plan", "least").crossJoin(F.broadcast(places))
         group = ["segment", "part", "load"]
         heads = heads.select(*group, "lexeme", "ids", "tfs", "sums", "dead")
         # Both sides come from the same terms; renamed, their columns are told apart.
         heads, told = heads.toDF(*heads.columns), told.toDF(*told.columns)
-        return heads.groupBy(*group).cogroup(told.groupBy(*group)).applyInArrow(_chosen(limit, last is not None), "segment long, " + _CANDIDATES)
-
-    def _loads(self, terms: DataFrame) -> int:
-        return max(1, -(-terms.select("query_id").distinct().count() // QUERIES))
+        return heads.groupBy(*group).cogroup(told.groupBy(*group)).applyInArrow(_chosen(limit, last is not None), _CANDIDATES)
 
     def _scored(self, rows: DataFrame, chosen: DataFrame, terms: DataFrame) -> DataFrame:
-        """Scores of the candidates that match; a block is read once for all that ask for it."""
-        exact = chosen.where("exact").select("query_id", "version_id", F.col("bound").alias("score"))
-        key = ["segment", "part", "lexeme", "block"]
-        slots = chosen.where("not exact").groupBy(*key).agg(F.collect_list(F.struct("query_id", "alternative", "version_id", "slot")).alias("slots"))
-        blocks = rows.where("block >= 0").select(*key, "tfs", "data").join(slots, key)
-        places = blocks.select("lexeme", "tfs", "data", "slots").mapInArrow(_places, "query_id long, alternative int, version_id long, lexeme string, places array<int>")
-        clauses = terms.groupBy("query_id", "alternative").agg(F.collect_list(F.struct("wanted", "clause", "lexeme", "distance")).alias("terms"))
-        found = places.groupBy("query_id", "alternative", "version_id").agg(F.collect_list(F.struct("lexeme", "places")).alias("hits")).join(clauses, ["query_id", "alternative"])
-        scored = found.select("query_id", "version_id", "hits", "terms").mapInArrow(_densities, "query_id long, version_id long, score double")
-        return exact.unionByName(scored).groupBy("query_id", "version_id").agg(F.max("score").alias("score"))
+        """Scores of the candidates that match, the best ``most`` of each query in each part; a block moves once for each group of queries that asks for it."""
+        key, group = ["segment", "part", "lexeme", "block"], ["segment", "part", "load"]
+        blocks = rows.where("block >= 0").join(chosen.where("query_id is null").select(*key, "load"), key).select(*group, "lexeme", "block", "ids", "tfs", "data")
+        found = chosen.where("query_id is not null").select(*group, "query_id", "alternative", "ids", "sums").join(terms, "query_id")
+        blocks, found = blocks.toDF(*blocks.columns), found.toDF(*found.columns)
+        return found.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInArrow(_measured, "query_id long, version_id long, score double")
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,94 +314,144 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), lexeme, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places))], ["version_id", "lexeme", "places"])
 
 
-def _chosen(limit: int, rest: bool):
-    schema = pa.schema([("segment", pa.int64()), ("query_id", pa.int64()), ("alternative", pa.int32()), ("version_id", pa.int64()), ("part", pa.int32()), ("bound", pa.float64()), ("exact", pa.bool_()), ("lexeme", pa.string()), ("block", pa.int32()), ("slot", pa.int32())])
+def _alternatives(plan: list[dict]) -> dict[int, list[tuple[bool, list[tuple[str, int]]]]]:
+    """Of each alternative of a query its clauses: wanted, lexemes with their distance from the first."""
+    out: dict[int, dict[int, tuple]] = {}
+    for t in plan:
+        out.setdefault(t["alternative"], {}).setdefault(t["clause"], (t["wanted"], []))[1].append((t["lexeme"], t["distance"]))
+    return {a: list(c.values()) for a, c in out.items()}
+
 
+def _chosen(limit: int, rest: bool):
     def run(heads: pa.Table, told: pa.Table) -> pa.Table:
         if not heads.num_rows or not told.num_rows:
-            return schema.empty_table()
-        segment, part = heads["segment"][0].as_py(), heads["part"][0].as_py()
-        known, dead = {}, np.zeros(0, np.int64)
-        for h in heads.select(["lexeme", "ids", "tfs", "sums", "dead"]).to_pylist():
-            if h["lexeme"] is None:
-                dead = np.array(h["dead"])
+            return _CANDIDATES_ARROW.empty_table()
+        group = [heads[c][0].as_py() for c in ("segment", "part", "load")]
+        packed, known, dead = {}, {}, np.zeros(0, np.int64)
+        for i, lexeme in enumerate(heads["lexeme"].to_pylist()):
+            if lexeme is None:
+                dead = np.array(heads["dead"][i].as_py())
             else:
-                known[h["lexeme"]] = (_unpack_ids(h["ids"]), unpack(h["tfs"]), np.frombuffer(_whole(h["sums"])))
-        plans: dict[tuple, list] = {}
-        for t in told.select(["query_id", "alternative", "wanted", "clause", "lexeme", "least"]).to_pylist():
-            plans.setdefault((t["query_id"], t["alternative"]), []).append(t)
-        out = []
-        for (query, alternative), terms in plans.items():
-            wanted = {t["lexeme"] for t in terms if t["wanted"]}
-            if not wanted <= known.keys():
-                continue
-            lists = sorted((known[x] for x in wanted), key=lambda k: len(k[0]))
-            ids = lists[0][0]
-            for other, _, _ in lists[1:]:
-                ids = ids[np.isin(ids, other, assume_unique=True)]
-            clauses: dict[int, list] = {}
-            for t in terms:
-                clauses.setdefault(t["clause"], []).append(t)
-            for c in clauses.values():
-                # A single word that must not occur; phrases are looked at with their positions.
-                if not c[0]["wanted"] and len(c) == 1 and c[0]["lexeme"] in known:
-                    ids = ids[~np.isin(ids, known[c[0]["lexeme"]][0], assume_unique=True)]
-            ids = ids[~np.isin(ids, dead)]
-            if not len(ids):
-                continue
-            at = [np.searchsorted(k[0], ids) for k in lists]
-            exact = len(wanted) == 1 and all(len(c) == 1 for c in clauses.values())
-            # One word: the sum of its weights is the score.
-            bound = lists[0][2][at[0]].round(fulltext.DIGITS) if exact else len(wanted) * np.minimum.reduce([k[1][i] for k, i in zip(lists, at)]).astype(float)
-            order = np.lexsort((ids, -bound))
-            n = limit if exact else limit * FIRST
-            if rest:
+                packed[lexeme] = i
+
+        def head(x: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if x not in known:
+                ids, tfs, sums = (heads[c][packed[x]].as_py() for c in ("ids", "tfs", "sums"))
+                known[x] = (_unpack_ids(ids), unpack(tfs).astype(np.int32), np.frombuffer(_whole(sums)))
+            return known[x]
+
+        out, blocks = [], {}
+        for query, plan, least in zip(*(told[c].to_pylist() for c in ("query_id", "plan", "least"))):
+            for alternative, clauses in _alternatives(plan).items():
+                wanted = {x for w, c in clauses if w for x, _ in c}
+                exact = len(wanted) == 1 and all(len(c) == 1 for _, c in clauses)
+                if not wanted <= packed.keys() or (exact and rest):
+                    continue
+                lists = sorted((head(x) for x in wanted), key=lambda k: len(k[0]))
+                ids = lists[0][0]
+                for other, _, _ in lists[1:]:
+                    ids = ids[np.isin(ids, other, assume_unique=True)]
+                for w, c in clauses:
+                    # A single word that must not occur; phrases are looked at with their positions.
+                    if not w and len(c) == 1 and c[0][0] in packed:
+                        ids = ids[~np.isin(ids, head(c[0][0])[0], assume_unique=True)]
+                if len(dead):
+                    ids = ids[~np.isin(ids, dead)]
+                if not len(ids):
+                    continue
+                at = [np.searchsorted(k[0], ids) for k in lists]
+                # One word: the sum of its weights is the score.
+                bound = lists[0][2][at[0]].round(fulltext.DIGITS) if exact else len(wanted) * np.minimum.reduce([k[1][i] for k, i in zip(lists, at)]).astype(float)
+                n = limit if exact else limit * FIRST
+                if len(ids) > n or exact:
+                    order = np.lexsort((ids, -bound))
+                    order = order[n:] if rest else order[:n]
+                    ids, bound = ids[order], bound[order]
+                elif rest:
+                    continue
+                if rest:
+                    ids = ids[bound >= least - 10.0**-fulltext.DIGITS]
+                    if not len(ids):
+                        continue
                 if exact:
+                    out.append((*group, query, alternative, ids.tobytes(), bound.tobytes(), None, None))
                     continue
-                order = order[n:]
-                order = order[bound[order] >= terms[0]["least"] - 10.0**-fulltext.DIGITS]
-            else:
-                order = order[:n]
-            names = [""] if exact else sorted({t["lexeme"] for t in terms} & known.keys())
-            for x in names:
-                slot = np.searchsorted(known[x][0], ids[order]) if x else np.zeros(len(order), np.int64)
-                held = np.ones(len(order), bool)
-                if x and x not in wanted:  # of a phrase that must not occur
-                    slot = np.minimum(slot, len(known[x][0]) - 1)
-                    held = known[x][0][slot] == ids[order]
-                for i, b, s in zip(ids[order][held].tolist(), bound[order][held].tolist(), slot[held].tolist()):
-                    out.append((segment, query, alternative, i, part, b, exact, x, s // BLOCK_DOCS, s % BLOCK_DOCS))
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
+                ids = np.sort(ids)
+                out.append((*group, query, alternative, _pack_ids(ids), None, None, None))
+                for x in wanted | {x for _, c in clauses if len(c) > 1 for x, _ in c if x in packed}:
+                    own = head(x)[0]
+                    slot = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+                    blocks.setdefault(x, set()).update((np.unique(slot[own[slot] == ids] // BLOCK_DOCS)).tolist())
+        out += [(*group, None, None, None, None, x, b) for x, own in blocks.items() for b in own]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _CANDIDATES_ARROW)], schema=_CANDIDATES_ARROW) if out else _CANDIDATES_ARROW.empty_table()
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for lexeme, tfs, data, slots in zip(*(c.to_pylist() for c in b.columns)):
-            docs = np.split(unpack(data), np.cumsum(unpack(tfs))[:-1])
-            out += [(s["query_id"], s["alternative"], s["version_id"], lexeme, np.cumsum(docs[s["slot"]]).tolist()) for s in slots]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()))
-        cols = zip(*out) if out else ([],) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["query_id", "alternative", "version_id", "lexeme", "places"])
-
-
-def _densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        queries, ids, scores = [], [], []
-        for query, i, hits, terms in zip(*(c.to_pylist() for c in b.columns)):
-            at = {h["lexeme"]: h["places"] for h in hits}
-            clauses: dict[tuple, list] = {}
-            for t in terms:
-                clauses.setdefault((t["clause"], t["wanted"]), []).append(t)
-            holds = {k: all(t["lexeme"] in at for t in c) and bool(set.intersection(*({p // 2 - t["distance"] for p in at[t["lexeme"]]} for t in c))) for k, c in clauses.items()}
-            if all(holds[k] == k[1] for k in holds):
-                wanted = {t["lexeme"] for t in terms if t["wanted"]}
-                queries.append(query)
-                ids.append(i)
-                scores.append(round(fulltext.cover_density([(p // 2, "A" if p & 1 else "B", x) for x in wanted for p in at[x]], wanted), fulltext.DIGITS))
-        yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "version_id", "score"])
+def _measured(found: pa.Table, blocks: pa.Table) -> pa.Table:
+    schema = pa.schema([("query_id", pa.int64()), ("version_id", pa.int64()), ("score", pa.float64())])
+    parts: dict[str, list] = {}
+    for i, (lexeme, block) in enumerate(zip(blocks["lexeme"].to_pylist(), blocks["block"].to_pylist())):
+        parts.setdefault(lexeme, []).append((block, i))
+    known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def read(x: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, ends and places of a lexeme in the blocks that are there."""
+        if x not in known:
+            rows = [[blocks[c][i].as_py() for c in ("ids", "tfs", "data")] for _, i in sorted(parts.get(x, ()))]
+            ids, tfs, steps = ([f(r[c]) for r in rows] for c, f in enumerate((_unpack_ids, unpack, unpack)))
+            ids, tfs, steps = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (ids, tfs, steps))
+            ends, run = np.append(0, np.cumsum(tfs)), np.cumsum(steps)
+            known[x] = (ids, ends, (run - np.repeat((run - steps)[ends[:-1]], tfs)).astype(np.int32))
+        return known[x]
+
+    out = []
+    for query, alternative, ids, sums, plan, most in zip(*(found[c].to_pylist() for c in ("query_id", "alternative", "ids", "sums", "plan", "most"))):
+        if sums is not None:
+            ids, score = np.frombuffer(ids, np.int64), np.frombuffer(sums)
+        else:
+            ids, score = _densities(_unpack_ids(ids), _alternatives(plan)[alternative], read)
+        order = np.lexsort((ids, -score))[:most]
+        out.append((np.full(len(order), query), ids[order], score[order]))
+    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema) if out else schema.empty_table()
+
+
+def _hits(own: np.ndarray, ends: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``ids`` and in their texts of all occurrences of a lexeme."""
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+    doc = np.flatnonzero(own[at] == ids)
+    at = at[doc]
+    n = ends[at + 1] - ends[at]
+    return np.repeat(doc, n), places[np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+
+
+def _densities(ids: np.ndarray, clauses: list[tuple[bool, list[tuple[str, int]]]], read) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``ids`` that match, with their :func:`fulltext.cover_density`, all documents at once."""
+    wanted = sorted({x for w, c in clauses if w for x, _ in c})
+    phrases = [(w, c) for w, c in clauses if len(c) > 1]
+    hits = {x: _hits(*read(x), ids) for x in {*wanted, *(x for _, c in phrases for x, _ in c)}}
+    good = np.ones(len(ids), bool)
+    for w, c in phrases:
+        starts = [doc << 33 | (place // 2 - distance + (1 << 32)) for (doc, place), distance in ((hits[x], d) for x, d in c)]
+        holds = np.zeros(len(ids), bool)
+        holds[functools.reduce(np.intersect1d, starts) >> 33] = True
+        good &= holds == w
+    doc, place = (np.concatenate([hits[x][k] for x in wanted]) for k in (0, 1))
+    kind = np.repeat(np.arange(len(wanted)), [len(hits[x][0]) for x in wanted])
+    order = np.argsort(doc << 33 | place, kind="stable")
+    doc, place, kind = doc[order], place[order], kind[order]
+    at = np.arange(len(doc))
+    # A minimal cover ends where the least of the last places of all lexemes moves on, and begins there.
+    left = np.minimum.reduce([np.maximum.accumulate(np.where(kind == k, at, -1)) for k in range(len(wanted))])
+    right = np.flatnonzero((left >= np.searchsorted(doc, doc)) & (left > np.append(-1, left[:-1])))
+    left = left[right]
+    weight = np.append(0, np.cumsum(np.where(place & 1, 1 / fulltext.WEIGHTS["A"], 1 / fulltext.WEIGHTS["B"])))
+    n, pos = right - left + 1, place // 2
+    cover = n / (weight[right + 1] - weight[left]) / (1 + np.maximum(0, pos[right] - pos[left] - (n - 1)))
+    total = np.bincount(doc[right], cover, len(ids))[good]
+    return ids[good], np.array([round(x, fulltext.DIGITS) for x in total.tolist()], np.float64)
 
 
 def changed_documents(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,51 @@ def test_texts_are_tokenised_once_and_blocks_read_alone(spark, tmp_path):
         assert rows(back) == rows(post)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_phrase_that_only_the_least_likely_documents_hold(spark, tmp_path):
+    """The first documents by bound hold the words, but not the phrase; the others are looked at all the same."""
+    rows = [(i, "", "tenant of theft tenant") if i < 40 else (i, "", "theft " * 5 + "filler " + "tenant " * 5) for i in range(300)]
+    index = textindex.Index(spark, str(tmp_path / "index"), english=False)
+    index.build(spark.createDataFrame(rows, TEXTS))
+    asked = [(0, '"theft tenant"'), (1, "theft tenant"), (2, '"theft tenant"')]
+    got = index.search(spark.createDataFrame(asked, "query_id long, query string"), limit=5)
+    same_hits(got, plain_search(rows, asked, 5, False))
+
+
+def test_density_of_all_documents_at_once():
+    """The same as one by one, whatever lies before, between and behind the covers."""
+    rng = random.Random(4)
+    for _ in range(300):
+        names = [f"w{k}" for k in range(rng.randrange(1, 4))]
+        texts = [[rng.choice([*names, "x"]) for _ in range(rng.randrange(1, 25))] for _ in range(5)]
+        head = rng.randrange(4)
+        at = lambda t, x: [2 * p + (p <= head) for p, w in enumerate(t, 1) if w == x]  # noqa: E731, B023
+        held = [i for i, t in enumerate(texts) if all(x in t for x in names)]
+
+        def read(x):
+            own = [i for i in held]  # noqa: B023, C416
+            lists = [at(texts[i], x) for i in own]  # noqa: B023
+            return np.array(own, np.int64), np.append(0, np.cumsum([len(v) for v in lists])).astype(np.int64), np.array([p for v in lists for p in v], np.int32)
+
+        ids, scores = textindex._densities(np.array(held, np.int64), [(True, [(x, 0)]) for x in names], read)
+        want = [round(fulltext.cover_density([(p // 2, "A" if p & 1 else "B", x) for x in names for p in at(texts[i], x)], set(names)), 9) for i in held]
+        assert ids.tolist() == held and scores.tolist() == want
+
+
+def test_long_batches_are_read_in_pieces(spark):
+    """A batch of more words than are looked at at a time gives the postings of its rows, and no piece has more."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 1, 1500]))) for _ in range(900)]
+    docs = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], TEXTS).coalesce(1)
+    got = {(r.version_id, r.lexeme): [p.pos for p in r.at] for r in fulltext.postings(docs, "version_id").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for p, w in enumerate(t.split(), 1):
+            if w not in fulltext.STOP_WORDS:
+                want.setdefault((i, fulltext.stem(w)), []).append(p)
+    assert sum(len(t.split()) for t in texts) > fulltext.WORDS and got == want
+    lists = pa.array([t.split() for t in texts])
+    pieces = list(fulltext._pieces(lists))
+    assert [a for a, _ in pieces[1:]] == [z for _, z in pieces[:-1]] and (pieces[0][0], pieces[-1][1]) == (0, 900)
+    assert all(len(lists[a:z].flatten()) <= fulltext.WORDS for a, z in pieces) and len(pieces) > 1
