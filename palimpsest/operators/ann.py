@@ -33,6 +33,8 @@ ROUNDS, SEED = 12, 11
 AIM, NEIGHBOURS, ASKING = 0.97, 10, 256
 #: Rows of a cell, and queries to it, that meet in one group.
 PART_ROWS, PART_QUERIES = 16_384, 1_024
+#: Rows of queries and cells that a task makes at a time.
+ASKED_ROWS = 8_192
 #: Rows by code that are scored again, for each one wanted.
 RESCORED = 16
 
@@ -146,17 +148,26 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, Model]:
     return spark.read.schema("version_id long, code binary, cell int").parquet(f"{path}/rows"), model
 
 
+def _asking(b: pa.RecordBatch, centroids: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """``query_id``, ``cell``, ``q`` of a batch of queries, at most ``ASKED_ROWS`` rows at a time (those of one query stay together)."""
+    at, x = vectors_of(b.column(1))
+    n = min(probes, len(centroids))
+    step = max(1, ASKED_ROWS // n)
+    for k in range(0, len(x), step):
+        some = x[k : k + step]
+        near = np.argsort(-(some @ centroids.T), axis=1, kind="stable")[:, :n]
+        ends = np.arange(near.size + 1, dtype=np.int32) * x.shape[1]
+        q = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.repeat(some, n, axis=0).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(at[k : k + step], n))), pa.array(near.ravel().astype(np.int32)), q], ["query_id", "cell", "q"])
+
+
 def _asked_cells(queries: DataFrame, model: Model, probes: int, col: str) -> DataFrame:
     """``query_id``, ``cell``, ``q`` (the unit vector), a row for each cell to be asked."""
     held = queries.sparkSession.sparkContext.broadcast(model.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
         for b in batches:
-            at, x = vectors_of(b.column(1))
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if len(x) else np.zeros((0, 1), int)
-            n = near.shape[1]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(at, n))), pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(x, n, axis=0).tolist(), pa.list_(pa.float64()))], ["query_id", "cell", "q"])
+            yield from _asking(b, held.value, probes)
 
     return queries.select(F.col("query_id").cast("long").alias("query_id"), col).mapInArrow(run, "query_id long, cell int, q array<double>")
 

@@ -254,3 +254,17 @@ def test_long_batches_are_read_in_pieces(spark):
     pieces = list(fulltext._pieces(lists))
     assert [a for a, _ in pieces[1:]] == [z for _, z in pieces[:-1]] and (pieces[0][0], pieces[-1][1]) == (0, 900)
     assert all(len(lists[a:z].flatten()) <= fulltext.WORDS for a, z in pieces) and len(pieces) > 1
+
+
+def test_queries_meet_cells_a_few_at_a_time():
+    """A batch of many queries that ask many cells gives its rows in small batches."""
+    rng = np.random.default_rng(6)
+    x, centroids = rng.normal(size=(400, 8)), rng.normal(size=(64, 8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array([*x.tolist(), None])], ["query_id", "embedding"])
+    made = list(ann._asking(b, centroids, 50))
+    assert len(made) > 1 and max(m.num_rows for m in made) <= ann.ASKED_ROWS
+    rows = pa.Table.from_batches(made)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert rows["query_id"].to_pylist() == np.repeat(np.arange(400), 50).tolist()
+    assert rows["cell"].to_pylist() == np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :50].ravel().tolist()
+    assert np.array_equal(np.array(rows["q"].to_pylist()), np.repeat(unit, 50, axis=0))
