@@ -268,3 +268,18 @@ def test_queries_meet_cells_a_few_at_a_time():
     assert rows["query_id"].to_pylist() == np.repeat(np.arange(400), 50).tolist()
     assert rows["cell"].to_pylist() == np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :50].ravel().tolist()
     assert np.array_equal(np.array(rows["q"].to_pylist()), np.repeat(unit, 50, axis=0))
+
+
+def test_tables_of_scores_stay_small(monkeypatch):
+    """A block of queries is scored a part at a time, with the result of the whole."""
+    rng = np.random.default_rng(7)
+    sizes, better = [], retrieval._better
+    monkeypatch.setattr(retrieval, "_better", lambda best, x, ids, q, limit: (sizes.append(len(q)), better(best, x, ids, q, limit))[1])
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(900, 16)), rng.normal(size=(700, 16))))
+    best = None
+    for k in range(0, 900, 300):
+        best = retrieval._best_so_far(best, x[k : k + 300], np.arange(k, k + 300), q, 5)
+    assert max(sizes) <= retrieval.AT_ONCE
+    got = np.concatenate([np.stack([no + k * retrieval.AT_ONCE, ids]) for k, (no, ids, _) in enumerate(best)], axis=1)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert got[0].tolist() == np.repeat(np.arange(700), 5).tolist() and got[1].tolist() == want.ravel().tolist()
