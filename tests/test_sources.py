@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text
 from palimpsest.operators import evaluation
 from palimpsest.sources import blobs, pages, probes, rtf, rules_text
 from palimpsest.streaming import jobs
@@ -122,6 +123,23 @@ def test_rule_book(spark):
     assert [(r.rule, r.note) for r in notes.collect()] == [("32:3.1", "in body only")]
 
 
+def test_lines_of_a_rule_book_move_once(spark):
+    """Contents and bodies come from one pass over the lines, which are dealt out by chapter once."""
+    rows = [(c, i, t.replace("32:", f"{c}:")) for c in ("32", "33") for i, t in enumerate(BOOK.split("\n"))]
+    lines = rules_text.content_lines(spark.createDataFrame(rows, "chapter string, line_no int, line string"))
+    found = rules_text.entries(lines, "contents", "body")
+    for made in (rules_text.contents(found), rules_text.bodies(found)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.chapter, r.rule): (r.heading, r.division) for r in rules_text.contents(found).collect()}
+    assert got[("33", "33:1.0")] == ("Terms and how they are used", "GENERAL") and got[("32", "32:2.1")][1] == "DIVISION II"
+
+
+def test_capitals_are_counted_by_letters(spark):
+    given = ["A-B C", "A B", "ABc", "", "1 2 3", "ÄÖÜ", "A B C d", "dž XYZ"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", text.all_capitals(F.col("t")).alias("c"))
+    assert [r.c for r in d.orderBy("i").collect()] == [True, False, False, False, False, True, False, False]
+
+
 @pytest.mark.parametrize(
     ("rows", "prose", "comment", "history"),
     [
