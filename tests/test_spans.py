@@ -64,6 +64,26 @@ def test_passages_by_common_runs_are_the_likeliest():
             assert held.likeliest(want) == audit.likeliest(want, passages)
 
 
+def test_the_likeliest_passage_by_any_way(monkeypatch):
+    """With and without kept runs the best is that of comparing all, the first of equal ones; few passages are compared."""
+    rng = random.Random(8)
+    words = ["aa", "aaa", "the", "of", "tenant", "landlord", "x"]
+    compared = []
+    ratio = audit.difflib.SequenceMatcher.ratio
+    plain = lambda want, passages: max(((ratio(audit.difflib.SequenceMatcher(None, p, want, autojunk=False)), -i) for i, p in enumerate(passages)), default=(0.0, 1))
+    for _ in range(60):
+        passages = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 12, 30]))) for _ in range(rng.choice([0, 1, 5, 30]))]
+        want = edited(rng, rng.choice(passages or ["nothing"]), rng.choice([0, 0.05, 0.2, 0.5])) or "x"
+        score, place = plain(want, passages)
+        wanted = (score, -place) if score else (0.0, -1)
+        for least in (0, 99):
+            monkeypatch.setattr(audit, "INDEXED_FROM", least)
+            assert audit.Passages(passages).likeliest(want) == wanted
+    monkeypatch.setattr(audit.difflib.SequenceMatcher, "ratio", lambda self: compared.append(1) or ratio(self))
+    texts = [f"passage number {i} of a long section on rents and tenants" for i in range(200)]
+    assert audit.likeliest("passage number 117 of a long section on rents or tenants", texts)[1] == 117 and len(compared) < 40
+
+
 @pytest.mark.parametrize("group", [2_000, 2])
 def test_quotations_meet_by_section(spark, monkeypatch, group):
     monkeypatch.setattr(audit, "GROUP_QUOTES", group)
@@ -95,6 +115,28 @@ def test_quotations_meet_by_section(spark, monkeypatch, group):
             assert got[k] == ("fuzzy" if score >= 0.85 else "not_found", score, shown[:300] + ("…" if len(shown) > 300 else ""))
 
 
+def test_quotations_of_many_sections_share_a_group(spark):
+    """A group for each section would be a call for each; some 64 quotations make one."""
+    q = spark.range(200).selectExpr("cast(id as int) quote_no", "id node_id", "concat('quoted words ', id) quote", "cast(id as int) start")
+    s = spark.range(200).selectExpr("id node_id", "concat('Here are quoted words ', id, '. And more.') body")
+    out = audit.compared(q, s)
+    assert out.where("status = 'exact'").count() == 200
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "_group" in plan
+
+
+def test_an_audit_reads_texts_and_compares_once(spark):
+    texts = spark.createDataFrame([(1, "Code", 'By section 1.2, "the rent is due", and section 9.9, "it never is at all".')], "text_id long, source string, body string")
+    nodes = spark.createDataFrame([(1, "Code", "1.2", "1", "H", False)], "node_id long, source string, path string, parent_path string, heading string, is_repealed boolean")
+    v = spark.createDataFrame([(1, 1, "Now the rent is due. Pay.", "approved")], "version_id long, node_id long, body string, review_status string").selectExpr("*", "date'2024-01-01' effective_from", "cast(null as date) effective_to")
+    report = audit.audit_report(*audit.audit(texts, nodes, v, F.lit("2023-01-01").cast("date")))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInPandas" not in plan and "Generate posexplode" not in plan
+    (row,) = report.collect()
+    assert (row.n_citations, row.n_valid, row.n_quotes, row.n_exact, row.n_amended) == (2, 1, 2, 1, 1) and row.citation_rows.count("|") >= 2
+
+
 def test_forms_of_sections_and_chapters(spark):
     df = spark.createDataFrame([("Iowa Code § 714.16(2)(a)",), ("chapter 9H",), ("nothing",)], "t string")
     c = grammar.parse(F.col("t"))
