@@ -10,7 +10,10 @@ generation without a manifest is never read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
@@ -43,7 +46,7 @@ class ChapterStore:
         one = units.select(*UNIT, "buckets", "generation").withColumns({"version": F.lit(version), "top_node": F.lit(top_node).cast("long"), "top_version": F.lit(top_version).cast("long")})
         one.coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
 
-    def _read(self, table: str, units: DataFrame | None = None) -> DataFrame:
+    def _read(self, table: str, units: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """Rows of a table in some units (default: all).  The join with the units prunes folders before they are read."""
         every = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{table}")
         # Folder names would be read as numbers where they look like it.
@@ -51,7 +54,7 @@ class ChapterStore:
         schema = ", ".join(f"`{c}` {kinds.get(c, t)}" for c, t in every.dtypes)
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
         wanted = (self.units() if units is None else units).select(*UNIT, "generation")
-        return rows.join(wanted, [*UNIT, "generation"], "left_semi").drop("bucket", "generation")
+        return rows.join(wanted, [*UNIT, "generation"], "left_semi").drop(*{"bucket", "generation"}.difference(keep))
 
     def nodes(self, units: DataFrame | None = None) -> DataFrame:
         return self._read("nodes", units).drop("chapter")
@@ -59,14 +62,25 @@ class ChapterStore:
     def versions(self, units: DataFrame | None = None) -> DataFrame:
         return self._read("versions", units).drop("source", "chapter")
 
-    def _write(self, nodes: DataFrame, versions: DataFrame, buckets: DataFrame, generation: int) -> DataFrame:
-        """Write rows as a generation, each version beside its node; the units written."""
+    def _write(self, nodes: DataFrame, versions: DataFrame, buckets: DataFrame, generation: int, held: DataFrame | None = None, until: Column | None = None) -> DataFrame:
+        """Write rows as a generation, each version beside its node; the units written.
+
+        ``held`` are older versions with their unit, and rows without a
+        ``version_id`` for the nodes whose open versions end at ``until``.  Both
+        meet where the bucket is written, so a text moves once.
+        """
         n = nodes.withColumn("chapter", F.coalesce("parent_path", "path")).join(buckets, ["source", "chapter"], "left").fillna(1, ["buckets"])
         n = n.withColumns({"bucket": _bucket(F.col("path")), "generation": F.lit(generation)})
-        v = versions.join(n.select("node_id", *UNIT), "node_id").withColumn("generation", F.lit(generation))
-        for name, rows in (("nodes", n.drop("buckets")), ("versions", v)):
-            # A bucket is bounded, so one task may hold it; small ones share a task.
-            rows.repartition(*UNIT).write.mode("append").partitionBy("generation", *UNIT).parquet(f"{self.path}/{name}")
+        v = versions.join(n.select("node_id", *UNIT), "node_id")
+        # A bucket is bounded, so one task may hold it; small ones share a task.
+        if held is None:
+            v = v.repartition(*UNIT)
+        else:
+            v = held.withColumn("_held", F.lit(True)).unionByName(v.withColumn("_held", F.lit(False)), allowMissingColumns=True).repartition(*UNIT)
+            v = v.withColumn("_ends", F.max(F.col("version_id").isNull()).over(W.partitionBy(*UNIT, "node_id"))).where("version_id is not null")
+            v = v.withColumn("effective_to", F.when(F.col("_ends") & F.col("_held") & F.col("effective_to").isNull(), until).otherwise(F.col("effective_to"))).drop("_ends", "_held")
+        for name, rows in (("nodes", n.drop("buckets").repartition(*UNIT)), ("versions", v.withColumn("generation", F.lit(generation)))):
+            rows.write.mode("append").partitionBy("generation", *UNIT).parquet(f"{self.path}/{name}")
         return n.select(*UNIT, "buckets", "generation").distinct()
 
     def create(self, nodes: DataFrame, versions: DataFrame) -> None:
@@ -102,8 +116,11 @@ class ChapterStore:
         old = near.join(touched, UNIT, "left_semi")
         titled = chapters.join(touched.where("bucket = 0"), ["source", "chapter"], "left_semi")
         nodes = stored(ingest.apply_nodes(self.nodes(old), parsed, titled, changes, above=head["top_node"]), "nodes-after")
-        versions = ingest.apply_versions(self.versions(old), nodes, parsed, changes, effective_from, above=head["top_version"])
-        written = stored(self._write(nodes, stored(versions, "versions-after"), sizes, generation), "written")
+        fresh = ingest.new_versions(nodes, parsed, changes, effective_from, head["top_version"]).drop(*ingest.KEY)
+        ended = moved.where("kind in ('amended', 'repealed')").select("source", "chapter", _bucket(F.col("path")).alias("bucket"), "path")
+        ended = ended.join(nodes.select("node_id", "source", "path"), ["source", "path"]).select("node_id", *UNIT)
+        held = self._read("versions", old, keep=["bucket"]).unionByName(ended, allowMissingColumns=True)
+        written = stored(self._write(nodes, fresh, sizes, generation, held, effective_from), "written")
         top = lambda d, c, at_least: max(at_least, d.agg(F.max(c).alias("m")).first()["m"] or 0)
         rest = units.join(written, UNIT, "left_anti")
         self._commit(rest.unionByName(written), generation, top(nodes, "node_id", head["top_node"]), top(self.versions(written), "version_id", head["top_version"]))

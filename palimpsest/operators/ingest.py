@@ -151,9 +151,17 @@ def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, cha
     old = versions if "enacted_by" in versions.columns else versions.withColumn("enacted_by", F.lit(None).cast("string"))
     until = F.when(F.col("_touched") & F.col("effective_to").isNull(), effective_from).otherwise(F.col("effective_to"))
     closed = old.join(touched, "node_id", "left").withColumn("effective_to", until).select(*old.columns)
+    new = new_versions(nodes, parsed, changes, effective_from, _greatest(versions, "version_id") if above is None else above)
+    return closed.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def new_versions(nodes: DataFrame, parsed: DataFrame, changes: DataFrame, effective_from: Column, above: int) -> DataFrame:
+    """The pending versions of added and amended sections, with ids from ``above`` + 1 on, and their :data:`KEY`."""
+    ids = nodes.select("node_id", *KEY)
     fresh = parsed.join(changes.where("kind in ('added', 'amended')").select(*KEY), KEY, "left_semi").join(ids, KEY)
     history = F.coalesce(F.try_element_at("history_brackets", F.lit(1)), F.lit("")) if "history_brackets" in parsed.columns else F.lit("")
-    new = numbered(fresh.withColumn("enacted_by", history), "version_id", _greatest(versions, "version_id") if above is None else above).select(
+    return numbered(fresh.withColumn("enacted_by", history), "version_id", above).select(
+        *KEY,
         "version_id",
         "node_id",
         "body",
@@ -163,7 +171,6 @@ def apply_versions(versions: DataFrame, nodes: DataFrame, parsed: DataFrame, cha
         F.lit("pending").alias("review_status"),
         "enacted_by",
     )
-    return closed.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True)
 
 
 def apply_snapshot(nodes: DataFrame, versions: DataFrame, parsed: DataFrame, chapters: DataFrame, effective_from: Column) -> tuple[DataFrame, DataFrame]:

@@ -90,3 +90,14 @@ def test_killed_before_the_switch(spark, held, monkeypatch):
         with pytest.raises(KeyboardInterrupt):
             held.apply(snapshot(spark, whole({"3.1": "lost"}, 3)), chapters(spark, "3"), F.lit(DAY).cast("date"))
     assert (rows(held.nodes()), rows(held.versions())) == before
+
+
+def test_texts_are_not_stored_on_their_way(spark, held, monkeypatch):
+    """Old texts go from their buckets to the new ones: no table of all versions is stored between, and closed ones end on the day."""
+    names = []
+    kept = chapterstore.stored
+    monkeypatch.setattr(chapterstore, "stored", lambda df, name, *more: names.append((name, "body" in df.columns)) or kept(df, name, *more))
+    held.apply(snapshot(spark, whole({"2.1": "new text", "2.2": None}, 2)), chapters(spark, "2"), F.lit(DAY).cast("date"))
+    assert not any(body for _, body in names)
+    got = {(r.node_id, str(r.effective_to), r.review_status) for r in held.versions().where("node_id in (2001, 2002, 2003)").collect()}
+    assert got == {(2001, DAY, "approved"), (2001, "None", "pending"), (2002, DAY, "approved"), (2003, "None", "approved")}
