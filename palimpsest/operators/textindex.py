@@ -270,8 +270,8 @@ class Index:
     def _candidates(self, rows: DataFrame, gone: DataFrame | None, terms: DataFrame, segments: list[dict], limit: int, last: DataFrame | None) -> DataFrame:
         """Documents to be scored, a row for each query and part, and a row for each block of positions that this takes: the best by bound of each part, or with ``last`` (``query_id``, ``least``) those behind them whose bound reaches it."""
         n, parts = terms.count(), sum(s["parts"] for s in segments)
-        # As many groups as tasks, but for loads of a few queries; with many parts, loads as large as may be.
-        loads = max(1, -(-n // QUERIES), min(-(-n // LEAST), -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // parts)))
+        # A block moves once for each load that asks for it, so there are no more loads than keep all cores busy, whatever the queries.
+        loads = _loads(n, parts, self.spark.sparkContext.defaultParallelism)
         terms = terms.withColumn("load", F.expr(f"cast(pmod(xxhash64(query_id), {loads}) as int)"))
         heads = rows.where("block = -1").select("segment", "part", "lexeme", "ids", "tfs", "sums").join(terms.select(F.explode("plan.lexeme").alias("lexeme"), "load").distinct(), "lexeme")
         places = self.spark.createDataFrame([(s["segment"], p) for s in segments for p in range(s["parts"])], "segment long, part int")
@@ -301,6 +301,11 @@ class Index:
         return found.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInArrow(_measured, "query_id long, version_id long, score double")
 
 
+def _loads(n: int, parts: int, cores: int) -> int:
+    """Groups of ``n`` queries in each part: of at most ``QUERIES``, and so many that all parts together have two groups a core, unless they are of fewer than ``LEAST``."""
+    return max(1, -(-n // QUERIES), min(-(-n // LEAST), -(-2 * cores // parts)))
+
+
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:

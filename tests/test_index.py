@@ -283,3 +283,23 @@ def test_tables_of_scores_stay_small(monkeypatch):
     got = np.concatenate([np.stack([no + k * retrieval.AT_ONCE, ids]) for k, (no, ids, _) in enumerate(best)], axis=1)
     want = np.argsort(-(q @ x.T), axis=1)[:, :5]
     assert got[0].tolist() == np.repeat(np.arange(700), 5).tolist() and got[1].tolist() == want.ravel().tolist()
+
+
+def test_loads_follow_cores_and_not_questions():
+    """A block of the index moves once for each load: more questions make no more of them, until a load is full."""
+    assert [textindex._loads(n, 3, 8) for n in (1, 300, 10_000, 20_000, 40_000)] == [1, 2, 6, 6, 6]
+    assert textindex._loads(80_000, 3, 8) == 10 and textindex._loads(10_000, 40, 8) == 2 and textindex._loads(0, 1, 8) == 1
+
+
+def test_the_best_of_a_query_come_from_few_parts(spark):
+    """Texts are dealt to as many parts as keep the cores busy, each of which sends the best of every query."""
+    docs = spark.range(200).selectExpr("id version_id", "concat('heading ', id) heading")
+    queries = spark.range(retrieval.FEW + 1).selectExpr("id query_id", "concat('heading ', id) query")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        found = retrieval._trigram_blocks(docs, queries, 0.1, 3, "heading")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert f"RoundRobinPartitioning({2 * spark.sparkContext.defaultParallelism})" in plan
